@@ -26,6 +26,8 @@ N_SHARDS = 8
 #: Bytes that a part should have, and how far a splitter may be from its target, as a share of a part's bytes.
 PART_BYTES = 32_000_000
 TOLERANCE = 0.002
+#: A key with several rows is split over the tie if it has more than this share of a part's bytes.
+HEAVY_KEY = 0.02
 #: Intervals of the first round, and inside each unfinished interval of a later one, as powers of two.
 FIRST_BITS, ROUND_BITS = 12, 6
 LOWEST = -(2**63)
@@ -58,8 +60,8 @@ def _position(column: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: s["lo"])
 
 
-def _refine(rows: DataFrame, column: str, low: int, high: int, targets: list[int], tolerance: float) -> list[tuple[int, int, int, bool]]:
-    """For each target, (bound, bytes below, rows below, met): the bound of ``column`` whose bytes below are nearest to it; low <= values <= high.
+def _refine(rows: DataFrame, column: str, low: int, high: int, targets: list[int], tolerance: float) -> list[tuple[int, int, int, int]]:
+    """For each target, (bound, bytes below, rows below, bytes of the bound's own value if it has several rows and the target is inside, else 0): the bound of ``column`` whose bytes below are nearest to it; low <= values <= high.
 
     Probes stand at low + k * 2^shift; a round counts between neighbouring probes, in all rows at first, then only in the
     intervals that still hold a target, with a smaller shift.
@@ -73,7 +75,7 @@ def _refine(rows: DataFrame, column: str, low: int, high: int, targets: list[int
     below = {0: (0, 0)}  # cell of this shift whose inside is unfinished: what lies below it
     waiting = {0: list(range(len(targets)))}
     outer = None
-    done: dict[int, tuple[int, int, int, bool]] = {}
+    done: dict[int, tuple[int, int, int, int]] = {}
     while waiting:
         inside = rows if outer is None else rows.where(cell(outer).isin(sorted(waiting)))
         counted = inside.groupBy(cell(shift).alias("cell")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
@@ -91,12 +93,14 @@ def _refine(rows: DataFrame, column: str, low: int, high: int, targets: list[int
                     b, n, at = b + cells[at][1], n + cells[at][2], at + 1
                 c, inside_b, inside_n = cells[at]
                 start, end = low + (c << shift), low + ((c + 1) << shift)
-                if abs(b - targets[i]) <= tolerance or (shift == 0 and abs(b - targets[i]) <= abs(b + inside_b - targets[i])):
-                    done[i] = (start, b, n, abs(b - targets[i]) <= tolerance)
+                if abs(b - targets[i]) <= tolerance:
+                    done[i] = (start, b, n, 0)
                 elif abs(b + inside_b - targets[i]) <= tolerance and end <= high:
-                    done[i] = (end, b + inside_b, n + inside_n, True)
-                elif shift == 0:
-                    done[i] = (start, b, n, False)
+                    done[i] = (end, b + inside_b, n + inside_n, 0)
+                elif shift == 0:  # one value: below or above it, whichever is nearer
+                    upper = end <= high and b + inside_b - targets[i] < targets[i] - b
+                    inside_rows = inside_b if inside_n > 1 else 0
+                    done[i] = (end, b + inside_b, n + inside_n, 0) if upper and not inside_rows else (start, b, n, inside_rows)
                 else:
                     next_below[c] = (b, n)
                     next_waiting.setdefault(c, []).append(i)
@@ -111,9 +115,9 @@ def splitters(keys: DataFrame, n_parts: int, total: int) -> list[Splitter]:
     tolerance = TOLERANCE * total / n_parts
     found = []
     stuck: dict[int, list[int]] = {}
-    for i, (bound, b, n, met) in enumerate(_refine(keys, "key", low, high, targets, tolerance)):
+    for i, (bound, b, n, several) in enumerate(_refine(keys, "key", low, high, targets, tolerance)):
         found.append(Splitter(bound, LOWEST, b, n))
-        if not met:
+        if several > HEAVY_KEY * total / n_parts:
             stuck.setdefault(bound, []).append(i)
     for key, which in stuck.items():
         one = keys.where(F.col("key") == key)
