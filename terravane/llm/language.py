@@ -16,7 +16,7 @@ ignored; an empty table gives no rows. Without any labelled row a fit is refused
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm import textkernel as K
-from terravane.llm.shared import batches, drop, stored
+from terravane.llm.shared import annotate, batches, drop, stored
 from terravane.llm.toxicity import held_out
 
 FIT_DOCS = 600
@@ -40,6 +40,7 @@ LONGEST = 16
 LANGUAGES = 500
 MARK = "▁"
 GROUP = 20_000
+SLICE_BYTES = 8_000_000
 
 
 def default_vocabulary() -> str:
@@ -292,35 +293,21 @@ def _has_letter(column: pa.Array, w: K.Words) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text)."""
-    batches(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text: str = "text", prefix: str = "") -> DataFrame:
+    """The columns ``keep`` of every row of ``docs`` with lang_pred and score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary times the languages
 
-    def predicted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def predicted(column: pa.Array) -> list[pa.Array]:
         m = shared.value
-        v = vocabulary(m.vocabulary)
         names = np.array(m.languages, dtype=object)
-        for batch in it:
-            for i, j in K.slices(batch.column(1), 8_000_000):
-                column = batch.column(1).slice(i, j - i)
-                w = K.words_of(column)
-                _, first, inverse = np.unique(K.word_hashes(w), return_index=True, return_inverse=True)
-                each = word_scores(v, m.p, w.data, w.start[first], w.end[first])
-                sums = np.zeros((j - i, len(names)))
-                n = np.diff(w.first)
-                full = np.flatnonzero(n)
-                for k in range(len(names)):
-                    if len(full):
-                        sums[full, k] = np.add.reduceat(each[inverse, k], w.first[:-1][full])
-                best = sums.argmax(axis=1)
-                # the posterior, with words counted as if a text had the square root of their number
-                scaled = (sums - sums.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None]
-                post = np.exp(scaled)
-                post = post.max(axis=1) / post.sum(axis=1)
-                known = _has_letter(column, w)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.where(known, names[best], "und"), pa.string()), pa.array(np.where(known, post, 0.0))], names=["doc_id", "lang_pred", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(predicted, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", held_out(F.col("doc_id"), HELD_OUT_MOD, HELD_OUT_REST).alias("held_out"), "lang_pred", "score")
+        w = K.words_of(column)
+        _, first, inverse = np.unique(K.word_hashes(w), return_index=True, return_inverse=True)
+        each = word_scores(vocabulary(m.vocabulary), m.p, w.data, w.start[first], w.end[first])
+        sums = np.stack([K.segment_reduce(np.add, each[inverse, k], w.first, 0.0) for k in range(len(names))], axis=1)
+        # the posterior, with words counted as if a text had the square root of their number
+        scaled = (sums - sums.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(np.diff(w.first), 1))[:, None]
+        posterior = 1 / np.exp(scaled).sum(axis=1)
+        known = _has_letter(column, w)
+        return [pa.array(np.where(known, names[sums.argmax(axis=1)], "und"), pa.string()), pa.array(np.where(known, posterior, 0.0))]
+
+    return annotate(docs, keep, text, {"lang_pred": "string", "score": "double"}, predicted, SLICE_BYTES, prefix)

@@ -5,9 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from terravane.llm.textkernel import slices
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,3 +71,26 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(str(folder / "terravane.zip"))
     context._terravane_shipped = True
+
+
+def annotate(docs: DataFrame, keep: Sequence[str], text: str, results: dict[str, str], of_texts: Callable[[pa.Array], list[pa.Array]], most: int, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` as they are, and what ``of_texts`` makes of the text column, in slices of about ``most`` bytes.
+
+    ``results`` names the new columns and their types; ``prefix`` is put before the names, for tables that have such columns.
+    """
+    batches(docs)
+    names = [prefix + c for c in results]
+    if clash := set(names) & set(keep):
+        raise ValueError(f"columns {sorted(clash)} are there already: give a prefix")
+    rows = docs.select(*keep, F.col(text).cast("string").alias("__text")) if text not in keep or docs.schema[text].dataType.simpleString() != "string" else docs.select(*keep)
+    at = rows.columns.index("__text" if "__text" in rows.columns else text)
+    n = len(keep)
+
+    def of_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i, j in slices(batch.column(at), most):
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n)), *of_texts(part.column(at))], names=[*part.schema.names[:n], *names])
+
+    schema = StructType([*rows.schema.fields[:n], *StructType.fromDDL(", ".join(f"`{prefix + c}` {kind}" for c, kind in results.items())).fields])
+    return rows.mapInArrow(of_batches, schema)

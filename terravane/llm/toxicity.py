@@ -16,7 +16,7 @@ table gives no rows. Without labelled rows of both kinds a fit is refused with a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm import textkernel as K
-from terravane.llm.shared import batches, drop, stored
+from terravane.llm.shared import annotate, batches, drop, stored
 
 FIT_ROWS = 60_000
 HELD_OUT_MOD, HELD_OUT_REST = 5, 0
@@ -215,23 +215,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
     return max(0.0, float(b[0])), float(b[1])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_passages and passages (first word, end, strength) of every row of ``docs``."""
-    batches(docs)
+def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text: str = "text", prefix: str = "") -> DataFrame:
+    """The columns ``keep`` of every row of ``docs`` with score, predicted, n_passages and passages (first word, end, strength)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_WORDS words
+    passage = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("strength", pa.float64())]))
 
-    def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(column: pa.Array) -> list[pa.Array]:
         m = shared.value
-        passage = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("strength", pa.float64())]))
-        for batch in it:
-            for i, j in K.slices(batch.column(1)):
-                sums, number, found = _strengths(batch.column(1).slice(i, j - i), m)
-                lists: list[list] = [[] for _ in range(j - i)]
-                for r, a, b, s in found:
-                    lists[r].append((a, b, s))
-                p = 1 / (1 + np.exp(-np.clip(m.slope * sums + m.intercept, -50, 50)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p), pa.array(number), pa.array([[dict(zip(("first_word", "end_word", "strength"), t)) for t in x] for x in lists], passage)], names=["doc_id", "score", "n_passages", "passages"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(scored, "doc_id long, score double, n_passages long, passages array<struct<first_word:long,end_word:long,strength:double>>")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "passages")
+        sums, number, found = _strengths(column, m)
+        lists: list[list] = [[] for _ in range(len(column))]
+        for r, a, b, s in found:
+            lists[r].append({"first_word": a, "end_word": b, "strength": s})
+        p = 1 / (1 + np.exp(-np.clip(m.slope * sums + m.intercept, -50, 50)))
+        return [pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(number), pa.array(lists, passage)]
+
+    results = {"score": "double", "predicted": "int", "n_passages": "long", "passages": "array<struct<first_word:long,end_word:long,strength:double>>"}
+    return annotate(docs, keep, text, results, scored, K.SLICE_BYTES, prefix)
