@@ -1,6 +1,6 @@
-"""Registered queries and their SQL."""
+"""All queries of the reference's operators, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from terravane.plans import spatial_queries  # noqa: F401
+from terravane.plans.helpers import ORACLES, QUERIES  # noqa: F401
