@@ -464,7 +464,7 @@ def _stream(t, name: str, table: str, columns):
 @query("t1_recorder_stream", "SELECT track_id, count(*) AS fixes, count(*) FILTER (WHERE accuracy_m > 50) AS bad_accuracy FROM fixes GROUP BY 1", "fixes")
 def _(t):
     columns = ["track_id", "arrival", "ts", "lat", "lon", F.col("accuracy_m").cast("double").alias("accuracy_m"), F.lit(False).alias("stop")]
-    stream = recorder.record_stream(_stream(t, "fixes", "fixes", columns))
+    stream = recorder.record_stream(_stream(t, "fixes", "fixes", columns), close_silent=False)
     out = recorder.drain(stream, "recorded_fixes").where("decision <> 'TAIL'")
     return out.groupBy("track_id").agg(F.count("*").alias("fixes"), F.count(F.when(F.col("decision") == "ACCURACY", 1)).alias("bad_accuracy"))
 

@@ -28,7 +28,7 @@ def _rows(pdfs: Iterator[pd.DataFrame], order: str) -> Iterator:
         yield from pd.concat(frames).sort_values(order, kind="stable").itertuples(index=False)
 
 
-def _record(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _record(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, timed: bool) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in tracks.DECISIONS.split(", ")]
     s = tracks.State.of(tuple(state.get)) if state.exists else tracks.State()
     out: list[tuple] = []
@@ -44,16 +44,19 @@ def _record(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
         state.remove()
     else:
         state.update(s.flat())
-        state.setTimeoutDuration(SILENT_MS)
+        if timed:
+            state.setTimeoutDuration(SILENT_MS)
     yield pd.DataFrame(out, columns=columns).astype({"arrival": "Int64", "v_ts": "Int64"})
 
 
-def record_stream(fixes: DataFrame) -> DataFrame:
+def record_stream(fixes: DataFrame, close_silent: bool = True) -> DataFrame:
     """Decisions on a stream of fixes (FIXES), as ``tracks.record`` makes them; a row with ``stop``, or a long silence, ends the track with its TAIL.
 
-    A late fix is judged by the operator (OUT_OF_ORDER), not by a watermark; inside a micro-batch rows go by arrival.
+    A late fix is judged by the operator (OUT_OF_ORDER), not by a watermark; inside a micro-batch rows go by arrival. Without
+    ``close_silent`` no timer runs, so that a run over what is there now comes to an end.
     """
-    return fixes.groupBy("track_id").applyInPandasWithState(_record, tracks.DECISIONS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if close_silent else GroupStateTimeout.NoTimeout
+    return fixes.groupBy("track_id").applyInPandasWithState(lambda k, p, s: _record(k, p, s, close_silent), tracks.DECISIONS, STATE, "append", timeout)
 
 
 def _jitter(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
