@@ -150,7 +150,7 @@ def scan_directory(spark: SparkSession, root: str, extension: str = "png") -> Da
     """Tiles (z, x, y, data, tile_id) of files {z}/{x}/{y}.{extension}: numeric names only, no hidden, partial or empty ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{extension}").load(root)
     pattern = rf"/(\d+)/(\d+)/(\d+)\.{re.escape(extension)}$"
-    part = lambda k: F.regexp_extract("path", pattern, k).cast("int")
+    part = lambda k: F.regexp_extract("path", pattern, k).try_cast("int")
     found = files.where(F.col("path").rlike(pattern) & (F.col("length") > 0)).select(part(1).alias("z"), part(2).alias("x"), part(3).alias("y"), F.col("content").alias("data"))
     return with_ids(found).where("tile_id IS NOT NULL")
 

@@ -210,7 +210,7 @@ def _(t):
 
 
 _MOMENTS = "m AS (SELECT set_id, count(*) AS n, avg(src_x) AS mx, avg(src_y) AS my, avg(dst_x) AS mu, avg(dst_y) AS mv FROM gcp_points GROUP BY 1), s AS (SELECT set_id, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(mu) AS mu, any_value(mv) AS mv, sum((src_x-mx)*(src_x-mx)) AS xx, sum((src_x-mx)*(src_y-my)) AS xy, sum((src_y-my)*(src_y-my)) AS yy, sum((src_x-mx)*(dst_x-mu)) AS xu, sum((src_y-my)*(dst_x-mu)) AS yu, sum((src_x-mx)*(dst_y-mv)) AS xv, sum((src_y-my)*(dst_y-mv)) AS yv FROM gcp_points JOIN m USING (set_id) GROUP BY 1)"
-_SOLVED = "f AS (SELECT *, (xu*yy-yu*xy)/(xx*yy-xy*xy) AS a, (yu*xx-xu*xy)/(xx*yy-xy*xy) AS b, (xv*yy-yv*xy)/(xx*yy-xy*xy) AS c, (yv*xx-xv*xy)/(xx*yy-xy*xy) AS d FROM s)"
+_SOLVED = "f AS (SELECT *, CASE WHEN n >= 3 AND xx*yy-xy*xy > 1e-12 * xx*yy THEN (xu*yy-yu*xy)/(xx*yy-xy*xy) END AS a, CASE WHEN n >= 3 AND xx*yy-xy*xy > 1e-12 * xx*yy THEN (yu*xx-xu*xy)/(xx*yy-xy*xy) END AS b, CASE WHEN n >= 3 AND xx*yy-xy*xy > 1e-12 * xx*yy THEN (xv*yy-yv*xy)/(xx*yy-xy*xy) END AS c, CASE WHEN n >= 3 AND xx*yy-xy*xy > 1e-12 * xx*yy THEN (yv*xx-xv*xy)/(xx*yy-xy*xy) END AS d FROM s)"
 
 
 @query("a12_affine_fits", f"WITH {_MOMENTS}, {_SOLVED} SELECT set_id, n, {sql_milli('a*1000')} AS a, {sql_milli('b*1000')} AS b, {sql_milli('mu-(a*mx+b*my)')} AS tx, {sql_milli('mv-(c*mx+d*my)')} AS ty FROM f", "gcp_points")
@@ -226,10 +226,10 @@ def _(t):
     return similar.join(shift, "set_id").select("set_id", milli(F.col("transform.a") * 1000).alias("alpha"), milli(F.col("transform.c") * 1000).alias("beta"), milli("shift").alias("shift_x"))
 
 
-@query("a14_fit_residuals", f"WITH {_MOMENTS}, {_SOLVED} SELECT set_id, {sql_milli('sqrt(avg(pow(a*(src_x-mx)+b*(src_y-my)+mu-dst_x,2)+pow(c*(src_x-mx)+d*(src_y-my)+mv-dst_y,2)))')} AS rmse FROM gcp_points JOIN f USING (set_id) GROUP BY 1", "gcp_points")
+@query("a14_fit_residuals", f"WITH {_MOMENTS}, {_SOLVED} SELECT set_id, {sql_milli('sqrt(avg(pow(a*(src_x-mx)+b*(src_y-my)+mu-dst_x,2)+pow(c*(src_x-mx)+d*(src_y-my)+mv-dst_y,2)))')} AS rmse FROM gcp_points JOIN f USING (set_id) WHERE a IS NOT NULL GROUP BY 1", "gcp_points")
 def _(t):
     points = t("gcp_points")
-    return calibration.rmse(points, calibration.fit(points)).select("set_id", milli("rmse").alias("rmse"))
+    return calibration.rmse(points, calibration.fit(points, "affine").where("transform IS NOT NULL")).select("set_id", milli("rmse").alias("rmse"))
 
 
 @query("a9_control_extents", None, "gcp_points")
