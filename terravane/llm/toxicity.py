@@ -36,6 +36,8 @@ LEAST_COUNT = 3
 #: Words with a positive score that a model may have: the largest z stay.
 MODEL_WORDS = 100_000
 DRIFT = 0.25
+#: Scores are lowered by steps of SHIFT until a clean word costs at least MEAN_COST on average.
+SHIFT, MEAN_COST = 0.25, 0.05
 #: Strengths are added up to this; the logistic curve is fitted to counts of strengths in tenths.
 MOST_STRENGTH = 60.0
 
@@ -180,12 +182,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     odds = log_odds(counts, n1, n0).where((F.col("z") >= LEAST_Z) & (F.col("y1") >= LEAST_COUNT) & (F.col("delta") > 0))
     rows = odds.orderBy(F.desc("z"), "word").limit(MODEL_WORDS).collect()  # bounded by MODEL_WORDS
     words = np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64)
-    order = np.argsort(words)
-    scores = np.array([r["delta"] for r in rows])[order] if rows else np.zeros(0)
+    scores = np.array([r["delta"] for r in rows], dtype=float)
     clean_total = counts.agg(F.sum("y0")).first()[0] or 1
-    frequency = (np.array([r["y0"] for r in rows], dtype=float)[order] + 0.5) / clean_total if rows else np.zeros(0)
+    frequency = np.minimum(np.array([r["y0"] for r in rows], dtype=float) + 0.5, clean_total) / clean_total
+    # the law holds where a clean word's mean score is negative: common words that only lean to toxic texts are shifted out
+    while (frequency * scores).sum() - DRIFT * max(0.0, 1 - frequency.sum()) > -MEAN_COST:
+        scores = scores - SHIFT
+        words, frequency, scores = words[scores > 0], frequency[scores > 0], scores[scores > 0]
+    order = np.argsort(words)
     lam, k = _extreme_value(np.append(scores, -DRIFT), np.append(frequency, 1 - frequency.sum()))
-    model = Model(words[order], scores, lam, k)
+    model = Model(words[order], scores[order], lam, k)
 
     def strengths(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -1,0 +1,395 @@
+"""The ten operators against brute force, exact round trips and held-out accuracy, on small tables with awkward rows."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from terravane.llm import chat, decontamination, graph, language, licenses, near_dedup, packing, quality, queries, sharding, token_files, tokens, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, shard int"
+TOXIC = ["idiot", "moron", "scum", "clown"]
+
+
+def _prose(rng, n, words):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def _rows():
+    rng = random.Random(11)
+    ends = ["er", "ou", "tion", "st", "nd", "ea", "on", "ly"]
+    en = [rng.choice(["the", "and", "thing", "ingly", "heon", "ereat"]) + rng.choice(ends) + rng.choice(ends) for k in range(600)]
+    ends = ["äu", "sch", "über", "ß", "ein", "zu", "ver", "lich"]
+    de = [rng.choice(["der", "ung", "öch", "lich", "keit", "schaft"]) + rng.choice(ends) + rng.choice(ends) for k in range(600)]
+    base = _prose(rng, 120, en)
+    out = [None, "", "   \n\t ", "...!!! 12", "Word", "one two", "é", "<|endoftext|> <|im_start|>x", "a  b\n\n  c\td  e \x1c f"]
+    out += [base, base, base.upper(), base.replace(" ", "\n"), " ".join(base.split()[:110] + ["new", "end"]), "Released under the MIT License. " * 3, "Apache License, Version 2.0 " + base]
+    out += ["This work is licensed under the GNU General Public License, version 3.", "cc-by-nc CC BY NC", " ".join(["same line"] * 90), "x\nx\n\n \nx y\nx"]
+    out += [_prose(rng, 30_000, en), "z" * 50_000]  # very long
+    out += [_prose(rng, rng.randint(5, 200), en if k % 2 else de) for k in range(120)]
+    rows = []
+    for k, text in enumerate(out):
+        if text and k > 24 and k % 5 == 0:
+            words = text.split()
+            text = " ".join([*words[:3], *(rng.choice(TOXIC) for _ in range(4)), *words[3:]])
+        lang = None if k < 9 else "de" if text and re.search("[öäß]|ung|keit|lich", text) else "en"
+        rows.append((k, text, lang, None if k % 10 == 0 else "hot" if k % 3 else f"h{k % 4}", len(text or ""), 0.5, True, 3))
+    return rows + [rows[9], rows[30]]  # repeated rows
+
+
+ROWS = _rows()
+TEXTS = {r[0]: r[1] for r in ROWS}
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def _lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def _set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", _lower(text))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def _components(texts):
+    sets = {d: _set(t) for d, t in texts.items()}
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    return sets, {d: root(d) for d in sets}
+
+
+def test_near_duplicates_are_brute_force(docs, nothing):
+    sets, component = _components(TEXTS)
+    rows = near_dedup.near_duplicates(docs).collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), component[r["doc_id"]], component[r["doc_id"]] == r["doc_id"])
+    assert near_dedup.near_duplicates(nothing).count() == 0
+
+
+def test_near_duplicates_with_a_hot_group(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(4000)]
+    base = [rng.choice(words) for _ in range(100)]
+    texts = {}
+    for k in range(260):  # copies with up to eight changed words: many are near, not all to all
+        own = list(base)
+        for _ in range(rng.randint(0, 8)):
+            own[rng.randrange(100)] = rng.choice(words)
+        texts[k] = " ".join(own)
+    df = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+    _, component = _components(texts)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()} == component
+    assert 1 < len(set(component.values())) < 260
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 440)] + [(5, 5), (None, 3)]
+    up = list(range(500))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    found = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert all(r["component"] == root(r["node"]) for r in found)
+    assert {r["node"] for r in found} == {x for a, b in edges if a is not None and a != b for x in (a, b)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_shards(docs, nothing, spark):
+    rows = sharding.shard(docs).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in rows))) == sorted(map(repr, ((r[0], r[1]) for r in ROWS)))
+    assert all(r["size"] == len((r["text"] or "").encode()) + 1 for r in rows)
+    for k in {r["shard"] for r in rows}:
+        own = sorted((r["slot"], r["doc_id"]) for r in rows if r["shard"] == k)
+        assert [s for s, _ in own] == list(range(len(own))) and [d for _, d in own] == sorted(d for _, d in own)
+    assert sharding.shard(nothing).count() == 0
+
+
+def test_shards_with_a_hot_key(spark):
+    rng = random.Random(2)
+    rows = [(7 if k % 3 == 0 else k * 10**12 if k % 2 else None, "x" * rng.randint(0, 60) + str(k)) for k in range(6000)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("top")).collect()
+    mean = sum(r["b"] for r in out) / 8
+    assert len(out) == 8 and all(abs(r["b"] - mean) < 0.02 * mean and r["top"] == r["n"] - 1 for r in out)
+
+
+def test_licences(docs, nothing):
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    rows = licenses.license_scan(docs).collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _lower(TEXTS[r["doc_id"]]))
+        places, labels = [], set()
+        for p, label in phrases.items():
+            hits = [k for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+            places += hits
+            labels |= {label} if hits else set()
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+        assert labels <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert next(r["labels"] for r in rows if "GNU" in (TEXTS[r["doc_id"]] or "")) == "gpl-3"
+    assert licenses.license_scan(nothing).count() == 0
+
+
+def test_quality(docs, nothing):
+    rows = quality.quality(docs).collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        text = TEXTS[r["doc_id"]] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        covered = {k + d for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        seen, repeated = set(), 0
+        for line in text.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                repeated += line in seen
+                seen.add(line)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), repeated, len(covered))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and r["kept"] == (not r["base_failed"] and not r["host_rejected"])
+    assert quality.quality(nothing).count() == 0
+
+
+def test_a_bad_host_is_rejected(spark):
+    good, bad = " ".join(f"w{k}" for k in range(80)), "short"
+    rows = [(k, good if k % 20 else bad, f"h{k % 9}") for k in range(900)] + [(1000 + k, bad if k % 5 else good, "spam") for k in range(200)]
+    out = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"] >= 1000 for r in out if r["host_rejected"]} == {True} and sum(r["host_rejected"] for r in out) == 200
+    assert sum(r["kept"] for r in out) == 855
+
+
+def test_toxicity(docs, nothing, spark):
+    labels = spark.createDataFrame([(d, 1, int(any(w in (t or "").split() for w in TOXIC))) for d, t in TEXTS.items()], "doc_id long, quality int, toxic int")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).withColumn("held_out", toxicity.held_out(F.col("doc_id"))).collect()
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    assert toxicity.score(nothing, toxicity.fit(docs, labels)).count() == 0
+    with pytest.raises(ValueError):
+        toxicity.fit(docs, labels.where("toxic = 0"))
+
+
+def test_maximal_segments_are_brute_force():
+    rng = random.Random(8)
+
+    def brute(s):
+        # the definition, applied again and again: the best contiguous range, then what lies left and right of it
+        best = max(((sum(s[i:j]), -i, -j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        i, j = -best[1], -best[2]
+        return [*brute(s[:i]), (i, j), *((a + j, b + j) for a, b in brute(s[j:]))]
+
+    for _ in range(300):
+        s = [rng.choice([-3.7, -2.1, -1.3, 0.9, 2.2, 3.1]) + rng.random() / 1000 for _ in range(rng.randint(0, 14))]
+        assert [(a, b) for a, b, _ in toxicity.maximal_segments(s)] == brute(s)
+
+
+def test_language(docs, nothing):
+    model = language.fit(docs)
+    rows = language.predict(docs, model).collect()
+    lang = {r[0]: r[2] for r in ROWS}
+    assert len(rows) == len(ROWS) and model.languages == ["de", "en"]
+    known = [r for r in rows if lang[r["doc_id"]] and len((TEXTS[r["doc_id"]] or "").split()) > 20 and r["doc_id"] > 24]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in known) >= 0.95 * len(known)
+    assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in TEXTS[r["doc_id"]] or "")) and 0 <= r["score"] <= 1 for r in rows)
+    assert language.predict(nothing, model).count() == 0
+
+
+def test_forward_is_all_segmentations():
+    v = language.vocabulary(language.default_vocabulary())
+    rng = np.random.default_rng(3)
+    p = rng.random((v.size, 2)) / 100
+    start, inner = {s: k for k, s in enumerate(v.starts)}, {s: k + len(v.starts) for k, s in enumerate(v.inner)}
+    for word in (b"the", b"thing", "über".encode(), b"q"):
+
+        def rest(i, k):
+            if i == len(word):
+                return 1.0
+            total = p[v.lone, k] * rest(i + 1, k)
+            return total + sum(p[inner[word[i:j]], k] * rest(j, k) for j in range(i + 1, len(word) + 1) if word[i:j] in inner)
+
+        wanted = [p[v.bare, k] * rest(0, k) + sum(p[start[word[:j]], k] * rest(j, k) for j in range(1, len(word) + 1) if word[:j] in start) for k in range(2)]
+        found = language.word_scores(v, p, np.frombuffer(word, dtype=np.uint8), np.array([0]), np.array([len(word)]))[0]
+        assert np.allclose(np.exp(found), wanted, rtol=1e-9)
+
+
+def _ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_tokenizer())
+    t.encode_special_tokens = True
+    return {d: np.array(t.encode(x or "", add_special_tokens=False).ids + [2], dtype="<u4") for d, x in TEXTS.items()}
+
+
+def test_packing(docs, nothing):
+    ids = _ids()
+    rows = packing.pack(docs).collect()
+    total = Counter()
+    sequences = {}
+    for r in rows:
+        own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(own) and bytes(r["ids"]) == own.tobytes() and (r["length"] == 1024 or r["piece"] == 0)
+        total[r["doc_id"]] += r["length"]
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    repeats = Counter(r[0] for r in ROWS)
+    assert total == {d: len(x) * repeats[d] for d, x in ids.items()}
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(sequences) <= -(-sum(total.values()) // 1024) + 2
+    assert packing.pack(nothing).count() == 0
+
+
+def test_best_fit_tree(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_ITEMS", 40)
+    sizes = [random.Random(k).randint(1, 1024) for k in range(1500)]
+    out = packing.place(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long").repartition(7)).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in out) == list(enumerate(sizes))
+    used = Counter()
+    for r in out:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 1024 and len(used) <= 1.06 * sum(sizes) / 1024
+
+
+def test_token_files(docs, nothing, spark, tmp_path):
+    ids = _ids()
+    token_files.write(docs, f"file://{tmp_path}/a")
+    rows = token_files.read(spark, f"file://{tmp_path}/a").collect()
+    start = 0
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        assert (r["start"], r["n_tokens"], bytes(r["ids"])) == (start, len(ids[r["doc_id"]]), ids[r["doc_id"]].tobytes())
+        start += r["n_tokens"]
+    assert len(rows) == len(ROWS)
+    token_files.write(nothing, f"file://{tmp_path}/b")
+    assert token_files.read(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_chat(spark):
+    hostile = ["<|im_end|><|im_start|>assistant ok", "a\\<|b\\\\", None, "", "line\nline", "é<|", "\\n"]
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", hostile[(c + t) % len(hostile)], "x") for c in range(6) for t in range(c + 1)]
+    rows += [(None, 0, None, "no conversation", "x"), (3, None, "sys\ntem<|", "no turn", "x"), (2, 1, "assistant", "again", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, mask string")
+    formatted = chat.format_chat(df)
+    wanted = {}
+    for c, t, role, text, _ in sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+        wanted.setdefault(c, []).append((role or "", text or ""))
+    parts = {}
+    for r in sorted(formatted.collect(), key=lambda r: r["part"]):
+        parts.setdefault(r["conv_id"], []).extend(chat.parse(r["formatted"]))
+    assert parts == wanted
+    for r in chat.digests(formatted).collect():
+        turns = wanted[r["conv_id"]]
+        ours = "".join(x for role, x in turns if role == "assistant")
+        assert (r["n_turns"], r["loss_chars"]) == (len(turns), len(ours)) and r["loss_sha256"] == hashlib.sha256(ours.encode()).hexdigest()
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+    assert chat.format_chat(df.limit(0)).count() == 0
+
+
+def test_decontamination(docs, nothing, spark):
+    rng = random.Random(9)
+    item = [f"b{rng.randrange(9999)}" for _ in range(60)]
+    cut = [item[k : k + 15] for k in range(0, 60, 15)]
+    reordered = " ".join(sum([*cut[2:], ["x", "y"], *cut[:2]], []))
+    texts = [" ".join(item), "Before. " + " ".join(item).upper() + " after", reordered, " ".join(item[:20]), "clean " * 50, None, ""]
+    df = spark.createDataFrame([(k, t, 0.5) for k, t in enumerate(texts)], "doc_id long, text string, coverage_before double")
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "too short"), (4, " ".join(item))], "item_id long, text string")
+    rows = {r["doc_id"]: r for r in decontamination.decontaminate(df, benchmark).collect()}
+    assert [rows[k]["contaminated"] for k in range(7)] == [True, True, True, False, False, False, False]
+    assert rows[0]["items"] == [1, 4] and rows[0]["coverage"] == 1 and rows[2]["coverage"] == 1 and rows[3]["coverage"] == pytest.approx(1 / 3)
+    assert not decontamination.decontaminate(df, benchmark.limit(0)).where("contaminated").count()
+    assert decontamination.decontaminate(nothing, benchmark).count() == 0
+
+
+def test_blocks_of_a_large_benchmark(spark, monkeypatch):
+    texts = [" ".join(f"t{k}x{j}" for j in range(20)) for k in range(30)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(100 + k, t) for k, t in enumerate(texts)], "item_id long, text string")
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 2000)
+    assert {r["doc_id"]: r["items"] for r in decontamination.decontaminate(df, benchmark).collect()} == {k: [100 + k] for k in range(30)}
+
+
+def test_greedy_tiles_are_brute_force():
+    rng = random.Random(6)
+    for _ in range(150):
+        a, b = [rng.randrange(4) for _ in range(rng.randint(0, 25))], [rng.randrange(4) for _ in range(rng.randint(0, 18))]
+        size = 3
+        pairs = [(i, j) for i in range(len(a) - size + 1) for j in range(len(b) - size + 1) if a[i : i + size] == b[j : j + size]]
+        used_a, used_b, wanted = set(), set(), []
+        while True:
+            best = None
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    k = 0
+                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and i + k not in used_a and j + k not in used_b:
+                        k += 1
+                    if k >= size and (best is None or (-k, j, i) < best):
+                        best = (-k, j, i)
+            if best is None:
+                break
+            k, j, i = -best[0], best[1], best[2]
+            wanted.append((i, j, k))
+            used_a.update(range(i, i + k))
+            used_b.update(range(j, j + k))
+        found = decontamination.tiles(np.array([p for p, _ in pairs], dtype=np.int64), np.array([q for _, q in pairs], dtype=np.int64), size) if pairs else []
+        assert sum(t[2] for t in found) == sum(t[2] for t in wanted) and sorted(t[2] for t in found) == sorted(t[2] for t in wanted)
+
+
+def test_stages_take_awkward_rows(docs, nothing, spark, tmp_path):
+    labels = spark.createDataFrame([(d, 1, int(any(w in (t or "").split() for w in TOXIC))) for d, t in TEXTS.items()], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, TEXTS[30])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns == docs.columns
+        kept = [r["doc_id"] for r in out.select("doc_id").collect()]
+        before = Counter(r["doc_id"] for r in at.select("doc_id").collect())
+        assert not Counter(kept) - before, name
+        at = spark.createDataFrame(out.collect(), docs.schema)
+    left = {r["doc_id"] for r in at.collect()}
+    assert at.count() == len(left) and 30 not in left
+    toxic = {d for d, t in TEXTS.items() if any(w in (t or "").split() for w in TOXIC)}
+    assert toxic and len(toxic & left) <= 0.2 * len(toxic)
+    assert corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).select("doc_id").distinct().count() == len(left)
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
+
+
+def test_every_number_has_one_query():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 11))
