@@ -1,7 +1,7 @@
 """Near-duplicate documents by min-max hashing: both ends of every permutation are kept, so each hash gives two values.
 
 A document's set is its distinct 5-word shingles (64-bit hashes). ``N_PERMUTATIONS`` linear permutations of the hashes give
-twice as many 16-bit values, the minima and the maxima; each is equal in two documents with their Jaccard similarity as
+twice as many values, the minima and the maxima; each is equal in two documents with their Jaccard similarity as
 probability, and a minimum and a maximum of one permutation are nearly independent, so the share of equal values is an
 unbiased estimate with the variance of twice as many plain min-hashes. Four values make one band. The steps:
 
@@ -34,14 +34,16 @@ from terravane.llm.graph import components
 from terravane.llm.shared import batches, drop, stored
 
 SHINGLE_WORDS = 5
-N_PERMUTATIONS = 128
+N_PERMUTATIONS = 256
 N_BANDS = 32
 BAND_VALUES = 4
-#: Signature estimates below this are not checked on the full sets (3.7 standard deviations below 0.75).
-ESTIMATE_CUT = 0.65
+BANDED = N_BANDS * BAND_VALUES
+SIGNATURE_BYTES = 2 * BANDED + (2 * N_PERMUTATIONS - BANDED)
+#: Signature estimates below this are not checked on the full sets (3.6 standard deviations below 0.75).
+ESTIMATE_CUT = 0.68
 #: The same for a class and its best pivot: one pair for a class, so the cut can be far lower.
 PIVOT_CUT = 0.5
-BLOCK = 256
+BLOCK = 512
 HUB_SALTS = 32
 
 _rng = np.random.default_rng(77)
@@ -56,17 +58,32 @@ def _document_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def min_max_signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """n x 2N matrix of 16-bit values: for permutation k, the minimum at 2k and the maximum at 2k + 1; empty sets: zeros."""
+    """n rows of SIGNATURE_BYTES: for each permutation the minimum and the maximum, of 16 bits in the banded values and 8 in the rest; empty sets: zeros."""
     full = np.flatnonzero(np.diff(first) > 0)
-    out = np.zeros((len(first) - 1, 2 * N_PERMUTATIONS), dtype=np.uint16)
+    n = len(first) - 1
+    banded, rest = np.zeros((n, BANDED), dtype=np.uint16), np.zeros((n, 2 * N_PERMUTATIONS - BANDED), dtype=np.uint8)
     if len(full):
         starts = first[:-1][full]
         for k in range(N_PERMUTATIONS):
             h = values * _A[k] + _B[k]
-            # the extremes decide, their mixed bits are the value: near ends alone would share their leading bits
-            out[full, 2 * k] = (K.mix(np.minimum.reduceat(h, starts)) >> np.uint64(48)).astype(np.uint16)
-            out[full, 2 * k + 1] = (K.mix(np.maximum.reduceat(h, starts)) >> np.uint64(48)).astype(np.uint16)
-    return out
+            for j, end in ((2 * k, np.minimum), (2 * k + 1, np.maximum)):
+                # the extremes decide, their mixed bits are the value: near ends alone would share their leading bits
+                value = K.mix(end.reduceat(h, starts))
+                if j < BANDED:
+                    banded[full, j] = (value >> np.uint64(48)).astype(np.uint16)
+                else:
+                    rest[full, j - BANDED] = (value >> np.uint64(56)).astype(np.uint8)
+    return np.concatenate([banded.view(np.uint8), rest], axis=1)
+
+
+def _signature_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), SIGNATURE_BYTES)
+
+
+def _equal_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of equal values of signatures, row by row."""
+    equal = (np.ascontiguousarray(a[:, : 2 * BANDED]).view(np.uint16) == np.ascontiguousarray(b[:, : 2 * BANDED]).view(np.uint16)).sum(1)
+    return (equal + (a[:, 2 * BANDED :] == b[:, 2 * BANDED :]).sum(1)) / (2 * N_PERMUTATIONS)
 
 
 def _binary(matrix: np.ndarray) -> pa.Array:
@@ -93,15 +110,15 @@ def _band_keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     width = BAND_VALUES * 2
     salt = (np.arange(N_BANDS, dtype=np.uint64) * K.STEP)[None, :]
     for batch in it:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+        sig = _signature_rows(batch.column(1))
         keys = K.mix(np.ascontiguousarray(sig[:, : N_BANDS * width]).view(np.uint64) + salt).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), N_BANDS)), pa.array(keys.ravel())], names=["rep", "bucket"])
 
 
 def _estimates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(1))], names=["rep", "pivot", "estimate"])
+        share = _equal_share(_signature_rows(batch.column(2)), _signature_rows(batch.column(3)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["rep", "pivot", "estimate"])
 
 
 def _runs(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -134,10 +151,10 @@ def _tile_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = (np.arange(N_BANDS, dtype=np.uint64) * K.STEP)[None, :]
     for t in _runs(it, ["bucket", "ti", "tj"]):
         rep, comp, block = (np.asarray(t.column(c)) for c in ("rep", "component", "block"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(len(rep), -1)
+        sig = _signature_rows(t.column("sig"))
         ti, tj, bucket = t.column("ti")[0].as_py(), t.column("tj")[0].as_py(), t.column("bucket")[0].as_py()
         left, right = np.flatnonzero(block == ti), np.flatnonzero(block == tj)
-        keys = K.mix(np.ascontiguousarray(sig.view(np.uint8)[:, : N_BANDS * width]).view(np.uint64) + salt)
+        keys = K.mix(np.ascontiguousarray(sig[:, : N_BANDS * width]).view(np.uint64) + salt)
         band = int(np.flatnonzero(keys[0].view(np.int64) == bucket)[0])
         found_a, found_b = [], []
         for i in range(0, len(left), 64):
@@ -148,9 +165,9 @@ def _tile_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if ti == tj:
                     ok &= rep[x][:, None] < rep[y][None, :]
                 p, q = np.nonzero(ok)
-                for k in range(0, len(p), 8192):
-                    a, b = x[p[k : k + 8192]], y[q[k : k + 8192]]
-                    near = (sig[a] == sig[b]).mean(1) >= ESTIMATE_CUT
+                for k in range(0, len(p), 2048):
+                    a, b = x[p[k : k + 2048]], y[q[k : k + 2048]]
+                    near = _equal_share(sig[a], sig[b]) >= ESTIMATE_CUT
                     a, b = a[near], b[near]
                     first = (keys[a] == keys[b]).argmax(1) == band
                     found_a.append(rep[a[first]])
@@ -227,8 +244,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = banded_in.select("bucket", "rep").hint("merge").join(first.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     labelled = stored(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    blocked = labelled.hint("merge").join(mixed.hint("merge"), "bucket").select("bucket", "rep", "component", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "blocks")
-    blocked = blocked.hint("merge").join(in_buckets.hint("merge"), "rep")
+    # a class has at most N_BANDS buckets: with them in one array, its signature is joined once
+    blocked = labelled.hint("merge").join(mixed.hint("merge"), "bucket").groupBy("rep", "component").agg(F.collect_list(F.struct("bucket", "blocks")).alias("at"))
+    blocked = blocked.hint("merge").join(in_buckets.hint("merge"), "rep").withColumn("at", F.explode("at")).select("rep", "component", "sig", "at.*")
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     tiled = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "rep", "component", "block", "sig")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = stored(tiled.repartition(n, "bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj").mapInArrow(_tile_pairs, "a long, b long"), "pairs")

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import chat, decontamination, language, licenses, near_dedup, packing, quality, sharding, token_files, toxicity
+from terravane.llm import chat, decontamination, language, licenses, near_dedup, oracles, packing, quality, sharding, token_files, toxicity
 from terravane.llm.shared import new_path
 
 
@@ -89,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": oracles.NEAR_DEDUP, "op7_host_quality": oracles.QUALITY}

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 END_ID = 2
 #: Distinct cuts that a worker remembers: bounds its memory.
-MEMORY = 1_000_000
+MEMORY = 400_000
 #: White space of any kind before a space.
 _SPACE_BEFORE_SPACE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] |^ "
 _CUT = re.compile(r"(?<=\S) ")
