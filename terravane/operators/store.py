@@ -1,18 +1,38 @@
-"""Where intermediate tables go: the folder that the driver and all executors share."""
+"""Where intermediate tables go, and how the executors get this package."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in ``spark.checkpoint.dir``; where that is unset, as in tests on one machine, in a new folder of this session's own."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests on one machine, a new one of this session's own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(spark, "_terravane_store", None) or "file://" + tempfile.mkdtemp(prefix="spark-terravane-")
         spark._terravane_store = at
-    return f"{at.rstrip('/')}/{name}"
+    return at.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package's sources to the executors' Python, once for a Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_terravane_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = Path(tempfile.mkdtemp(prefix="spark-terravane-"))
+    with zipfile.ZipFile(folder / "terravane.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(folder / "terravane.zip"))
+    context._terravane_shipped = True

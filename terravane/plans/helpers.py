@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravane.operators.store import ship
 from terravane.plans.derived import table, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +18,11 @@ def query(name: str, sql: str | None = None, *derived: str):
     """Registers a function of tables: it gets a reader ``t(name)``. ``sql`` is DuckDB SQL over the ``derived`` tables."""
 
     def register(f: Callable) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(lambda n: table(spark, sf_dir, n))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(lambda n: table(spark, sf_dir, n))
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = with_tables(sql, *derived) if derived else sql
         return f
