@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,21 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from terravane.llm.textkernel import slices
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a new one that is then set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = getattr(spark, "_terravane_dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-terravane-")
-        spark._terravane_dir = at
-    return at.rstrip("/")
+from terravane.operators.store import shared_path, ship
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -59,20 +46,6 @@ def batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     return df
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors' Python, once for a Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_terravane_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    folder = Path(tempfile.mkdtemp(prefix="spark-terravane-"))
-    with zipfile.ZipFile(folder / "terravane.zip", "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    context.addPyFile(str(folder / "terravane.zip"))
-    context._terravane_shipped = True
-
-
 def annotate(docs: DataFrame, keep: Sequence[str], text: str, results: dict[str, str], of_texts: Callable[[pa.Array], list[pa.Array]], most: int, prefix: str = "") -> DataFrame:
     """The columns ``keep`` as they are, and what ``of_texts`` makes of the text column, in slices of about ``most`` bytes.
 
