@@ -1,12 +1,12 @@
 """Licence statements in whole texts, by a positional index of the templates' rare words.
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters, with A-Z in lower case. Base phrases are
-found wherever their words stand one after the other. Beyond them the method finds templates: the index lists for every
-word of the templates where it stands in which of them; a word's IDF comes from its document frequency in the whole corpus
-(one aggregation over all texts). For each file the ``LOOKED_UP`` licence words of the highest IDF that it has are looked up,
-and their postings are intersected by relative position: places where at least two of them (or all that the template has)
-agree on where the template begins. There the template's mandatory key phrases must stand, each within ``SLACK`` words of its
-place, and the share of the template's words found at their places is the score.
+found wherever their words stand one after the other. Beyond them the method finds templates: each template is looked up by
+the words of its own mandatory key phrases, of each phrase by the word of the highest IDF (a word's IDF comes from its document
+frequency in the whole corpus, one aggregation over all texts), so what else a file has changes nothing. The places of the
+phrases are intersected by relative position: a template begins where all its key phrases stand within ``SLACK`` words of their
+places, and at least two of its words (or all that it has) stand at theirs. The share of the template's words found at their
+places is the score.
 
 Null or empty texts have no words and no labels. Repeated rows are each answered. Extra columns are ignored; an empty table
 gives no rows.
@@ -42,12 +42,11 @@ TEMPLATES = [
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
 ]
-LOOKED_UP = 4
 SLACK = 3
 
 
 class Index:
-    """Hashes of all words of phrases and templates, sorted, with the templates' postings."""
+    """Hashes of all words of phrases and templates, sorted, with the places of the templates' key phrases."""
 
     def __init__(self) -> None:
         texts = [t for _, t, _ in TEMPLATES] + [p for p, _ in BASE]
@@ -60,8 +59,7 @@ class Index:
         numbers = lambda text: np.array([number[x] for x in text.split()])
         self.base = [(numbers(p), label) for p, label in BASE]
         self.templates = []
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, (label, text, keys) in enumerate(TEMPLATES):
+        for label, text, keys in TEMPLATES:
             own = numbers(text)
             words = text.split()
             placed = []
@@ -69,8 +67,6 @@ class Index:
                 k = key.split()
                 placed.append((next(i for i in range(len(words)) if words[i : i + len(k)] == k), numbers(key)))
             self.templates.append((label, own, placed))
-            for q, n in enumerate(own.tolist()):
-                self.postings.setdefault(n, []).append((t, q))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word in the index, or -1."""
@@ -110,54 +106,55 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.array([np.log((n + 1) / (counts.get(k, 0) + 0.5)) for k in range(len(index().words))])
 
 
-def _runs(number: np.ndarray, row: np.ndarray, at: np.ndarray, phrase: np.ndarray) -> np.ndarray:
-    """Positions among all words where ``phrase`` stands, in one row."""
-    last = len(number) - len(phrase)
-    start = np.flatnonzero(number[: last + 1] == phrase[0]) if last >= 0 else np.zeros(0, np.int64)
-    for k in range(1, len(phrase)):
+def _runs(number: np.ndarray, row: np.ndarray, phrase: np.ndarray, by: int = 0) -> np.ndarray:
+    """Positions among all words where ``phrase`` stands, in one row; looked up by its word ``by``."""
+    start = np.flatnonzero(number == phrase[by]) - by
+    start = start[(start >= 0) & (start + len(phrase) <= len(number))]
+    for k in range(len(phrase)):
         start = start[(number[start + k] == phrase[k])]
-    return start[row[start] == row[start + len(phrase) - 1]] if len(start) else start
-
-
-def _template_labels(number: np.ndarray, idf: np.ndarray) -> tuple[set[str], float]:
-    """Labels of the templates in one text (numbers of its words, -1 for others), and the best score."""
-    own = index()
-    at = np.flatnonzero(number >= 0)
-    present = np.unique(number[at])
-    rare = [int(x) for x in present[np.lexsort((present, -idf[present]))] if int(x) in own.postings][:LOOKED_UP]
-    votes: dict[tuple[int, int], set[int]] = {}
-    for word in rare:
-        places = at[number[at] == word].tolist()
-        for t, q in own.postings[word]:
-            for p in places:
-                votes.setdefault((t, p - q), set()).add(word)
-    labels, best = set(), 0.0
-    for (t, start), words in votes.items():
-        label, template, keys = own.templates[t]
-        if len(words) < min(2, len(set(template.tolist()))):
-            continue
-        lo, hi = max(0, start), min(len(number), start + len(template))
-        share = float((number[lo:hi] == template[lo - start : hi - start]).sum()) / len(template)
-        ok = all(any(s >= 0 and np.array_equal(number[s : s + len(k)], k) for s in range(start + q - SLACK, start + q + SLACK + 1)) for q, k in keys)
-        if ok:
-            labels.add(label)
-            best = max(best, share)
-    return labels, best
+    return start[row[start] == row[start + len(phrase) - 1]]
+
+
+def _templates(number: np.ndarray, row: np.ndarray, first: np.ndarray, idf: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Label, rows and scores of the places where each template begins, in all texts of a slice (numbers of its words, -1 for others)."""
+    for label, template, keys in index().templates:
+        stand = []
+        for q, key in keys:
+            stand.append((q, _runs(number, row, key, int(np.argmax(idf[key])))))
+            if not len(stand[-1][1]):
+                break
+        else:
+            q, places = min(stand, key=lambda s: len(s[1]))
+            start = (places[:, None] - q + np.arange(-SLACK, SLACK + 1)).ravel()
+            own = np.repeat(row[places], 2 * SLACK + 1)
+            for q, places in stand:
+                lo, hi = np.maximum(start + q - SLACK, first[own]), np.minimum(start + q + SLACK, first[own + 1] - 1)
+                there = np.searchsorted(places, hi, side="right") > np.searchsorted(places, lo)
+                start, own = start[there], own[there]
+            words = np.unique(template)
+            hits, agreeing = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+            for word in words:
+                found = np.zeros(len(start), dtype=bool)
+                for k in np.flatnonzero(template == word):
+                    at = start + k
+                    same = (at >= first[own]) & (at < first[own + 1])
+                    same[same] = number[at[same]] == word
+                    hits += same
+                    found |= same
+                agreeing += found
+            ok = agreeing >= min(2, len(words))
+            yield label, own[ok], hits[ok] / len(template)
 
 
 def _scan(it: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
     own = index()
-    rare_word = np.zeros(len(own.words) + 1, dtype=bool)
-    for _, template, keys in own.templates:  # without a word of a key phrase there is nothing to verify
-        for _, key in keys:
-            rare_word[key] = True
     for batch in it:
         for i, j in K.slices(batch.column(1)):
             part = batch.slice(i, j - i)
             w = K.words_of(part.column(1), K.ALNUM)
             number = own.find(K.word_hashes(w))
             n = j - i
-            found = [(_runs(number, w.row, w.start, phrase), label) for phrase, label in own.base]
+            found = [(_runs(number, w.row, phrase), label) for phrase, label in own.base]
             places = np.concatenate([f for f, _ in found])
             rows = w.row[places]
             inside = places - w.first[rows]
@@ -172,11 +169,10 @@ def _scan(it: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBa
                     labels.setdefault(r, set()).add(label)
             base_labels = [",".join(sorted(labels.get(r, ()))) for r in range(n)]
             scores = np.where(n_base > 0, 1.0, 0.0)
-            for r in np.unique(w.row[rare_word[number]]).tolist():
-                more, score = _template_labels(number[w.first[r] : w.first[r + 1]], idf)
-                if more:
-                    labels.setdefault(r, set()).update(more)
-                    scores[r] = max(scores[r], score)
+            for label, of, share in _templates(number, w.row, w.first, idf):
+                np.maximum.at(scores, of, share)
+                for r in np.unique(of).tolist():
+                    labels.setdefault(r, set()).add(label)
             none = n_base == 0
             yield pa.RecordBatch.from_arrays(
                 [
