@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terravane.functions import classify, geo
-from terravane.operators import fieldlog, layers
+from terravane.operators import fieldlog, layers, order
 from terravane.plans.helpers import query, sql_distance
 
 T0 = 1600000000000
@@ -171,19 +171,19 @@ def _(t):
 )
 def _(t):
     ranked = layers.rank_presets(t("presets").withColumn("position", F.col("id")), "LES", "MOKRO")
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "position"))
-    return ranked.select("id", "score", place.alias("place"), F.when(F.col("score") == 3, F.col("reason")).alias("best_reason"))
+    placed = order.numbered(ranked, [F.desc("score"), F.col("position")], "place")
+    return placed.select("id", "score", "place", F.when(F.col("score") == 3, F.col("reason")).alias("best_reason"))
 
 
 @query("o6_places_nearest", f"SELECT id, row_number() OVER (ORDER BY {sql_distance('50.0e0', '15.0e0', 'lat', 'lon')}, id) AS place FROM places", "places")
 def _(t):
     d = geo.distance_m(F.lit(50.0), F.lit(15.0), F.col("lat"), F.col("lon"))
-    return t("places").select("id", F.row_number().over(Window.orderBy(d, "id")).alias("place"))
+    return order.numbered(t("places").select("id", d.alias("d")), [F.col("d"), F.col("id")], "place").select("id", "place")
 
 
 @query("o1_newest_finds", "SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM finds", "finds")
 def _(t):
-    return t("finds").select("id", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))).alias("place"))
+    return order.numbered(t("finds").select("id", "created_at"), [F.desc("created_at"), F.desc("id")], "place").select("id", "place")
 
 
 @query("a1_find_stats", "SELECT count(*) AS total, coalesce(sum(CAST(favorite AS BIGINT)), 0)::BIGINT AS favorites, min(created_at) AS first_at, max(created_at) AS last_at, max(depth_cm) AS deepest_cm FROM finds", "finds")
