@@ -25,10 +25,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written as a table in the shared folder and read back."""
+def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df``, written as a table in the shared folder, in folders by the columns ``by``, and read back."""
     path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

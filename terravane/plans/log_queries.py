@@ -464,14 +464,14 @@ def _stream(t, name: str, table: str, columns):
 @query("t1_recorder_stream", "SELECT track_id, count(*) AS fixes, count(*) FILTER (WHERE accuracy_m > 50) AS bad_accuracy FROM fixes GROUP BY 1", "fixes")
 def _(t):
     columns = ["track_id", "arrival", "ts", "lat", "lon", F.col("accuracy_m").cast("double").alias("accuracy_m"), F.lit(False).alias("stop")]
-    stream = recorder.record_stream(_stream(t, "fixes", "fixes", columns), close_silent=False)
+    stream = recorder.record_stream(recorder.replay(t("fixes").select(*columns), "arrival"), close_silent=False)
     out = recorder.drain(stream, "recorded_fixes").where("decision <> 'TAIL'")
     return out.groupBy("track_id").agg(F.count("*").alias("fixes"), F.count(F.when(F.col("decision") == "ACCURACY", 1)).alias("bad_accuracy"))
 
 
 @query("t11_blocked_stream", "WITH i AS (SELECT *, sum(CASE WHEN status IN (429, 503) THEN 0 ELSE 1 END) OVER (PARTITION BY host ORDER BY at_ms, id) AS island FROM responses) SELECT id, CAST(sum(CASE WHEN status IN (429, 503) THEN 1 ELSE 0 END) OVER (PARTITION BY host, island ORDER BY at_ms, id) AS BIGINT) AS streak FROM i", "responses")
 def _(t):
-    stream = recorder.blocked_stream(_stream(t, "responses", "responses", ["host", "id", "at_ms", "status", "retry_after_s"]))
+    stream = recorder.blocked_stream(recorder.replay(t("responses").select("host", "id", "at_ms", "status", "retry_after_s"), "at_ms", "id"))
     return recorder.drain(stream, "blocked_hosts").select("id", "streak")
 
 
@@ -489,14 +489,14 @@ def _(t):
 
 @query("t9_recount_points", None, "fixes")
 def _(t):
-    stream = recorder.recount_points(_stream(t, "recount", "fixes", ["track_id", "arrival", "lat", "lon"]))
+    stream = recorder.recount_points(recorder.replay(t("fixes").select("track_id", "arrival", "lat", "lon"), "arrival"))
     return recorder.drain(stream, "recount_points").groupBy("track_id").agg(F.count("*").alias("n"))
 
 
 @query("t10_steady_headings", None, "events")
 def _(t):
     columns = [F.col("user_id").alias("device"), F.col("event_id").alias("arrival"), (F.col("value") % 360.0).alias("heading")]
-    stream = recorder.steady_headings(_stream(t, "headings", "events", columns))
+    stream = recorder.steady_headings(recorder.replay(t("events").select(*columns), "arrival"))
     return recorder.drain(stream, "steady_headings").groupBy("device").agg(F.count("*").alias("n"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from terravane.operators import tracks
+from terravane.operators.store import kept, shared_path
 
 FIXES = "track_id long, arrival long, ts long, lat double, lon double, accuracy_m double, stop boolean"
 _FIX = ", ".join(f"{n}_ts long, {n}_lat double, {n}_lon double, {n}_accuracy double" for n in ("last", "stored", "candidate", "anchor"))
@@ -19,34 +22,47 @@ SILENT_MS = 12 * 3600 * 1000
 # Fixed values of the filters.
 JITTER_DEG = 1.5
 RECOUNT_M = 30.0
+#: Rows of a micro-batch of a table that is replayed, about, and of a frame that an operator hands on.
+BATCH_ROWS, FRAME_ROWS = 200_000, 10_000
 
 
-def _rows(pdfs: Iterator[pd.DataFrame], order: str) -> Iterator:
+def _rows(pdfs: Iterator[pd.DataFrame], order: str | list[str]) -> Iterator:
     """A micro-batch's rows of one key, in order of arrival."""
     frames = [p for p in pdfs if len(p)]
     if frames:
         yield from pd.concat(frames).sort_values(order, kind="stable").itertuples(index=False)
 
 
+def _frames(rows: Iterator[tuple], columns: Sequence[str], types: dict[str, str] | None = None) -> Iterator[pd.DataFrame]:
+    """``rows`` in frames of FRAME_ROWS; one empty frame if there are none."""
+    frame = list(islice(rows, FRAME_ROWS))
+    while True:
+        yield pd.DataFrame(frame, columns=columns).astype(types or {})
+        if not (frame := list(islice(rows, FRAME_ROWS))):
+            return
+
+
 def _record(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, timed: bool) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in tracks.DECISIONS.split(", ")]
-    s = tracks.State.of(tuple(state.get)) if state.exists else tracks.State()
-    out: list[tuple] = []
-    ended = state.hasTimedOut
-    for row in _rows(pdfs, "arrival"):
-        if row.stop is True or row.stop == 1:
-            ended = True
+
+    def decisions() -> Iterator[tuple]:
+        s = tracks.State.of(tuple(state.get)) if state.exists else tracks.State()
+        ended = state.hasTimedOut
+        for row in _rows(pdfs, "arrival"):
+            if row.stop is True or row.stop == 1:
+                ended = True
+            else:
+                yield from tracks.decide(key[0], s, iter([row]), finish=False)
+        if ended:
+            if vertex := tracks.tail(s):
+                yield (key[0], None, "TAIL", s.idle, s.distance_m, s.vertices, *vertex[:3])
+            state.remove()
         else:
-            out += tracks.decide(key[0], s, iter([row]), finish=False)
-    if ended:
-        if vertex := tracks.tail(s):
-            out.append((key[0], None, "TAIL", s.idle, s.distance_m, s.vertices, *vertex[:3]))
-        state.remove()
-    else:
-        state.update(s.flat())
-        if timed:
-            state.setTimeoutDuration(SILENT_MS)
-    yield pd.DataFrame(out, columns=columns).astype({"arrival": "Int64", "v_ts": "Int64"})
+            state.update(s.flat())
+            if timed:
+                state.setTimeoutDuration(SILENT_MS)
+
+    yield from _frames(decisions(), columns, {"arrival": "Int64", "v_ts": "Int64"})
 
 
 def record_stream(fixes: DataFrame, close_silent: bool = True) -> DataFrame:
@@ -60,16 +76,17 @@ def record_stream(fixes: DataFrame, close_silent: bool = True) -> DataFrame:
 
 
 def _jitter(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    out = []
-    for row in _rows(pdfs, "arrival"):
-        d = None if last is None else abs(row.heading - last) % 360.0
-        if d is None or min(d, 360.0 - d) > JITTER_DEG:
-            last = float(row.heading)
-            out.append((key[0], int(row.arrival), last))
-    if last is not None:
-        state.update((last,))
-    yield pd.DataFrame(out, columns=["device", "arrival", "heading"])
+    def steady() -> Iterator[tuple]:
+        last = state.get[0] if state.exists else None
+        for row in _rows(pdfs, "arrival"):
+            d = None if last is None else abs(row.heading - last) % 360.0
+            if d is None or min(d, 360.0 - d) > JITTER_DEG:
+                last = float(row.heading)
+                yield key[0], int(row.arrival), last
+        if last is not None:
+            state.update((last,))
+
+    yield from _frames(steady(), ["device", "arrival", "heading"])
 
 
 def steady_headings(headings: DataFrame) -> DataFrame:
@@ -78,16 +95,17 @@ def steady_headings(headings: DataFrame) -> DataFrame:
 
 
 def _recount(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = tuple(state.get) if state.exists else None
-    out = []
-    for row in _rows(pdfs, "arrival"):
-        here = (0, float(row.lat), float(row.lon), None)
-        if last is None or tracks.metres((0, *last, None), here) >= RECOUNT_M:
-            last = (float(row.lat), float(row.lon))
-            out.append((key[0], int(row.arrival), *last))
-    if last is not None:
-        state.update(last)
-    yield pd.DataFrame(out, columns=["track_id", "arrival", "lat", "lon"])
+    def due() -> Iterator[tuple]:
+        last = tuple(state.get) if state.exists else None
+        for row in _rows(pdfs, "arrival"):
+            here = (0, float(row.lat), float(row.lon), None)
+            if last is None or tracks.metres((0, *last, None), here) >= RECOUNT_M:
+                last = (float(row.lat), float(row.lon))
+                yield key[0], int(row.arrival), *last
+        if last is not None:
+            state.update(last)
+
+    yield from _frames(due(), ["track_id", "arrival", "lat", "lon"])
 
 
 def recount_points(fixes: DataFrame) -> DataFrame:
@@ -96,19 +114,20 @@ def recount_points(fixes: DataFrame) -> DataFrame:
 
 
 def _streaks(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    streak = int(state.get[0]) if state.exists else 0
-    out = []
-    for row in _rows(pdfs, "at_ms"):
-        until = None
-        if int(row.status) in (429, 503):
-            streak += 1
-            asked = 0 if row.retry_after_s != row.retry_after_s or row.retry_after_s is None else int(row.retry_after_s) * 1000
-            until = int(row.at_ms) + max(min(300_000, 2_000 * 2 ** min(streak - 1, 20)), min(300_000, asked))
-        else:
-            streak = 0
-        out.append((key[0], int(row.id), streak, until))
-    state.update((streak,))
-    yield pd.DataFrame(out, columns=["host", "id", "streak", "blocked_until"]).astype({"blocked_until": "Int64"})
+    def answers() -> Iterator[tuple]:
+        streak = int(state.get[0]) if state.exists else 0
+        for row in _rows(pdfs, ["at_ms", "id"]):
+            until = None
+            if int(row.status) in (429, 503):
+                streak += 1
+                asked = 0 if row.retry_after_s != row.retry_after_s or row.retry_after_s is None else int(row.retry_after_s) * 1000
+                until = int(row.at_ms) + max(min(300_000, 2_000 * 2 ** min(streak - 1, 20)), min(300_000, asked))
+            else:
+                streak = 0
+            yield key[0], int(row.id), streak, until
+        state.update((streak,))
+
+    yield from _frames(answers(), ["host", "id", "streak", "blocked_until"], {"blocked_until": "Int64"})
 
 
 def blocked_stream(responses: DataFrame) -> DataFrame:
@@ -126,8 +145,27 @@ def daily_counter(log: DataFrame, late: str = "1 day") -> DataFrame:
     return log.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("tiles"), F.sum("bytes").alias("bytes")).select(F.col("w.start").alias("day"), "tiles", "bytes")
 
 
+def replay(table: DataFrame, *order: str) -> DataFrame:
+    """A stream of ``table`` in the order of the columns ``order``, in micro-batches of about BATCH_ROWS rows.
+
+    The source takes files by their time of writing, one a micro-batch: ranges of the order are stored first, then written one after the other.
+    """
+    spark = table.sparkSession
+    n = max(-(-table.count() // BATCH_ROWS), 1)
+    ranged = kept(table.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges", "__range")
+    path = shared_path(spark, f"replay-{uuid.uuid4().hex}")
+    for k in range(n):
+        ranged.where(F.col("__range") == k).drop("__range").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that its source has now, in memory; for tests and reports of a bounded size."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over all that its source has now: appended rows go to files in the shared folder, a complete result (a few counters) is kept in memory."""
+    spark = stream.sparkSession
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
+    if mode != "append":
+        writer.format("memory").queryName(name).start().awaitTermination()
+        return spark.table(name)
+    path = shared_path(spark, f"{name}-{uuid.uuid4().hex}")
+    writer.format("parquet").option("checkpointLocation", f"{path}-log").start(path).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
