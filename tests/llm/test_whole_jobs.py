@@ -3,7 +3,7 @@
 import itertools
 import re
 
-from terravane.llm import licenses
+from terravane.llm import decontamination, licenses
 
 
 def _licences(text):
@@ -43,3 +43,20 @@ def test_licences_of_several_statements(spark):
         assert (r["labels"], round(r["score"], 9)) == (labels, round(score, 9)), texts[r["doc_id"]]
     both = f"{statements['gpl-3']} {statements['mpl-2']}"
     assert set(_licences(both)[0].split(",")) == {"gpl-3", "mpl-2"}
+
+
+def test_short_items_are_found(spark):
+    items = [(1, "alpha"), (2, "Beta gamma"), (3, "one two three four"), (4, "never there"), (5, "..."), (6, "a b c d e f"), (6, "alpha")]
+    texts = ["x Alpha, y", "beta\ngamma beta gamma", "gamma beta", "zero one two three four five", "one two three", "a b c d e f alpha", "", None, "alpha " * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = {r["doc_id"]: (r["items"], r["coverage"]) for r in decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {0: ([1, 6], 1.0), 1: ([2], 1.0), 2: ([], 0.0), 3: ([3], 1.0), 4: ([], 0.0), 5: ([1, 6, 6], 1.0), 6: ([], 0.0), 7: ([], 0.0), 8: ([1, 6], 1.0)}
+
+
+def test_blocks_of_items_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 1000)
+    rows = [(7, "same words in every row of it")] * 200 + [(k, f"item {k} has some words") for k in range(100)] + [(500, "long " * 300)]
+    blocks = [b.collect() for b in decontamination._blocks(spark.createDataFrame(rows, "item_id long, text string"))]
+    assert sorted(map(tuple, itertools.chain(*blocks))) == sorted(rows)
+    sizes = [[len(r["text"]) for r in b] for b in blocks]
+    assert all(sum(s) - max(s) < 500 for s in sizes)
