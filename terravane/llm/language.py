@@ -1,17 +1,18 @@
 """Language of whole texts by segmentation-marginalised unigrams over the pieces of a fixed public vocabulary.
 
 Each language has a probability for every piece. A word's probability is the sum over all ways to cut it into pieces, which
-the forward algorithm adds up; a text's is the product over its words. The pieces' probabilities are fitted by expectation
-maximisation: words are counted by language on at most about ``FIT_DOCS`` documents a language (a classifier, so its sample is
-bounded), tasks run forward and backward over the distinct words, and expected piece counts are summed by Spark.
+the forward algorithm adds up, in logarithms; a text's is the product over its words. The pieces' probabilities are fitted by
+expectation maximisation: words are counted by language on at most about ``FIT_DOCS`` documents a language (a classifier, so its
+sample is bounded), tasks run forward and backward over the distinct words, and expected piece counts are summed by Spark. What
+reaches the driver is a table of the vocabulary's pieces times the languages, which does not grow with the documents.
 
 The vocabulary is a SentencePiece model's; a word begins with its mark of a word's start. Words are runs of non-space bytes
-with A-Z in lower case; any byte may also stand alone at the small cost ``BYTE``, so that every word has a segmentation. A word
-of more than ``PART`` bytes is scored in parts of that many bytes.
+with A-Z in lower case; any byte may also stand alone at the small cost ``BYTE``, so that every word has a segmentation. Words
+are scored whole, whatever their length; the fit leaves out words of more than ``FIT_WORD_BYTES`` bytes.
 
 ``und`` stands for null texts and texts without a letter, with score 0. Rows with a null doc_id are answered, held_out is null
 there. Ties go to the language that sorts first. Documents without a language are not learned from. Extra columns are
-ignored; an empty table gives no rows. Without any labelled row a fit is refused with a ValueError.
+ignored; an empty table gives no rows. Without any labelled row nothing is learned, and every text is ``und``.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ HELD_OUT_MOD, HELD_OUT_REST = 4, 2
 ROUNDS = 3
 #: Pseudo-count of each piece, and the probability of a byte by itself.
 SMOOTH, BYTE = 0.05, 1e-7
-PART = 24
-LONGEST = 16
-#: Languages of a model, at most: what a fit gathers on the driver is the vocabulary times these.
-LANGUAGES = 500
+FIT_WORD_BYTES = 2048
 MARK = "▁"
-GROUP = 20_000
+#: Words that are scored together: so many, or fewer where words times places times languages would exceed CELLS.
+GROUP, CELLS = 20_000, 8_000_000
+#: Longer words are scored one by one.
+LONG_WORD = 2048
 SLICE_BYTES = 8_000_000
 
 
@@ -103,14 +104,13 @@ class Vocabulary:
             into = starts if piece.startswith(MARK) else inner
             text = piece.removeprefix(MARK)
             if text and MARK not in text:
-                data = bytes(c + 32 if 65 <= c < 91 else c for c in text.encode())
-                if len(data) <= LONGEST:
-                    into.add(data)
+                into.add(bytes(c + 32 if 65 <= c < 91 else c for c in text.encode()))
         self.starts, self.inner = sorted(starts), sorted(inner)
         self.start_table, self.inner_table = _Table(self.starts), _Table(self.inner)
         self.bare = len(self.starts) + len(self.inner)
         self.lone = self.bare + 1
         self.size = self.bare + 2
+        self.longest = max(map(len, starts | inner))
 
 
 @lru_cache(maxsize=2)
@@ -118,25 +118,19 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@dataclass
-class Lattice:
-    """Edges of a group of words of one length order: for each (i, j), which words have a piece from i to j, and its number."""
-
-    lengths: np.ndarray
-    edges: list[tuple[int, int, np.ndarray, np.ndarray]]  # i (-1: from the mark), j, words, pieces
+#: i (-1: from the mark), j, and of the words that have a piece from i to j: their numbers and the piece's.
+Edge = tuple[int, int, np.ndarray, np.ndarray]
 
 
-def lattice(v: Vocabulary, data: np.ndarray, start: np.ndarray, length: np.ndarray, inside: np.ndarray) -> Lattice:
-    """Words sorted by descending length; ``inside``: parts of longer words, which begin without the mark."""
+def lattice(v: Vocabulary, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[Edge]:
+    """The edges of words sorted by descending length, in ascending order of i."""
     edges = []
     longest = int(length[0]) if len(length) else 0
     for i in range(longest):
         live = int(np.searchsorted(-length, -i, side="left"))  # length > i
         h = np.zeros(live, dtype=np.uint64)
-        for j in range(i + 1, min(longest, i + LONGEST) + 1):
+        for j in range(i + 1, min(longest, i + v.longest) + 1):
             live = int(np.searchsorted(-length, -(j - 1), side="left"))  # length >= j
-            if not live:
-                break
             h = _roll(h[:live], data[start[:live] + j - 1])
             mixed = K.mix(h)
             number = v.inner_table.find(mixed)
@@ -145,92 +139,112 @@ def lattice(v: Vocabulary, data: np.ndarray, start: np.ndarray, length: np.ndarr
                 edges.append((i, j, at, number[at] + len(v.starts)))
             if i == 0:
                 number = v.start_table.find(mixed)
-                at = np.flatnonzero((number >= 0) & ~inside[:live])
+                at = np.flatnonzero(number >= 0)
                 if len(at):
                     edges.append((-1, j, at, number[at]))
             if j == i + 1:
-                at = np.arange(live)
-                edges.append((i, j, at, np.full(live, v.lone)))
-    return Lattice(length, edges)
-
+                edges.append((i, j, np.arange(live), np.full(live, v.lone)))
+    return edges
 
-def forward(v: Vocabulary, lat: Lattice, inside: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[word, place, language]; place 0 is behind the mark."""
-    n, longest = len(lat.lengths), int(lat.lengths[0]) if len(lat.lengths) else 0
-    alpha = np.zeros((longest + 1, n, p.shape[1]))
-    alpha[0] = np.where(inside[:, None], 1.0, p[v.bare])
-    for i, j, at, piece in sorted(lat.edges, key=lambda e: e[1]):
-        alpha[j, at] += (alpha[i, at] if i >= 0 else 1.0) * p[piece]
-    return alpha
 
+def _groups(length: np.ndarray, languages: int) -> Iterator[np.ndarray]:
+    """Words by descending length, in groups of bounded memory."""
+    order = np.argsort(-length, kind="stable")
+    k = 0
+    while k < len(order):
+        n = max(1, min(GROUP, CELLS // (max(1, int(length[order[k]])) * languages)))
+        yield order[k : k + n]
+        k += n
 
-def _word_parts(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, start, length, inside) of the parts of at most PART bytes."""
-    n = end - start
-    count = np.maximum(-(-n // PART), 1)
-    word = np.repeat(np.arange(len(n)), count)
-    k = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-    s = start[word] + k * PART
-    return word, s, np.minimum(end[word] - s, PART), k > 0
 
-
-def word_scores(v: Vocabulary, p: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_scores(v: Vocabulary, log_p: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """log P(word) of each word and language."""
-    word, s, n, inside = _word_parts(start, end)
-    out = np.zeros((len(start), p.shape[1]))
-    order = np.argsort(-n, kind="stable")
-    for k in range(0, len(order), GROUP):
-        at = order[k : k + GROUP]
-        lat = lattice(v, data, s[at], n[at], inside[at])
-        alpha = forward(v, lat, inside[at], p)
-        np.add.at(out, word[at], np.log(np.maximum(alpha[n[at], np.arange(len(at))], 1e-300)))
+    length = end - start
+    out = np.zeros((len(start), log_p.shape[1]))
+    for w in np.flatnonzero(length > LONG_WORD).tolist():
+        out[w] = _long_word_score(v, log_p, data[start[w] : end[w]])
+    rest = np.flatnonzero(length <= LONG_WORD)
+    for group in _groups(length[rest], log_p.shape[1]):
+        at = rest[group]
+        n = length[at]
+        alpha = np.full((int(n[0]) + 1, len(at), log_p.shape[1]), -np.inf)
+        alpha[0] = log_p[v.bare]
+        for i, j, words, piece in sorted(lattice(v, data, start[at], n), key=lambda e: e[1]):
+            alpha[j, words] = np.logaddexp(alpha[j, words], (alpha[i, words] if i >= 0 else 0.0) + log_p[piece])
+        out[at] = alpha[n, np.arange(len(at))]
     return out
 
 
+def _long_word_score(v: Vocabulary, log_p: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """log P of one word by language: the pieces at all places are looked up at once, then the places are walked."""
+    n = len(word)
+    ends, sizes, pieces, from_mark = [np.arange(1, n + 1)], [np.ones(n, np.int64)], [np.full(n, v.lone)], [np.zeros(n, bool)]
+    h = np.zeros(n, dtype=np.uint64)
+    for size in range(1, min(n, v.longest) + 1):
+        h = _roll(h[: n - size + 1], word[size - 1 :])
+        mixed = K.mix(h)
+        number = v.inner_table.find(mixed)
+        at = np.flatnonzero(number >= 0)
+        first = v.start_table.find(mixed[:1])
+        for where, piece, mark in ((at, number[at] + len(v.starts), False), (np.flatnonzero(first >= 0), first[first >= 0], True)):
+            ends.append(where + size)
+            sizes.append(np.full(len(where), size))
+            pieces.append(piece)
+            from_mark.append(np.full(len(where), mark))
+    end, size, piece, mark = map(np.concatenate, (ends, sizes, pieces, from_mark))
+    order = np.argsort(end, kind="stable")
+    end, source, piece, mark = end[order], (end - size)[order], piece[order], mark[order]
+    first = np.searchsorted(end, np.arange(1, n + 2))
+    alpha = np.full((n + 1, log_p.shape[1]), -np.inf)
+    alpha[0] = log_p[v.bare]
+    for j in range(1, n + 1):
+        own = slice(first[j - 1], first[j])
+        before = alpha[source[own]]
+        if mark[own].any():
+            before[mark[own]] = 0.0
+        alpha[j] = np.logaddexp.reduce(before + log_p[piece[own]], axis=0)
+    return alpha[n]
+
+
 def _expected(it: Iterator[pa.RecordBatch], path: str, p: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (word, language number, count): expected counts of pieces by language."""
     v = vocabulary(path)
     totals = np.zeros_like(p)
+    log_p = np.log(p)
     for batch in it:
         data, offsets = K.text_bytes(batch.column(0))
         language, count = np.asarray(batch.column(1)), np.asarray(batch.column(2), dtype=float)
-        word, s, n, inside = _word_parts(offsets[:-1], offsets[1:])
-        order = np.argsort(-n, kind="stable")
-        for k in range(0, len(order), GROUP):
-            at = order[k : k + GROUP]
-            lat = lattice(v, data, s[at], n[at], inside[at])
-            _accumulate(v, lat, inside[at], p, language[word[at]], count[word[at]], totals)
+        for at in _groups(np.diff(offsets), 1):
+            _accumulate(v, data, offsets[:-1][at], np.diff(offsets)[at], log_p, language[at], count[at], totals)
     piece, lang = np.nonzero(totals)
     yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(totals[piece, lang])], names=["piece", "language", "n"])
 
 
-def _accumulate(v: Vocabulary, lat: Lattice, inside: np.ndarray, p: np.ndarray, language: np.ndarray, count: np.ndarray, totals: np.ndarray) -> None:
-    n, longest = len(lat.lengths), int(lat.lengths[0]) if len(lat.lengths) else 0
-    alpha, beta = np.zeros((longest + 1, n)), np.zeros((longest + 1, n))
-    bare = np.where(inside, 1.0, p[v.bare, language])
+def _accumulate(v: Vocabulary, data: np.ndarray, start: np.ndarray, length: np.ndarray, log_p: np.ndarray, language: np.ndarray, count: np.ndarray, totals: np.ndarray) -> None:
+    """Adds the expected counts of words of descending length, each of one language: forward, then backward."""
+    n, edges = len(length), lattice(v, data, start, length)
+    alpha, beta = (np.full((int(length[0]) + 1, n), -np.inf) for _ in range(2))
+    bare = log_p[v.bare, language]
     alpha[0] = bare
-    forwards = sorted(lat.edges, key=lambda e: e[1])
-    weights = [p[piece, language[at]] for _, _, at, piece in forwards]
-    for (i, j, at, _), x in zip(forwards, weights, strict=True):
-        alpha[j, at] += (alpha[i, at] if i >= 0 else 1.0) * x
-    beta[lat.lengths, np.arange(n)] = 1.0
-    by_start = sorted(range(len(forwards)), key=lambda e: -forwards[e][0])
-    for e in by_start:
-        i, j, at, _ = forwards[e]
+    weights = [log_p[piece, language[at]] for _, _, at, piece in edges]
+    for e in sorted(range(len(edges)), key=lambda e: edges[e][1]):
+        i, j, at, _ = edges[e]
+        alpha[j, at] = np.logaddexp(alpha[j, at], (alpha[i, at] if i >= 0 else 0.0) + weights[e])
+    beta[length, np.arange(n)] = 0.0
+    for e in sorted(range(len(edges)), key=lambda e: -edges[e][0]):
+        i, j, at, _ = edges[e]
         if i >= 0:
-            beta[i, at] += beta[j, at] * weights[e]
-    whole = np.maximum(alpha[lat.lengths, np.arange(n)], 1e-300)
-    share = count / whole
-    for (i, j, at, piece), x in zip(forwards, weights, strict=True):
-        np.add.at(totals, (piece, language[at]), (alpha[i, at] if i >= 0 else 1.0) * x * beta[j, at] * share[at])
-    begins = ~inside
-    np.add.at(totals, (np.full(int(begins.sum()), v.bare), language[begins]), (bare * beta[0] * share)[begins])
+            beta[i, at] = np.logaddexp(beta[i, at], beta[j, at] + weights[e])
+    whole = alpha[length, np.arange(n)]
+    for (i, j, at, piece), x in zip(edges, weights, strict=True):
+        np.add.at(totals, (piece, language[at]), count[at] * np.exp((alpha[i, at] if i >= 0 else 0.0) + x + beta[j, at] - whole[at]))
+    np.add.at(totals, (np.full(n, v.bare), language), count * np.exp(bare + beta[0] - whole))
 
 
 @dataclass
 class Model:
     languages: list[str]
-    p: np.ndarray  # pieces x languages
+    log_p: np.ndarray  # pieces x languages
     vocabulary: str
 
 
@@ -253,18 +267,16 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, most: int = FIT_DOC
     path = vocabulary_path or default_vocabulary()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     train = rows.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id"), HELD_OUT_MOD, HELD_OUT_REST))
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
-        raise ValueError("a fit needs documents with a language")
+        return Model([], np.zeros((0, 0)), path)
     languages = sorted(sizes)
-    keep, number = F.lit(False), F.lit(-1)
-    for k, name in enumerate(languages):  # the smallest hashes of each language, about ``most``
-        own = F.col("lang") == name
-        if sizes[name] > most:
-            own &= F.xxhash64("doc_id") < F.lit(int(-(2**63) + 2**64 * most / sizes[name]))
-        keep, number = keep | own, F.when(F.col("lang") == name, k).otherwise(number)
-    words = train.where(keep).select("text", number.cast("int").alias("language")).mapInArrow(_words, "word string, language int, n long")
-    words = stored(words.groupBy("word", "language").agg(F.sum("n").alias("n")), "words")
+    # the smallest hashes of each language, about ``most``
+    tops = [(name, k, int(-(2**63) + 2**64 * min(1.0, most / sizes[name])) - 1) for k, name in enumerate(languages)]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(tops, "lang string, language int, top long"))
+    words = train.join(chosen, "lang").where(F.xxhash64("doc_id") <= F.col("top")).select("text", "language").mapInArrow(_words, "word string, language int, n long")
+    words = words.where(F.octet_length("word") <= FIT_WORD_BYTES).groupBy("word", "language").agg(F.sum("n").alias("n"))
+    words = stored(words, "words")
     v = vocabulary(path)
     p = np.full((v.size, len(languages)), 1.0 / v.size)
     p[v.lone] = BYTE
@@ -278,7 +290,7 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, most: int = FIT_DOC
         p = totals / totals.sum(axis=0)
         p[v.lone] = BYTE
     drop(words)
-    return Model(languages, p, path)
+    return Model(languages, np.log(p), path)
 
 
 _ASCII_LETTER = np.zeros(256, dtype=bool)
@@ -299,10 +311,12 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), te
 
     def predicted(column: pa.Array) -> list[pa.Array]:
         m = shared.value
+        if not m.languages:
+            return [pa.array(["und"] * len(column), pa.string()), pa.array(np.zeros(len(column)))]
         names = np.array(m.languages, dtype=object)
         w = K.words_of(column)
         _, first, inverse = np.unique(K.word_hashes(w), return_index=True, return_inverse=True)
-        each = word_scores(vocabulary(m.vocabulary), m.p, w.data, w.start[first], w.end[first])
+        each = word_scores(vocabulary(m.vocabulary), m.log_p, w.data, w.start[first], w.end[first])
         sums = np.stack([K.segment_reduce(np.add, each[inverse, k], w.first, 0.0) for k in range(len(names))], axis=1)
         # the posterior, with words counted as if a text had the square root of their number
         scaled = (sums - sums.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(np.diff(w.first), 1))[:, None]
