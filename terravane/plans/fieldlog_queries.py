@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terravane.functions import classify, geo
-from terravane.operators import fieldlog, layers, order
+from terravane.operators import fieldlog, layers, order, spatial
 from terravane.plans.helpers import query, sql_distance
 
 T0 = 1600000000000
@@ -66,12 +66,10 @@ def _(t):
     return fieldlog.active_track(tracks_of(t)).select("id", "started_at")
 
 
-@query("f8_boxes", "SELECT c.id, count(p.id) AS holds FROM calibrations c LEFT JOIN places p ON p.id % 25 = c.id % 25 AND p.lat BETWEEN c.south AND c.north AND p.lon BETWEEN c.west AND c.east GROUP BY 1", "calibrations", "places")
+@query("f8_boxes", "SELECT c.id, count(p.id) AS holds FROM calibrations c LEFT JOIN places p ON p.lat BETWEEN c.south AND c.north AND p.lon BETWEEN c.west AND c.east GROUP BY 1", "calibrations", "places")
 def _(t):
-    c = t("calibrations").select("id", "west", "south", "east", "north", (F.col("id") % 25).alias("k"))
-    p = t("places").select("lat", "lon", (F.col("id") % 25).alias("k"))
-    hits = c.join(p, "k").where(geo.box_contains(F.col("west"), F.col("south"), F.col("east"), F.col("north"), F.col("lat"), F.col("lon"))).groupBy("id").agg(F.count("*").alias("holds"))
-    return c.select("id").join(hits, "id", "left").select("id", F.coalesce("holds", F.lit(0)).alias("holds"))
+    boxes = t("calibrations").select(F.col("id").alias("box_id"), "west", "south", "east", "north")
+    return spatial.count_in_boxes(t("places"), boxes).withColumnRenamed("box_id", "id")
 
 
 @query("f15_accuracy_classes", "SELECT CASE WHEN accuracy_m IS NULL THEN 'NONE' WHEN accuracy_m <= 6 THEN 'GOOD' WHEN accuracy_m <= 15 THEN 'OK' ELSE 'POOR' END AS class, count(*) AS n FROM fixes GROUP BY 1", "fixes")

@@ -27,7 +27,7 @@ def _(t):
 def _(t):
     finds = t("finds")
     inside = spatial.property_of_polygon(_points(finds), polygons(t("areas")), "uan")
-    joined = inside.join(finds, F.col("point_id") == F.col("id"))
+    joined = inside.hint("merge").join(finds.hint("merge"), F.col("point_id") == F.col("id"))
     return joined.groupBy(F.col("value").alias("uan"), classify.decode(F.col("category"), classify.FIND_CATEGORIES, "OSTATNI").alias("category")).agg(F.count("*").alias("n"), F.max("depth_cm").alias("deepest_cm"))
 
 
@@ -110,11 +110,8 @@ def _(t):
     "places", "calibrations",
 )
 def _(t):
-    # positions meet calibrations on a grid of one degree, not all pairs
     c = t("calibrations").where("active").select("layer_id", F.col("id").alias("calibration_id"), "west", "south", "east", "north", "updated_at")
-    cells = c.withColumn("cx", F.explode(F.sequence(F.floor("west"), F.floor("east")))).withColumn("cy", F.explode(F.sequence(F.floor("south"), F.floor("north"))))
-    places = t("places").select(F.col("id").alias("place_id"), "lat", "lon", F.floor("lon").alias("cx"), F.floor("lat").alias("cy"))
-    inside = places.join(spatial.small(cells), ["cx", "cy"]).where(geo.box_contains(F.col("west"), F.col("south"), F.col("east"), F.col("north"), F.col("lat"), F.col("lon")))
+    inside = spatial.boxes_at(t("places").select(F.col("id").alias("place_id"), "lat", "lon"), c)
     order = F.struct((F.col("east") - F.col("west")) * (F.col("north") - F.col("south")), -F.col("updated_at"), "calibration_id")
     return inside.groupBy("layer_id", "place_id").agg(F.min_by("calibration_id", order).alias("calibration_id"))
 
