@@ -69,7 +69,7 @@ def _bounded(labels: DataFrame, most: int) -> DataFrame:
 
 
 def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label, half) to the distinct (word, context, kind) of each slice; a context is the words before and after, in one hash."""
+    """(text, label, half) to the distinct (word, context, kind) of each slice; a context is the words before and after, in one hash of 32 bits."""
     for batch in it:
         label, half = (np.asarray(batch.column(k)) for k in (1, 2))
         for i, j in K.slices(batch.column(0)):
@@ -78,10 +78,10 @@ def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before, after = np.zeros_like(h), np.zeros_like(h)
             inner = np.flatnonzero(w.row[1:] == w.row[:-1]) if len(h) else np.zeros(0, np.int64)
             before[inner + 1], after[inner] = h[inner], h[inner + 1]
-            context = K.mix(before * K.STEP + K.mix(after + np.uint64(1)))
+            context = (K.mix(before * K.STEP + K.mix(after + np.uint64(1))) >> np.uint64(32)).astype(np.uint32)
             kind = label[i:j] + 2 * half[i:j]
-            _, first = np.unique(K.mix(h * K.STEP + context) + kind[w.row].astype(np.uint64), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(context[first].view(np.int64)), pa.array(kind[w.row[first]])], names=["word", "context", "kind"])
+            _, first = np.unique(K.mix(h * K.STEP + context.astype(np.uint64)) + kind[w.row].astype(np.uint64), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(context[first].view(np.int32)), pa.array(kind[w.row[first]].astype(np.int8))], names=["word", "context", "kind"])
 
 
 def log_odds(counts: DataFrame, n1: int, n0: int) -> DataFrame:
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     texts = docs.select(doc_id.alias("doc_id"), text.alias("text")).join(F.broadcast(labelled), "doc_id")
     texts = stored(texts.select("text", (F.col("toxic") > 0).cast("long").alias("toxic"), F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")), "labelled")
     # a copy of a text adds no contexts, so groups of copies don't make words look frequent
-    contexts = texts.mapInArrow(_contexts, "word long, context long, kind long").distinct()
+    contexts = texts.mapInArrow(_contexts, "word long, context int, kind byte").distinct()
     counts = contexts.groupBy("word").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(c) for k, c in enumerate(_KINDS)])
     counts = stored(counts, "counts")
     n = {c: x or 0 for c, x in counts.agg(*[F.sum(c).alias(c) for c in _KINDS]).first().asDict().items()}
