@@ -12,12 +12,17 @@ unbiased estimate with the variance of twice as many plain min-hashes. Four valu
    signatures: pairs inside one component are skipped, pairs whose estimate reaches ``ESTIMATE_CUT`` are checked on the
    full sets. No list of all pairs is ever made, and no bucket is capped.
 
-Links are thus exact (none that the full sets do not confirm). A link between two documents of similarity 0.75 is missed by
-all bands with a probability below 6e-6; one that only step 3 could find is under the cut with one of 1e-4.
+Links are thus exact (none that the full sets do not confirm). No band has both ends of one permutation, which in sets of a few
+members are not independent. A link between two documents of similarity 0.75 is missed by all bands with a probability below
+6e-6; one that only step 3 could find is under the cut with one of 1e-4. A test measures both over all similarities from 0.75 on.
+
+Only one row of each class carries its signature, and what is joined is written before, so that both sides of a join are plain
+exchanges: adaptive execution then splits the partition of a hot class, bucket or pivot. A hot bucket that stays mixed costs
+comparisons of all its pairs of different components, spread over many tasks; each of its members goes to n / ``BLOCK`` tasks.
 
 Null or empty texts and texts without words have an empty set and are linked with nothing. A doc_id names one text: repeated
 rows of it change nothing; if it names several texts, one of them (the least) is compared for it. Rows with a null doc_id are
-returned with a null component and kept = true. Extra columns are ignored. An empty table gives no rows.
+returned with a null component and class and kept = true. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +48,7 @@ SIGNATURE_BYTES = 2 * BANDED + (2 * N_PERMUTATIONS - BANDED)
 ESTIMATE_CUT = 0.68
 #: The same for a class and its best pivot: one pair for a class, so the cut can be far lower.
 PIVOT_CUT = 0.5
-BLOCK = 512
+BLOCK = 2048
 HUB_SALTS = 32
 
 _rng = np.random.default_rng(77)
@@ -58,7 +63,10 @@ def _document_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def min_max_signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """n rows of SIGNATURE_BYTES: for each permutation the minimum and the maximum, of 16 bits in the banded values and 8 in the rest; empty sets: zeros."""
+    """n rows of SIGNATURE_BYTES: for each permutation the minimum and the maximum, of 16 bits in the banded values and 8 in the rest; empty sets: zeros.
+
+    The minima of the banded permutations come first, then their maxima, so that a band has one end only.
+    """
     full = np.flatnonzero(np.diff(first) > 0)
     n = len(first) - 1
     banded, rest = np.zeros((n, BANDED), dtype=np.uint16), np.zeros((n, 2 * N_PERMUTATIONS - BANDED), dtype=np.uint8)
@@ -66,7 +74,8 @@ def min_max_signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
         starts = first[:-1][full]
         for k in range(N_PERMUTATIONS):
             h = values * _A[k] + _B[k]
-            for j, end in ((2 * k, np.minimum), (2 * k + 1, np.maximum)):
+            both = (k, BANDED // 2 + k) if k < BANDED // 2 else (2 * k, 2 * k + 1)
+            for j, end in zip(both, (np.minimum, np.maximum), strict=True):
                 # the extremes decide, their mixed bits are the value: near ends alone would share their leading bits
                 value = K.mix(end.reduceat(h, starts))
                 if j < BANDED:
@@ -215,20 +224,22 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id (smallest doc_id that links reach), kept, for every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach), kept, class_id (smallest doc_id with the same set), for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stored(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "sets")
     keys = ["n_shingles", "d1", "d2"]
-    classes = stored(sets.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
-    members = sets.select("doc_id", *keys).hint("merge").join(classes.hint("merge"), keys, "left")
-    reps = stored(sets.hint("merge").join(classes.hint("merge"), keys).where("doc_id = rep").groupBy("rep").agg(F.min("sig").alias("sig")), "reps")
+    # equal sets have equal signatures
+    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    classes = stored(classes, "classes")
+    members = sets.select("doc_id", *keys).hint("merge").join(classes.select(*keys, "rep").hint("merge"), keys, "left")
+    reps = stored(classes.groupBy("rep").agg(F.min("sig").alias("sig")), "reps")
 
     banded = stored(reps.mapInArrow(_band_keys, "rep long, bucket long"), "bands")
-    buckets = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").select("bucket", "pivot")
+    buckets = stored(banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").select("bucket", "pivot"), "pivots")
     banded_in = stored(banded.hint("merge").join(buckets.hint("merge"), "bucket"), "buckets")
-    drop(banded)
+    drop(banded, buckets)
     in_buckets = stored(reps.hint("merge").join(banded_in.select("rep").distinct().hint("merge"), "rep", "left_semi"), "reps")
 
     to_pivot = banded_in.where("rep <> pivot").select("rep", "pivot").distinct()
@@ -245,6 +256,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = stored(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     # a class has at most N_BANDS buckets: with them in one array, its signature is joined once
+    mixed = stored(mixed, "mixed")
     blocked = labelled.hint("merge").join(mixed.hint("merge"), "bucket").groupBy("rep", "component").agg(F.collect_list(F.struct("bucket", "blocks")).alias("at"))
     blocked = blocked.hint("merge").join(in_buckets.hint("merge"), "rep").withColumn("at", F.explode("at")).select("rep", "component", "sig", "at.*")
     blocked = blocked.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
@@ -253,8 +265,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = stored(tiled.repartition(n, "bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj").mapInArrow(_tile_pairs, "a long, b long"), "pairs")
     links = links_1.union(_confirmed(pairs, texts))
     final = components(links)
-    drop(labelled, pairs, links_1, banded_in, best, reps, in_buckets, texts)
+    drop(labelled, mixed, pairs, links_1, banded_in, best, reps, in_buckets, texts)
 
     out = members.hint("merge").join(final.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = lambda *c: F.when(F.col("doc_id").isNotNull(), F.coalesce(*c, "doc_id"))
+    out = out.select("doc_id", "n_shingles", named("component", "rep").alias("component_id"), named("rep").alias("class_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
