@@ -14,7 +14,7 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON reach.r = e.a),
 c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
-SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(doc_id) OVER (PARTITION BY coalesce(d, CAST(doc_id AS VARCHAR))), doc_id) AS class_id, component_id, doc_id = component_id AS kept
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept, coalesce(min(doc_id) OVER (PARTITION BY coalesce(d, CAST(doc_id AS VARCHAR))), doc_id) AS class_id
 FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 _RULES = {
@@ -25,10 +25,16 @@ _RULES = {
 }
 
 
-def _shrunk(rule: str) -> str:
-    mean, var = f"avg({rule} / n) OVER ()", f"var_pop({rule} / n) OVER ()"
-    strength = f"CASE WHEN {var} > 0 AND {mean} * (1 - {mean}) > {var} THEN {mean} * (1 - {mean}) / {var} - 1 ELSE 1e6 END"
-    return f"({rule} + {mean} * ({strength})) / (n + {strength})"
+def _rejected(rule: str) -> str:
+    """Whether a host's shrunken rate is above the bound. e: the sum of the hosts' rates, q: of their squares, x: of 1 / n, c: their number.
+
+    The expectation of the sample variance is V (1 - x / c) + m (1 - m) x / c, solved for V. The prior has m (1 - m) / V - 1
+    documents: none if V exceeds m (1 - m), all if V is not positive.
+    """
+    m, x = f"(e_{rule} / c)", "(x / c)"
+    v = f"(((q_{rule} - c * {m} * {m}) / greatest(c - 1, 1) - {m} * (1 - {m}) * {x}) / nullif(1 - {x}, 0))"
+    prior = f"greatest({m} * (1 - {m}) / {v} - 1, 0)"
+    return f"CASE WHEN coalesce({v}, 0) <= 1e-15 THEN {m} ELSE ({rule} + {m} * {prior}) / (n + {prior}) END > {quality.HOST_RATE}"
 
 
 QUALITY = f"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
@@ -41,6 +47,7 @@ m AS (SELECT doc_id, source, len(w) AS n_words, length(regexp_replace(text, '{_S
 len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines FROM t JOIN w USING (doc_id) JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, {', '.join(f'{rule} AS {name}' for name, rule in _RULES.items())} FROM m),
 h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, {', '.join(f'CAST(count(*) FILTER (WHERE {name}) AS DOUBLE) AS {name}' for name in _RULES)} FROM f WHERE source IS NOT NULL GROUP BY 1),
-v AS (SELECT source, greatest({', '.join(_shrunk(name) for name in _RULES)}) > {quality.HOST_RATE} AS host_rejected FROM h)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed, coalesce(host_rejected, false) AS host_rejected, NOT (short OR repetitive) AND NOT coalesce(host_rejected, false) AS kept
+p AS (SELECT CAST(count(*) AS DOUBLE) AS c, sum(1 / n) AS x, {', '.join(f'sum({name} / n) AS e_{name}, sum(({name} / n) * ({name} / n)) AS q_{name}' for name in _RULES)} FROM h),
+v AS (SELECT source, {' OR '.join(_rejected(name) for name in _RULES)} AS host_rejected FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed, NOT (short OR repetitive) AND NOT coalesce(host_rejected, false) AS kept, coalesce(host_rejected, false) AS host_rejected
 FROM f LEFT JOIN v USING (source)"""

@@ -1,10 +1,12 @@
 """Quality rules on whole texts, and host-level verdicts from shrunken failure rates.
 
 Each text fails or passes every rule of ``RULES``. Failures are counted by host (pre-aggregated, so a host with a third of all
-rows is safe). Over the hosts, the mean and variance of a rule's failure rates give a beta prior by moments, and a host's
-rate is shrunk to (failures + a) / (documents + a + b): small hosts stay near the mean. A host with a shrunken rate above
-``HOST_RATE`` for any rule is rejected, and the verdict is joined back to its documents. A document is kept if it passes the
-base rules and its host is not rejected.
+rows is safe). Over the hosts, the mean m of a rule's failure rates and their variance, less what sampling adds to it, give a
+beta prior by moments: its strength is m (1 - m) / variance - 1, nothing where the variance is as large as that of hosts which
+always or never fail, and without bound where there is none beyond sampling. A host's rate is shrunk to (failures + m strength)
+/ (documents + strength): small hosts stay near the mean. A host with a shrunken rate above ``HOST_RATE`` for any rule is
+rejected, and the verdict is joined back to its documents. A document is kept if it passes the base rules and its host is not
+rejected.
 
 Null or empty texts have no words and so fail the base rules. A null host has no verdict. Repeated rows count each. Extra
 columns are ignored; an empty table gives no rows.
@@ -30,8 +32,8 @@ SYMBOLS = b"#*$%&|<>"
 MOST_SYMBOLS, MOST_LINES = 10, 30
 #: A host above this shrunken failure rate is rejected.
 HOST_RATE = 0.5
-#: Hosts whose table may be broadcast; more are joined by a shuffle.
-BROADCAST_HOSTS = 100_000
+#: Rejected hosts whose table may be broadcast; more are joined by a shuffle, with each host's documents spread over SALTS places.
+BROADCAST_HOSTS, SALTS = 100_000, 16
 RULES = ["short", "repetitive", "symbols", "lines"]
 
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -121,23 +123,37 @@ def host_rates(rows: DataFrame) -> DataFrame:
     counts = rows.where("host is not null").groupBy("host").agg(F.count("*").alias("documents"), *[F.sum(F.col(r).cast("long")).alias(r) for r in RULES])
     rate = {r: F.col(r) / F.col("documents") for r in RULES}
     counts = stored(counts, "hosts")
-    moments = counts.agg(*[F.avg(rate[r]).alias(f"{r}_mean") for r in RULES], *[F.var_pop(rate[r]).alias(f"{r}_var") for r in RULES]).first()
+    moments = counts.agg(
+        F.avg(1 / F.col("documents")).alias("noise"), *[F.avg(rate[r]).alias(f"{r}_mean") for r in RULES], *[F.var_samp(rate[r]).alias(f"{r}_var") for r in RULES]
+    ).first()
     shrunk = []
     for r in RULES:
-        mean, var = moments[f"{r}_mean"] or 0.0, moments[f"{r}_var"] or 0.0
-        spread = mean * (1 - mean)
-        strength = spread / var - 1 if 0 < var < spread else 1e6
-        shrunk.append(((F.col(r) + mean * strength) / (F.col("documents") + strength)).alias(f"{r}_rate"))
+        mean, strength = moments[f"{r}_mean"] or 0.0, prior_strength(moments[f"{r}_mean"] or 0.0, moments[f"{r}_var"] or 0.0, moments["noise"] or 1.0)
+        rate_r = F.lit(mean) if strength == float("inf") else (F.col(r) + mean * strength) / (F.col("documents") + strength)
+        shrunk.append(rate_r.alias(f"{r}_rate"))
     return counts.select("host", "documents", *shrunk)
 
 
+def prior_strength(mean: float, variance: float, noise: float) -> float:
+    """The beta prior's a + b, from hosts' rates (mean, sample variance) and the mean of 1 / documents.
+
+    A rate's variance is V + (m (1 - m) - V) / documents, with V that of the hosts' true rates.
+    """
+    spread = mean * (1 - mean)
+    true = (variance - spread * noise) / (1 - noise) if noise < 1 else 0.0
+    return float("inf") if true <= 0 else max(0.0, spread / true - 1)
+
+
 def quality(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected, kept of every row of ``docs`` (doc_id, text, host)."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host_rejected of every row of ``docs`` (doc_id, text, host)."""
     rows = stored(measured(docs, host), "measures")
     hosts = stored(host_rates(rows).select("host", (F.greatest(*[F.col(f"{r}_rate") for r in RULES]) > HOST_RATE).alias("host_rejected")), "hosts")
     rejected = hosts.where("host_rejected")
-    rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_HOSTS else rejected.hint("merge")
-    joined = rows.join(rejected, "host", "left")
+    if rejected.count() <= BROADCAST_HOSTS:
+        joined = rows.join(F.broadcast(rejected), "host", "left")
+    else:
+        salted = rejected.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).hint("merge").join(salted, ["host", "salt"], "left")
     base_failed = F.col("short") | F.col("repetitive")
     host_rejected = F.coalesce("host_rejected", F.lit(False))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), host_rejected.alias("host_rejected"), (~base_failed & ~host_rejected).alias("kept"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~host_rejected).alias("kept"), host_rejected.alias("host_rejected"))
