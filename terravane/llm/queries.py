@@ -21,7 +21,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sharded = sharding.shard(_table(spark, sf_dir, "documents"))
+    sharded = sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return sharded.select("doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

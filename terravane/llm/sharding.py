@@ -3,18 +3,22 @@
 Rows are ordered by (key, tie): the key is ``doc_id`` and the tie a hash of the text. The first round lays evenly spaced
 probes over the key's range and counts exact bytes and rows between them in one aggregation; each later round lays probes
 only inside the intervals that still hold a splitter, until the bytes below every splitter are within the tolerance of its
-target or the interval is a single key, which is then refined in the same way over the tie. A shard is made of ``parts``
-further splitter intervals, so that numbering its rows is the work of many tasks; the exact counts of rows below each
-splitter turn numbers within a part into gapless slots.
+target or the interval is a single key; all such keys are then refined together in the same way over the tie. A shard is made of
+parts, further splitter intervals, each of which goes to a task of its own (``repartitionById``), so that numbering a shard's
+rows is the work of many tasks; the exact counts of rows below each splitter turn numbers within a part into gapless slots.
 
-Only DataFrame functions run; the driver sees histograms of at most 2^ROUND_BITS counts for each splitter of a round (2^FIRST_BITS in the first).
+Only DataFrame functions run. There are at most ``MOST_PARTS`` parts, so what the driver sees is bounded whatever the data's size:
+2^FIRST_BITS counts in the first round, then 2^ROUND_BITS for each splitter; the splitters are one literal of the plan. Up to
+``PART_BYTES`` times ``MOST_PARTS`` bytes a part has PART_BYTES; beyond that parts grow, and their tasks sort with spilling.
 
 Size of a row: UTF-8 bytes of its text (null: none) plus 1. Rows with a null key come first. Rows that are equal in key and
-text are interchangeable and stay in one part. An empty table gives no rows. Columns named like an output are replaced.
+text are interchangeable and stay in one part. An empty table gives no rows. Columns named like an output are replaced; other
+columns may have any names.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +29,7 @@ from terravane.llm.shared import drop, stored
 N_SHARDS = 8
 #: Bytes that a part should have, and how far a splitter may be from its target, as a share of a part's bytes.
 PART_BYTES = 32_000_000
+MOST_PARTS = 16_384
 TOLERANCE = 0.002
 #: A key with several rows is split over the tie if it has more than this share of a part's bytes.
 HEAVY_KEY = 0.02
@@ -43,69 +48,80 @@ class Splitter:
     rows: int
 
 
-def _position(column: Column, bounds: list[int]) -> Column:
-    """How many of the sorted ``bounds`` are <= the column: a binary search over an array literal."""
-    array = F.array(*[F.lit(b) for b in bounds])
-    n, steps = len(bounds), len(bounds).bit_length()
-    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+def _position(key: Column, tie: Column, cuts: list[Splitter]) -> Column:
+    """How many of the sorted ``cuts`` are not above (key, tie): comparisons where they are few, else a binary search over a literal."""
+    if len(cuts) <= 40:  # a chain of comparisons stays in generated code
+        return sum((F.when((key > c.key) | ((key == c.key) & (tie >= c.tie)), 1).otherwise(0) for c in cuts), F.lit(0))
+    keys, ties = (_longs([getattr(c, of) for c in cuts]) for of in ("key", "tie"))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:
         mid = F.shiftright(s["lo"] + s["hi"], 1)
-        right = F.coalesce(F.get(array, mid) <= column, F.lit(False))
+        k, t = F.get(keys, mid), F.get(ties, mid)
+        right = F.coalesce((k < key) | ((k == key) & (t <= tie)), F.lit(False))
         open_ = s["lo"] < s["hi"]
         return F.struct(F.when(open_ & right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~right, mid).otherwise(s["hi"]).alias("hi"))
 
-    if n <= 40:  # a chain of comparisons stays in generated code
-        return sum((F.when(column >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: s["lo"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, halve, lambda s: s["lo"])
 
 
-def _refine(rows: DataFrame, column: str, low: int, high: int, targets: list[int], tolerance: float) -> list[tuple[int, int, int, int]]:
-    """For each target, (bound, bytes below, rows below, bytes of the bound's own value if it has several rows and the target is inside, else 0): the bound of ``column`` whose bytes below are nearest to it; low <= values <= high.
+def _longs(values: list[int]) -> Column:
+    """An array of longs that the optimiser folds into one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
-    Probes stand at low + k * 2^shift; a round counts between neighbouring probes, in all rows at first, then only in the
-    intervals that still hold a target, with a smaller shift.
+
+def _refine(rows: DataFrame, group: Column, column: str, low: int, high: int, targets: dict[int, list[int]], tolerance: float) -> dict[int, list[tuple[int, int, int, int]]]:
+    """For each group's ascending targets: (bound, bytes below, rows below, bytes of the bound's own value if it has several rows and the target is inside, else 0).
+
+    The bound of ``column`` is the one whose bytes below, in its group, are nearest to the target; low <= values <= high. Probes
+    stand at low + k * 2^shift; a round counts between neighbouring probes, in all rows at first, then only in the intervals
+    that still hold a target, with a smaller shift.
     """
     if high - low >= 2**63:  # a difference could overflow; flipping the sign bit orders all longs from LOWEST
         low, above = LOWEST, F.col(column).bitwiseXOR(F.lit(LOWEST))
     else:
         above = F.col(column) - F.lit(low)
-    shift = max(0, (high - low + 1).bit_length() - FIRST_BITS)
+    signed = lambda c: c - 2**64 if c >= 2**63 else c
     cell = lambda s: F.shiftrightunsigned(above, s) if s else above
-    below = {0: (0, 0)}  # cell of this shift whose inside is unfinished: what lies below it
-    waiting = {0: list(range(len(targets)))}
+    shift = max(0, (high - low + 1).bit_length() - FIRST_BITS)
+    # (group, cell of this shift whose inside is unfinished): what lies below it in the group, and the targets in it
+    waiting = {(g, 0): (0, 0, list(range(len(t)))) for g, t in targets.items()}
     outer = None
-    done: dict[int, tuple[int, int, int, int]] = {}
+    done: dict[int, dict[int, tuple[int, int, int, int]]] = {g: {} for g in targets}
+    rows = rows.select(group.alias("group"), column, "size")
     while waiting:
-        inside = rows if outer is None else rows.where(cell(outer).isin(sorted(waiting)))
-        counted = inside.groupBy(cell(shift).alias("cell")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+        inside = rows
+        if outer is not None:
+            places = json.dumps([{"group": g, "outer": signed(c)} for g, c in sorted(waiting)])  # at most a row for each splitter
+            places = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(places), "array<struct<group:long,outer:long>>")))
+            inside = rows.withColumn("outer", cell(outer)).join(F.broadcast(places), ["group", "outer"], "left_semi")
+        counted = inside.groupBy("group", cell(shift).alias("cell")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
         width = 2 ** (outer - shift) if outer is not None else None
-        counts: dict[int, list[tuple[int, int, int]]] = {}
-        for c, b, n in sorted((r["cell"] % 2**64, r["b"], r["n"]) for r in counted):
-            counts.setdefault(c // width if width else 0, []).append((c, b, n))
-        next_below, next_waiting = {}, {}
-        for parent, which in waiting.items():
-            b, n = below[parent]
-            cells = counts[parent]
+        counts: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for g, c, b, n in sorted((r["group"], r["cell"] % 2**64, r["b"], r["n"]) for r in counted):
+            counts.setdefault((g, c // width if width else 0), []).append((c, b, n))
+        following: dict[tuple[int, int], tuple[int, int, list[int]]] = {}
+        for (g, parent), (b, n, which) in waiting.items():
+            cells = counts[g, parent]
             at = 0
             for i in which:  # ascending targets
-                while at < len(cells) - 1 and b + cells[at][1] <= targets[i]:
+                target = targets[g][i]
+                while at < len(cells) - 1 and b + cells[at][1] <= target:
                     b, n, at = b + cells[at][1], n + cells[at][2], at + 1
                 c, inside_b, inside_n = cells[at]
                 start, end = low + (c << shift), low + ((c + 1) << shift)
-                if abs(b - targets[i]) <= tolerance:
-                    done[i] = (start, b, n, 0)
-                elif abs(b + inside_b - targets[i]) <= tolerance and end <= high:
-                    done[i] = (end, b + inside_b, n + inside_n, 0)
+                if abs(b - target) <= tolerance:
+                    done[g][i] = (start, b, n, 0)
+                elif abs(b + inside_b - target) <= tolerance and end <= high:
+                    done[g][i] = (end, b + inside_b, n + inside_n, 0)
                 elif shift == 0:  # one value: below or above it, whichever is nearer
-                    upper = end <= high and b + inside_b - targets[i] < targets[i] - b
+                    upper = end <= high and b + inside_b - target < target - b
                     inside_rows = inside_b if inside_n > 1 else 0
-                    done[i] = (end, b + inside_b, n + inside_n, 0) if upper and not inside_rows else (start, b, n, inside_rows)
+                    done[g][i] = (end, b + inside_b, n + inside_n, 0) if upper and not inside_rows else (start, b, n, inside_rows)
                 else:
-                    next_below[c] = (b, n)
-                    next_waiting.setdefault(c, []).append(i)
-        below, waiting, outer, shift = next_below, next_waiting, shift, max(0, shift - ROUND_BITS)
-    return [done[i] for i in range(len(targets))]
+                    following.setdefault((g, c), (b, n, []))[2].append(i)
+        waiting, outer, shift = following, shift, max(0, shift - ROUND_BITS)
+    return {g: [done[g][i] for i in range(len(t))] for g, t in targets.items()}
 
 
 def splitters(keys: DataFrame, n_parts: int, total: int) -> list[Splitter]:
@@ -115,15 +131,17 @@ def splitters(keys: DataFrame, n_parts: int, total: int) -> list[Splitter]:
     tolerance = TOLERANCE * total / n_parts
     found = []
     stuck: dict[int, list[int]] = {}
-    for i, (bound, b, n, several) in enumerate(_refine(keys, "key", low, high, targets, tolerance)):
+    for i, (bound, b, n, several) in enumerate(_refine(keys, F.lit(0).cast("long"), "key", low, high, {0: targets}, tolerance)[0]):
         found.append(Splitter(bound, LOWEST, b, n))
         if several > HEAVY_KEY * total / n_parts:
             stuck.setdefault(bound, []).append(i)
-    for key, which in stuck.items():
-        one = keys.where(F.col("key") == key)
-        base = found[which[0]]
-        for i, (tie, b, n, _) in zip(which, _refine(one, "tie", LOWEST, 2**63 - 1, [targets[i] - base.bytes for i in which], tolerance), strict=True):
-            found[i] = Splitter(key, min(tie, 2**63 - 1), base.bytes + b, base.rows + n)
+    if not stuck:
+        return found
+    heavy = keys.where(F.array_contains(_longs(sorted(stuck)), F.col("key"))) if len(stuck) <= 40 else keys
+    inner = {key: [targets[i] - found[i].bytes for i in which] for key, which in stuck.items()}
+    for key, bounds in _refine(heavy, F.col("key"), "tie", LOWEST, 2**63 - 1, inner, tolerance).items():
+        for i, (tie, b, n, _) in zip(stuck[key], bounds, strict=True):
+            found[i] = Splitter(key, min(tie, 2**63 - 1), found[i].bytes + b, found[i].rows + n)
     return found
 
 
@@ -137,21 +155,14 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, key: str = "doc_id", text:
     whole = docs.drop("size", "shard", "slot")
     if not total:
         return whole.select("*", size.alias("size"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    parts = max(4, -(-total // (n_shards * part_bytes)))
+    parts = max(4, min(-(-total // (n_shards * part_bytes)), MOST_PARTS // n_shards))
     cuts = splitters(keys, n_shards * parts, total)
     drop(keys)
 
-    k, t = "__key", "__tie"
-    rows = whole.select("*", size.alias("size"), order.alias(k), tie.alias(t))
-    ties = [c for c in cuts if c.tie != LOWEST]
-    plain = [c.key for c in cuts if c.tie == LOWEST]
-    part = _position(F.col(k), sorted(plain)) if plain else F.lit(0)
-    for c in ties:
-        part = part + F.when((F.col(k) > c.key) | ((F.col(k) == c.key) & (F.col(t) >= c.tie)), 1).otherwise(0)
+    # the caller's columns travel in one struct, so that their names can't clash with these
+    rows = whole.select(F.struct(*[F.col(f"`{c}`") for c in whole.columns]).alias("row"), size.alias("size"), order.alias("key"), tie.alias("tie"))
+    rows = rows.withColumn("part", _position(F.col("key"), F.col("tie"), cuts).cast("int")).repartitionById(n_shards * parts, F.col("part"))
     firsts = [0, *(c.rows for c in cuts)]
-    base = [firsts[i] - firsts[i // parts * parts] for i in range(len(firsts))]
-    offsets = F.array(*[F.lit(x).cast("long") for x in base])
-    rows = rows.withColumn("__part", part.cast("int"))
-    at = F.row_number().over(Window.partitionBy("__part").orderBy(k, t)) - 1
-    rows = rows.withColumn("__at", at)
-    return rows.select(*whole.columns, "size", F.floor(F.col("__part") / parts).cast("int").alias("shard"), (F.get(offsets, F.col("__part")) + F.col("__at")).cast("long").alias("slot"))
+    base = _longs([firsts[i] - firsts[i // parts * parts] for i in range(len(firsts))])
+    at = F.row_number().over(Window.partitionBy("part").orderBy("key", "tie")) - 1
+    return rows.withColumn("at", at).select("row.*", "size", F.floor(F.col("part") / parts).cast("int").alias("shard"), (F.get(base, F.col("part")) + F.col("at")).cast("long").alias("slot"))
