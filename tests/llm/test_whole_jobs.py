@@ -1,9 +1,13 @@
 """Operators on inputs where a cut of the work would show."""
 
 import itertools
+import random
 import re
 
-from terravane.llm import decontamination, licenses
+import numpy as np
+import pyarrow as pa
+
+from terravane.llm import decontamination, licenses, textkernel
 
 
 def _licences(text):
@@ -53,10 +57,67 @@ def test_short_items_are_found(spark):
     assert found == {0: ([1, 6], 1.0), 1: ([2], 1.0), 2: ([], 0.0), 3: ([3], 1.0), 4: ([], 0.0), 5: ([1, 6, 6], 1.0), 6: ([], 0.0), 7: ([], 0.0), 8: ([1, 6], 1.0)}
 
 
-def test_blocks_of_items_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 1000)
-    rows = [(7, "same words in every row of it")] * 200 + [(k, f"item {k} has some words") for k in range(100)] + [(500, "long " * 300)]
-    blocks = [b.collect() for b in decontamination._blocks(spark.createDataFrame(rows, "item_id long, text string"))]
-    assert sorted(map(tuple, itertools.chain(*blocks))) == sorted(rows)
-    sizes = [[len(r["text"]) for r in b] for b in blocks]
-    assert all(sum(s) - max(s) < 500 for s in sizes)
+def _shares_of(text, item):
+    """Share of the item's words that greedy tiles cover, by trying every place again and again."""
+    a, b = (re.findall("[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or "")) for x in (text, item))
+    if len(b) < 5:
+        return float(bool(b) and any(a[k : k + len(b)] == b for k in range(len(a))))
+    free_a, free_b, covered = set(range(len(a))), set(range(len(b))), 0
+    while True:
+        best = (4, 0, 0)
+        for i in free_a:
+            for j in free_b:
+                k = 0
+                while i + k in free_a and j + k in free_b and a[i + k] == b[j + k]:
+                    k += 1
+                best = max(best, (k, -j, -i))
+        if best[0] < 5:
+            return covered / len(b)
+        k, j, i = best[0], -best[1], -best[2]
+        free_a -= set(range(i, i + k))
+        free_b -= set(range(j, j + k))
+        covered += k
+
+
+def test_decontamination_is_brute_force_on_both_ways(spark, monkeypatch):
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(300)]
+    stock = "which of the following is the best answer"
+    items = [(k, f"{stock} " * (k % 3 == 0) + " ".join(rng.choices(words, k=rng.randint(8, 40)))) for k in range(60)]
+    items += [(100, "one two"), (101, "alpha"), (102, "..."), (103, None), (5, items[4][1]), (None, "a b c d e f g"), (104, "la la la la la la la la")]
+    texts = [None, "", "clean words only here now", stock, "zero one two three", "ALPHA!", "la " * 60, "x a b c d e f g"]
+    for k in range(40):
+        item = items[rng.randrange(60)][1].split()
+        cut = rng.randrange(len(item))
+        texts.append(" ".join([*rng.choices(words, k=9), *item[cut:], "between", *item[:cut], *rng.choices(words, k=5)]))
+        texts.append(" ".join([*rng.choices(words, k=9), *item[: len(item) // 3], *rng.choices(words, k=5)]))
+    docs = spark.createDataFrame([(k if k % 7 else None, t, k) for k, t in enumerate(texts)] + [(900, texts[8], 900)], "doc_id long, text string, coverage_ long").repartition(3)
+    texts = dict(enumerate(texts)) | {900: texts[8]}
+    benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    wanted = {k: [(i, _shares_of(t, x)) for i, x in items if x is not None] for k, t in texts.items()}
+    for most, common in ((10**9, 64), (0, 64), (0, 3)):
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(decontamination, "COMMON", common)
+        rows = decontamination.decontaminate(docs, benchmark, ["doc_id", "coverage_"]).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            found = wanted[r["coverage_"]]
+            hits = sorted(-1 if i is None else i for i, share in found if share >= 0.5)
+            assert (r["items"], r["contaminated"]) == (hits, bool(hits))
+            top = max(share for _, share in found)
+            if top >= 0.5 or most:
+                assert abs(r["coverage"] - top) < 1e-12
+
+
+def test_repeated_windows_are_walked(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(60):
+        text, item = ([rng.randrange(3) for _ in range(rng.randint(5, 60))] for _ in range(2))
+        keys = [np.array([hash(tuple(x[k : k + 5])) & (2**63 - 1) for k in range(len(x) - 4)], dtype=np.uint64) for x in (text, item)]
+        p, q = np.nonzero(keys[0][:, None] == keys[1][None, :])
+        assert sorted(decontamination.walked_runs(*keys)) == (sorted(decontamination.runs(p, q)) if len(p) else [])
+    items = decontamination.Items([1, 2], ["la " * 300, "other words that are not there at all"])
+    row, key, at = textkernel.shingles(w := textkernel.words_of(pa.array(["la " * 5000, "other words that are not there at all", "x"]), textkernel.ALNUM), textkernel.word_hashes(w), 5, short=False)
+    whole = decontamination._shares(row, key, at, items)
+    monkeypatch.setattr(decontamination, "MOST_MATCHES", 1000)
+    assert decontamination._shares(row, key, at, items) == whole == {(0, 0): 1.0, (1, 1): 1.0}
