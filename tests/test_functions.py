@@ -1,4 +1,7 @@
-"""Golden values of geodesy, tiles, ids, fits and classes."""
+"""Golden values of geodesy, tiles, ids, fits and classes.
+
+Fixed values that must equal public ones: the Earth's mean radius, tile numbers of Prague at zooms 12 and 14, its Mercator metres.
+"""
 
 import math
 
@@ -112,6 +115,20 @@ def test_raster_golden_cases(spark):
     pit = raster.sky_view(dem(lambda r, c: -5 if (r, c) == (12, 12) else 0), block=16)
     low = pit.orderBy("svf").first()
     assert (low["row"], low["col"]) == (12, 12) and low["svf"] < 0.5
-    assert value(spark, raster.composite(F.lit(0.5))) == 127
+    both = raster.relief(dem(lambda r, c: (r * 7 + c * 3) % 11), block=16).select("row", "col", "svf")
+    apart = raster.sky_view(dem(lambda r, c: (r * 7 + c * 3) % 11), block=16)
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, apart.collect()))
+
+
+def test_lights_and_greys(spark):
+    up, east = raster.lights([90.0], 90.0), raster.lights([90.0], 0.0)
+    assert value(spark, raster.hillshade(F.lit(0.0), F.lit(0.0), up)) == pytest.approx(1) and value(spark, raster.hillshade(F.lit(0.0), F.lit(0.0), east)) == pytest.approx(0)
+    # a slope that faces the light is bright, one that faces away is dark; weights are shares
+    faces, away = (value(spark, raster.hillshade(F.lit(0.7), F.lit(a), raster.lights([90.0]))) for a in (0.0, math.pi))
+    assert faces > 0.9 and away < 0.1
+    mixed = value(spark, raster.hillshade(F.lit(0.7), F.lit(0.0), raster.lights({90.0: 3.0, 270.0: 1.0})))
+    assert mixed == pytest.approx((3 * faces + away) / 4)
     with pytest.raises(ValueError):
-        raster.hillshade(F.lit(0.0), F.lit(0.0), weights=[1.0])
+        raster.lights({90.0: 0.0})
+    greys = [value(spark, raster.grey(F.lit(s), F.lit(v) if v is not None else None, w, g)) for s, v, w, g in ((0.5, None, 0.4, 1.0), (0.5, 1.0, 0.5, 1.0), (0.5, 1.0, 7.0, 1.0), (0.5, 1.0, -1.0, 1.0), (0.25, None, 0.4, 2.0), (2.0, None, 0.4, 1.0), (-1.0, None, 0.4, 1.0))]
+    assert greys == [127, 191, 255, 127, 127, 255, 0]
