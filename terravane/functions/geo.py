@@ -167,6 +167,20 @@ def box_struct(west, south, east, north) -> Column:
     return F.struct(_c(west).alias("west"), _c(south).alias("south"), _c(east).alias("east"), _c(north).alias("north"))
 
 
+def box_centre(box: Column) -> Column:
+    """struct(lat, lon)."""
+    return F.struct(((box["south"] + box["north"]) / 2).alias("lat"), ((box["west"] + box["east"]) / 2).alias("lon"))
+
+
+def box_width(box: Column) -> Column:
+    return box["east"] - box["west"]
+
+
+def box_area(box: Column) -> Column:
+    """Square degrees."""
+    return box_width(box) * (box["north"] - box["south"])
+
+
 def box_expand(box: Column, factor) -> Column:
     """The box grown about its centre by a factor."""
     cx, cy = (box["west"] + box["east"]) / 2, (box["south"] + box["north"]) / 2

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import geo
 from terravane.functions.classify import FIND_CATEGORIES, PLACE_TYPES, decode
+from terravane.operators.blocks import BLOCK, in_blocks
 
 DAY_MS = 86_400_000
 
@@ -54,38 +55,57 @@ def active_track(tracks: DataFrame) -> DataFrame:
 
 
 def newest(table: DataFrame, column: str = "created_at") -> DataFrame:
-    return table.orderBy(F.desc(column), F.desc("id"))
+    return table.orderBy(*newest_first(column))
 
 
-def nested(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, order: Sequence[str], into: str) -> DataFrame:
-    """Parents with an array of their children's structs, sorted by the columns ``order``; parents without any get an empty array."""
-    rest = [c for c in children.columns if c != child_key and c not in order]
-    lists = children.groupBy(F.col(child_key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(into))
-    joined = parents.join(lists, F.col(parent_key) == F.col("__key"), "left").drop("__key")
-    return joined.withColumn(into, F.coalesce(into, F.array().cast(lists.schema[into].dataType)))
+# total orders, as lists of Columns for ``orderBy`` or ``order.numbered``
 
 
-def primary_photo(photos: DataFrame) -> DataFrame:
-    """(find_id, uri): the first flagged photo, else the oldest."""
-    order = F.struct((~F.col("is_primary")).cast("int"), "created_at", "id", "uri")
-    return photos.groupBy("find_id").agg(F.min_by("uri", order).alias("uri"))
+def newest_first(column: str = "created_at") -> list[Column]:
+    return [F.desc(column), F.desc("id")]
 
 
-def photos_in_order(photos: DataFrame) -> DataFrame:
-    return photos.orderBy("find_id", F.desc("is_primary"), "created_at", "id")
+def of_layers() -> list[Column]:
+    """Calibrations: by layer, the newest first."""
+    return [F.col("layer_id"), F.desc("updated_at"), F.col("id")]
 
 
-def detectors_in_order(detectors: DataFrame) -> DataFrame:
-    return detectors.orderBy(F.desc("is_default"), "created_at", "id")
+def of_points(key: str, *then: str) -> list[Column]:
+    """Points by their track or set, then as they were taken."""
+    return [F.col(key), *map(F.col, then)]
 
 
-def places_in_order(places: DataFrame, how: str = "newest", lat: float | None = None, lon: float | None = None) -> DataFrame:
+def of_photos() -> list[Column]:
+    """Photos by find, the primary one first, then the oldest."""
+    return [F.col("find_id"), F.desc("is_primary"), F.col("created_at"), F.col("id"), F.col("uri")]
+
+
+def of_places(how: str = "newest", lat: float | None = None, lon: float | None = None) -> list[Column]:
     """``nearest`` (without a position: newest), ``newest`` or ``type``."""
     if how == "nearest" and lat is not None and lon is not None:
-        return places.orderBy(geo.distance_m(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon")), "id")
-    if how == "type":
-        return places.orderBy(F.array_position(F.array(*map(F.lit, PLACE_TYPES)), decode(F.col("type"), PLACE_TYPES, "ZAJIMAVOST")), F.desc("created_at"), F.desc("id"))
-    return newest(places)
+        return [geo.distance_m(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon")), F.col("id")]
+    by_type = F.array_position(F.array(*map(F.lit, PLACE_TYPES)), decode(F.col("type"), PLACE_TYPES, "ZAJIMAVOST"))
+    return [by_type, *newest_first()] if how == "type" else newest_first()
+
+
+def nested(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, order: Sequence[str], into: str, most: int = BLOCK) -> DataFrame:
+    """Parents with an array of their children's structs, sorted by the columns ``order``; parents without any get an empty array.
+
+    A parent of more than ``most`` children has several rows, with ``block`` from 0 on, whose arrays follow one another.
+    """
+    lists = in_blocks(children.withColumnRenamed(child_key, "__key"), "__key", order, into, most)
+    joined = parents.hint("merge").join(lists.hint("merge"), F.col(parent_key) == F.col("__key"), "left").drop("__key")
+    return joined.withColumns({"block": F.coalesce("block", F.lit(0)), into: F.coalesce(into, F.array().cast(lists.schema[into].dataType))})
+
+
+def primary_photo(photos: DataFrame) -> DataFrame:
+    """(find_id, uri): the first flagged photo, else the oldest."""
+    order = F.struct((~F.col("is_primary")).cast("int"), "created_at", "id", "uri")
+    return photos.groupBy("find_id").agg(F.min_by("uri", order).alias("uri"))
+
+
+def detectors_in_order(detectors: DataFrame) -> DataFrame:
+    return detectors.orderBy(F.desc("is_default"), "created_at", "id")
 
 
 def find_stats(finds: DataFrame) -> DataFrame:
@@ -193,10 +213,14 @@ def upgrade(tables: dict[str, DataFrame], schemas: dict[str, str], spark) -> dic
 def merge_import(existing: DataFrame, incoming: DataFrame, key: str = "external_id") -> tuple[DataFrame, DataFrame]:
     """(rows to insert, counts): incoming rows with an unknown external id, each once (the first by id), keep their id where it is free.
 
+    Rows without an external id or an id are no rows to import: they are left out and counted as warnings. The counts (one row):
+    incoming, inserted, skipped (known already, or a repetition) and warnings.
+
     Others get ids above all that are there. Numbering is by a window over the rows whose id is taken, in ranges of their old
     ids: the offset of each range is a running sum over the ranges' counts.
     """
-    fresh = new_rows(incoming, existing, key)
+    usable = incoming.where(F.col(key).isNotNull() & F.col("id").isNotNull())
+    fresh = new_rows(usable, existing, key)
     first = F.row_number().over(Window.partitionBy(key).orderBy("id"))
     fresh = fresh.withColumn("__n", first).where("__n = 1").drop("__n")
     twice = F.row_number().over(Window.partitionBy("id").orderBy(key))
@@ -209,7 +233,14 @@ def merge_import(existing: DataFrame, incoming: DataFrame, key: str = "external_
     offsets = counts.withColumn("__before", F.sum("__rows").over(Window.orderBy("__range")) - F.col("__rows")).select("__range", "__before")
     numbered = blocked.join(offsets, "__range").withColumn("id", F.lit(top) + F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy("id", key)))
     out = fresh.where("__free").unionByName(numbered.drop("__range", "__before")).drop("__free")
-    summary = incoming.agg(F.count("*").alias("incoming")).join(known_rows(incoming, existing, key).agg(F.count("*").alias("skipped")))
+    flagged = incoming.select(F.col(key), F.col("id"), F.lit(1).alias("__in")).hint("merge").join(existing.select(key).distinct().withColumn("__known", F.lit(1)).hint("merge"), key, "left")
+    bad = F.col(key).isNull() | F.col("id").isNull()
+    by_key = flagged.groupBy(key, bad.alias("bad"), F.col("__known").isNotNull().alias("known")).agg(F.count("*").alias("n"))
+    inserted = F.when(~F.col("bad") & ~F.col("known"), 1).otherwise(0)
+    summary = by_key.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("incoming"), F.coalesce(F.sum(inserted), F.lit(0)).alias("inserted"),
+        F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n") - inserted)), F.lit(0)).alias("skipped"), F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("warnings"),
+    )
     return out, summary
 
 

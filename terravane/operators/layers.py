@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import classify, geo
+from terravane.operators.store import kept
 
 # Fixed values of the back-off and of the log limits.
 BACKOFF_BASE_MS, BACKOFF_MOST_MS = 2_000, 300_000
@@ -130,12 +131,12 @@ def feed_items(items: DataFrame, pattern: str | None = None, box: dict | None =
 
 
 def reachable_feeds(links: DataFrame, root: str, depth: int = 2) -> DataFrame:
-    """(url, depth) of the feeds that links (from_url, to_url) lead to in at most ``depth`` steps, each once."""
+    """(url, depth) of the feeds that links (from_url, to_url) lead to in at most ``depth`` steps, each once. Each step's finds are stored before the next."""
     seen = links.sparkSession.createDataFrame([(root, 0)], "url string, depth int")
     edge = seen
     for k in range(1, depth + 1):
-        step = links.join(edge, links["from_url"] == edge["url"]).select(F.col("to_url").alias("url")).distinct()
-        edge = step.join(seen, "url", "left_anti").withColumn("depth", F.lit(k))
+        step = links.hint("merge").join(edge.select(F.col("url").alias("from_url")).hint("merge"), "from_url").select(F.col("to_url").alias("url")).distinct()
+        edge = kept(step.hint("merge").join(seen.hint("merge"), "url", "left_anti").withColumn("depth", F.lit(k)), "feeds")
         seen = seen.unionByName(edge)
     return seen
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geo, hilbert
+from terravane.operators.store import kept
 
-#: Tile ids of one range of the two-level sums.
-RANGE = 65_536
+#: Tile ids of one range of the two-level sums, and how ranges grow where runs meet at their borders: 2^16 * 8192^3 is beyond all ids.
+RANGE, LEVEL, LEVELS = 65_536, 8192, 3
 
 
 def zoom_list(text: str) -> list[int]:
@@ -57,7 +58,7 @@ def coverage_cost(boxes: DataFrame, zooms: list[int]) -> DataFrame:
 
 def missing(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """Wanted tiles without a non-empty one."""
-    return wanted.join(present.where("bytes > 0").select("z", "x", "y").distinct(), ["z", "x", "y"], "left_anti")
+    return wanted.hint("merge").join(present.where("bytes > 0").select("z", "x", "y").distinct().hint("merge"), ["z", "x", "y"], "left_anti")
 
 
 def with_ids(tiles: DataFrame) -> DataFrame:
@@ -72,21 +73,23 @@ def clustered(tiles: DataFrame, partitions: int) -> DataFrame:
 def runs(tiles: DataFrame) -> DataFrame:
     """Directory entries (tile_id, content, run_length) of (tile_id, content): neighbouring ids with equal content are one.
 
-    Islands are found inside ranges of RANGE ids, so that no window is global; runs that meet at a range's border are then
-    merged in a second pass over the ranges' first and last entries, where a range that is one run hands its start on.
+    Islands are found inside ranges of RANGE ids; those that touch a range's border, at most two for each range, are merged again
+    inside ranges that are LEVEL times as wide, and so on up to LEVELS, until one range holds all ids: no window is over all rows.
     """
-    ranged = tiles.withColumn("range", F.floor(F.col("tile_id") / RANGE))
-    w = Window.partitionBy("range").orderBy("tile_id")
-    breaks = F.when((F.lag("tile_id").over(w) + 1 == F.col("tile_id")) & (F.lag("content").over(w).eqNullSafe(F.col("content"))), 0).otherwise(1)
-    islands = ranged.withColumn("brk", breaks).withColumn("island", F.sum("brk").over(w))
-    entries = islands.groupBy("range", "island").agg(F.min("tile_id").alias("tile_id"), F.first("content").alias("content"), F.count("*").alias("run_length"))
-    # runs at a border: few, at most two for each range
-    edges = entries.where((F.pmod("tile_id", F.lit(RANGE)) == 0) | (F.pmod(F.col("tile_id") + F.col("run_length"), F.lit(RANGE)) == 0))
-    o = Window.orderBy("tile_id")
-    joined = edges.withColumn("brk", F.when((F.lag(F.col("tile_id") + F.col("run_length")).over(o) == F.col("tile_id")) & F.lag("content").over(o).eqNullSafe(F.col("content")), 0).otherwise(1))
-    joined = joined.withColumn("chain", F.sum("brk").over(o)).groupBy("chain").agg(F.min("tile_id").alias("tile_id"), F.first("content").alias("content"), F.sum("run_length").alias("run_length"))
-    inner = entries.where((F.pmod("tile_id", F.lit(RANGE)) != 0) & (F.pmod(F.col("tile_id") + F.col("run_length"), F.lit(RANGE)) != 0))
-    return inner.select("tile_id", "content", "run_length").unionByName(joined.select("tile_id", "content", "run_length"))
+    entries = tiles.select("tile_id", "content", F.lit(1).cast("long").alias("run_length"))
+    done, width = None, RANGE
+    for level in range(LEVELS + 1):
+        w = Window.partitionBy("range").orderBy("tile_id")
+        goes_on = (F.lag(F.col("tile_id") + F.col("run_length")).over(w) == F.col("tile_id")) & F.lag("content").over(w).eqNullSafe(F.col("content"))
+        islands = entries.withColumn("range", F.floor(F.col("tile_id") / width)).withColumn("brk", F.when(goes_on, 0).otherwise(1)).withColumn("island", F.sum("brk").over(w))
+        entries = islands.groupBy("range", "island").agg(F.min("tile_id").alias("tile_id"), F.first("content").alias("content"), F.sum("run_length").alias("run_length"))
+        entries = kept(entries.drop("range", "island"), "runs")
+        if level == LEVELS:
+            return done.unionByName(entries)
+        at_border = (F.pmod("tile_id", F.lit(width)) == 0) | (F.pmod(F.col("tile_id") + F.col("run_length"), F.lit(width)) == 0)
+        inner = entries.where(~at_border)
+        done = inner if done is None else done.unionByName(inner)
+        entries, width = entries.where(at_border), width * LEVEL
 
 
 def content_offsets(tiles: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def content_offsets(tiles: DataFrame) -> DataFrame:
     totals = firsts.groupBy("range").agg(F.sum("bytes").alias("in_range"))
     before = totals.select("range", (F.sum("in_range").over(Window.orderBy("range")) - F.col("in_range")).alias("before"))
     inside = F.sum("bytes").over(Window.partitionBy("range").orderBy("tile_id")) - F.col("bytes")
-    return firsts.withColumn("inside", inside).join(before, "range").select("content", "tile_id", "bytes", (F.col("before") + F.col("inside")).alias("offset"))
+    return firsts.withColumn("inside", inside).hint("merge").join(before.hint("merge"), "range").select("content", "tile_id", "bytes", (F.col("before") + F.col("inside")).alias("offset"))
 
 
 def lookup(ids: DataFrame, directory: DataFrame) -> DataFrame:
@@ -147,7 +150,7 @@ def upsert(tiles: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def scan_directory(spark: SparkSession, root: str, extension: str = "png") -> DataFrame:
-    """Tiles (z, x, y, data, tile_id) of files {z}/{x}/{y}.{extension}: numeric names only, no hidden, partial or empty ones."""
+    """Tiles (z, x, y, data, tile_id) of files {z}/{x}/{y}.{extension}: numeric names only, no hidden, partial or empty ones; ``sidecar`` has what is said about all of them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{extension}").load(root)
     pattern = rf"/(\d+)/(\d+)/(\d+)\.{re.escape(extension)}$"
     part = lambda k: F.regexp_extract("path", pattern, k).try_cast("int")
@@ -155,6 +158,17 @@ def scan_directory(spark: SparkSession, root: str, extension: str = "png") -> Da
     return with_ids(found).where("tile_id IS NOT NULL")
 
 
+SIDECAR = "name string, title string, attribution string, bbox array<double>"
+
+
+def sidecar(spark: SparkSession, path: str) -> DataFrame:
+    """One row (title, attribution, west, south, east, north) of a tile folder's metadata document; nulls for what it lacks, a box only of four ordered numbers."""
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", SIDECAR).alias("m"))
+    at = lambda k: F.get("m.bbox", F.lit(k))
+    good = (F.size("m.bbox") == 4) & (at(0) <= at(2)) & (at(1) <= at(3))
+    return parsed.select(F.coalesce("m.title", "m.name").alias("title"), F.col("m.attribution").alias("attribution"), *[F.when(good, at(k)).alias(c) for k, c in enumerate(("west", "south", "east", "north"))])
+
+
 def archive_metadata(metadata: DataFrame, tiles: DataFrame) -> DataFrame:
     """One row of a tile database's metadata (name, value): name, format, min_zoom, max_zoom (else from the tiles) and bounds (null unless four ordered numbers)."""
     low = metadata.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.lower("name"), "value"))).alias("m"))  # a few settings

@@ -77,11 +77,14 @@ def _(t):
     return t("fixes").groupBy(classify.accuracy_class(F.col("accuracy_m")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("j1_finds_with_photos", "SELECT f.id, count(p.find_id) AS photos, string_agg(CAST(p.created_at AS VARCHAR), ',' ORDER BY p.created_at, p.id, p.uri, p.is_primary) AS times FROM finds f LEFT JOIN find_photos p ON p.find_id = f.id GROUP BY 1", "finds", "find_photos")
+@query("j1_finds_with_photos", "SELECT f.id, count(p.find_id) AS photos, min(p.created_at) AS first_at, max(p.created_at) AS last_at, CAST(coalesce(sum(length(p.uri)), 0) AS BIGINT) AS letters, true AS in_order FROM finds f LEFT JOIN find_photos p ON p.find_id = f.id GROUP BY 1", "finds", "find_photos")
 def _(t):
     nested = fieldlog.nested(t("finds").select("id"), t("find_photos"), "id", "find_id", ["created_at", "id", "uri", "is_primary"], "photos")
-    times = F.array_join(F.transform("photos", lambda p: p["created_at"].cast("string")), ",")
-    return nested.select("id", F.size("photos").cast("long").alias("photos"), F.when(F.size("photos") > 0, times).alias("times"))
+    of = lambda k: F.when(F.size("photos") > 0, F.element_at("photos", k)["created_at"])
+    letters = F.aggregate("photos", F.lit(0).cast("long"), lambda s, p: s + F.length(p["uri"]))
+    return nested.groupBy("id").agg(
+        F.sum(F.size("photos").cast("long")).alias("photos"), F.min(of(1)).alias("first_at"), F.max(of(-1)).alias("last_at"), F.sum(letters).alias("letters"), F.bool_and(F.array_sort("photos") == F.col("photos")).alias("in_order")
+    )
 
 
 @query("j2_primary_photo", "WITH r AS (SELECT find_id, uri, row_number() OVER (PARTITION BY find_id ORDER BY NOT is_primary, created_at, id, uri) AS rn FROM find_photos) SELECT find_id, uri FROM r WHERE rn = 1", "find_photos")
@@ -91,23 +94,26 @@ def _(t):
 
 @query("j3_tracks_with_points", f"WITH {_TRACKS} SELECT t.id, count(f.arrival) AS points, sum(f.arrival * 7 % 13) AS checked, min(f.ts) AS first_ts FROM tracks t LEFT JOIN fixes f ON f.track_id = t.id GROUP BY 1", "fixes")
 def _(t):
-    nested = fieldlog.nested(tracks_of(t).select("id"), t("fixes"), "id", "track_id", ["ts", "arrival"], "points")
+    # small blocks, so that tracks really have several
+    nested = fieldlog.nested(tracks_of(t).select("id"), t("fixes"), "id", "track_id", ["ts", "arrival"], "points", most=50)
     checked = F.aggregate("points", F.lit(0).cast("long"), lambda s, p: s + p["arrival"] * 7 % 13)
-    return nested.select("id", F.size("points").cast("long").alias("points"), checked.alias("checked"), F.element_at("points", 1)["ts"].alias("first_ts"))
+    first = F.when(F.col("block") == 0, F.element_at("points", 1)["ts"])
+    return nested.groupBy("id").agg(F.sum(F.size("points").cast("long")).alias("points"), F.sum(checked).alias("checked"), F.max(first).alias("first_ts"))
 
 
-@query("j4_sets_with_points", "SELECT set_id AS id, count(*) AS points, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM gcp_points GROUP BY 1", "gcp_points")
+@query("j4_sets_with_points", "SELECT set_id AS id, count(*) AS points, CAST(sum(id) AS BIGINT) AS ids, min(id) AS first_id FROM gcp_points GROUP BY 1", "gcp_points")
 def _(t):
     points = t("gcp_points")
     nested = fieldlog.nested(points.select(F.col("set_id").alias("id")).distinct(), points, "id", "set_id", ["id"], "points")
-    return nested.select("id", F.size("points").cast("long").alias("points"), F.array_join(F.transform("points", lambda p: p["id"].cast("string")), ",").alias("ids"))
+    ids = F.aggregate("points", F.lit(0).cast("long"), lambda s, p: s + p["id"])
+    return nested.groupBy("id").agg(F.sum(F.size("points").cast("long")).alias("points"), F.sum(ids).alias("ids"), F.min(F.element_at("points", 1)["id"]).alias("first_id"))
 
 
 @query("j5_detectors_with_presets", "WITH n AS (SELECT detector_id, count(*) AS presets FROM presets GROUP BY 1) SELECT d.id, coalesce(n.presets, 0) AS presets, row_number() OVER (ORDER BY d.is_default DESC, d.created_at, d.id) AS place FROM detectors d LEFT JOIN n ON n.detector_id = d.id", "detectors", "presets")
 def _(t):
     nested = fieldlog.nested(t("detectors"), t("presets"), "id", "detector_id", ["created_at", "id"], "presets")
-    order = Window.orderBy(F.desc("is_default"), "created_at", "id")
-    return nested.select("id", F.size("presets").cast("long").alias("presets"), F.row_number().over(order).alias("place"))
+    counts = nested.groupBy("id", "is_default", "created_at").agg(F.sum(F.size("presets").cast("long")).alias("presets"))
+    return order.numbered(counts, [F.desc("is_default"), F.col("created_at"), F.col("id")], "place").select("id", "presets", "place")
 
 
 _LAYERS = """catalogue AS (SELECT concat('layer', CAST(n_nationkey AS VARCHAR)) AS layer_id, n_name AS title, CASE n_regionkey WHEN 0 THEN 'geojson' WHEN 1 THEN 'pmtiles' ELSE 'xyz' END AS kind, n_nationkey AS ord FROM nation),
@@ -173,15 +179,91 @@ def _(t):
     return placed.select("id", "score", "place", F.when(F.col("score") == 3, F.col("reason")).alias("best_reason"))
 
 
+_NAMES = lambda c, names: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+_T, _S = _NAMES("terrain", classify.TERRAINS), _NAMES("soil", classify.SOILS)
+# The wording.
+_REASONS = f"""CASE WHEN st AND ss THEN printf('Sedí terén i stav půdy: %s, %s.', {_T}, {_S}) WHEN st AND ws IS NULL THEN printf('Sedí terén (%s); stav půdy neznáme.', {_T})
+WHEN st THEN printf('Sedí terén (%s), ale uložený je na %s.', {_T}, {_S}) WHEN ss AND wt IS NULL THEN printf('Sedí stav půdy (%s); terén jsi nevybral.', {_S})
+WHEN ss THEN printf('Sedí stav půdy (%s), ale uložený je na terén %s.', {_S}, {_T}) ELSE printf('Neodpovídá ani terénu, ani stavu půdy — uložený je na %s, %s.', {_T}, {_S}) END"""
+
+
+@query(
+    "e26_preset_reasons",
+    f"WITH w(wt, ws) AS (VALUES ('LES', 'MOKRO'), ('LES', NULL), (NULL, 'MOKRO'), (NULL, NULL)), c AS (SELECT id, terrain, soil, wt, ws, coalesce(terrain = wt, false) AS st, coalesce(soil = ws, false) AS ss FROM presets, w) SELECT id, wt AS wanted_terrain, ws AS wanted_soil, {_REASONS} AS reason FROM c",
+    "presets",
+)
+def _(t):
+    wanted = [("LES", "MOKRO"), ("LES", None), (None, "MOKRO"), (None, None)]
+    of = lambda v: F.lit(v).cast("string")
+    found = [F.struct(of(a).alias("wanted_terrain"), of(b).alias("wanted_soil"), classify.preset_reason(F.col("terrain"), F.col("soil"), of(a), of(b)).alias("reason")) for a, b in wanted]
+    return t("presets").select("id", F.explode(F.array(*found)).alias("r")).select("id", "r.*")
+
+
+@query("e28_effective_soil", "SELECT id, CASE WHEN id % 4 = 0 THEN CASE WHEN id % 50 < 20 THEN 'SUCHO' WHEN id % 50 < 35 THEN 'VLHKO' ELSE 'MOKRO' END ELSE soil END AS soil FROM presets", "presets")
+def _(t):
+    chosen = F.when(F.col("id") % 4 != 0, F.col("soil"))
+    return t("presets").select("id", layers.effective_soil(chosen, classify.soil_of_moisture((F.col("id") % 50) / 100.0)).alias("soil"))
+
+
+_FLAGS, _NUMBERS = ["true", "TRUE", "1", "False", "0", "yes", None], ["12", " 7", "x", "1.5", None, "-3"]
+
+
+@query(
+    "s3_lenient_values",
+    "WITH v AS (SELECT o_orderkey AS id, ['true', 'TRUE', '1', 'False', '0', 'yes', NULL][o_orderkey % 7 + 1] AS f, ['12', ' 7', 'x', '1.5', NULL, '-3'][o_orderkey % 6 + 1] AS n FROM orders) SELECT id, coalesce(CASE WHEN lower(f) IN ('true', '1') THEN true WHEN lower(f) IN ('false', '0') THEN false END, id % 2 = 0) AS flag, CASE trim(n) WHEN '12' THEN 12 WHEN '7' THEN 7 WHEN '-3' THEN -3 ELSE -1 END AS whole, coalesce(TRY_CAST(trim(n) AS DOUBLE), 0.5e0) AS number FROM v",
+)
+def _(t):
+    pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("o_orderkey") % len(values) + 1).cast("int"))
+    raw = t("orders").select(F.col("o_orderkey").alias("id"), F.to_json(F.struct(pick(_FLAGS).alias("f"), pick(_NUMBERS).alias("n"))).alias("json"))
+    value = lambda k: F.get_json_object("json", f"$.{k}")
+    flag = F.when(F.col("id") % 2 == 0, classify.lenient_boolean(value("f"), True)).otherwise(classify.lenient_boolean(value("f"), False))
+    return raw.select("id", flag.alias("flag"), classify.lenient_number(value("n"), "int", -1).alias("whole"), classify.lenient_number(value("n"), "double", 0.5).alias("number"))
+
+
+@query("d5_import_counts", "WITH inc AS (SELECT CASE WHEN id % 11 = 0 THEN NULL ELSE id END AS id, CASE WHEN id % 13 = 0 THEN NULL WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) ELSE 'new' || (id // 4) END AS x FROM finds), ok AS (SELECT * FROM inc WHERE id IS NOT NULL AND x IS NOT NULL), fresh AS (SELECT DISTINCT x FROM ok WHERE x NOT IN (SELECT CAST(id AS VARCHAR) FROM finds)) SELECT (SELECT count(*) FROM inc) AS incoming, (SELECT count(*) FROM fresh) AS inserted, (SELECT count(*) FROM ok) - (SELECT count(*) FROM fresh) AS skipped, (SELECT count(*) FROM inc WHERE id IS NULL OR x IS NULL) AS warnings", "finds")
+def _(t):
+    finds = t("finds")
+    existing = finds.select("id", F.col("id").cast("string").alias("external_id"))
+    key = F.when(F.col("id") % 13 != 0, F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).otherwise(F.concat(F.lit("new"), F.floor(F.col("id") / 4).cast("string"))))
+    incoming = finds.select(F.when(F.col("id") % 11 != 0, F.col("id")).alias("id"), key.alias("external_id"))
+    return fieldlog.merge_import(existing, incoming)[1]
+
+
 @query("o6_places_nearest", f"SELECT id, row_number() OVER (ORDER BY {sql_distance('50.0e0', '15.0e0', 'lat', 'lon')}, id) AS place FROM places", "places")
 def _(t):
-    d = geo.distance_m(F.lit(50.0), F.lit(15.0), F.col("lat"), F.col("lon"))
-    return order.numbered(t("places").select("id", d.alias("d")), [F.col("d"), F.col("id")], "place").select("id", "place")
+    return order.numbered(t("places"), fieldlog.of_places("nearest", 50.0, 15.0), "place").select("id", "place")
+
+
+@query("o6_places_newest", "SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM places", "places")
+def _(t):
+    return order.numbered(t("places"), fieldlog.of_places("nearest"), "place").select("id", "place")  # no position: the newest first
+
+
+@query("o6_places_by_type", f"SELECT id, row_number() OVER (ORDER BY list_position({classify.PLACE_TYPES}, CASE WHEN type IN {tuple(classify.PLACE_TYPES)} THEN type ELSE 'ZAJIMAVOST' END), created_at DESC, id DESC) AS place FROM places", "places")
+def _(t):
+    return order.numbered(t("places"), fieldlog.of_places("type"), "place").select("id", "place")
+
+
+@query("o2_calibrations_in_order", "SELECT id, row_number() OVER (ORDER BY layer_id, updated_at DESC, id) AS place FROM calibrations", "calibrations")
+def _(t):
+    return order.numbered(t("calibrations"), fieldlog.of_layers(), "place").select("id", "place")
+
+
+@query("o2_points_in_order", "SELECT 'track' AS kind, arrival AS id, row_number() OVER (ORDER BY track_id, ts, arrival) AS place FROM fixes UNION ALL SELECT 'set', id, row_number() OVER (ORDER BY set_id, id) FROM gcp_points", "fixes", "gcp_points")
+def _(t):
+    fixes = order.numbered(t("fixes"), fieldlog.of_points("track_id", "ts", "arrival"), "place").select(F.lit("track").alias("kind"), F.col("arrival").alias("id"), "place")
+    sets = order.numbered(t("gcp_points"), fieldlog.of_points("set_id", "id"), "place").select(F.lit("set").alias("kind"), "id", "place")
+    return fixes.unionByName(sets)
+
+
+@query("o3_photos_in_order", "SELECT find_id, id, row_number() OVER (ORDER BY find_id, is_primary DESC, created_at, id, uri) AS place FROM find_photos", "find_photos")
+def _(t):
+    return order.numbered(t("find_photos"), fieldlog.of_photos(), "place").select("find_id", "id", "place")
 
 
 @query("o1_newest_finds", "SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM finds", "finds")
 def _(t):
-    return order.numbered(t("finds").select("id", "created_at"), [F.desc("created_at"), F.desc("id")], "place").select("id", "place")
+    return order.numbered(t("finds").select("id", "created_at"), fieldlog.newest_first(), "place").select("id", "place")
 
 
 @query("a1_find_stats", "SELECT count(*) AS total, coalesce(sum(CAST(favorite AS BIGINT)), 0)::BIGINT AS favorites, min(created_at) AS first_at, max(created_at) AS last_at, max(depth_cm) AS deepest_cm FROM finds", "finds")

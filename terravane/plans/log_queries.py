@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terravane.functions import affine, classify
+from terravane.functions import affine, classify, geo
 from terravane.operators import calibration, fieldlog, layers, raster, tiles, tracks
+from terravane.operators.blocks import in_blocks
 from terravane.operators.store import shared_path
 from terravane.plans.fieldlog_queries import _TRACKS, tracks_of
 from terravane.plans.helpers import milli, polygons, query, sql_distance, sql_milli
@@ -57,22 +58,39 @@ def _(t):
     return tracks.without_repeats(doubled).groupBy("track_id").agg(F.count("*").alias("n"))
 
 
-@query(
-    "w2_recorded_tracks",
-    f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY arrival) AS k FROM fixes),
-r AS (SELECT track_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS lts, CAST(NULL AS DOUBLE) AS llat, CAST(NULL AS DOUBLE) AS llon, 'START' AS decision, CAST(NULL AS BIGINT) AS arrival FROM o WHERE k = 1
-UNION ALL SELECT track_id, k, CASE WHEN decision = 'ACCEPTED' THEN ts ELSE lts END, CASE WHEN decision = 'ACCEPTED' THEN lat ELSE llat END, CASE WHEN decision = 'ACCEPTED' THEN lon ELSE llon END, decision, arrival FROM
-(SELECT o.track_id, o.k, o.ts, o.lat, o.lon, o.arrival, r.lts, r.llat, r.llon, CASE WHEN o.accuracy_m > 50 THEN 'ACCURACY' WHEN r.lts IS NULL THEN 'ACCEPTED' WHEN o.ts < r.lts THEN 'OUT_OF_ORDER'
- WHEN o.ts = r.lts AND {sql_distance('r.llat', 'r.llon', 'o.lat', 'o.lon')} <= 0 THEN 'DUPLICATE' WHEN o.ts = r.lts THEN 'JUMP' WHEN {sql_distance('r.llat', 'r.llon', 'o.lat', 'o.lon')} / ((o.ts - r.lts) / 1000.0e0) > 15 THEN 'JUMP' ELSE 'ACCEPTED' END AS decision
- FROM r JOIN o ON o.track_id = r.track_id AND o.k = r.k + 1) q)
-SELECT track_id, arrival, decision FROM r WHERE k > 0""",
-    "fixes",
-)
+def _d(a: str, b: str) -> str:
+    return sql_distance(f"{a}lat", f"{a}lon", f"{b}.lat", f"{b}.lon")
+
+
+#: The recorder step by step, one fix of each track a round: l the last accepted fix, s the last vertex, c the waiting candidate, a where standing began.
+_RECORDER = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY arrival) AS k FROM fixes),
+rec AS (SELECT track_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS arrival, CAST(NULL AS VARCHAR) AS decision, CAST(NULL AS BIGINT) AS lts, CAST(NULL AS DOUBLE) AS llat, CAST(NULL AS DOUBLE) AS llon,
+CAST(NULL AS DOUBLE) AS slat, CAST(NULL AS DOUBLE) AS slon, CAST(NULL AS DOUBLE) AS clat, CAST(NULL AS DOUBLE) AS clon, CAST(NULL AS BIGINT) AS ats, CAST(NULL AS DOUBLE) AS alat, CAST(NULL AS DOUBLE) AS alon,
+CAST(0 AS DOUBLE) AS dist, CAST(0 AS BIGINT) AS verts, false AS idle, CAST(NULL AS DOUBLE) AS vlat FROM numbered WHERE k = 1
+UNION ALL SELECT track_id, k, arrival, decision, CASE WHEN ok THEN ts ELSE lts END, CASE WHEN ok THEN lat ELSE llat END, CASE WHEN ok THEN lon ELSE llon END,
+CASE WHEN NOT ok THEN slat WHEN slat IS NULL THEN lat WHEN confirmed THEN clat ELSE slat END, CASE WHEN NOT ok THEN slon WHEN slat IS NULL THEN lon WHEN confirmed THEN clon ELSE slon END,
+CASE WHEN NOT ok THEN clat WHEN slat IS NULL OR near OR (confirmed AND cd < least_m) THEN NULL ELSE lat END, CASE WHEN NOT ok THEN clon WHEN slat IS NULL OR near OR (confirmed AND cd < least_m) THEN NULL ELSE lon END,
+CASE WHEN ok AND (lts IS NULL OR ad >= 10) THEN ts ELSE ats END, CASE WHEN ok AND (lts IS NULL OR ad >= 10) THEN lat ELSE alat END, CASE WHEN ok AND (lts IS NULL OR ad >= 10) THEN lon ELSE alon END,
+dist + CASE WHEN ok AND lts IS NOT NULL AND ld > greatest(3.0e0, acc) THEN ld ELSE 0.0e0 END, verts + CASE WHEN ok AND (slat IS NULL OR confirmed) THEN 1 ELSE 0 END,
+CASE WHEN NOT ok OR lts IS NULL THEN idle WHEN ad >= 10 THEN false WHEN ts - ats >= 60000 THEN true ELSE idle END, CASE WHEN ok AND slat IS NULL THEN lat WHEN ok AND confirmed THEN clat END
+FROM (SELECT *, decision = 'ACCEPTED' AS ok, sd < least_m AS near, sd >= least_m AND clat IS NOT NULL AS confirmed FROM
+(SELECT o.track_id, o.k, o.arrival, o.ts, o.lat, o.lon, coalesce(o.accuracy_m, 0.0e0) AS acc, greatest(10.0e0, coalesce(o.accuracy_m, 0.0e0)) AS least_m, r.lts, r.llat, r.llon, r.slat, r.slon, r.clat, r.clon, r.ats, r.alat, r.alon, r.dist, r.verts, r.idle,
+{_d('r.l', 'o')} AS ld, {_d('r.s', 'o')} AS sd, {_d('r.c', 'o')} AS cd, {_d('r.a', 'o')} AS ad,
+CASE WHEN o.accuracy_m > 50 THEN 'ACCURACY' WHEN r.lts IS NULL THEN 'ACCEPTED' WHEN o.ts < r.lts THEN 'OUT_OF_ORDER' WHEN o.ts = r.lts AND {_d('r.l', 'o')} <= 0 THEN 'DUPLICATE' WHEN o.ts = r.lts THEN 'JUMP'
+WHEN {_d('r.l', 'o')} / ((o.ts - r.lts) / 1000.0e0) > 15 THEN 'JUMP' ELSE 'ACCEPTED' END AS decision FROM rec r JOIN numbered o ON o.track_id = r.track_id AND o.k = r.k + 1) q1) q2)"""
+
+
+@query("w2_recorded_tracks", f"WITH RECURSIVE {_RECORDER} SELECT track_id, arrival, decision, idle, CAST(round(dist) AS BIGINT) AS metres, verts AS vertices, {sql_milli('vlat*1000')} AS vertex_lat FROM rec WHERE k > 0", "fixes")
 def _(t):
-    return tracks.record(t("fixes")).where("decision <> 'TAIL'").select("track_id", "arrival", "decision")
+    decisions = tracks.record(t("fixes")).where("decision <> 'TAIL'")
+    return decisions.select("track_id", "arrival", "decision", "idle", F.round("distance_m").cast("long").alias("metres"), "vertices", milli(F.col("v_lat") * 1000).alias("vertex_lat"))
+
 
+# the trail ends with the waiting candidate, else the last fix, unless the last vertex stands there
+_TAILS = "ends AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY k DESC) AS back FROM rec WHERE k > 0), tails AS (SELECT track_id, CASE WHEN llat IS NULL OR (slat = coalesce(clat, llat) AND slon = coalesce(clon, llon)) THEN 0 ELSE 1 END AS tail FROM ends WHERE back = 1)"
 
-@query("t2_trails", None, "fixes")
+
+@query("t2_trails", f"WITH RECURSIVE {_RECORDER}, {_TAILS} SELECT track_id, max(verts) + any_value(tail) AS vertices, max(verts) + any_value(tail) AS counted, CAST(round(max(dist)) AS BIGINT) AS metres, bool_or(idle) AS was_idle FROM rec JOIN tails USING (track_id) WHERE k > 0 GROUP BY 1", "fixes")
 def _(t):
     trail = tracks.record(t("fixes"))
     return trail.groupBy("track_id").agg(F.count("v_ts").alias("vertices"), F.max("vertices").alias("counted"), F.round(F.max("distance_m")).cast("long").alias("metres"), F.bool_or("idle").alias("was_idle"))
@@ -85,11 +103,11 @@ def _(t):
 
 @query(
     "t12_marks_at_fixes",
-    "SELECT m.track_id, m.mark_id, f.ts AS fix_ts, f.lat FROM (SELECT user_id AS track_id, event_id AS mark_id, 1600000000000 + event_id * 14000 AS ts FROM events WHERE event_id % 11 = 0) m ASOF LEFT JOIN (SELECT track_id, ts, max_by(lat, arrival) AS lat FROM fixes GROUP BY 1, 2) f ON f.track_id = m.track_id AND f.ts <= m.ts",
+    "SELECT m.track_id, m.mark_id, f.ts AS fix_ts, f.lat FROM (SELECT user_id AS track_id, event_id AS mark_id, 1600000000000 + event_id * 14000 AS ts FROM events) m ASOF LEFT JOIN (SELECT track_id, ts, max_by(lat, arrival) AS lat FROM fixes GROUP BY 1, 2) f ON f.track_id = m.track_id AND f.ts <= m.ts",
     "fixes",
 )
 def _(t):
-    marks = t("events").where("event_id % 11 = 0").select(F.col("user_id").alias("track_id"), F.col("event_id").alias("mark_id"), (F.lit(1600000000000) + F.col("event_id") * 14000).alias("ts"))
+    marks = t("events").select(F.col("user_id").alias("track_id"), F.col("event_id").alias("mark_id"), (F.lit(1600000000000) + F.col("event_id") * 14000).alias("ts"))
     return tracks.marks_at_fixes(marks, t("fixes")).select("track_id", "mark_id", "fix_ts", "lat")
 
 
@@ -148,14 +166,24 @@ def _(t):
     return tiles.lookup(asked, tiles.runs(_run_ids(t)))
 
 
-@query("a13_lowest_zoom_bounds", f"WITH b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0 FROM tiles WHERE z = 8) SELECT {sql_milli('(x0/256.0e0*360.0e0-180.0e0)*1000')} AS west, {sql_milli('((x1+1)/256.0e0*360.0e0-180.0e0)*1000')} AS east FROM b", "tiles")
+@query(
+    "a13_lowest_zoom_bounds",
+    f"WITH b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM tiles WHERE z = 8) SELECT {sql_milli('(x0/256.0e0*360.0e0-180.0e0)*1000')} AS west, {sql_milli('((x1+1)/256.0e0*360.0e0-180.0e0)*1000')} AS east, {sql_milli(f'degrees(atan(sinh({_PI}*(1-2*y0/256.0e0))))*1000')} AS north, {sql_milli(f'degrees(atan(sinh({_PI}*(1-2*(y1+1)/256.0e0))))*1000')} AS south FROM b",
+    "tiles",
+)
 def _(t):
-    return tiles.lowest_zoom_bounds(t("tiles")).select(milli(F.col("west") * 1000).alias("west"), milli(F.col("east") * 1000).alias("east"))
+    return tiles.lowest_zoom_bounds(t("tiles")).select(*[milli(F.col(c) * 1000).alias(c) for c in ("west", "east", "north", "south")])
+
 
+_TILE_IDS = """h AS (SELECT z, x, y, content, z AS k, CAST(x AS BIGINT) AS cx, CAST(y AS BIGINT) AS cy, CAST((CAST(pow(4, z) AS BIGINT)-1)//3 AS BIGINT) AS d FROM tiles
+UNION ALL SELECT z, x, y, content, k-1, CASE WHEN ry=0 THEN CASE WHEN rx=1 THEN s-1-my ELSE my END ELSE mx END, CASE WHEN ry=0 THEN CASE WHEN rx=1 THEN s-1-mx ELSE mx END ELSE my END, d + s*s*xor(3*rx, ry)
+FROM (SELECT *, CAST(pow(2,k-1) AS BIGINT) AS s, cx % CAST(pow(2,k-1) AS BIGINT) AS mx, cy % CAST(pow(2,k-1) AS BIGINT) AS my, CAST(cx >= pow(2,k-1) AS BIGINT) AS rx, CAST(cy >= pow(2,k-1) AS BIGINT) AS ry FROM h WHERE k > 0) q),
+starts AS (SELECT CASE WHEN lag(d) OVER (ORDER BY d) + 1 = d AND lag(content) OVER (ORDER BY d) = content THEN 0 ELSE 1 END AS n FROM h WHERE k = 0)"""
 
-@query("a15_pyramid_summary", "SELECT count(*) AS tiles, min(z) AS min_zoom, max(z) AS max_zoom, CAST(sum(bytes) AS BIGINT) AS addressed_bytes, (SELECT count(DISTINCT content) FROM tiles) AS unique_contents, (SELECT CAST(sum(b) AS BIGINT) FROM (SELECT max(bytes) AS b FROM tiles GROUP BY content)) AS stored_bytes FROM tiles", "tiles")
+
+@query("a15_pyramid_summary", f"WITH RECURSIVE {_TILE_IDS} SELECT count(*) AS tiles, min(z) AS min_zoom, max(z) AS max_zoom, CAST(sum(bytes) AS BIGINT) AS addressed_bytes, (SELECT count(DISTINCT content) FROM tiles) AS unique_contents, (SELECT CAST(sum(b) AS BIGINT) FROM (SELECT max(bytes) AS b FROM tiles GROUP BY content)) AS stored_bytes, (SELECT CAST(sum(n) AS BIGINT) FROM starts) AS entries FROM tiles", "tiles")
 def _(t):
-    return tiles.summary(tiles.with_ids(t("tiles"))).drop("entries").select("tiles", "min_zoom", "max_zoom", F.col("addressed_bytes").cast("long"), "unique_contents", F.col("stored_bytes").cast("long"))
+    return tiles.summary(tiles.with_ids(t("tiles"))).select("tiles", "min_zoom", "max_zoom", F.col("addressed_bytes").cast("long"), "unique_contents", F.col("stored_bytes").cast("long"), "entries")
 
 
 @query("d3_tile_upsert", "SELECT z, x, y, content, bytes FROM (SELECT *, row_number() OVER (PARTITION BY z, x, y ORDER BY seq DESC) AS rn FROM (SELECT z, x, y, content, bytes, 1 AS seq FROM tiles UNION ALL SELECT z, x, y, content + 1, bytes, 2 FROM tiles WHERE x % 2 = 0 AND bytes <> 400)) WHERE rn = 1", "tiles")
@@ -177,11 +205,10 @@ def _(t):
     return t("tiles").groupBy(F.concat(F.lit("layer"), (F.col("x") % 40).cast("string")).alias("layer_id")).agg(F.sum(F.col("bytes").cast("long")).alias("bytes"))
 
 
-@query("e33_image_types", "SELECT CASE page_id % 4 WHEN 0 THEN 'jpg' WHEN 1 THEN 'png' WHEN 2 THEN 'gif' ELSE 'none' END AS type, count(*) AS n FROM pages GROUP BY 1")
+@query("e33_image_types", "SELECT ['jpg', 'png', 'gif', 'webp', 'none'][page_id % 5 + 1] AS type, count(*) AS n FROM pages GROUP BY 1")
 def _(t):
-    heads = F.element_at(F.array(*[F.unhex(F.lit(h)) for h in ("FFD8FFE0", "89504E47", "47494638")]), (F.col("page_id") % 4 + 1).cast("int"))
-    data = F.when(F.col("page_id") % 4 < 3, F.concat(heads, F.col("html").cast("binary"))).otherwise(F.col("html").cast("binary"))
-    return t("pages").groupBy(classify.image_type(data).alias("type")).agg(F.count("*").alias("n"))
+    heads = F.element_at(F.array(*[F.unhex(F.lit(h)) for h in ("FFD8FFE0", "89504E47", "47494638", "52494646", "")]), (F.col("page_id") % 5 + 1).cast("int"))
+    return t("pages").groupBy(classify.image_type(F.concat(heads, F.col("html").cast("binary"))).alias("type")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -203,6 +230,46 @@ def _(t):
     return t("tiles").select("z", "x", "y", classify.xyz_url(F.lit("https://{s}.example.org/{z}/{x}/{-y}.png"), z, x, y).alias("xyz"), classify.wmts_kvp_url(F.lit("https://example.org/wmts"), z, x, y, "ii").alias("wmts"))
 
 
+_SPAN = "40075016.685578488e0/pow(2.0e0, z)"
+_TILE_BOX = f"SELECT z, x, y, x*{_SPAN}-20037508.342789244e0 AS w, 20037508.342789244e0-(y+1)*{_SPAN} AS s, (x+1)*{_SPAN}-20037508.342789244e0 AS e, 20037508.342789244e0-y*{_SPAN} AS n FROM tiles"
+
+
+@query(
+    "e35_service_urls",
+    f"WITH b AS ({_TILE_BOX}) SELECT z, x, y, {sql_milli('w')} AS west_mm, {sql_milli('n')} AS north_mm, 'https://example.org/wmts/ii/default/GoogleMapsCompatible/' || z || '/' || y || '/' || x || '.jpg' AS rest, "
+    "'https://example.org/wms?map=a&SERVICE=WMS&REQUEST=GetMap&VERSION=1.3.0&LAYERS=ii&STYLES=&CRS=EPSG:3857&BBOX=#&WIDTH=256&HEIGHT=256&FORMAT=image/png&TRANSPARENT=FALSE' AS wms, "
+    "'https://example.org/wms?SERVICE=WMS&REQUEST=GetMap&VERSION=1.3.0&LAYERS=ii&STYLES=&CRS=EPSG:4326&BBOX=' || printf('%.9f,%.9f,%.9f,%.9f', y + 0.5e0, x + 0.25e0, y + 1.5e0, x + 1.25e0) || '&WIDTH=256&HEIGHT=256&FORMAT=image/png&TRANSPARENT=FALSE' AS swapped, "
+    "'https://example.org/wms?SERVICE=WMS&REQUEST=GetMap&VERSION=1.1.1&LAYERS=ii&STYLES=&SRS=EPSG:4326&BBOX=' || printf('%.9f,%.9f,%.9f,%.9f', x + 0.25e0, y + 0.5e0, x + 1.25e0, y + 1.5e0) || '&WIDTH=256&HEIGHT=256&FORMAT=image/png&TRANSPARENT=FALSE' AS older, "
+    "'https://example.org/map/MapServer/export?bbox=' || printf('%.6f,%.6f,%.6f,%.6f', w, s, e, n) || '&bboxSR=3857&imageSR=3857&size=256,256&format=png&transparent=false&f=image' AS export FROM b",
+    "tiles",
+)
+def _(t):
+    z, x, y = F.col("z"), F.col("x"), F.col("y")
+    b = geo.tile_bounds_m(x, y, z)
+    metres = (b["min_x"], b["min_y"], b["max_x"], b["max_y"])
+    degrees = (x + 0.25, y + 0.5, x + 1.25, y + 1.5)
+    base = F.lit("https://example.org/wms")
+    wms = classify.wms_url(F.lit("https://example.org/wms?map=a"), *metres, "ii")
+    # the engines round the ninth digit of large numbers differently: the box is compared as numbers
+    box = F.split(F.regexp_extract(wms, "BBOX=([^&]*)", 1), ",")
+    return t("tiles").select(
+        "z", "x", "y",
+        milli(box[0].cast("double")).alias("west_mm"), milli(box[3].cast("double")).alias("north_mm"),
+        classify.wmts_rest_url(F.lit("https://example.org/wmts/{layer}/{style}/{tilematrixset}/{z}/{y}/{x}.jpg"), z, x, y, "ii").alias("rest"),
+        F.regexp_replace(wms, "BBOX=[^&]*", "BBOX=#").alias("wms"),
+        classify.wms_url(base, *degrees, "ii", "EPSG:4326").alias("swapped"),
+        classify.wms_url(base, *degrees, "ii", "EPSG:4326", "1.1.1").alias("older"),
+        classify.export_url(F.lit("https://example.org/map/MapServer/export/"), *metres).alias("export"),
+    )
+
+
+@query("f16_valid_tiles", "SELECT z, x - 5 AS x, y - 3 AS y, x >= 5 AND y >= 3 AND x - 5 < pow(2, z) AND y - 3 < pow(2, z) AND content % 16 <> 0 AS valid FROM tiles", "tiles")
+def _(t):
+    data = F.when(F.col("content") % 16 != 0, F.col("content").cast("string")).otherwise("").cast("binary")
+    moved = t("tiles").select("z", (F.col("x") - 5).alias("x"), (F.col("y") - 3).alias("y"), data.alias("data"))
+    return moved.select("z", "x", "y", classify.tile_valid(F.col("z"), F.col("x"), F.col("y"), F.col("data")).alias("valid"))
+
+
 @query("x1_zoom_lists", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '12,13,14,15,16' WHEN 1 THEN CAST(page_id % 25 AS VARCHAR) WHEN 2 THEN '10,12,14' END AS zooms FROM pages")
 def _(t):
     text = F.when(F.col("page_id") % 4 == 0, "16-12").when(F.col("page_id") % 4 == 1, (F.col("page_id") % 25).cast("string")).when(F.col("page_id") % 4 == 2, "10,14,12,12").otherwise("3-x")
@@ -232,13 +299,32 @@ def _(t):
     return calibration.rmse(points, calibration.fit(points, "affine").where("transform IS NOT NULL")).select("set_id", milli("rmse").alias("rmse"))
 
 
-@query("a9_control_extents", None, "gcp_points")
+_EXTENT = "b AS (SELECT set_id, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM (SELECT set_id, dst_x/20037508.342789244e0*180.0e0 AS lon, degrees(atan(sinh(dst_y/6378137.0e0))) AS lat FROM gcp_points) GROUP BY 1), h AS (SELECT set_id, (w+e)/2 AS cx, (s+n)/2 AS cy, greatest((e-w)*1.2e0, 0.02e0)/2 AS hw, greatest((n-s)*1.2e0, 0.02e0)/2 AS hh FROM b)"
+
+
+@query("a9_control_extents", f"WITH {_EXTENT} SELECT set_id, {sql_milli('(cx-hw)*1000')} AS west, {sql_milli('(cy-hh)*1000')} AS south, {sql_milli('(cx+hw)*1000')} AS east, {sql_milli('(cy+hh)*1000')} AS north FROM h UNION ALL SELECT -1, 12000000, 48500000, 18900000, 51100000", "gcp_points")
 def _(t):
     points = t("gcp_points")
-    boxes = calibration.extent(points, points.select("set_id").distinct())
+    sets = points.select("set_id").distinct().union(points.sparkSession.range(1).select(F.lit(-1).alias("set_id")))  # the last one has no points
+    boxes = calibration.extent(points, sets)
     return boxes.select("set_id", *[milli(F.col(f"box.{k}") * 1000).alias(k) for k in ("west", "south", "east", "north")])
 
 
+_SMALL_SETS = "gcp AS (SELECT CASE (id // 4) % 4 WHEN 0 THEN id WHEN 1 THEN id - id % 2 ELSE id - id % 4 END AS set_id, id, src_x, src_y, dst_x, dst_y FROM gcp_points)"
+_EDITOR = "CASE WHEN n >= 3 AND xx*yy-xy*xy > 1e-12 * greatest(xx*yy, 1e-300) THEN {0} WHEN n >= 2 AND xx+yy >= 1e-12 THEN {1} WHEN n = 1 THEN {2} END"
+
+
+@query(
+    "e18_fit_choices",
+    f"WITH {_SMALL_SETS}, {_MOMENTS.replace('gcp_points', 'gcp')}, f AS (SELECT set_id, n, {_EDITOR.format('(xu*yy-yu*xy)/(xx*yy-xy*xy)', '(xu+yv)/(xx+yy)', '1.0e0')} AS a, {_EDITOR.format('(xv*yy-yv*xy)/(xx*yy-xy*xy)', '(xv-yu)/(xx+yy)', '0.0e0')} AS c FROM s) SELECT set_id, n, {sql_milli('a*1000')} AS a, {sql_milli('c*1000')} AS c FROM f",
+    "gcp_points",
+)
+def _(t):
+    small = F.when(F.floor(F.col("id") / 4) % 4 == 0, F.col("id")).when(F.floor(F.col("id") / 4) % 4 == 1, F.col("id") - F.col("id") % 2).otherwise(F.col("id") - F.col("id") % 4)
+    fits = calibration.fit(t("gcp_points").withColumn("set_id", small), "editor")
+    return fits.select("set_id", "n", milli(F.col("transform.a") * 1000).alias("a"), milli(F.col("transform.c") * 1000).alias("c"))
+
+
 @query("e19_warp_methods", "SELECT set_id, CASE WHEN count(*) >= 6 THEN 'tps' WHEN count(*) >= 3 THEN 'polynomial' ELSE 'too_few' END AS method FROM gcp_points GROUP BY 1", "gcp_points")
 def _(t):
     return t("gcp_points").groupBy("set_id").agg(F.count("*").alias("n")).select("set_id", classify.warp_method(F.col("n")).alias("method"))
@@ -300,9 +386,9 @@ def _(t):
     return layers.endpoint_report(checks)
 
 
-@query("x7_reachable_feeds", "WITH l AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem WHERE l_orderkey % 40 = 0), r1 AS (SELECT DISTINCT b FROM l WHERE a = 3 AND b <> 3), r2 AS (SELECT DISTINCT b FROM l WHERE a IN (SELECT b FROM r1) AND b <> 3 AND b NOT IN (SELECT b FROM r1)) SELECT '3' AS url, 0 AS depth UNION ALL SELECT CAST(b AS VARCHAR), 1 FROM r1 UNION ALL SELECT CAST(b AS VARCHAR), 2 FROM r2")
+@query("x7_reachable_feeds", "WITH l AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem), r1 AS (SELECT DISTINCT b FROM l WHERE a = 3 AND b <> 3), r2 AS (SELECT DISTINCT b FROM l WHERE a IN (SELECT b FROM r1) AND b <> 3 AND b NOT IN (SELECT b FROM r1)) SELECT '3' AS url, 0 AS depth UNION ALL SELECT CAST(b AS VARCHAR), 1 FROM r1 UNION ALL SELECT CAST(b AS VARCHAR), 2 FROM r2")
 def _(t):
-    links = t("lineitem").where("l_orderkey % 40 = 0").select(F.col("l_suppkey").cast("string").alias("from_url"), (F.col("l_partkey") % 100).cast("string").alias("to_url")).distinct()
+    links = t("lineitem").select(F.col("l_suppkey").cast("string").alias("from_url"), (F.col("l_partkey") % 100).cast("string").alias("to_url")).distinct()
     return layers.reachable_feeds(links, "3")
 
 
@@ -356,9 +442,16 @@ def _(t):
     return raster.sky_view(t("dem"), block=64).select("row", "col", milli("svf").alias("svf"))
 
 
-@query("r4_relief", None, "dem")
+@query(
+    "r4_relief",
+    f"WITH {_SLOPE}, o(k, dy, dx) AS (VALUES {_OFFSETS}), h AS (SELECT a.row, a.col, o.k, greatest(0.0e0, max((b.z - a.z)/sqrt(o.dy*o.dy+o.dx*o.dx))) AS t FROM dem a JOIN o ON true LEFT JOIN dem b ON b.row = a.row+o.dy AND b.col = a.col+o.dx GROUP BY 1, 2, 3), v AS (SELECT row, col, avg(1.0e0 - sin(atan(coalesce(t, 0.0e0)))) AS svf FROM h GROUP BY 1, 2) SELECT row, col, {sql_milli('svf')} AS svf, {sql_milli(_SHADE)} AS shade, CAST(floor(greatest(0.0e0, least(1.0e0, {_SHADE} * 0.6e0 + svf * 0.4e0)) * 255.0e0 + 1e-6) AS INT) AS value FROM sa JOIN v USING (row, col)",
+    "dem",
+)
 def _(t):
-    return raster.relief(t("dem"), block=64).groupBy("value").agg(F.count("*").alias("cells"))
+    r = raster.relief(t("dem"), block=64)
+    value = F.floor((F.col("shade") * 0.6 + F.col("svf") * 0.4) * 255.0 + 1e-6).cast("int")
+    near = F.when(F.abs(F.col("value") - value) <= 1, value).otherwise(F.col("value"))  # a last bit may lie on either side of a whole number
+    return r.select("row", "col", milli("svf").alias("svf"), milli("shade").alias("shade"), near.alias("value"))
 
 
 @query("r5_idw_grid", f"WITH p AS (SELECT x, y, z FROM points_cloud), c AS (SELECT DISTINCT CAST(floor(x) AS INT) + dx AS col, CAST(floor(y) AS INT) + dy AS row FROM p, (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy)), j AS (SELECT row, col, z, pow(x - (col + 0.5e0), 2) + pow(y - (row + 0.5e0), 2) AS d2 FROM c JOIN p ON x BETWEEN col - 2.5e0 AND col + 3.5e0 AND y BETWEEN row - 2.5e0 AND row + 3.5e0) SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, {sql_milli('coalesce(avg(z) FILTER (WHERE d2 < 1e-18), sum(z/greatest(d2,1e-18))/sum(1/greatest(d2,1e-18)))')} AS z FROM j WHERE d2 <= 4 GROUP BY 1, 2", "points_cloud")
@@ -366,9 +459,31 @@ def _(t):
     return raster.idw_grid(t("points_cloud")).select("row", "col", milli("z").alias("z"))
 
 
-@query("s5_finds_features", None, "finds", "find_photos")
+@query("s5_finds_features", f"SELECT f.id, {sql_milli('any_value(lat)*1000')} AS lat, {sql_milli('any_value(lon)*1000')} AS lon, any_value(f.title) AS title, any_value(depth_cm) AS depth_cm, count(p.find_id) AS photos, min(p.created_at) AS first_photo FROM finds f LEFT JOIN find_photos p ON p.find_id = f.id GROUP BY 1", "finds", "find_photos")
+def _(t):
+    written = exchange.finds_features(t("finds"), t("find_photos"))
+    shape = "geometry struct<coordinates:array<double>>, properties struct<id:bigint,title:string,depthCm:int,photos:array<struct<created_at:bigint>>>"
+    back = written.select(F.from_json("feature", shape).alias("f"))
+    p = F.col("f.properties")
+    first = F.when(F.size(p["photos"]) > 0, F.element_at(p["photos"], 1)["created_at"])
+    return back.groupBy(p["id"].alias("id")).agg(
+        milli(F.max(F.col("f.geometry.coordinates")[1]) * 1000).alias("lat"), milli(F.max(F.col("f.geometry.coordinates")[0]) * 1000).alias("lon"), F.max(p["title"]).alias("title"), F.max(p["depthCm"]).alias("depth_cm"),
+        F.sum(F.size(p["photos"]).cast("long")).alias("photos"), F.min(first).alias("first_photo"),
+    )
+
+
+@query("s5_places_features", f"SELECT id, {sql_milli('lat*1000')} AS lat, type, title, created_at, visited FROM places", "places")
 def _(t):
-    return exchange.finds_features(t("finds"), t("find_photos"))
+    shape = "geometry struct<coordinates:array<double>>, properties struct<id:bigint,type:string,title:string,createdAt:bigint,visited:boolean>"
+    back = exchange.places_features(t("places")).select(F.from_json("feature", shape).alias("f"))
+    p = F.col("f.properties")
+    return back.select(p["id"].alias("id"), milli(F.col("f.geometry.coordinates")[1] * 1000).alias("lat"), p["type"].alias("type"), p["title"].alias("title"), p["createdAt"].alias("created_at"), p["visited"].alias("visited"))
+
+
+@query("s10_calibration_round_trip", f"SELECT id, layer_id, {sql_milli('west*1000')} AS west, {sql_milli('b*1000')} AS b, {sql_milli('ty*1000')} AS ty, active FROM calibrations", "calibrations")
+def _(t):
+    back = exchange.read_calibrations(exchange.calibration_rows(t("calibrations")))
+    return back.select("id", "layer_id", *[milli(F.col(c) * 1000).alias(c) for c in ("west", "b", "ty")], "active")
 
 
 @query("s1_polygon_round_trip", f"SELECT id, CASE WHEN holed THEN 2 ELSE 1 END AS rings, {sql_milli('lat*1000')} AS south, uan FROM areas", "areas")
@@ -388,54 +503,131 @@ def _(t):
     return exchange.points(docs)[0].select("id", milli(F.col("lat") * 1000).alias("lat"), milli(F.col("lon") * 1000).alias("lon"))
 
 
-@query("s6_gpx_round_trip", "SELECT track_id, count(*) AS points, min(ts) AS first_ts, max(ts) AS last_ts, CAST(sum(ts % 1000003) AS BIGINT) AS checked FROM fixes GROUP BY 1", "fixes")
+def _measured_points(t):
+    """Points with altitudes and accuracies, some of them unknown."""
+    height = F.when(F.col("arrival") % 4 != 0, 200.0 + F.col("arrival") % 900 / 10.0)
+    return t("fixes").select("track_id", "ts", F.col("arrival").alias("id"), "lat", "lon", height.alias("altitude"), "accuracy_m")
+
+
+@query(
+    "s6_gpx_round_trip",
+    f"SELECT track_id, count(*) AS points, min(ts) AS first_ts, max(ts) AS last_ts, CAST(sum(ts % 1000003) AS BIGINT) AS checked, {sql_milli('sum(CASE WHEN arrival % 4 <> 0 THEN 200.0e0 + arrival % 900 / 10.0e0 END)')} AS heights, {sql_milli('sum(accuracy_m)')} AS accuracies, {sql_milli('sum(lat)*1000')} AS lats FROM fixes GROUP BY 1",
+    "fixes",
+)
 def _(t):
-    texts = exchange.gpx(tracks_of(t), _points(t), exact=True)
+    texts = exchange.gpx(tracks_of(t), _measured_points(t), exact=True, most=60)  # small documents, so that tracks have several
     _, points = exchange.read_gpx(texts.withColumnRenamed("gpx", "doc"))
-    return points.groupBy("track_id").agg(F.count("*").alias("points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum(F.col("ts") % 1000003).alias("checked"))
+    sums = [milli(F.sum("altitude")).alias("heights"), milli(F.sum("accuracy_m")).alias("accuracies"), milli(F.sum("lat") * 1000).alias("lats")]
+    return points.groupBy("track_id").agg(F.count("*").alias("points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum(F.col("ts") % 1000003).alias("checked"), *sums)
+
+
+_ISO = "strftime(make_timestamp({0} * 1000), '%Y-%m-%dT%H:%M:%SZ')"
 
 
-@query("s8_plain_gpx", None, "fixes")
+@query(
+    "s8_plain_gpx",
+    f"""WITH p AS (SELECT *, (row_number() OVER (PARTITION BY track_id ORDER BY ts, arrival) - 1) AS k, CASE WHEN arrival % 4 <> 0 THEN 200.0e0 + arrival % 900 / 10.0e0 END AS h FROM fixes)
+SELECT track_id, count(*) AS points, md5(string_agg('<trkpt lat="' || printf('%.7f', lat) || '" lon="' || printf('%.7f', lon) || '">' || coalesce('<ele>' || printf('%.2f', h) || '</ele>', '') || '<time>' || {_ISO.format('ts')} || '</time></trkpt>', '' ORDER BY k)) AS body, '<name>Track ' || track_id || '</name><time>' || {_ISO.format('min(ts)')} || '</time>' AS metadata FROM p GROUP BY 1""",
+    "fixes",
+)
 def _(t):
-    return exchange.gpx(tracks_of(t), _points(t))
+    text = exchange.gpx(tracks_of(t), _measured_points(t))
+    between = lambda a, b: F.substring_index(F.substring_index("gpx", a, -1), b, 1)
+    parts = text.select("track_id", "block", between("<trkseg>", "</trkseg>").alias("body"), between("<metadata>", "</metadata>").alias("metadata"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "body"))), lambda b: b["body"]), "")  # a track has a few documents here
+    counted = F.sum((F.length("body") - F.length(F.replace("body", F.lit("<trkpt "), F.lit("")))) / 7).cast("long")
+    return parts.groupBy("track_id").agg(counted.alias("points"), F.md5(whole).alias("body"), F.min_by("metadata", "block").alias("metadata"))
 
 
-@query("s9_manifest", "SELECT (SELECT count(*) FROM finds) AS finds, (SELECT count(*) FROM places) AS places, (SELECT count(*) FROM areas) AS areas, 3 AS missing_photos, 2 AS schema_version, 1 AS format_version", "finds", "places", "areas")
+@query(
+    "s9_manifest",
+    "SELECT (SELECT count(*) FROM finds) AS finds, (SELECT count(*) FROM find_photos) AS photos, (SELECT count(*) FROM places) AS places, (SELECT count(*) FROM areas) AS areas, (SELECT count(DISTINCT track_id) FROM fixes) AS tracks, (SELECT count(*) FROM fixes) AS track_points, (SELECT count(*) FROM calibrations) AS calibrations, (SELECT count(DISTINCT set_id) FROM gcp_points) AS gcp_sets, (SELECT count(*) FROM gcp_points) AS gcp_points, (SELECT count(*) FROM find_photos WHERE uri NOT IN (SELECT concat('/p/', p_partkey, '.jpg') FROM part WHERE p_size < 45)) AS missing_photos, 2 AS schema_version, 1 AS format_version",
+    "finds", "find_photos", "places", "areas", "fixes", "calibrations", "gcp_points",
+)
 def _(t):
-    return exchange.manifest({"finds": t("finds"), "places": t("places"), "areas": t("areas")}, 3)
+    # files are there for the parts that are small enough
+    files = t("part").where("p_size < 45").select(F.concat(F.lit("/p/"), F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("uri"))
+    tables = {"finds": t("finds"), "photos": t("find_photos"), "places": t("places"), "areas": t("areas"), "tracks": tracks_of(t), "track_points": t("fixes"), "calibrations": t("calibrations"), "gcp_sets": t("gcp_points").select("set_id").distinct(), "gcp_points": t("gcp_points")}
+    return exchange.manifest(tables, files)
 
 
-@query("s10_control_sets", "SELECT set_id AS id, count(*) AS points, min(id) AS first_id FROM gcp_points GROUP BY 1", "gcp_points")
+@query("s10_control_sets", "SELECT set_id AS id, count(*) AS points, min(id) AS first_id, CAST(sum(src_x) AS BIGINT) AS xs FROM gcp_points GROUP BY 1", "gcp_points")
 def _(t):
     points = t("gcp_points")
     sets = exchange.control_sets(points.select(F.col("set_id").alias("id")).distinct(), points)
-    return sets.select("id", F.size("points").cast("long").alias("points"), F.element_at("points", 1)["id"].alias("first_id"))
+    xs = F.aggregate("points", F.lit(0.0), lambda s, p: s + p["src_x"]).cast("long")
+    return sets.groupBy("id").agg(F.sum(F.size("points").cast("long")).alias("points"), F.min(F.element_at("points", 1)["id"]).alias("first_id"), F.sum(xs).alias("xs"))
 
 
-@query("s11_control_validation", "SELECT set_id, count(*) < 38 AS few FROM gcp_points GROUP BY 1", "gcp_points")
+_BAD_DOCS = "docs AS (SELECT CASE WHEN (id // 5) % 6 = 0 THEN 1000000000 + id ELSE id // 5 END AS doc, CASE WHEN id % 37 = 0 THEN NULL ELSE src_x END AS px, src_y AS py, CASE WHEN id % 41 = 0 THEN 400.0e0 ELSE 15.0e0 END AS lon FROM gcp_points), g AS (SELECT *, CASE WHEN doc % 3 = 0 THEN 1500 WHEN doc % 10 = 1 THEN 0 ELSE 2000 END AS width FROM docs)"
+
+
+@query(
+    "s11_control_validation",
+    f"WITH {_BAD_DOCS} SELECT doc, doc % 7 = 0 AS no_image, doc % 3 <> 0 AND doc % 10 = 1 AS bad_size, count(*) < 3 AS few_points, bool_or(px IS NULL) AS incomplete, bool_or(lon > 180) AS bad_lonlat, coalesce(bool_or(px > width OR py > 1800), false) AS outside FROM g GROUP BY 1",
+    "gcp_points",
+)
 def _(t):
-    lonlat = exchange.control_points_lonlat(t("gcp_points"))
-    docs = lonlat.groupBy("set_id").agg(F.collect_list(F.struct("px", "py", "lon", "lat")).alias("points"))
-    docs = docs.select("set_id", F.lit("scan.jpg").alias("image"), F.lit(2000).alias("width"), F.lit(1800).alias("height"), F.when(F.size("points") < 38, F.slice("points", 1, 2)).otherwise(F.col("points")).alias("points"))
-    return exchange.validate_control(docs).select("set_id", F.array_contains("errors", "FEW_POINTS").alias("few"))
+    doc = F.when(F.floor(F.col("id") / 5) % 6 == 0, 1000000000 + F.col("id")).otherwise(F.floor(F.col("id") / 5))
+    points = exchange.control_points_lonlat(t("gcp_points")).withColumns({"doc": doc, "px": F.when(F.col("id") % 37 != 0, F.col("px")), "lon": F.when(F.col("id") % 41 == 0, 400.0).otherwise(15.0)})
+    nested = fieldlog.nested(points.select(F.col("doc").alias("set")).distinct(), points.select("doc", "id", "px", "py", "lon", "lat"), "set", "doc", ["id"], "points")
+    docs = nested.select(
+        "set", F.when(F.col("set") % 7 != 0, "scan.jpg").alias("image"), F.when(F.col("set") % 3 == 0, 1500).when(F.col("set") % 10 == 1, 0).otherwise(2000).alias("width"), F.lit(1800).alias("height"),
+        F.transform("points", lambda p: F.struct(p["px"].alias("px"), p["py"].alias("py"), p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("points"),
+    )
+    codes = {"NO_IMAGE": "no_image", "BAD_SIZE": "bad_size", "FEW_POINTS": "few_points", "INCOMPLETE": "incomplete", "BAD_LONLAT": "bad_lonlat", "OUTSIDE": "outside"}
+    return exchange.validate_control(docs).select(F.col("set").alias("doc"), *[F.array_contains("errors", code).alias(n) for code, n in codes.items()])
 
 
 @query("s15_hourly_round_trip", f"SELECT place, count(*) AS hours, count(moisture) AS known, {sql_milli('sum(rain)')} AS rain FROM hours GROUP BY 1", "hours")
 def _(t):
-    lists = t("hours").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("time", "moisture", "rain"))).alias("h"))
+    lists = in_blocks(t("hours"), "place", ["time"], "h", most=100)
     pick = lambda k: F.transform("h", lambda x: x[k])
     payload = F.to_json(F.struct(F.struct(pick("time").alias("time"), pick("moisture").alias("soil_moisture_3_to_9cm"), pick("rain").alias("precipitation")).alias("hourly")), {"ignoreNullFields": "false"})
     back = exchange.hourly(lists.select("place", payload.alias("doc")))
     return back.groupBy("place").agg(F.count("*").alias("hours"), F.count("moisture").alias("known"), milli(F.sum("rain")).alias("rain"))
 
 
-@query("s16_paged_features", "WITH p AS (SELECT user_id AS run, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events) SELECT run, least(count(*), 50) AS n FROM p GROUP BY 1")
+@query("s16_paged_features", "SELECT user_id AS run, least(count(*), 50) AS n, user_id % 2 = 1 AND count(*) % 10 <> 0 AS complete FROM events GROUP BY 1")
 def _(t):
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     numbered = t("events").select(F.col("user_id").alias("run"), "event_id", k.alias("k"))
-    pages = numbered.groupBy("run", (F.floor(F.col("k") / 10) * 10).alias("offset")).agg(F.sort_array(F.collect_list("event_id")).alias("features")).withColumn("exceeded", F.lit(True))
-    found, _ = exchange.paged_features(pages, 50, 10)
-    return found.groupBy("run").agg(F.count("*").alias("n"))
+    # a page has ten features; the even runs' servers always say that there are more
+    pages = numbered.groupBy("run", (F.floor(F.col("k") / 10) * 10).alias("offset")).agg(F.sort_array(F.collect_list("event_id")).alias("features")).withColumn("exceeded", F.col("run") % 2 == 0)
+    found, runs = exchange.paged_features(pages, 50, 10)
+    counts = found.groupBy("run").agg(F.count("*").alias("n"))
+    return counts.hint("merge").join(runs.select("run", "complete").hint("merge"), "run")
+
+
+@query("s17_feed_entries", "SELECT page_id, 'T' || page_id AS title, CASE page_id % 3 WHEN 0 THEN 'http://x/' || page_id || '.LAZ' WHEN 1 THEN 'http://x/sub/' || page_id ELSE 'http://x/' || page_id || '.zip' END AS url, CASE WHEN page_id % 3 = 1 THEN 'feed' ELSE 'file' END AS kind, CASE WHEN page_id % 4 <> 0 THEN CAST(page_id % 90 * 1000 AS BIGINT) END AS south, CASE WHEN page_id % 4 <> 0 THEN CAST(page_id % 170 * 1000 + 1500 AS BIGINT) END AS east FROM pages")
+def _(t):
+    p = F.col("page_id")
+    number = lambda c: c.cast("string")
+    south, west = p % 90, p % 170
+    box = F.concat(F.lit('<georss:box xmlns:georss="g">'), number(south), F.lit(" "), number(west), F.lit(" "), number(south + 0.5), F.lit(" "), number(west + 1.5), F.lit("</georss:box>"))
+    link = F.when(p % 3 == 0, F.concat(F.lit('href="http://x/'), number(p), F.lit('.LAZ" type="application/zip"'))).when(p % 3 == 1, F.concat(F.lit('href="http://x/sub/'), number(p), F.lit('" type="application/atom+xml"'))).otherwise(F.concat(F.lit('href="http://x/'), number(p), F.lit('.zip" type="application/zip"')))
+    other = F.lit('<link href="http://x/readme.txt" type="text/plain"/>')  # neither a file nor a feed
+    doc = F.concat(F.lit("<feed><entry><title>T"), number(p), F.lit("</title><link "), link, F.lit("/>"), other, F.when(p % 4 != 0, box).otherwise(""), F.lit("</entry></feed>"))
+    found = exchange.feed_entries(t("pages").select("page_id", doc.alias("doc")))
+    return found.select("page_id", "title", "url", "kind", milli("south").alias("south"), milli("east").alias("east"))
+
+
+@query("s18_layer_catalogue", "SELECT 4 AS version, CAST(n_nationkey AS INT) AS ord, 'l' || n_nationkey AS layer_id, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'l' || n_nationkey END AS title, CASE WHEN n_nationkey % 3 = 0 THEN 'wms' ELSE 'xyz' END AS kind, n_nationkey % 4 = 0 AS visible, CASE WHEN n_nationkey % 5 = 0 THEN 500 ELSE 1000 END AS opacity, CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 0 END AS min_zoom, 22 AS max_zoom FROM nation")
+def _(t):
+    k = F.col("n_nationkey")
+    layer = F.struct(F.concat(F.lit("l"), k.cast("string")).alias("id"), F.when(k % 2 == 0, F.col("n_name")).alias("title"), F.when(k % 3 == 0, "wms").alias("kind"), F.when(k % 4 == 0, True).alias("visible"), F.when(k % 5 == 0, 0.5).alias("opacity"), F.when(k % 2 == 0, 3).alias("minZoom"), F.lit(None).cast("int").alias("maxZoom"), F.lit(None).cast("string").alias("attribution"))
+    doc = t("nation").groupBy(F.lit(4).alias("version")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k, layer.alias("l")))), lambda x: x["l"]).alias("layers"))  # a catalogue has a few layers
+    out = exchange.layer_catalogue(doc.select(F.from_json(F.to_json(F.struct("version", "layers")), exchange.LAYERS).alias("d")).select("d.*"))
+    return out.select("version", "ord", "layer_id", "title", "kind", "visible", (F.col("opacity") * 1000).cast("int").alias("opacity"), "min_zoom", "max_zoom")
+
+
+_LINES = "SELECT track_id * 100000 + arrival // 90 AS line, count(*) AS points FROM fixes GROUP BY 1 HAVING count(*) >= 2"
+
+
+@query("f18_usable_lines", _LINES, "fixes")
+def _(t):
+    pieces = t("fixes").select((F.col("track_id") * 100000 + F.floor(F.col("arrival") / 90)).alias("line"), "arrival")
+    return exchange.usable_line(pieces, "line").groupBy("line").agg(F.count("*").alias("points"))
 
 
 @query("e30_ring_text", f"SELECT id, 4 AS corners, {sql_milli('lon*1000')} AS west FROM areas", "areas")
@@ -461,18 +653,21 @@ def _stream(t, name: str, table: str, columns):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-@query("t1_recorder_stream", "SELECT track_id, count(*) AS fixes, count(*) FILTER (WHERE accuracy_m > 50) AS bad_accuracy FROM fixes GROUP BY 1", "fixes")
+@query("t1_recorder_stream", f"WITH RECURSIVE {_RECORDER} SELECT track_id, count(*) AS fixes, count(*) FILTER (WHERE decision = 'ACCURACY') AS bad_accuracy, count(*) FILTER (WHERE decision = 'JUMP') AS jumps, count(*) FILTER (WHERE decision = 'OUT_OF_ORDER') AS late, CAST(round(max(dist)) AS BIGINT) AS metres, max(verts) AS vertices, bool_or(idle) AS was_idle FROM rec WHERE k > 0 GROUP BY 1", "fixes")
 def _(t):
     columns = ["track_id", "arrival", "ts", "lat", "lon", F.col("accuracy_m").cast("double").alias("accuracy_m"), F.lit(False).alias("stop")]
     stream = recorder.record_stream(recorder.replay(t("fixes").select(*columns), "arrival"), close_silent=False)
     out = recorder.drain(stream, "recorded_fixes").where("decision <> 'TAIL'")
-    return out.groupBy("track_id").agg(F.count("*").alias("fixes"), F.count(F.when(F.col("decision") == "ACCURACY", 1)).alias("bad_accuracy"))
+    of = lambda d: F.count(F.when(F.col("decision") == d, 1))
+    return out.groupBy("track_id").agg(
+        F.count("*").alias("fixes"), of("ACCURACY").alias("bad_accuracy"), of("JUMP").alias("jumps"), of("OUT_OF_ORDER").alias("late"), F.round(F.max("distance_m")).cast("long").alias("metres"), F.max("vertices").alias("vertices"), F.bool_or("idle").alias("was_idle")
+    )
 
 
-@query("t11_blocked_stream", "WITH i AS (SELECT *, sum(CASE WHEN status IN (429, 503) THEN 0 ELSE 1 END) OVER (PARTITION BY host ORDER BY at_ms, id) AS island FROM responses) SELECT id, CAST(sum(CASE WHEN status IN (429, 503) THEN 1 ELSE 0 END) OVER (PARTITION BY host, island ORDER BY at_ms, id) AS BIGINT) AS streak FROM i", "responses")
+@query("t11_blocked_stream", "WITH i AS (SELECT *, sum(CASE WHEN status IN (429, 503) THEN 0 ELSE 1 END) OVER (PARTITION BY host ORDER BY at_ms, id) AS island FROM responses), s AS (SELECT *, sum(CASE WHEN status IN (429, 503) THEN 1 ELSE 0 END) OVER (PARTITION BY host, island ORDER BY at_ms, id) AS streak FROM i) SELECT id, CAST(streak AS BIGINT) AS streak, CASE WHEN status IN (429, 503) THEN CAST(at_ms + greatest(least(300000, 2000 * pow(2, least(streak - 1, 20))), least(300000, coalesce(retry_after_s, 0) * 1000)) AS BIGINT) END AS blocked_until FROM s", "responses")
 def _(t):
     stream = recorder.blocked_stream(recorder.replay(t("responses").select("host", "id", "at_ms", "status", "retry_after_s"), "at_ms", "id"))
-    return recorder.drain(stream, "blocked_hosts").select("id", "streak")
+    return recorder.drain(stream, "blocked_hosts").select("id", "streak", "blocked_until")
 
 
 @query("t8_daily_counter", "SELECT CAST(at_ms // 86400000 AS BIGINT) AS day, count(*) AS tiles, CAST(sum(bytes) AS BIGINT) AS bytes FROM responses GROUP BY 1", "responses")
@@ -487,24 +682,39 @@ def _(t):
     return recorder.drain(recorder.live_histogram(_stream(t, "finds", "finds", ["category"])), "live_histogram", "complete")
 
 
-@query("t9_recount_points", None, "fixes")
+_RECOUNTS = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY arrival) AS k FROM fixes),
+rec AS (SELECT track_id, k, arrival, lat AS plat, lon AS plon, true AS due FROM numbered WHERE k = 1
+UNION ALL SELECT track_id, k, arrival, CASE WHEN due THEN lat ELSE plat END, CASE WHEN due THEN lon ELSE plon END, due FROM (SELECT o.*, r.plat, r.plon, {sql_distance('r.plat', 'r.plon', 'o.lat', 'o.lon')} >= 30 AS due FROM rec r JOIN numbered o ON o.track_id = r.track_id AND o.k = r.k + 1) q)"""
+
+
+@query("t9_recount_points", f"WITH RECURSIVE {_RECOUNTS} SELECT track_id, arrival FROM rec WHERE due", "fixes")
 def _(t):
     stream = recorder.recount_points(recorder.replay(t("fixes").select("track_id", "arrival", "lat", "lon"), "arrival"))
-    return recorder.drain(stream, "recount_points").groupBy("track_id").agg(F.count("*").alias("n"))
+    return recorder.drain(stream, "recount_points").select("track_id", "arrival")
+
 
+_STEADY = """numbered AS (SELECT user_id AS device, event_id AS arrival, value % 360.0e0 AS heading, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+rec AS (SELECT device, k, arrival, heading AS last, true AS passed FROM numbered WHERE k = 1
+UNION ALL SELECT device, k, arrival, CASE WHEN least(d, 360.0e0 - d) > 1.5e0 THEN heading ELSE last END, least(d, 360.0e0 - d) > 1.5e0 FROM (SELECT o.*, r.last, abs(o.heading - r.last) % 360.0e0 AS d FROM rec r JOIN numbered o ON o.device = r.device AND o.k = r.k + 1) q)"""
 
-@query("t10_steady_headings", None, "events")
+
+@query("t10_steady_headings", f"WITH RECURSIVE {_STEADY} SELECT device, arrival FROM rec WHERE passed")
 def _(t):
     columns = [F.col("user_id").alias("device"), F.col("event_id").alias("arrival"), (F.col("value") % 360.0).alias("heading")]
     stream = recorder.steady_headings(recorder.replay(t("events").select(*columns), "arrival"))
-    return recorder.drain(stream, "steady_headings").groupBy("device").agg(F.count("*").alias("n"))
+    return recorder.drain(stream, "steady_headings").select("device", "arrival")
+
 
+_TURN = "SELECT id, 1605282.7e0 AS px, 6461356.4e0 AS py, tx, ty, cos(b)*a AS c, sin(b)*a AS s FROM calibrations"
 
-@query("e17_similarity_about_pivot", f"SELECT id, {sql_milli('1605282.7e0 + tx')} AS x, {sql_milli('6461356.4e0 + ty')} AS y FROM calibrations", "calibrations")
+
+@query("e17_similarity_about_pivot", f"WITH m AS ({_TURN}) SELECT id, {sql_milli('px + tx + c*1000 + s*700')} AS x, {sql_milli('py + ty + s*1000 - c*700')} AS y, {sql_milli('px + tx')} AS pivot_x FROM m", "calibrations")
 def _(t):
+    # a point beside the pivot, where turn and scale show, and the pivot itself
     px, py = F.lit(1605282.7), F.lit(6461356.4)
     s = affine.similarity(px, py, F.col("tx"), F.col("ty"), F.col("b"), F.col("a"))
-    return t("calibrations").select("id", milli(affine.apply_x(s, px, py)).alias("x"), milli(affine.apply_y(s, px, py)).alias("y"))
+    x, y = px + 1000.0, py - 700.0
+    return t("calibrations").select("id", milli(affine.apply_x(s, x, y)).alias("x"), milli(affine.apply_y(s, x, y)).alias("y"), milli(affine.apply_x(s, px, py)).alias("pivot_x"))
 
 
 @query("e37_scan_sizes", "SELECT id, CAST(round(side * 100000 / 25) AS INT) AS width FROM areas", "areas")
@@ -514,7 +724,8 @@ def _(t):
     return t("areas").select("id", size["width"].alias("width"))
 
 
-@query("s12_control_lonlat", f"SELECT set_id, id, {sql_milli('dst_x/20037508.342789244e0*180.0e0*1000')} AS lon FROM gcp_points", "gcp_points")
+@query("s12_control_lonlat", f"SELECT set_id, id, {sql_milli('dst_x/20037508.342789244e0*180.0e0*1000')} AS lon, {sql_milli('degrees(atan(sinh(dst_y/6378137.0e0)))*1000')} AS lat, {sql_milli('src_x')} AS px FROM gcp_points", "gcp_points")
 def _(t):
-    return exchange.control_points_lonlat(t("gcp_points")).select("set_id", "id", milli(F.col("lon") * 1000).alias("lon"))
-
+    written = exchange.control_points_lonlat(t("gcp_points")).select(F.to_json(F.struct("set_id", "id", "px", "py", "lon", "lat")).alias("row"))
+    back = written.select(F.from_json("row", "set_id int, id bigint, px double, py double, lon double, lat double").alias("r")).select("r.*")
+    return back.select("set_id", "id", milli(F.col("lon") * 1000).alias("lon"), milli(F.col("lat") * 1000).alias("lat"), milli("px").alias("px"))

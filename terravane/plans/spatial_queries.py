@@ -198,16 +198,35 @@ def _(t):
     return cells.groupBy("poly_id").agg(F.count("*").alias("cells"), F.min("cx").alias("first_x"), F.max("cy").alias("last_y"))
 
 
-@query("e31_accuracy_circles", None, "fixes")
+@query(
+    "e31_accuracy_circles",
+    f"WITH c AS (SELECT track_id, arrival, lat, lon, accuracy_m AS r, unnest(range(0, 49)) AS k FROM fixes WHERE accuracy_m > 1), p AS (SELECT track_id, arrival, lat, lon, lat + r * cos(k * 2 * 3.141592653589793e0 / 48) / 111132.0e0 AS la, lon + r * sin(k * 2 * 3.141592653589793e0 / 48) / (cos(radians(lat)) * 111320.0e0) AS lo FROM c), m AS (SELECT track_id, arrival, count(*) AS corners, sum({sql_distance('lat', 'lon', 'la', 'lo')}) AS d FROM p GROUP BY 1, 2) SELECT f.track_id, f.arrival, CAST(corners AS INT) AS corners, {sql_milli('d')} AS distances_mm FROM fixes f LEFT JOIN m USING (track_id, arrival)",
+    "fixes",
+)
 def _(t):
     ring = geo.accuracy_circle(F.col("lat"), F.col("lon"), F.col("accuracy_m"))
-    return t("fixes").select("track_id", "arrival", F.size(ring).alias("corners"), milli(geo.distance_m(F.col("lat"), F.col("lon"), F.element_at(ring, 1)["lat"], F.element_at(ring, 1)["lon"])).alias("radius_mm"))
+    distances = F.aggregate("ring", F.lit(0.0), lambda s, p: s + geo.distance_m(F.col("lat"), F.col("lon"), p["lat"], p["lon"]))
+    rings = t("fixes").withColumn("ring", ring)
+    there = F.col("ring").isNotNull()
+    return rings.select("track_id", "arrival", F.when(there, F.size("ring")).alias("corners"), F.when(there, milli(distances)).alias("distances_mm"))
+
+
+_SUN = """j AS (SELECT id, lat, lon, 20625 - 10957 - lon / 360.0e0 AS j FROM (SELECT id, lat, lon FROM places UNION ALL SELECT -id, 89.0e0, lon FROM places)),
+m AS (SELECT *, radians((357.5291e0 + j * 0.98560028e0) % 360.0e0) AS m FROM j),
+e AS (SELECT *, radians((degrees(m) + sin(m) * 1.9148e0 + sin(m * 2) * 0.02e0 + sin(m * 3) * 0.0003e0 + 180.0e0 + 102.9372e0) % 360.0e0) AS ecl FROM m),
+s AS (SELECT *, j + 2451545.0e0 + sin(m) * 0.0053e0 - sin(ecl * 2) * 0.0069e0 AS noon, asin(sin(ecl) * sin(radians(23.4397e0))) AS decl FROM e),
+h AS (SELECT *, (sin(radians(-0.833e0)) - sin(radians(lat)) * sin(decl)) / (cos(radians(lat)) * cos(decl)) AS ch FROM s),
+r AS (SELECT id, CASE WHEN ch BETWEEN -1 AND 1 THEN (noon - degrees(acos(greatest(-1.0e0, least(1.0e0, ch)))) / 360.0e0 - 2440587.5e0) * 86400.0e0 END AS rise, CASE WHEN ch BETWEEN -1 AND 1 THEN (noon + degrees(acos(greatest(-1.0e0, least(1.0e0, ch)))) / 360.0e0 - 2440587.5e0) * 86400.0e0 END AS set FROM h)"""
 
 
-@query("e5_sun_times", None, "places")
+@query("e5_sun_times", f"WITH {_SUN} SELECT id, CAST(floor(rise / 60 + 0.5e0) AS BIGINT) AS rise_min, CAST(floor(set / 60 + 0.5e0) AS BIGINT) AS set_min, CASE WHEN rise IS NOT NULL THEN CAST(floor((set - rise) / 60 + 0.5e0) AS BIGINT) END AS daylight_min FROM r", "places")
 def _(t):
-    sun = geo.sun_times(F.col("lat"), F.col("lon"), F.lit(20625))
-    return t("places").select("id", sun.alias("s")).select("id", "s.rise", "s.set", geo.daylight_left(F.col("s.set"), F.col("s.rise")).alias("daylight_ms"))
+    # every place, and one in the far north on its meridian, where the sun does not set
+    places = t("places").select("id", "lat", "lon").union(t("places").select(-F.col("id"), F.lit(89.0), "lon"))
+    minutes = lambda ms: F.floor(ms / 60_000 + 0.5)
+    sun = places.select("id", geo.sun_times(F.col("lat"), F.col("lon"), F.lit(20625)).alias("s"))
+    left = F.when(F.col("s").isNotNull(), minutes(geo.daylight_left(F.col("s.set"), F.col("s.rise"))))
+    return sun.select("id", minutes(F.col("s.rise")).alias("rise_min"), minutes(F.col("s.set")).alias("set_min"), left.alias("daylight_min"))
 
 
 @query(
@@ -221,13 +240,14 @@ def _(t):
 
 @query(
     "e20_calibration_magnitudes",
-    f"""SELECT id, {sql_milli('sqrt(abs(a*d-b*c))*1000')} AS scale_ppm, {sql_milli('degrees(atan2(c,a))')} AS rotation_mdeg, abs(degrees(atan2(c,a))) >= 0.05e0 AS turned FROM calibrations""",
+    f"""WITH p AS (SELECT *, 1605282.7e0 AS px, 6461356.4e0 AS py, cos(radians(degrees(atan(sinh(6461356.4e0/6378137.0e0))))) AS ground FROM calibrations)
+SELECT id, {sql_milli('sqrt(abs(a*d-b*c))*1000')} AS scale_ppm, {sql_milli('degrees(atan2(c,a))')} AS rotation_mdeg, abs(degrees(atan2(c,a))) >= 0.05e0 AS turned, abs(sqrt(abs(a*d-b*c)) - 1) >= 0.001e0 AS scaled, {sql_milli('sqrt(pow((a*px+b*py+tx-px)*ground, 2) + pow((c*px+d*py+ty-py)*ground, 2))')} AS shift_mm FROM p""",
     "calibrations",
 )
 def _(t):
     m = F.struct("a", "b", "tx", "c", "d", "ty")
     found = affine.magnitude(m, F.lit(1605282.7), F.lit(6461356.4))
-    return t("calibrations").select("id", milli(affine.scale(m) * 1000).alias("scale_ppm"), milli(F.degrees(affine.rotation(m))).alias("rotation_mdeg"), found["rotation_deg"].isNotNull().alias("turned"))
+    return t("calibrations").select("id", milli(affine.scale(m) * 1000).alias("scale_ppm"), milli(F.degrees(affine.rotation(m))).alias("rotation_mdeg"), found["rotation_deg"].isNotNull().alias("turned"), found["scale"].isNotNull().alias("scaled"), milli(found["shift_m"]).alias("shift_mm"))
 
 
 @query(
@@ -242,21 +262,46 @@ def _(t):
     return rows.select("id", milli(F.col("i.a") * 1e6).alias("a"), milli(F.col("i.b") * 1e6).alias("b"), milli("i.tx").alias("tx"), off.alias("off_identity"))
 
 
-@query("j21_source_tiles", None, "tiles", "calibrations")
+_S2 = "(2*20037508.342789244e0)"
+_S1 = "20037508.342789244e0"
+_PLANNED = f"""one AS (SELECT layer_id, arg_min(a, id) AS a, arg_min(b, id) AS b, arg_min(tx, id) AS tx, arg_min(c, id) AS c, arg_min(d, id) AS d, arg_min(ty, id) AS ty FROM calibrations GROUP BY 1),
+i AS (SELECT z, x, y, d/det AS ia, -b/det AS ib, -c/det AS ic, a/det AS id, tx, ty, sqrt(abs(det)) AS s, {_S2}/pow(2.0e0, z) AS span FROM (SELECT t.z, t.x, t.y, o.*, a*d-b*c AS det FROM tiles t JOIN one o ON o.layer_id = concat('layer', CAST(t.x % 25 AS VARCHAR))) q),
+k AS (SELECT *, x*span-{_S1} AS x0m, (x+1)*span-{_S1} AS x1m, {_S1}-y*span AS y1m, {_S1}-(y+1)*span AS y0m, greatest(0, least(9, greatest(z-1, least(z+1, z + CAST(floor(ln(s)/ln(2.0e0) + 0.5e0) AS INT))))) AS zoom FROM i),
+cs AS (SELECT z, x, y, zoom, unnest([ia*x0m+ib*y1m, ia*x1m+ib*y1m, ia*x1m+ib*y0m, ia*x0m+ib*y0m]) - (ia*tx+ib*ty) AS cx, unnest([ic*x0m+id*y1m, ic*x1m+id*y1m, ic*x1m+id*y0m, ic*x0m+id*y0m]) - (ic*tx+id*ty) AS cy FROM k),
+b AS (SELECT z, x, y, zoom, min(cx) AS w, max(cx) AS e, min(cy) AS s, max(cy) AS n, {_S2}/pow(2.0e0, zoom) AS sp, CAST(pow(2, zoom) AS BIGINT) AS side FROM cs GROUP BY z, x, y, zoom),
+f AS (SELECT *, CAST(floor((w+{_S1})/sp + 1e-9) AS BIGINT) AS fx0, CAST(floor(({_S1}-n)/sp + 1e-9) AS BIGINT) AS fy0, CAST(ceil((e+{_S1})/sp - 1e-9) AS BIGINT) - 1 AS fx1, CAST(ceil(({_S1}-s)/sp - 1e-9) AS BIGINT) - 1 AS fy1,
+CAST(floor(((w+e)/2+{_S1})/sp) AS BIGINT) AS mx, CAST(floor(({_S1}-(s+n)/2)/sp) AS BIGINT) AS my FROM b),
+r AS (SELECT z, x, y, zoom, side, greatest(0, least(side-1, fx0)) AS rx0, greatest(0, least(side-1, greatest(fx0, fx1))) AS rx1, greatest(0, least(side-1, fy0)) AS ry0, greatest(0, least(side-1, greatest(fy0, fy1))) AS ry1, greatest(0, least(side-1, mx)) AS mx, greatest(0, least(side-1, my)) AS my,
+greatest(fx0, fx1) < 0 OR greatest(fy0, fy1) < 0 OR fx0 > side-1 OR fy0 > side-1 AS outside FROM f),
+g AS (SELECT *, (rx1-rx0+1)*(ry1-ry0+1) > 25 AS many FROM r),
+want AS (SELECT z, x, y, zoom, many, CASE WHEN many THEN mx ELSE rx0 END AS a0, CASE WHEN many THEN mx ELSE rx1 END AS a1, CASE WHEN many THEN my ELSE ry0 END AS b0, CASE WHEN many THEN my ELSE ry1 END AS b1 FROM g WHERE NOT outside)"""
+
+
+@query("j21_source_tiles", f"WITH {_PLANNED} SELECT w.z, w.x, w.y, (a1-a0+1)*(b1-b0+1) AS needed, (SELECT count(*) FROM tiles t WHERE t.z = w.zoom AND t.x BETWEEN a0 AND a1 AND t.y BETWEEN b0 AND b1) AS present, many AS clamped FROM want w", "tiles", "calibrations")
 def _(t):
     # every tile through the calibration that its row picks; the plan's tiles meet those that are there
-    tiles_ = t("tiles").where("z = 9").withColumn("layer", F.concat(F.lit("layer"), (F.col("x") % 25).cast("string")))
+    tiles_ = t("tiles").withColumn("layer", F.concat(F.lit("layer"), (F.col("x") % 25).cast("string")))
     m = F.struct("a", "b", "tx", "c", "d", "ty")
     one = t("calibrations").groupBy(F.col("layer_id").alias("layer")).agg(F.min_by(m, "id").alias("m"))
     planned = tiles_.join(spatial.small(one), "layer").withColumn("zoom", affine.source_zoom(F.col("z"), F.col("m"), F.lit(0), F.lit(9)))
     planned = planned.withColumn("p", affine.source_tile_plan(F.col("z"), F.col("x"), F.col("y"), affine.inverse(F.col("m")), F.col("zoom")))
-    wanted = planned.select("z", "x", "y", "p.clamped", F.explode("p.tiles").alias("s"))
+    wanted = planned.select("z", "x", "y", "p.clamped", F.explode("p.tiles").alias("s")).select("z", "x", "y", "clamped", F.col("s.z").alias("sz"), F.col("s.x").alias("sx"), F.col("s.y").alias("sy"))
     there = t("tiles").select(F.col("z").alias("sz"), F.col("x").alias("sx"), F.col("y").alias("sy"), "content")
-    found = wanted.join(there, (F.col("s.z") == F.col("sz")) & (F.col("s.x") == F.col("sx")) & (F.col("s.y") == F.col("sy")), "left")
+    found = wanted.hint("merge").join(there.hint("merge"), ["sz", "sx", "sy"], "left")
     return found.groupBy("z", "x", "y").agg(F.count("*").alias("needed"), F.count("content").alias("present"), F.bool_or("clamped").alias("clamped"))
 
 
-@query("e22_warp_matrices", None, "tiles", "calibrations")
+_RES = "(2*20037508.342789244e0/256.0e0/pow(2.0e0, z))"
+
+
+@query(
+    "e22_warp_matrices",
+    f"""WITH one AS (SELECT id % 25 AS k, arg_min(a, id) AS a, arg_min(b, id) AS b, arg_min(tx, id) AS tx, arg_min(c, id) AS c, arg_min(d, id) AS d, arg_min(ty, id) AS ty FROM calibrations GROUP BY 1),
+j AS (SELECT t.z, t.x, t.y, o.*, {_RES} AS res, x*256*{_RES}-{_S1} AS ox, {_S1}-y*256*{_RES} AS oy FROM tiles t JOIN one o ON o.k = t.x % 25)
+SELECT z, x, y, {sql_milli('a*128 - b*128 + (a*ox+b*oy+tx-ox)/res')} AS px, {sql_milli('-c*128 + d*128 + (oy-(c*ox+d*oy+ty))/res')} AS py,
+(abs(a-1) <= 1e-12 AND abs(b) <= 1e-12 AND abs(tx) <= 1e-12 AND abs(c) <= 1e-12 AND abs(d-1) <= 1e-12 AND abs(ty) <= 1e-12) OR sqrt(tx*tx+ty*ty) + abs(sqrt(abs(a*d-b*c))-1)*256*res < res*0.25e0 AS negligible FROM j""",
+    "tiles", "calibrations",
+)
 def _(t):
     m = F.struct("a", "b", "tx", "c", "d", "ty")
     one = t("calibrations").groupBy((F.col("id") % 25).alias("k")).agg(F.min_by(m, "id").alias("m"))
@@ -266,3 +311,15 @@ def _(t):
     return rows.select("z", "x", "y", milli(centre["px"]).alias("px"), milli(centre["py"]).alias("py"), affine.negligible(F.col("m"), F.col("z")).alias("negligible"))
 
 
+@query(
+    "e12_box_shapes",
+    f"SELECT id, {sql_milli('(west+east)/2*1000')} AS lon, {sql_milli('(south+north)/2*1000')} AS lat, {sql_milli('(east-west)*1000')} AS width, {sql_milli('(east-west)*(north-south)*1000')} AS area, {sql_milli('((west+east)/2-(east-west)*0.6e0)*1000')} AS grown_west, {sql_milli('((south+north)/2+greatest(north-south, 2.0e0)/2)*1000')} AS least_north FROM calibrations",
+    "calibrations",
+)
+def _(t):
+    b = geo.box_struct(F.col("west"), F.col("south"), F.col("east"), F.col("north"))
+    centre = geo.box_centre(b)
+    return t("calibrations").select(
+        "id", milli(centre["lon"] * 1000).alias("lon"), milli(centre["lat"] * 1000).alias("lat"), milli(geo.box_width(b) * 1000).alias("width"), milli(geo.box_area(b) * 1000).alias("area"),
+        milli(geo.box_expand(b, 1.2)["west"] * 1000).alias("grown_west"), milli(geo.box_at_least(b, 2.0)["north"] * 1000).alias("least_north"),
+    )

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geo
+from terravane.operators.blocks import BLOCK
+from terravane.operators.fieldlog import nested
 
 _POINT = "array<double>"
 _POLYGON = "array<array<array<double>>>"
@@ -31,7 +36,10 @@ def _ring(points: Column) -> Column:
 
 
 def polygons(documents: DataFrame, doc: str = "doc") -> DataFrame:
-    """(…, poly_ord, rings, properties, west, south, east, north): a row for each part of Polygon and MultiPolygon features whose outer ring has three points."""
+    """(…, poly_ord, rings, properties, west, south, east, north): a row for each part of Polygon and MultiPolygon features whose outer ring has three points.
+
+    ``poly_ord`` orders the parts of one document; over several documents, order by their own columns first.
+    """
     each = features(documents, doc)
     rest = [c for c in each.columns if c not in ("feature_ord", "type", "coordinates", "properties")]
     parts = F.when(F.col("type") == "MultiPolygon", F.from_json("coordinates", _MULTI)).when(F.col("type") == "Polygon", F.array(F.from_json("coordinates", _POLYGON)))
@@ -40,7 +48,7 @@ def polygons(documents: DataFrame, doc: str = "doc") -> DataFrame:
     outer = F.size(F.get(F.transform("part", _ring), F.lit(0))) >= 3
     each = each.withColumn("rings", rings).where(outer)
     b = geo.ring_bounds(F.slice("rings", 1, 1))
-    return each.select(*rest, (F.col("feature_ord") * 100_000 + F.col("part_ord")).alias("poly_ord"), "rings", "properties", *[b[n].alias(n) for n in ("west", "south", "east", "north")])
+    return each.select(*rest, (F.col("feature_ord").cast("long") * 2**31 + F.col("part_ord")).alias("poly_ord"), "rings", "properties", *[b[n].alias(n) for n in ("west", "south", "east", "north")])
 
 
 def points(documents: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
@@ -58,15 +66,19 @@ def point_feature(lat: Column, lon: Column, altitude: Column, properties: Column
     return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), coordinates.alias("coordinates")).alias("geometry"), properties.alias("properties")))
 
 
-def finds_features(finds: DataFrame, photos: DataFrame) -> DataFrame:
-    """(id, feature): finds with their photos nested, newline-delimited GeoJSON when written as text."""
-    nested = photos.groupBy(F.col("find_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("created_at", "uri", "is_primary"))).alias("photos"))
-    joined = finds.join(nested, "id", "left")
-    properties = F.struct(
-        F.col("id"), F.col("title"), F.col("category"), F.col("created_at").alias("createdAt"), F.col("depth_cm").alias("depthCm"), F.col("favorite"), F.coalesce("photos", F.array().cast(nested.schema["photos"].dataType)).alias("photos")
-    )
+def finds_features(finds: DataFrame, photos: DataFrame, most: int = BLOCK) -> DataFrame:
+    """(id, block, feature): finds with their photos nested, newline-delimited GeoJSON when written as text. A find of more than ``most`` photos goes on in further blocks."""
+    joined = nested(finds, photos.select("find_id", "created_at", "uri", "is_primary"), "id", "find_id", ["created_at", "uri", "is_primary"], "photos", most)
+    properties = F.struct(F.col("id"), F.col("title"), F.col("category"), F.col("created_at").alias("createdAt"), F.col("depth_cm").alias("depthCm"), F.col("favorite"), F.col("photos"))
     altitude = F.col("altitude") if "altitude" in finds.columns else F.lit(None).cast("double")
-    return joined.select("id", point_feature(F.col("lat"), F.col("lon"), altitude, properties).alias("feature"))
+    return joined.select("id", "block", point_feature(F.col("lat"), F.col("lon"), altitude, properties).alias("feature"))
+
+
+def places_features(places: DataFrame) -> DataFrame:
+    """(id, feature) of places (id, lat, lon, type, title, created_at, visited and, where known, external_id, note, visited_at)."""
+    known = {"external_id": "externalId", "note": "note", "visited_at": "visitedAt"}
+    properties = F.struct("id", "type", "title", F.col("created_at").alias("createdAt"), "visited", *[F.col(c).alias(n) for c, n in known.items() if c in places.columns])
+    return places.select("id", point_feature(F.col("lat"), F.col("lon"), F.lit(None).cast("double"), properties).alias("feature"))
 
 
 def ring_to_geojson(ring: Column) -> Column:
@@ -85,6 +97,12 @@ def geojson_to_ring(text: Column) -> Column:
     return F.when((parsed["type"] == "Polygon") & (F.size(ring) > 0), opened)
 
 
+def usable_line(points_: DataFrame, key: str = "track_id") -> DataFrame:
+    """Points of the keys that have at least two of them: fewer make no line."""
+    n = points_.groupBy(key).agg(F.count("*").alias("__n")).where("__n >= 2").select(key)
+    return points_.hint("merge").join(n.hint("merge"), key, "left_semi")
+
+
 def areas_features(areas: DataFrame) -> DataFrame:
     """(id, feature) of areas (id, name, status, area_ha, polygon_geojson); a geometry that is no JSON stays as ``polygonRaw``."""
     parsed = F.try_parse_json("polygon_geojson")
@@ -92,24 +110,38 @@ def areas_features(areas: DataFrame) -> DataFrame:
     return areas.select("id", F.concat(F.lit('{"type":"Feature","geometry":'), F.when(parsed.isNull(), "null").otherwise(F.col("polygon_geojson")), F.lit(',"properties":'), F.to_json(properties), F.lit("}")).alias("feature"))
 
 
-def manifest(tables: dict[str, DataFrame], missing_photos: int = 0) -> DataFrame:
-    """One row: the count of each table, photo files that are missing, schema and format version."""
-    out = None
-    for name, t in tables.items():
-        one = t.agg(F.count("*").alias(name))
-        out = one if out is None else out.join(F.broadcast(one))  # one row each
-    return out.select("*", F.lit(missing_photos).alias("missing_photos"), F.lit(2).alias("schema_version"), F.lit(1).alias("format_version"))
+#: Tables that a manifest counts.
+COUNTED = ["finds", "photos", "places", "areas", "tracks", "track_points", "calibrations", "gcp_sets", "gcp_points"]
+
+
+def manifest(tables: dict[str, DataFrame], files: DataFrame | None = None) -> DataFrame:
+    """One row: the count of each of COUNTED (0 for a table that is not given), ``missing_photos``: photos whose uri is not among ``files`` (uri), schema and format version."""
+    counted = [tables[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in COUNTED if n in tables]
+    if files is not None and "photos" in tables:
+        lost = tables["photos"].select("uri").hint("merge").join(files.select("uri").distinct().hint("merge"), "uri", "left_anti")
+        counted.append(lost.agg(F.count("*").alias("n")).select(F.lit("missing_photos").alias("name"), "n"))
+    rows = reduce(DataFrame.unionByName, counted)
+    of = lambda n: F.coalesce(F.max(F.when(F.col("name") == n, F.col("n"))), F.lit(0)).alias(n)
+    return rows.agg(*map(of, [*COUNTED, "missing_photos"])).select("*", F.lit(2).alias("schema_version"), F.lit(1).alias("format_version"))
 
 
 def calibration_rows(calibrations: DataFrame) -> DataFrame:
-    """Calibrations with the matrix as an array of six, ready for ``write.json``."""
-    return calibrations.select("id", "layer_id", "west", "south", "east", "north", F.array("a", "b", "tx", "c", "d", "ty").alias("matrix"), "active")
+    """(id, row): calibrations as JSON text, with the matrix as an array of six."""
+    known = {"external_id": "externalId", "label": "label", "created_at": "createdAt", "updated_at": "updatedAt"}
+    row = F.struct("id", F.col("layer_id").alias("layerId"), "west", "south", "east", "north", F.array("a", "b", "tx", "c", "d", "ty").alias("matrix"), "active", *[F.col(c).alias(n) for c, n in known.items() if c in calibrations.columns])
+    return calibrations.select("id", F.to_json(row).alias("row"))
+
+
+def read_calibrations(rows: DataFrame, row: str = "row") -> DataFrame:
+    """The same back: (id, layer_id, west, south, east, north, a, b, tx, c, d, ty, active); rows that are no such JSON, or without six numbers, are left out."""
+    kind = "id bigint, layerId string, west double, south double, east double, north double, matrix array<double>, active boolean"
+    parsed = rows.select(F.from_json(row, kind).alias("r")).where(F.size("r.matrix") == 6)
+    return parsed.select("r.id", F.col("r.layerId").alias("layer_id"), *[f"r.{c}" for c in ("west", "south", "east", "north")], *[F.get("r.matrix", F.lit(k)).alias(c) for k, c in enumerate(("a", "b", "tx", "c", "d", "ty"))], "r.active")
 
 
-def control_sets(sets: DataFrame, points_: DataFrame) -> DataFrame:
-    """Sets with their points nested in order of id."""
-    lists = points_.groupBy(F.col("set_id")).agg(F.array_sort(F.collect_list(F.struct("id", "src_x", "src_y", "dst_x", "dst_y"))).alias("points"))
-    return sets.join(lists, sets["id"] == lists["set_id"], "left").drop("set_id")
+def control_sets(sets: DataFrame, points_: DataFrame, most: int = BLOCK) -> DataFrame:
+    """Sets with their points nested in order of id, in blocks of at most ``most``."""
+    return nested(sets, points_.select("set_id", "id", "src_x", "src_y", "dst_x", "dst_y"), "id", "set_id", ["id"], "points", most)
 
 
 def control_points_lonlat(points_: DataFrame) -> DataFrame:
@@ -137,37 +169,58 @@ def validate_control(rows: DataFrame) -> DataFrame:
 
 
 def _escaped(text: Column) -> Column:
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return text
 
 
 def _iso(ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """UTC whatever the session's zone is."""
+    second = F.floor(ms / 1000)
+    part = lambda unit, n: F.lpad((F.floor(second / unit) % n).cast("string"), 2, "0")
+    return F.concat(F.date_from_unix_date(F.floor(second / 86_400).cast("int")).cast("string"), F.lit("T"), part(3600, 24), F.lit(":"), part(60, 60), F.lit(":"), part(1, 60), F.lit("Z"))
+
+
+def _tags(row: Column, names: dict[str, str], there: Sequence[str]) -> Column:
+    """Elements dm:name of a struct's fields, where it has them and they are not null."""
+    one = lambda c, n: F.coalesce(F.concat(F.lit(f"<dm:{n}>"), row[c].cast("string"), F.lit(f"</dm:{n}>")), F.lit(""))
+    return F.concat(F.lit("<extensions>"), *[one(c, n) for c, n in names.items() if c in there], F.lit("</extensions>"))
 
 
-def gpx(tracks: DataFrame, points_: DataFrame, exact: bool = False) -> DataFrame:
-    """(track_id, gpx): one document for each track (id, name, started_at, ended_at) with its points sorted by (ts, id). Needs the session's zone to be UTC.
+_TRACK_TAGS = {"id": "id", "started_at": "startedAt", "ended_at": "endedAt", "distance_m": "distanceM", "duration_ms": "durationMs", "point_count": "pointCount"}
+_POINT_TAGS = {"ts": "timestamp", "accuracy_m": "accuracyM", "speed_ms": "speedMs"}
 
-    ``exact`` keeps all digits and adds the extension fields that a round trip needs; else 7 decimals and whole seconds.
+
+def gpx(tracks: DataFrame, points_: DataFrame, exact: bool = False, most: int = BLOCK) -> DataFrame:
+    """(track_id, block, gpx): documents of tracks (id, name, started_at, ended_at and more) with their points (ts, id, lat, lon, and altitude, accuracy_m, speed_ms where known) sorted by (ts, id).
+
+    A track of more than ``most`` points goes on in further documents of the same name. ``exact`` keeps all digits and adds the
+    extension fields that a round trip needs; else coordinates have 7 decimals, altitudes 2 and times whole seconds, and the
+    document's time is the track's ``created_at`` where there is one, else that of its first point.
     """
-    def vertex(p: Column) -> Column:
-        lat, lon = (p["lat"].cast("string"), p["lon"].cast("string")) if exact else (F.format_string("%.7f", p["lat"]), F.format_string("%.7f", p["lon"]))
-        extension = F.concat(F.lit("<extensions><dm:timestamp>"), p["ts"].cast("string"), F.lit("</dm:timestamp></extensions>")) if exact else F.lit("")
-        return F.concat(F.lit('<trkpt lat="'), lat, F.lit('" lon="'), lon, F.lit('"><time>'), _iso(p["ts"]), F.lit("</time>"), extension, F.lit("</trkpt>"))
+    columns = ["ts", "id", "lat", "lon", *[c for c in ("altitude", "accuracy_m", "speed_ms") if c in points_.columns]]
+    documents = nested(tracks, points_.select("track_id", *columns), "id", "track_id", ["ts", "id"], "p", most)
 
-    lists = points_.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "lat", "lon"))).alias("p"))
-    joined = tracks.join(lists, tracks["id"] == lists["track_id"], "left")
-    body = F.array_join(F.transform(F.coalesce("p", F.array().cast(lists.schema["p"].dataType)), vertex), "")
-    extra = F.concat(F.lit("<extensions><dm:startedAt>"), F.col("started_at").cast("string"), F.lit("</dm:startedAt>"), F.coalesce(F.concat(F.lit("<dm:endedAt>"), F.col("ended_at").cast("string"), F.lit("</dm:endedAt>")), F.lit("")), F.lit("</extensions>")) if exact else F.lit("")
-    name_space = F.lit('<gpx version="1.1" creator="terravane" xmlns="http://www.topografix.com/GPX/1/1" xmlns:dm="urn:dm">')
-    text = F.concat(name_space, F.lit("<metadata><time>"), _iso(F.col("started_at")), F.lit("</time></metadata><trk><name>"), _escaped(F.col("name")), F.lit("</name>"), extra, F.lit("<trkseg>"), body, F.lit("</trkseg></trk></gpx>"))
-    return joined.select(F.col("id").alias("track_id"), text.alias("gpx"))
+    def vertex(p: Column) -> Column:
+        number = lambda c, digits: p[c].cast("string") if exact else F.format_string(f"%.{digits}f", p[c])
+        height = [F.coalesce(F.concat(F.lit("<ele>"), number("altitude", 2), F.lit("</ele>")), F.lit(""))] if "altitude" in columns else []
+        height = [F.when(p["altitude"].isNotNull(), height[0]).otherwise("")] if height else []
+        extension = [_tags(p, _POINT_TAGS, columns)] if exact else []
+        return F.concat(F.lit('<trkpt lat="'), number("lat", 7), F.lit('" lon="'), number("lon", 7), F.lit('">'), *height, F.lit("<time>"), _iso(p["ts"]), F.lit("</time>"), *extension, F.lit("</trkpt>"))
+
+    first = F.get(F.col("p"), F.lit(0))["ts"]
+    stamp = F.col("started_at") if exact else F.coalesce(*([F.col("created_at")] if "created_at" in tracks.columns else []), first)
+    extra = [_tags(F.struct(*[c for c in _TRACK_TAGS if c in tracks.columns]), _TRACK_TAGS, tracks.columns)] if exact else []
+    head = F.lit('<gpx version="1.1" creator="terravane" xmlns="http://www.topografix.com/GPX/1/1" xmlns:dm="urn:dm"><metadata><name>')
+    name = _escaped(F.coalesce("name", F.lit("")))
+    time = F.coalesce(F.concat(F.lit("<time>"), _iso(stamp), F.lit("</time>")), F.lit(""))
+    text = F.concat(head, name, F.lit("</name>"), time, F.lit("</metadata><trk><name>"), name, F.lit("</name>"), *extra, F.lit("<trkseg>"), F.array_join(F.transform("p", vertex), ""), F.lit("</trkseg></trk></gpx>"))
+    return documents.select(F.col("id").alias("track_id"), "block", text.alias("gpx"))
 
 
 _TRK = (
-    "struct<trk:array<struct<name:string,extensions:struct<`dm:startedAt`:bigint,`dm:endedAt`:bigint>,"
-    "trkseg:array<struct<trkpt:array<struct<_lat:double,_lon:double,ele:double,time:string,extensions:struct<`dm:timestamp`:bigint>>>>>>>>"
+    "struct<trk:array<struct<name:string,extensions:struct<`dm:startedAt`:bigint,`dm:endedAt`:bigint,`dm:distanceM`:double>,"
+    "trkseg:array<struct<trkpt:array<struct<_lat:double,_lon:double,ele:double,time:string,extensions:struct<`dm:timestamp`:bigint,`dm:accuracyM`:double,`dm:speedMs`:double>>>>>>>>"
 )
 
 
@@ -178,10 +231,10 @@ def read_gpx(documents: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFra
     all_points = F.flatten(F.transform(F.col("t.trkseg"), lambda s: F.coalesce(s["trkpt"], F.array())))
     stamp = lambda p: F.coalesce(p["extensions"]["dm:timestamp"], F.unix_millis(F.try_to_timestamp(p["time"])), F.lit(0))
     usable = F.filter(all_points, lambda p: p["_lat"].isNotNull() & p["_lon"].isNotNull())
-    listed = F.array_sort(F.transform(usable, lambda p: F.struct(stamp(p).alias("ts"), p["_lat"].alias("lat"), p["_lon"].alias("lon"), p["ele"].alias("altitude"))))
-    rows = parsed.select(*rest, F.col("t.name").alias("name"), F.col("t.extensions.`dm:startedAt`").alias("s"), F.col("t.extensions.`dm:endedAt`").alias("e"), listed.alias("p"))
+    one = lambda p: F.struct(stamp(p).alias("ts"), p["_lat"].alias("lat"), p["_lon"].alias("lon"), p["ele"].alias("altitude"), p["extensions"]["dm:accuracyM"].alias("accuracy_m"), p["extensions"]["dm:speedMs"].alias("speed_ms"))
+    rows = parsed.select(*rest, F.col("t.name").alias("name"), F.col("t.extensions").alias("x"), F.array_sort(F.transform(usable, one)).alias("p"))
     times = F.transform("p", lambda p: p["ts"])
-    tracks = rows.select(*rest, "name", F.coalesce("s", F.array_min(times)).alias("started_at"), F.coalesce("e", F.array_max(times)).alias("ended_at"), F.size("p").alias("point_count"))
+    tracks = rows.select(*rest, "name", F.coalesce("x.`dm:startedAt`", F.array_min(times)).alias("started_at"), F.coalesce("x.`dm:endedAt`", F.array_max(times)).alias("ended_at"), F.coalesce("x.`dm:distanceM`", F.lit(0.0)).alias("distance_m"), F.size("p").alias("point_count"))
     return tracks, rows.select(*rest, F.posexplode("p").alias("ord", "v")).select(*rest, "ord", "v.*")
 
 

@@ -42,7 +42,7 @@ def _frames(rows: Iterator[tuple], columns: Sequence[str], types: dict[str, str]
             return
 
 
-def _record(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, timed: bool) -> Iterator[pd.DataFrame]:
+def _record(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, silent_ms: int | None) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in tracks.DECISIONS.split(", ")]
 
     def decisions() -> Iterator[tuple]:
@@ -59,20 +59,20 @@ def _record(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, timed:
             state.remove()
         else:
             state.update(s.flat())
-            if timed:
-                state.setTimeoutDuration(SILENT_MS)
+            if silent_ms:
+                state.setTimeoutDuration(silent_ms)
 
     yield from _frames(decisions(), columns, {"arrival": "Int64", "v_ts": "Int64"})
 
 
-def record_stream(fixes: DataFrame, close_silent: bool = True) -> DataFrame:
-    """Decisions on a stream of fixes (FIXES), as ``tracks.record`` makes them; a row with ``stop``, or a long silence, ends the track with its TAIL.
+def record_stream(fixes: DataFrame, close_silent: bool = True, silent_ms: int = SILENT_MS) -> DataFrame:
+    """Decisions on a stream of fixes (FIXES), as ``tracks.record`` makes them; a row with ``stop``, or a silence of ``silent_ms``, ends the track with its TAIL.
 
     A late fix is judged by the operator (OUT_OF_ORDER), not by a watermark; inside a micro-batch rows go by arrival. Without
     ``close_silent`` no timer runs, so that a run over what is there now comes to an end.
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if close_silent else GroupStateTimeout.NoTimeout
-    return fixes.groupBy("track_id").applyInPandasWithState(lambda k, p, s: _record(k, p, s, close_silent), tracks.DECISIONS, STATE, "append", timeout)
+    return fixes.groupBy("track_id").applyInPandasWithState(lambda k, p, s: _record(k, p, s, silent_ms if close_silent else None), tracks.DECISIONS, STATE, "append", timeout)
 
 
 def _jitter(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
