@@ -729,3 +729,22 @@ def _(t):
     written = exchange.control_points_lonlat(t("gcp_points")).select(F.to_json(F.struct("set_id", "id", "px", "py", "lon", "lat")).alias("row"))
     back = written.select(F.from_json("row", "set_id int, id bigint, px double, py double, lon double, lat double").alias("r")).select("r.*")
     return back.select("set_id", "id", milli(F.col("lon") * 1000).alias("lon"), milli(F.col("lat") * 1000).alias("lat"), milli("px").alias("px"))
+
+
+@query("s19_archive_metadata", "SELECT (SELECT n_name FROM nation WHERE n_nationkey = 0) AS name, 'jpg' AS format, 5 AS min_zoom, (SELECT max(z) FROM tiles) AS max_zoom, 12000 AS west, 51000 AS north", "tiles")
+def _(t):
+    # settings under odd spellings, one that is no number, and others that mean nothing
+    k = F.col("n_nationkey")
+    key = F.when(k == 0, "Name").when(k == 1, "MINZOOM").when(k == 2, "maxzoom").when(k == 3, "bounds").when(k == 4, "Format").otherwise(F.concat(F.lit("other"), k.cast("string")))
+    setting = F.when(k == 1, "5").when(k == 2, "x").when(k == 3, "12, 48,18,51").when(k == 4, "jpg").otherwise(F.col("n_name"))
+    found = tiles.archive_metadata(t("nation").select(key.alias("name"), setting.alias("value")), t("tiles").select(F.col("z").alias("zoom_level")))
+    return found.select("name", "format", "min_zoom", "max_zoom", (F.col("bounds")[0] * 1000).cast("int").alias("west"), (F.col("bounds")[3] * 1000).cast("int").alias("north"))
+
+
+@query("s21_xyz_points", f"SELECT CAST(floor(x) AS BIGINT) AS column_, count(*) AS n, {sql_milli('sum(y)')} AS ys, {sql_milli('sum(z)')} AS zs FROM points_cloud GROUP BY 1", "points_cloud")
+def _(t):
+    points = t("points_cloud")
+    path = shared_path(points.sparkSession, f"xyz-{uuid.uuid4().hex}")
+    points.select(F.concat_ws(" ", *[F.col(c).cast("double").cast("string") for c in ("x", "y", "z")])).write.text(path)
+    back = raster.read_xyz(points.sparkSession, path)
+    return back.groupBy(F.floor("x").alias("column_")).agg(F.count("*").alias("n"), milli(F.sum("y")).alias("ys"), milli(F.sum("z")).alias("zs"))
