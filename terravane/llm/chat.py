@@ -5,11 +5,13 @@ doubled and ``<|`` becomes ``<\\|``, and a role's new line becomes backslash n,
 the escaping can be undone. For an Arrow batch of sorted turns, the lengths of all segments give cumulative offsets; headers
 and contents are scattered into one preallocated buffer, which is then the batch's string column.
 
-Turns are sorted by turn (then role and text where turns repeat) within (conv_id, block of ``BLOCK_TURNS`` turns): each block is
-formatted on its own, in any task, so that a conversation of any length is no task's burden. Output rows: conv_id, part (block
-number), n_turns, formatted, and mask (start and end, in UTF-8 bytes of ``formatted``, of each assistant text). Null texts and
-roles are empty. Rows with a null conv_id make one conversation; rows with a null turn come first. Repeated rows are turns of
-their own. Extra columns are ignored; an empty table gives no rows.
+Turns are sorted by conversation and turn (then role and text where turns repeat), in ranges of that order, so a conversation with
+a large share of all turns, or with turns that are null or alike, goes to many tasks. A task formats its turns in parts: a part
+holds turns of one conversation, at most ``PART_TURNS`` of them and about ``PART_BYTES`` of text (a longer turn is a part of its
+own). Output rows: conv_id, part (a conversation's parts in this order, one after the other, are its text), n_turns, formatted, and
+mask (start and end, in UTF-8 bytes of ``formatted``, of each assistant text). Null texts and roles are empty. Rows with a null
+conv_id make one conversation; rows with a null turn come first. Repeated rows are turns of their own. Extra columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ from terravane.llm.shared import batches
 # Fixed values of the template.
 START, MIDDLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 ASSISTANT = "assistant"
-BLOCK_TURNS = 4096
-_FIRST_PART = -(2**40)
+PART_TURNS, PART_BYTES = 4096, 32_000_000
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
@@ -60,41 +61,34 @@ def assemble(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     return buffer, offsets, text_start, text_start + text_n
 
 
+def _cuts(conv: pa.Array, text: pa.Array) -> np.ndarray:
+    """Where parts begin among sorted turns, and their number."""
+    null = np.asarray(conv.is_null())
+    key = np.asarray(conv.fill_null(0))
+    change = np.concatenate([[True], (key[1:] != key[:-1]) | (null[1:] != null[:-1])])
+    for i, j in K.slices(text, PART_BYTES):
+        change[i:j:PART_TURNS] = True
+    return np.append(np.flatnonzero(change), len(conv))
+
+
 def _formatted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (conv_id, part, role, text) to one row for each (conv_id, part)."""
-
-    def groups(t: pa.Table) -> np.ndarray:
-        conv, part = (t.column(k).combine_chunks() for k in range(2))
-        null = np.asarray(conv.is_null())
-        key, part = np.asarray(conv.fill_null(0)), np.asarray(part)
-        change = (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (null[1:] != null[:-1])
-        return np.concatenate([[0], np.flatnonzero(change) + 1, [t.num_rows]])
-
-    def rows(t: pa.Table) -> pa.RecordBatch:
-        at = groups(t)
-        role, text = (t.column(k).combine_chunks() for k in (2, 3))
-        buffer, offsets, start, end = assemble(role, text)
-        first = offsets[at]
-        strings = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(buffer)).cast(pa.string())
-        ours = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(role, ASSISTANT), False)))
-        group = np.searchsorted(at, ours, side="right") - 1
-        spans = pa.StructArray.from_arrays([pa.array(start[ours] - first[group]), pa.array(end[ours] - first[group])], names=["start", "end"])
-        mask = pa.ListArray.from_arrays(pa.array(np.searchsorted(group, np.arange(len(at))).astype(np.int32)), spans)
-        take = pa.array(at[:-1])
-        return pa.RecordBatch.from_arrays([t.column(0).combine_chunks().take(take), t.column(1).combine_chunks().take(take), pa.array(np.diff(at)), strings, mask], names=["conv_id", "part", "n_turns", "formatted", "mask"])
-
-    held: pa.Table | None = None
+    """Sorted rows (conv_id, range, role, text) to parts, numbered by range and order."""
+    number = 0
     for batch in it:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        t = t if held is None else pa.concat_tables([held, t])
-        last = int(groups(t)[-2])  # its group may go on in the next batch
-        if last:
-            yield rows(t.slice(0, last).combine_chunks())
-        held = t.slice(last)
-    if held is not None and held.num_rows:
-        yield rows(held.combine_chunks())
+        for i, j in K.slices(batch.column(3), 8 * PART_BYTES):
+            turns = batch.slice(i, j - i)
+            conv, role, text = (turns.column(k) for k in (0, 2, 3))
+            at = _cuts(conv, text)
+            buffer, offsets, start, end = assemble(role, text)
+            first = offsets[at]
+            strings = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(buffer))
+            ours = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(role, ASSISTANT), False)))
+            group = np.searchsorted(at, ours, side="right") - 1
+            spans = pa.StructArray.from_arrays([pa.array(start[ours] - first[group]), pa.array(end[ours] - first[group])], names=["start", "end"])
+            mask = pa.ListArray.from_arrays(pa.array(np.searchsorted(group, np.arange(len(at))).astype(np.int32)), spans)
+            parts = np.asarray(turns.column(1)).astype(np.int64)[at[:-1]] * 2**40 + number + np.arange(len(at) - 1)
+            number += len(at) - 1
+            yield pa.RecordBatch.from_arrays([conv.take(pa.array(at[:-1])), pa.array(parts), pa.array(np.diff(at)), strings.cast(pa.string()), mask], names=["conv_id", "part", "n_turns", "formatted", "mask"])
 
 
 def format_chat(conversations: DataFrame) -> DataFrame:
@@ -102,14 +96,16 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     batches(conversations)
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS).cast("long"), F.lit(_FIRST_PART)).alias("part"),
         F.col("role").cast("string").alias("role"),
         F.col("text").cast("string").alias("text"),
         F.col("turn").cast("long").alias("turn"),
     )
     n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    turns = turns.repartition(n, "conv_id", "part").sortWithinPartitions("conv_id", "part", F.asc_nulls_first("turn"), "role", "text").drop("turn")
-    return turns.mapInArrow(_formatted, "conv_id long, part long, n_turns long, formatted string, mask array<struct<start:long,end:long>>")
+    order = ["conv_id", F.asc_nulls_first("turn"), "role"]
+    # bounds of the ranges need the texts' beginnings only: equal ones stay together
+    ranged = turns.repartitionByRange(n, *order, F.substring("text", 1, 32)).sortWithinPartitions(*order, "text")
+    rows = ranged.select("conv_id", F.spark_partition_id().alias("range"), "role", "text")
+    return rows.mapInArrow(_formatted, "conv_id long, part long, n_turns long, formatted string, mask array<struct<start:long,end:long>>")
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
