@@ -41,6 +41,23 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ["the software is provided as is", "fitness for a particular purpose and noninfringement"]),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ["except in compliance with the license", "apache org licenses license 2 0"]),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license", "free software foundation", "version 3 of the license"]),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["gnu general public license", "free software foundation", "version 2 of the license"]),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license", "free software foundation"]),
+    ("agpl-3", "it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ["gnu affero general public license", "free software foundation"]),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ["copy of the mpl", "mozilla org mpl 2 0"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form", "list of conditions and the following disclaimer"]),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["neither the name of", "endorse or promote products", "prior written permission"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable", "arising from the use of this software"]),
+    ("bsl-1", "boost software license version 1 0", ["boost software license"]),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["accompanying materials are made available", "eclipse public license"]),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright", "neighboring rights"]),
+    ("artistic-2", "the artistic license 2 0", ["artistic license 2 0"]),
+    ("cc-by-nd", "licensed under cc by nd 4 0", ["cc by nd"]),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial"]),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
 ]
 SLACK = 3
 
