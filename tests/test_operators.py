@@ -1,4 +1,8 @@
-"""Spatial joins, tracks, tiles and exchange against golden cases and brute force."""
+"""Spatial joins, tracks, tiles and exchange against golden cases and brute force.
+
+Fixed values that must equal public ones: 111,132 m to a degree of latitude, and the recorder's bounds (accuracy 50 m, speed 15 m/s,
+idle 10 m and 60 s, steps 3 m and 10 m) in the scenarios.
+"""
 
 import math
 import random
@@ -150,3 +154,35 @@ def test_feed_and_control_points(spark):
 def test_metres_is_haversine():
     assert tracks.metres((0, 50.0, 14.0, None), (0, 50.0, 14.0, None)) == 0
     assert tracks.metres((0, 0.0, 0.0, None), (0, 0.0, 180.0, None)) == pytest.approx(math.pi * 6371008.8)
+
+
+def test_boxes_at_and_counts_are_brute_force(spark):
+    rng = random.Random(9)
+    where = [(rng.choice([50 + rng.random(), round(50 + rng.random(), 2)]), rng.choice([14 + rng.random() * 2, round(14 + rng.random() * 2, 2)])) for _ in range(800)]
+    boxes = []
+    for k in range(60):
+        south, west = round(50 + rng.random(), 2), round(14 + rng.random() * 2, 2)
+        boxes.append((k, f"l{k % 2}", west, south, west + rng.choice([0.0, 0.01, 0.3, 2.0]), south + rng.choice([0.0, 0.02, 0.4, 3.0])))
+    df = spark.createDataFrame(boxes, "box_id long, layer_id string, west double, south double, east double, north double")
+    rows = spark.createDataFrame([(k, f"l{k % 3}", *map(float, p)) for k, p in enumerate(where)], "point_id long, layer_id string, lat double, lon double")
+    holds = lambda b, p: b[3] <= p[0] <= b[5] and b[2] <= p[1] <= b[4]
+    counts = {r["box_id"]: r["holds"] for r in spatial.count_in_boxes(rows, df).collect()}
+    assert counts == {b[0]: sum(holds(b, p) for p in where) for b in boxes}
+    pairs = {(r["point_id"], r["box_id"]) for r in spatial.boxes_at(rows, df, "layer_id").collect()}
+    assert pairs == {(k, b[0]) for k, p in enumerate(where) for b in boxes if f"l{k % 3}" == b[1] and holds(b, p)}
+
+
+def test_runs_merge_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "RANGE", 4)
+    monkeypatch.setattr(tiles, "LEVEL", 3)
+    rng = random.Random(10)
+    ids = sorted(rng.sample(range(100), 85))
+    content = {k: (k // 17) % 3 for k in ids}
+    wanted = []
+    for k in ids:
+        if wanted and wanted[-1][0] + wanted[-1][2] == k and wanted[-1][1] == content[k]:
+            wanted[-1][2] += 1
+        else:
+            wanted.append([k, content[k], 1])
+    found = tiles.runs(spark.createDataFrame([(k, content[k]) for k in ids], "tile_id long, content int")).collect()
+    assert sorted(map(list, found)) == wanted

@@ -9,7 +9,7 @@ from terravane.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events pages".split()
 #: The quick ones here; the rest is compared by the driver at a larger size.
-NAMES = ["j6_point_in_polygon", "j8_finds_by_area", "j9_best_calibration", "j14_finds_near_places", "e14_hilbert_ids", "w2_recorded_tracks", "w4_directory_runs", "w12_directory_lookup", "a12_affine_fits", "d5_import_merge", "t12_marks_at_fixes", "s6_gpx_round_trip", "r2_hillshade"]
+NAMES = ["j6_point_in_polygon", "j8_finds_by_area", "j9_best_calibration", "j14_finds_near_places", "e14_hilbert_ids", "w2_recorded_tracks", "w4_directory_runs", "w12_directory_lookup", "a12_affine_fits", "d5_import_merge", "t12_marks_at_fixes", "s6_gpx_round_trip", "r2_hillshade", "f8_boxes", "s8_plain_gpx", "t2_trails", "e26_preset_reasons", "j21_source_tiles"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
