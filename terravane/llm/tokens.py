@@ -18,8 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 2
-#: Distinct cuts that a worker remembers: bounds its memory.
-MEMORY = 400_000
+#: Distinct cuts and pieces of cuts that a worker remembers: bounds its memory.
+MEMORY, PIECES = 300_000, 800_000
 #: White space of any kind before a space.
 _SPACE_BEFORE_SPACE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] |^ "
 _CUT = re.compile(r"(?<=\S) ")
@@ -45,35 +45,46 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Encodes batches of texts; texts that hold a special token's string are ordinary text."""
+    """Encodes batches of texts; the string of a special token inside a text becomes its id, as the library does it, unless ``special`` is false."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not special
+        strings = []
+        for token in self._tokenizer.get_added_tokens_decoder().values():
+            if not token.special or special:
+                if token.lstrip or token.rstrip or token.single_word or re.search(r"\s", token.content):
+                    raise ValueError(f"texts can't be cut beside the token {token.content!r}")
+                strings.append(re.escape(token.content))
+        self._special = re.compile("|".join(strings) or "(?!)")
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
+        self._pieces: dict[str, bytes] = {}  # their ids, 32 bits each
         self._forget()
 
     def _forget(self) -> None:
         self._number: dict[str, int] = {}
-        self._pieces: dict[str, list[int]] = {}
         self._ids = array("I")
         self._ends = array("q", [0])
 
-    def _encode_piece(self, piece: str) -> list[int]:
-        return [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
+    def _encode_piece(self, piece: str) -> bytes:
+        found = array("I", [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]).tobytes()
+        if len(self._pieces) >= PIECES:
+            self._pieces.clear()
+        self._pieces[piece] = found
+        return found
 
     def _learn(self, cuts: list[str]) -> None:
         known, ids, ends = self._pieces, self._ids, self._ends
         for cut in cuts:
-            if _PLAIN.fullmatch(cut):
+            if (found := known.get(cut)) is not None:  # the whole cut is one piece
+                ids.frombytes(found)
+            elif _PLAIN.fullmatch(cut) and not self._special.search(cut):
                 for piece in _PIECE.findall(cut):
-                    if (found := known.get(piece)) is None:
-                        found = known[piece] = self._encode_piece(piece)
-                    ids.extend(found)
+                    ids.frombytes(known.get(piece) or self._encode_piece(piece))
             else:
                 ids.extend(self._tokenizer.encode(cut, add_special_tokens=False).ids)
             ends.append(len(ids))
@@ -128,3 +139,10 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for a worker and file."""
     return Encoder(path)
+
+
+def id_bytes(path: str) -> int:
+    """2 if all ids of the tokenizer's file fit in 16 bits, else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(END_ID, *Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else 4
