@@ -48,7 +48,7 @@ SIGNATURE_BYTES = 2 * BANDED + (2 * N_PERMUTATIONS - BANDED)
 ESTIMATE_CUT = 0.68
 #: The same for a class and its best pivot: one pair for a class, so the cut can be far lower.
 PIVOT_CUT = 0.5
-BLOCK = 2048
+BLOCK = 1024
 HUB_SALTS = 32
 
 _rng = np.random.default_rng(77)
