@@ -38,10 +38,16 @@ def drop(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """``df`` as it is; keeps the Arrow batches that Python tasks get to ``rows`` rows, so that long texts fit, and gives this package to the executors."""
+#: Rows of an Arrow batch of texts, at most; Spark's own bound of a batch's bytes holds beside it.
+BATCH_ROWS = 2000
+
+
+def batches(df: DataFrame) -> DataFrame:
+    """``df`` as it is; the session's Arrow batches get no more than BATCH_ROWS rows, so that long texts fit (a lower setting stays), and the executors get this package."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
     ship(spark)
     return df
 
@@ -64,6 +70,7 @@ def annotate(docs: DataFrame, keep: Sequence[str], text: str, results: dict[str,
             for i, j in slices(batch.column(at), most):
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n)), *of_texts(part.column(at))], names=[*part.schema.names[:n], *names])
+        pa.default_memory_pool().release_unused()  # a worker stays for other tasks
 
     schema = StructType([*rows.schema.fields[:n], *StructType.fromDDL(", ".join(f"`{prefix + c}` {kind}" for c, kind in results.items())).fields])
     return rows.mapInArrow(of_batches, schema)
