@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terravane.llm import quality
+from terravane.llm import licenses, quality
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD, _SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
@@ -59,3 +59,27 @@ CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce
 e AS (SELECT *, role = 'assistant' AS ours, length(replace({_ESCAPE.format('role')}, chr(10), 'xx')) + length({_ESCAPE.format('text')}) + {len('<|im_start|>') + 1 + len('<|im_end|>') + 1} AS n FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE ours), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE ours), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+
+def _license_phrases() -> str:
+    """(t, k, q, words): base phrases as t = -1, -2 and so on; the k-th key phrase of template t, which stands q words behind its start."""
+    rows = [(-1 - n, 0, 0, phrase) for n, (phrase, _) in enumerate(licenses.BASE)]
+    for t, (_, template, keys) in enumerate(licenses.TEMPLATES):
+        rows += [(t, k, len(template[: f" {template} ".index(f" {key} ")].split()), key) for k, key in enumerate(keys)]
+    return ", ".join(f"({t}, {k}, {q}, {phrase.split()})" for t, k, q, phrase in rows)
+
+
+_LABELS = ", ".join([*(f"({-1 - n}, '{label}', 0, 0, 0)" for n, (_, label) in enumerate(licenses.BASE)), *(f"({t}, '{label}', {len(keys)}, {len(template.split())}, {len(set(template.split()))})" for t, (label, template, keys) in enumerate(licenses.TEMPLATES))])
+_TEMPLATE_WORDS = ", ".join(f"({t}, {k}, '{word}')" for t, (_, template, _) in enumerate(licenses.TEMPLATES) for k, word in enumerate(template.split()))
+# every start at which all key phrases stand near their places, without any index
+LICENSES = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p(t, k, q, words) AS (VALUES {_license_phrases()}), l(t, label, n_keys, n_template, n_distinct) AS (VALUES {_LABELS}), tw(t, pos, word) AS (VALUES {_TEMPLATE_WORDS}),
+tok AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+occ AS (SELECT tok.doc_id, t, k, q, i FROM tok JOIN p ON tok.word = words[1] JOIN d ON d.doc_id = tok.doc_id WHERE d.w[i + 1 : i + len(words)] = words),
+starts AS (SELECT DISTINCT doc_id, t, i - q + s AS start FROM occ, (SELECT unnest(range(-{licenses.SLACK}, {licenses.SLACK} + 1)) AS s) WHERE t >= 0),
+good AS (SELECT s.doc_id, s.t, s.start FROM starts s JOIN occ o ON o.doc_id = s.doc_id AND o.t = s.t AND abs(o.i - s.start - o.q) <= {licenses.SLACK} JOIN l ON l.t = s.t GROUP BY 1, 2, 3 HAVING count(DISTINCT o.k) = any_value(n_keys)),
+hits AS (SELECT g.doc_id, g.t, g.start, count(*) AS n, count(DISTINCT tw.word) AS n_words FROM good g JOIN tw ON tw.t = g.t JOIN tok ON tok.doc_id = g.doc_id AND tok.i = g.start + tw.pos AND tok.word = tw.word GROUP BY 1, 2, 3),
+found AS (SELECT doc_id, label, n / CAST(n_template AS DOUBLE) AS share FROM hits JOIN l USING (t) WHERE n_words >= least(2, n_distinct)),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM occ JOIN l USING (t) WHERE t < 0 GROUP BY 1),
+named AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score FROM (SELECT * FROM found UNION ALL SELECT doc_id, label, 1.0e0 FROM occ JOIN l USING (t) WHERE t < 0) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0e0) AS score FROM d LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id)"""

@@ -89,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": oracles.NEAR_DEDUP, "op6_chat_format": oracles.CHAT, "op7_host_quality": oracles.QUALITY}
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": oracles.NEAR_DEDUP, "op3_license_scan": oracles.LICENSES, "op6_chat_format": oracles.CHAT, "op7_host_quality": oracles.QUALITY}
