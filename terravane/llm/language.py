@@ -41,7 +41,7 @@ MARK = "▁"
 GROUP, CELLS = 20_000, 8_000_000
 #: Longer words are scored one by one.
 LONG_WORD = 2048
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 def default_vocabulary() -> str:
