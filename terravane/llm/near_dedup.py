@@ -270,4 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = members.hint("merge").join(final.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
     named = lambda *c: F.when(F.col("doc_id").isNotNull(), F.coalesce(*c, "doc_id"))
     out = out.select("doc_id", "n_shingles", named("component", "rep").alias("component_id"), named("rep").alias("class_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
+    out = out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
+    found = stored(out, "near-duplicates")  # so that the signatures can go
+    drop(sets, classes, first, final)
+    return found
