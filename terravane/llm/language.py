@@ -276,7 +276,8 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, most: int = FIT_DOC
     chosen = F.broadcast(docs.sparkSession.createDataFrame(tops, "lang string, language int, top long"))
     words = train.join(chosen, "lang").where(F.xxhash64("doc_id") <= F.col("top")).select("text", "language").mapInArrow(_words, "word string, language int, n long")
     words = words.where(F.octet_length("word") <= FIT_WORD_BYTES).groupBy("word", "language").agg(F.sum("n").alias("n"))
-    words = stored(words, "words")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = stored(words.repartition(n), "words")  # the table is small but each of its rows is work
     v = vocabulary(path)
     p = np.full((v.size, len(languages)), 1.0 / v.size)
     p[v.lone] = BYTE
