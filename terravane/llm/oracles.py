@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terravane.llm import licenses, quality
+from terravane.llm import centroids, licenses, quality
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD, _SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
@@ -83,3 +83,22 @@ found AS (SELECT doc_id, label, n / CAST(n_template AS DOUBLE) AS share FROM hit
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM occ JOIN l USING (t) WHERE t < 0 GROUP BY 1),
 named AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score FROM (SELECT * FROM found UNION ALL SELECT doc_id, label, 1.0e0 FROM occ JOIN l USING (t) WHERE t < 0) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0e0) AS score FROM d LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+def _rounds() -> str:
+    """Full comparison in each round, written out round by round."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    out = []
+    for r in range(centroids.ROUNDS + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT r, any_value(x) AS x, any_value(vec_id) AS vec_id, min(ROW(d, k)) AS b FROM (SELECT v.r, v.x, v.vec_id, c.k, CAST({distance} AS BIGINT) AS d FROM v, c{r} c) GROUP BY r)")
+        out.append(f"s{r} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT b[2] AS k, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, unnest(range(1, {centroids.DIMS + 1})) AS u(i) GROUP BY 1, 2) GROUP BY k)")
+        out.append(f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(s.c, c.c) AS c FROM c{r} c LEFT JOIN s{r} s USING (k))")
+    return ", ".join(out)
+
+
+CENTROIDS = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor({centroids.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+WHERE len(embedding) = {centroids.DIMS} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c FROM (SELECT sha256('{centroids.SEED}:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {centroids.K})),
+{_rounds()}, o AS (SELECT vec_id, b[2] AS k, b[1] AS d FROM a{centroids.ROUNDS}), i AS (SELECT k, sum(d) AS d FROM o GROUP BY k)
+SELECT vec_id, CAST(k AS INT) AS cluster, o.d AS distance, CAST(i.d AS BIGINT) AS cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM o) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM o JOIN i USING (k) JOIN c{centroids.ROUNDS} c USING (k)"""

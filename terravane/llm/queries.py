@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import chat, decontamination, language, licenses, near_dedup, oracles, packing, quality, sharding, token_files, toxicity
+from terravane.llm import centroids, chat, decontamination, language, licenses, near_dedup, oracles, packing, quality, sharding, token_files, toxicity
 from terravane.llm.shared import new_path
 
 
@@ -69,6 +69,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", toxicity.held_out(F.col("doc_id"), language.HELD_OUT_MOD, language.HELD_OUT_REST).alias("held_out"), "lang_pred", "score")
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -86,7 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tiling_decontamination,
         op9_token_files,
         op10_language_id,
+        op12_centroid_clustering,
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": oracles.NEAR_DEDUP, "op3_license_scan": oracles.LICENSES, "op6_chat_format": oracles.CHAT, "op7_host_quality": oracles.QUALITY}
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": oracles.NEAR_DEDUP, "op3_license_scan": oracles.LICENSES, "op6_chat_format": oracles.CHAT, "op7_host_quality": oracles.QUALITY, "op12_centroid_clustering": oracles.CENTROIDS}
