@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import centroids, chat, decontamination, language, licenses, near_dedup, oracles, packing, quality, sharding, token_files, toxicity
+from terravane.llm import automaton, centroids, chat, decontamination, language, licenses, near_dedup, oracles, packing, quality, sharding, token_files, toxicity
 from terravane.llm.shared import new_path
 
 
@@ -73,6 +73,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.digests(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_files,
         op10_language_id,
         op12_centroid_clustering,
+        op13_merge_automaton,
         pipeline,
     )
 }
