@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import automaton, centroids, chat, decontamination, language, licenses, near_dedup, oracles, packing, quality, sharding, token_files, toxicity
+from terravane.llm import alignment, automaton, centroids, chat, decontamination, language, licenses, near_dedup, oracles, packing, quality, sharding, token_files, toxicity
 from terravane.llm.shared import new_path
 
 
@@ -69,6 +69,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", toxicity.held_out(F.col("doc_id"), language.HELD_OUT_MOD, language.HELD_OUT_REST).alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))[0]
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tiling_decontamination,
         op9_token_files,
         op10_language_id,
+        op11_token_alignment,
         op12_centroid_clustering,
         op13_merge_automaton,
         pipeline,
