@@ -8,11 +8,14 @@ rearranged are covered as well. A text is contaminated by an item if the tiles c
 
 An item of fewer than MIN_MATCH words is found where its whole word sequence stands; one without words is never found.
 
+Windows that more than ``COMMON`` items have don't all seed: of an item's, the most common ones may go as long as the words that
+they stand on, wherever they are repeated in it, are fewer than COVERAGE of its words. Tiles of the others are then needed to reach
+COVERAGE, so no contaminating item is ever missed. ``best_item`` and ``coverage`` are those of the items that share a seed.
+
 Items of up to ``BROADCAST_BYTES`` of text in all are broadcast, and each text is tiled where it is read. A larger benchmark is
 joined: the seeds of both sides meet by a shuffle (a bitmap of the items' seeds of at most ``BITMAP_SLOTS`` words keeps other
-windows of the texts at home), which gives the pairs to tile; a text is sent once for each ``SALTS``-th of its items. Of an item
-with windows that more than ``COMMON`` items have, some of these don't seed: never so many that COVERAGE could be reached without
-a seed, so ``items`` and ``contaminated`` are the same on both ways; a best item of less coverage may be another one.
+windows of the texts at home), which gives the pairs to tile; a text is sent once for each ``SALTS``-th of its items. Both ways
+have the same seeds, and give the same results.
 
 Null or empty texts are clean, and so is everything if there are no items. Repeated rows are each answered. Repeated item_ids
 count as items of their own. ``keep`` names the columns that are passed through, by any names but the results'; an empty table
@@ -53,16 +56,39 @@ class Windows:
         item, key, at = item[own], key[own], at[own]
         order = np.argsort(key, kind="stable")
         self.keys, self.item, self.at = key[order], item[order], (at - w.first[item])[order]
-        self.marked = np.zeros(1 << _BITS, dtype=bool)
-        self.marked[self.keys >> np.uint64(64 - _BITS)] = True
+        self.shift = np.uint64(64 - min(_BITS, 8 + len(self.keys).bit_length()))
+        self.marked = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.marked[self.keys >> self.shift] = True
+
+    def seeding(self, n_words: np.ndarray, common: int) -> np.ndarray:
+        """Whether each window seeds: all but the most common ones of an item, as far as they stand on fewer than COVERAGE of its words."""
+        pair = np.lexsort((self.keys, self.item))
+        item, key = self.item[pair], self.keys[pair]
+        new = np.ones(len(pair), dtype=bool)
+        new[1:] = (item[1:] != item[:-1]) | (key[1:] != key[:-1])
+        at = np.flatnonzero(new)
+        times = np.diff([*at, len(pair)])
+        _, of, items = np.unique(key[at], return_inverse=True, return_counts=True)
+        items = items[of]
+        often = np.flatnonzero(items > common)
+        often = often[np.lexsort((key[at][often].view(np.int64), -items[often], item[at][often]))]
+        own = item[at][often]
+        stands = np.cumsum(times[often] * MIN_MATCH)
+        first = np.searchsorted(own, own)  # of the same item
+        before = np.concatenate([[0], stands])[first]
+        keeps = np.ones(len(at), dtype=bool)
+        keeps[often] = stands - before >= COVERAGE * n_words[own]
+        out = np.empty(len(pair), dtype=bool)
+        out[pair] = np.repeat(keeps, times)
+        return out
 
     def count(self, keys: np.ndarray) -> int:
-        some = keys[self.marked[keys >> np.uint64(64 - _BITS)]]
+        some = keys[self.marked[keys >> self.shift]]
         return int((np.searchsorted(self.keys, some, side="right") - np.searchsorted(self.keys, some)).sum())
 
     def matches(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in ``keys``, window of the block) of all equal windows."""
-        some = np.flatnonzero(self.marked[keys >> np.uint64(64 - _BITS)])
+        some = np.flatnonzero(self.marked[keys >> self.shift])
         lo, hi = np.searchsorted(self.keys, keys[some]), np.searchsorted(self.keys, keys[some], side="right")
         n = hi - lo
         where = np.repeat(some, n)
@@ -70,7 +96,7 @@ class Windows:
 
     def items_in(self, row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, item) of all equal windows; a window that a row repeats counts once."""
-        some = np.flatnonzero(self.marked[keys >> np.uint64(64 - _BITS)])
+        some = np.flatnonzero(self.marked[keys >> self.shift])
         row, keys = row[some], keys[some]
         order = np.lexsort((keys, row))
         row, keys = row[order], keys[order]
@@ -89,6 +115,7 @@ class Items:
         self.ids = np.array([-1 if x is None else x for x in ids], dtype=np.int64)
         self.n_words = np.diff(w.first)
         self.windows = Windows(w, hashes, MIN_MATCH, self.n_words >= MIN_MATCH)
+        self.seeds = self.windows.seeding(self.n_words, COMMON)
         self.short = {n: Windows(w, hashes, n, self.n_words == n) for n in range(1, MIN_MATCH) if (self.n_words == n).any()}
 
 
@@ -158,7 +185,7 @@ def tiled(line: list[tuple[int, int, int]], size: int = MIN_MATCH) -> list[tuple
 
 
 def _shares(row: np.ndarray, key: np.ndarray, at: np.ndarray, items: Items) -> dict[tuple[int, int], float]:
-    """Covered share of each (row, item) that share a window, from the windows of some texts in order of their rows."""
+    """Covered share of each (row, item) that share a seed, from the windows of some texts in order of their rows."""
     windows = items.windows
     shares: dict[tuple[int, int], float] = {}
     if windows.count(key) <= MOST_MATCHES:
@@ -168,14 +195,15 @@ def _shares(row: np.ndarray, key: np.ndarray, at: np.ndarray, items: Items) -> d
         order = np.argsort(pair, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1) if len(order) else []:
             r, item = divmod(int(pair[group[0]]), n)
-            shares[r, item] = sum(t[2] for t in tiles(at[where[group]], windows.at[window[group]])) / int(items.n_words[item])
+            if items.seeds[window[group]].any():
+                shares[r, item] = sum(t[2] for t in tiles(at[where[group]], windows.at[window[group]])) / int(items.n_words[item])
         return shares
     rows = np.unique(row)
     if len(rows) > 1:
         middle = int(np.searchsorted(row, rows[len(rows) // 2]))
         return _shares(row[:middle], key[:middle], at[:middle], items) | _shares(row[middle:], key[middle:], at[middle:], items)
     _, window = windows.matches(np.unique(key))
-    for item in np.unique(windows.item[window]).tolist():
+    for item in np.unique(windows.item[window[items.seeds[window]]]).tolist():
         own = windows.item == item
         order = np.argsort(windows.at[own])
         shares[int(rows[0]), item] = sum(t[2] for t in tiled(walked_runs(key, windows.keys[own][order]))) / int(items.n_words[item])
@@ -218,13 +246,20 @@ def _by_broadcast(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _item_seeds(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, text) to (key, item, n_words): windows of MIN_MATCH words, or a shorter item's whole sequence; a repeated one once."""
+    """(item, text) to (key, item, n_words, times): windows of MIN_MATCH words, or a shorter item's whole sequence; a repeated one once, with how often it stands there."""
     for batch in it:
-        w = K.words_of(batch.column(1), K.ALNUM)
-        row, key, _ = K.shingles(w, K.word_hashes(w), MIN_MATCH)
-        values, first = K.distinct_sets(row, key, batch.num_rows)
-        n = np.diff(first)
-        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(np.diff(w.first), n))], names=["key", "item", "n_words"])
+        for i, j in K.slices(batch.column(1)):
+            part = batch.slice(i, j - i)
+            w = K.words_of(part.column(1), K.ALNUM)
+            row, key, _ = K.shingles(w, K.word_hashes(w), MIN_MATCH)
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
+            new = np.ones(len(row), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+            at = np.flatnonzero(new)
+            of = row[at]
+            columns = [pa.array(key[at].view(np.int64)), part.column(0).take(pa.array(of)), pa.array(np.diff(w.first)[of]), pa.array(np.diff([*at, len(row)]).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "item", "n_words", "times"])
 
 
 def _text_seeds(it: Iterator[pa.RecordBatch], bitmap: np.ndarray, sizes: list[int]) -> Iterator[pa.RecordBatch]:
@@ -251,31 +286,57 @@ def _runs_of(w: K.Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return row, K.shingles(few, hashes[at[:, None] + np.arange(size)].ravel(), MIN_MATCH)[1]
 
 
+class _Text:
+    """A text's windows in order and sorted by key, and the keys of its runs of fewer words."""
+
+    def __init__(self, keys: np.ndarray, short: dict[int, np.ndarray]):
+        self.keys, self.short = keys, short
+        self.order = np.argsort(keys, kind="stable")
+        self.sorted = keys[self.order]
+
+    def share(self, item: np.ndarray, n_words: int) -> float:
+        """The share of an item's words that tiles cover, from the keys of its windows in order, or of its whole sequence if that is shorter."""
+        if n_words < MIN_MATCH:
+            return float(bool(n_words) and bool((self.short[n_words] == item[0]).any()))
+        lo, hi = np.searchsorted(self.sorted, item), np.searchsorted(self.sorted, item, side="right")
+        n = hi - lo
+        if n.sum() > MOST_MATCHES:
+            found = tiled(walked_runs(self.keys, item))
+        elif n.any():
+            place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            found = tiles(self.order[place], np.repeat(np.arange(len(item)), n))
+        else:
+            return 0.0
+        return sum(t[2] for t in found) / n_words
+
+
 def _tile_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, salt, item_id, text), a text first (its item number null), then its items: (row, item_id, share) of each."""
-    now, text_row, text_key, text_at, short_keys = None, None, None, None, {}
+    """Rows (row, salt, item_id, item, text), a text first (its item number null), then its items: (row, item_id, share) of each."""
+    now, text = None, None
     for batch in it:
-        rows, items, texts = (batch.column(k) for k in (0, 2, 4))
-        numbers, salts = batch.column(3).to_pylist(), batch.column(1).to_pylist()
-        out = ([], [], [])
-        for k in range(batch.num_rows):
-            w = K.words_of(texts.slice(k, 1), K.ALNUM)
+        for i, j in K.slices(batch.column(4)):
+            part = batch.slice(i, j - i)
+            w = K.words_of(part.column(4), K.ALNUM)
             hashes = K.word_hashes(w)
-            if numbers[k] is None:
-                now = (rows[k].as_py(), salts[k])
-                text_row, text_key, text_at = K.shingles(w, hashes, MIN_MATCH, short=False)
-                short_keys = {n: _runs_of(w, hashes, n)[1] for n in range(1, MIN_MATCH)}
-                continue
-            if now != (rows[k].as_py(), salts[k]):
-                continue
-            n = len(hashes)
-            if n >= MIN_MATCH:
-                share = max(_shares(text_row, text_key, text_at, Items([0], [texts[k].as_py()])).values(), default=0.0)
-            else:
-                share = float(bool(n) and bool((short_keys[n] == K.shingles(w, hashes, MIN_MATCH)[1][0]).any()))
-            for values, x in zip(out, (now[0], items[k].as_py(), share), strict=True):
-                values.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["row", "item_id", "share"])
+            of, key, at = K.shingles(w, hashes, MIN_MATCH)
+            order = np.lexsort((at, of))
+            of, key = of[order], key[order]
+            first = np.searchsorted(of, np.arange(len(part) + 1))
+            n_words = np.diff(w.first)
+            runs_ = {n: _runs_of(w, hashes, n) for n in range(1, MIN_MATCH)}
+            runs_first = {n: np.searchsorted(r[0], np.arange(len(part) + 1)) for n, r in runs_.items()}
+            rows, salts, items = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()
+            shares, pairs = [], []
+            for k in range(len(part)):
+                own = key[first[k] : first[k + 1]]
+                if items[k] is None:
+                    now = rows[k], salts[k]
+                    text = _Text(own if n_words[k] >= MIN_MATCH else own[:0], {n: r[1][runs_first[n][k] : runs_first[n][k + 1]] for n, r in runs_.items()})
+                elif now == (rows[k], salts[k]):
+                    pairs.append(k)
+                    shares.append(text.share(own, int(n_words[k])))
+            of_pairs = part.take(pa.array(pairs, pa.int64()))
+            yield pa.RecordBatch.from_arrays([of_pairs.column(0), of_pairs.column(2), pa.array(shares, pa.float64())], names=["row", "item_id", "share"])
 
 
 def _by_join(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -285,14 +346,15 @@ def _by_join(rows: DataFrame, items: DataFrame) -> DataFrame:
     names = rows.columns[:-1]
     rows = stored(rows.select(F.monotonically_increasing_id().alias("__row"), *rows.columns), "rows")
     items = stored(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
-    seeds = stored(items.select("item", "text").mapInArrow(_item_seeds, "key long, item long, n_words long"), "item-seeds")
-    # the most common windows of an item may go while those that are left can't all be missed at COVERAGE
+    seeds = stored(items.select("item", "text").mapInArrow(_item_seeds, "key long, item long, n_words long, times long"), "item-seeds")
+    # as in Windows.seeding: the most common windows of an item may go while they stand on fewer than COVERAGE of its words
     common = seeds.groupBy("key").agg(F.count("*").alias("items")).where(F.col("items") > COMMON)
     common = stored(common, "common")
     ranked = seeds.hint("merge").join(common.hint("merge"), "key", "left")
-    spare = F.ceil(F.col("n_words") * COVERAGE / MIN_MATCH) - 1
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("items"), "key"))
-    seeds_kept = stored(ranked.withColumn("rank", rank).where(F.col("items").isNull() | (F.col("rank") > spare)).select("key", "item", "n_words"), "seeds")
+    w = Window.partitionBy("item").orderBy(F.desc_nulls_last("items"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    stands = F.sum(F.when(F.col("items").isNotNull(), F.col("times") * MIN_MATCH)).over(w)
+    keeps = F.col("items").isNull() | (F.col("stands") >= F.col("n_words") * COVERAGE)
+    seeds_kept = stored(ranked.withColumn("stands", stands).where(keeps).select("key", "item", "n_words"), "seeds")
     slots = min(BITMAP_SLOTS, 1 << max(6, (seeds_kept.count() // 4).bit_length()))
     slot = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(slots - 1))
     words = seeds_kept.groupBy(slot.alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(key & 63 AS INT))")).alias("bits")).toArrow()  # at most BITMAP_SLOTS rows of two numbers
@@ -312,7 +374,7 @@ def _by_join(rows: DataFrame, items: DataFrame) -> DataFrame:
     hits = F.sort_array(F.collect_list(F.when(F.col("share") >= COVERAGE, F.coalesce("item_id", F.lit(-1)))))
     found = shares.groupBy(F.col("row").alias("__row")).agg(best.alias("b"), hits.alias("items"))
     found = found.select("__row", F.col("b.item_id").alias("best_item"), (-F.col("b.less")).alias("coverage"), "items")
-    drop(seeds, common, windows, pairs)
+    drop(seeds, common, seeds_kept, windows, pairs)
     out = rows.drop("__text").hint("merge").join(found.hint("merge"), "__row", "left")
     return out.select(*names, "best_item", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 

@@ -97,18 +97,42 @@ def test_decontamination_is_brute_force_on_both_ways(spark, monkeypatch):
     texts = dict(enumerate(texts)) | {900: texts[8]}
     benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(2)
     wanted = {k: [(i, _shares_of(t, x)) for i, x in items if x is not None] for k, t in texts.items()}
-    for most, common in ((10**9, 64), (0, 64), (0, 3)):
+    for common in (64, 3):
+        answers = []
+        for most in (10**9, 0):
+            monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
+            monkeypatch.setattr(decontamination, "COMMON", common)
+            rows = decontamination.decontaminate(docs, benchmark, ["doc_id", "coverage_"]).collect()
+            answers.append(sorted(map(tuple, rows), key=repr))
+            assert len(rows) == len(texts)
+            for r in rows:
+                found = wanted[r["coverage_"]]
+                hits = sorted(-1 if i is None else i for i, share in found if share >= 0.5)
+                assert (r["items"], r["contaminated"]) == (hits, bool(hits))
+                top = max(share for _, share in found)
+                if top >= 0.5 or common == 64:
+                    assert abs(r["coverage"] - top) < 1e-12
+        assert answers[0] == answers[1]  # the best item and its coverage as well
+
+
+def test_no_item_of_common_windows_is_lost(spark, monkeypatch):
+    rng = random.Random(21)
+    block = "one two three four five six"
+    items = [(k, " ".join([block] * 12)) for k in range(70)] + [(100 + k, f"{block} {block} own word number {k}") for k in range(70)] + [(200 + k, " ".join(rng.choice(["la", "lo"]) for _ in range(rng.randint(5, 30)))) for k in range(90)]
+    texts = [" ".join([block] * 12), f"x {block} y", " ".join([block] * 40), "la " * 30, " ".join(rng.choice(["la", "lo", "li"]) for _ in range(200)), f"{block} own word number 7", "nothing of it", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    answers = []
+    for most in (10**9, 0):
         monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
-        monkeypatch.setattr(decontamination, "COMMON", common)
-        rows = decontamination.decontaminate(docs, benchmark, ["doc_id", "coverage_"]).collect()
-        assert len(rows) == len(texts)
-        for r in rows:
-            found = wanted[r["coverage_"]]
-            hits = sorted(-1 if i is None else i for i, share in found if share >= 0.5)
-            assert (r["items"], r["contaminated"]) == (hits, bool(hits))
-            top = max(share for _, share in found)
-            if top >= 0.5 or most:
-                assert abs(r["coverage"] - top) < 1e-12
+        rows = sorted(map(tuple, decontamination.decontaminate(docs, benchmark).collect()))
+        answers.append(rows)
+        for doc_id, _, _, found, contaminated in rows:
+            hits = [i for i, x in items if _shares_of(texts[doc_id], x) >= 0.5]
+            assert (found, contaminated) == (hits, bool(hits))
+    assert answers[0] == answers[1] and len(answers[0][0][3]) >= 70
+    few = decontamination.Items([0], ["a b c d e f g"]).windows  # its table is as large as it needs
+    assert len(few.marked) < 10_000
 
 
 def test_repeated_windows_are_walked(monkeypatch):
