@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terravane.functions import geo
 from terravane.functions.classify import FIND_CATEGORIES, PLACE_TYPES, decode
 from terravane.operators.blocks import BLOCK, in_blocks
+from terravane.operators.order import numbered
 
 DAY_MS = 86_400_000
 
@@ -216,8 +217,8 @@ def merge_import(existing: DataFrame, incoming: DataFrame, key: str = "external_
     Rows without an external id or an id are no rows to import: they are left out and counted as warnings. The counts (one row):
     incoming, inserted, skipped (known already, or a repetition) and warnings.
 
-    Others get ids above all that are there. Numbering is by a window over the rows whose id is taken, in ranges of their old
-    ids: the offset of each range is a running sum over the ranges' counts.
+    Others get ids above all that are there: the rows whose id is taken are numbered in stored ranges of (old id, external id), whose
+    bounds are measured, so sparse ids are no matter.
     """
     usable = incoming.where(F.col(key).isNotNull() & F.col("id").isNotNull())
     fresh = new_rows(usable, existing, key)
@@ -228,11 +229,8 @@ def merge_import(existing: DataFrame, incoming: DataFrame, key: str = "external_
     fresh = fresh.withColumn("__twice", twice > 1).join(taken, "id", "left")
     fresh = fresh.withColumn("__free", F.col("__taken").isNull() & ~F.col("__twice")).drop("__taken", "__twice")
     top = existing.select("id").union(incoming.select("id")).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    blocked = fresh.where("NOT __free").withColumn("__range", F.floor(F.col("id") / 100_000))
-    counts = blocked.groupBy("__range").agg(F.count("*").alias("__rows"))
-    offsets = counts.withColumn("__before", F.sum("__rows").over(Window.orderBy("__range")) - F.col("__rows")).select("__range", "__before")
-    numbered = blocked.join(offsets, "__range").withColumn("id", F.lit(top) + F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy("id", key)))
-    out = fresh.where("__free").unionByName(numbered.drop("__range", "__before")).drop("__free")
+    placed = numbered(fresh.where("NOT __free"), [F.col("id"), F.col(key)], "__place").withColumn("id", F.lit(top) + F.col("__place")).drop("__place")
+    out = fresh.where("__free").unionByName(placed).drop("__free")
     flagged = incoming.select(F.col(key), F.col("id"), F.lit(1).alias("__in")).hint("merge").join(existing.select(key).distinct().withColumn("__known", F.lit(1)).hint("merge"), key, "left")
     bad = F.col(key).isNull() | F.col("id").isNull()
     by_key = flagged.groupBy(key, bad.alias("bad"), F.col("__known").isNotNull().alias("known")).agg(F.count("*").alias("n"))

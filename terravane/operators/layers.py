@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import classify, geo
+from terravane.operators import scan
 from terravane.operators.store import kept
 
 # Fixed values of the back-off and of the log limits.
@@ -69,11 +70,15 @@ def soil_readings(hours: DataFrame, now_s: int) -> DataFrame:
 
 
 def running_soil(hours: DataFrame) -> DataFrame:
-    """Hours with the last moisture known at each and the rain of the three days up to it."""
-    w = Window.partitionBy("place").orderBy("time")
-    last = F.last("moisture", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rain = F.coalesce(F.sum("rain").over(w.rangeBetween(-RAIN_DAYS_S, 0)), F.lit(0.0))
-    return hours.select("place", "time", last.alias("moisture"), rain.alias("rain_mm"))
+    """Hours with the last moisture known at each and the rain of the three days up to it.
+
+    The rain of a place is summed up in spans of three days: a row is copied to its own span and to the next one, which may still need it.
+    """
+    known = scan.last_known(hours.select("place", "time", "moisture", "rain"), ["place"], ["time"], {"moisture": F.col("moisture")})
+    span = F.floor(F.col("time") / RAIN_DAYS_S)
+    spans = known.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("span", span + F.col("copy"))
+    w = Window.partitionBy("place", "span").orderBy("time").rangeBetween(-RAIN_DAYS_S, 0)
+    return spans.withColumn("rain_mm", F.coalesce(F.sum("rain").over(w), F.lit(0.0))).where("copy = 0").select("place", "time", "moisture", "rain_mm")
 
 
 def effective_soil(chosen: Column, estimate: Column) -> Column:
@@ -83,17 +88,21 @@ def effective_soil(chosen: Column, estimate: Column) -> Column:
 def blocked_until(responses: DataFrame) -> DataFrame:
     """Responses (host, id, at_ms, status, retry_after_s) with the host's running streak of refusals and until when it is blocked.
 
-    Streaks are islands between accepted responses. A refusal is 429 or 503; its pause doubles from two seconds to five minutes,
+    A streak is the refusals so far less those up to the last accepted response. A refusal is 429 or 503; its pause doubles from two seconds to five minutes,
     or is what the server asked for if that is longer, within the same bound.
     """
-    refused = F.col("status").isin(429, 503)
-    w = Window.partitionBy("host").orderBy("at_ms", "id")
-    island = F.sum(F.when(refused, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    streak = F.sum(F.when(refused, 1).otherwise(0)).over(Window.partitionBy("host", "island").orderBy("at_ms", "id").rowsBetween(Window.unboundedPreceding, 0))
+    refused = F.coalesce(F.col("status").isin(429, 503), F.lit(False))
+    key, order = ["host"], ["at_ms", "id"]
+    # refusals so far; at an answer that was accepted, those that no longer count
+    led = scan.with_leads(scan.in_ranges(responses.withColumn("refusals", F.when(refused, 1).otherwise(0).cast("long")), key, order), key, order, sums=["refusals"])
+    counted = scan.rows_only(led.withColumn("refusals", F.sum("refusals").over(scan.so_far(key, order))))
+    counted = kept(counted.withColumn("settled", F.when(~refused, F.col("refusals"))), "refusals")
+    settled = F.last("settled", ignorenulls=True).over(scan.so_far(key, order))
+    out = scan.rows_only(scan.with_leads(counted, key, order, known=["settled"]).withColumn("settled", settled))
+    out = out.withColumn("streak", F.col("refusals") - F.coalesce("settled", F.lit(0))).drop("refusals", "settled", "__range")
     ours = F.least(F.lit(BACKOFF_MOST_MS), F.lit(BACKOFF_BASE_MS) * F.pow(F.lit(2.0), F.least(F.col("streak") - 1, F.lit(20)))).cast("long")
     theirs = F.least(F.lit(BACKOFF_MOST_MS).cast("long"), F.coalesce("retry_after_s", F.lit(0)) * 1000)
-    out = responses.withColumn("island", island).withColumn("streak", streak)
-    return out.withColumn("blocked_until", F.when(refused, F.col("at_ms") + F.greatest(ours, theirs))).drop("island")
+    return out.withColumn("blocked_until", F.when(refused, F.col("at_ms") + F.greatest(ours, theirs)))
 
 
 def daily_usage(log: DataFrame) -> DataFrame:

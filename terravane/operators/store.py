@@ -26,10 +26,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """``df``, written as a table in the shared folder, in folders by the columns ``by``, and read back."""
+    """``df``, written as a table in the shared folder, in folders by the columns ``by``, and read back. It goes when the application ends, or by ``dropped``."""
     path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at_exit(df.sparkSession, path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._terravane_path = path
+    return back
+
+
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes ``path`` when the driver ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``kept`` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_terravane_path", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:

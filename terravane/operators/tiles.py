@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geo, hilbert
-from terravane.operators.store import kept
+from terravane.operators import scan
+from terravane.operators.store import dropped, kept
 
 #: Tile ids of one range of the two-level sums, and how ranges grow where runs meet at their borders: 2^16 * 8192^3 is beyond all ids.
 RANGE, LEVEL, LEVELS = 65_536, 8192, 3
@@ -84,41 +85,27 @@ def runs(tiles: DataFrame) -> DataFrame:
         islands = entries.withColumn("range", F.floor(F.col("tile_id") / width)).withColumn("brk", F.when(goes_on, 0).otherwise(1)).withColumn("island", F.sum("brk").over(w))
         entries = islands.groupBy("range", "island").agg(F.min("tile_id").alias("tile_id"), F.first("content").alias("content"), F.sum("run_length").alias("run_length"))
         entries = kept(entries.drop("range", "island"), "runs")
-        if level == LEVELS:
-            return done.unionByName(entries)
         at_border = (F.pmod("tile_id", F.lit(width)) == 0) | (F.pmod(F.col("tile_id") + F.col("run_length"), F.lit(width)) == 0)
+        if level == LEVELS or (level and entries.where(at_border).isEmpty()):
+            return entries if done is None else done.unionByName(entries)
         inner = entries.where(~at_border)
         done = inner if done is None else done.unionByName(inner)
         entries, width = entries.where(at_border), width * LEVEL
 
 
 def content_offsets(tiles: DataFrame) -> DataFrame:
-    """(content, tile_id, bytes, offset): each content's first tile by id, and the bytes of all contents first seen before it.
-
-    Two-level prefix sums: inside ranges of ids, plus a running sum over the ranges' totals.
-    """
+    """(content, tile_id, bytes, offset): each content's first tile by id, and the bytes of all contents first seen before it, by a scan in ranges of ids."""
     firsts = tiles.groupBy("content").agg(F.min("tile_id").alias("tile_id"), F.min_by("bytes", "tile_id").alias("bytes"))
-    firsts = firsts.withColumn("range", F.floor(F.col("tile_id") / RANGE))
-    totals = firsts.groupBy("range").agg(F.sum("bytes").alias("in_range"))
-    before = totals.select("range", (F.sum("in_range").over(Window.orderBy("range")) - F.col("in_range")).alias("before"))
-    inside = F.sum("bytes").over(Window.partitionBy("range").orderBy("tile_id")) - F.col("bytes")
-    return firsts.withColumn("inside", inside).hint("merge").join(before.hint("merge"), "range").select("content", "tile_id", "bytes", (F.col("before") + F.col("inside")).alias("offset"))
+    return scan.running_sum(firsts, [], ["tile_id"], F.col("bytes"), "up_to").select("content", "tile_id", "bytes", (F.col("up_to") - F.col("bytes")).alias("offset"))
 
 
 def lookup(ids: DataFrame, directory: DataFrame) -> DataFrame:
-    """(tile_id, content) of the directory run that holds each id; null without one. An as-of join inside ranges of ids.
-
-    A run that goes on into later ranges is put in each of them.
-    """
-    last = F.col("start") + F.col("run_length") - 1
-    spread = directory.withColumnRenamed("tile_id", "start").withColumn("range", F.explode(F.sequence(F.floor(F.col("start") / RANGE), F.floor(last / RANGE))))
-    entries = spread.select("range", F.col("start").alias("at"), F.lit(0).alias("kind"), "start", "run_length", "content")
-    asked = ids.select(F.floor(F.col("tile_id") / RANGE).alias("range"), F.col("tile_id").alias("at"), F.lit(1).alias("kind"))
+    """(tile_id, content) of the directory run that holds each id; null without one. An as-of join in ranges of ids: each range is handed the last run before it, however long that is."""
+    entries = directory.select(F.col("tile_id").alias("at"), F.lit(0).alias("kind"), F.struct(F.col("tile_id").alias("start"), "run_length", "content").alias("run"))
+    asked = ids.select(F.col("tile_id").alias("at"), F.lit(1).alias("kind"))
     both = entries.unionByName(asked, allowMissingColumns=True)
-    w = Window.partitionBy("range").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    entry = F.last(F.when(F.col("kind") == 0, F.struct("start", "run_length", "content")), ignorenulls=True).over(w)
-    found = both.withColumn("e", entry).where("kind = 1")
-    return found.select(F.col("at").alias("tile_id"), F.when(F.col("at") < F.col("e.start") + F.col("e.run_length"), F.col("e.content")).alias("content"))
+    found = scan.last_known(both, [], ["at", "kind"], {"run": F.col("run")}).where("kind = 1")
+    return found.select(F.col("at").alias("tile_id"), F.when(F.col("at") < F.col("run.start") + F.col("run.run_length"), F.col("run.content")).alias("content"))
 
 
 def lowest_zoom_bounds(tiles: DataFrame) -> DataFrame:

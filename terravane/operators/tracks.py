@@ -7,10 +7,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions import geo
+from terravane.operators import scan
 
 # Fixed values of the recorder.
 WORST_ACCURACY_M = 50.0
@@ -155,8 +156,8 @@ def record(fixes: DataFrame) -> DataFrame:
 
 def steps(points: DataFrame) -> DataFrame:
     """``points`` with ``step_m`` to each from the one before, by (ts, id); the first of a track: null."""
-    w = Window.partitionBy("track_id").orderBy("ts", "id")
-    return points.withColumn("step_m", geo.distance_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")))
+    led = scan.steps_from(points, ["track_id"], ["ts", "id"], ["lat", "lon"], "__")
+    return led.withColumn("step_m", geo.distance_m(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon"))).drop("__lat", "__lon", "has___")
 
 
 def lengths(points: DataFrame) -> DataFrame:
@@ -176,11 +177,11 @@ def finish(tracks: DataFrame, points: DataFrame) -> DataFrame:
 
 def without_repeats(fixes: DataFrame) -> DataFrame:
     """Fixes that differ from the one before them, in order of arrival."""
-    w = Window.partitionBy("track_id").orderBy("arrival")
-    same = F.lit(True)
+    led = scan.steps_from(fixes, ["track_id"], ["arrival"], ["ts", "lat", "lon"], "__")
+    same = F.col("has___")
     for c in ("ts", "lat", "lon"):
-        same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
-    return fixes.withColumn("__same", same & F.lag("arrival").over(w).isNotNull()).where("NOT __same").drop("__same")
+        same = same & F.col(f"__{c}").eqNullSafe(F.col(c))
+    return led.where(~same).select(*fixes.columns)
 
 
 def close_stale(tracks: DataFrame, points: DataFrame, now_ms: int, resume_within_ms: int) -> DataFrame:
@@ -193,10 +194,10 @@ def close_stale(tracks: DataFrame, points: DataFrame, now_ms: int, resume_within
 
 
 def marks_at_fixes(marks: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Marks (track_id, mark_id, ts) with the last fix at or before each: an as-of join by one union and one window."""
+    """Marks (track_id, mark_id, ts) with the last fix at or before each: an as-of join by one union and an ordered scan."""
     both = marks.select("track_id", "ts", "mark_id", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("long").alias("arrival")).unionByName(
         fixes.select("track_id", "ts", F.lit(None).cast("long").alias("mark_id"), F.lit(0).alias("kind"), "lat", "lon", "arrival")
     )
-    w = Window.partitionBy("track_id").orderBy("ts", "kind", "arrival").rowsBetween(Window.unboundedPreceding, 0)
-    fix = F.last(F.when(F.col("kind") == 0, F.struct("lat", "lon", F.col("ts").alias("fix_ts"))), ignorenulls=True).over(w)
-    return both.withColumn("fix", fix).where("kind = 1").select("track_id", "mark_id", "ts", "fix.lat", "fix.lon", "fix.fix_ts")
+    fix = F.when(F.col("kind") == 0, F.struct("lat", "lon", F.col("ts").alias("fix_ts")))
+    found = scan.last_known(both.select("track_id", "ts", "kind", "arrival", "mark_id", "lat", "lon"), ["track_id"], ["ts", "kind", "arrival", "mark_id"], {"fix": fix})
+    return found.where("kind = 1").select("track_id", "mark_id", "ts", "fix.lat", "fix.lon", "fix.fix_ts")
