@@ -13,13 +13,13 @@ took away. States are therefore stored as what gadgets took from them: a state l
 it was split from with the number up to which that one's list holds. An arc ``t`` is there unless one of the tokens that it begins
 with was taken before the next longer one was made. A merge whose path is not there makes a token that no text can have.
 
-A pre-split word is encoded from left to right: a table of symbols and trie nodes gives the tokens that end at each place, the
-longest first, and the one whose arc leaves the state of the place where it begins is the last token of that prefix; there is one
-at most, since the automaton is deterministic over tokenizations. Ids are read back from the end. Transitions are kept in a table once
-they are worked out. Decoding walks the arcs and emits their labels, which the tokenizer joins with a space, as it has no decoder.
+A pre-split word is encoded from left to right: a table of symbols gives the tokens that begin at a place, and the longest one is taken
+whose arc leaves the state that was reached. Where none is left, the place leads nowhere, and the walk goes one arc back to the next
+shorter token. A prefix of a word has one path at most, so a place that led nowhere needs no second look. Arcs are kept in a
+table once they are worked out. Decoding walks the arcs and emits their labels, which the tokenizer joins with a space, as it has no decoder.
 
-Words are split, lower-cased and put in byte letters by the tokenizer's own rules; strings of its special tokens are ids. Each
-distinct cut between two spaces is encoded once by a worker, up to ``WORDS`` remembered ones.
+Words are split, lower-cased and put in byte letters by the tokenizer's own rules (cuts of ASCII and Latin-1 letters by the same ones
+without Unicode's tables); strings of its special tokens are ids. A worker remembers up to ``WORDS`` distinct words and as many cuts between spaces.
 
 A null or empty text has no ids. Nulls in other columns, repeated rows and extra columns pass through; an empty table gives no rows.
 """
@@ -30,6 +30,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from terravane.llm.shared import annotate
+from terravane.llm.tokens import _byte_letters
 
 #: Distinct cuts and arcs that a worker remembers: bounds its memory.
 WORDS, ARCS = 300_000, 1_000_000
@@ -44,6 +46,11 @@ WORDS, ARCS = 300_000, 1_000_000
 SLICE_BYTES = 2_000_000
 #: Characters of a long text that are cut at a time.
 STRETCH = 1 << 18
+#: The splitting rule, and what it finds in cuts without other letters, digits and white space than these.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile(r"[!-~\n\tÀ-ÖØ-öø-ÿ]*")
+_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+_LETTERS = _byte_letters()
 NONE = -1
 
 
@@ -132,91 +139,99 @@ class Codec:
         rules = Tokenizer.from_file(path)
         self._normalize, self._split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         self._grow()
+        # the rules below are those of this file, for cuts of the characters that they name
+        steps = [r["type"] for r in (told["normalizer"] or {}).get("normalizers", [])]
+        first = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self._plain = steps == ["NFC", "Replace", "Lowercase"] and first.get("pattern", {}).get("Regex") == _SPLIT
         self._words: dict[str, bytes] = {}
+        self._cuts: dict[str, bytes] = {}
         self._arcs: dict[int, bool] = {}
 
     def _grow(self) -> None:
-        """The table of (node, symbol) -> node over all living tokens, and for each node the tokens that end there, longest first."""
+        """The table of the living tokens by their symbols, and for each token the longest one that it begins with."""
         a = self.automaton
         spelled: list[tuple[int, ...]] = []
         for t in range(len(a.labels)):
             spelled.append((t,) if a.left[t] == NONE else spelled[a.left[t]] + spelled[a.right[t]])
         self.lengths = [len(s) for s in spelled]
-        self.step: dict[tuple[int, int], int] = {}
-        own, nodes = [NONE], [()]
-        for t, symbols in enumerate(spelled):
+        self.next: list[dict[str, int]] = [{}]
+        self.token = [NONE]
+        self.shorter = [NONE] * len(a.labels)
+        for t in sorted(range(len(a.labels)), key=self.lengths.__getitem__):
             if a.alive[t]:
                 node = 0
-                for k, s in enumerate(symbols):
-                    if (node, s) not in self.step:
-                        self.step[node, s] = len(own)
-                        own.append(NONE)
-                        nodes.append(symbols[: k + 1])
-                    node = self.step[node, s]
-                own[node] = t
-        # the longest proper suffix that is a node too, by length: the rest of a node's tokens end there
-        self.back = [0] * len(own)
-        self.ending: list[tuple[int, ...]] = [()] * len(own)
-        for node in sorted(range(1, len(own)), key=lambda n: len(nodes[n])):
-            symbols = nodes[node]
-            if len(symbols) > 1:
-                parent, at = self.step_of(symbols[:-1]), symbols[-1]
-                self.back[node] = self._reach(self.back[parent], at)
-            rest = self.ending[self.back[node]]
-            self.ending[node] = (own[node], *rest) if own[node] != NONE else rest
-
-    def step_of(self, symbols: tuple[int, ...]) -> int:
-        node = 0
-        for s in symbols:
-            node = self.step[node, s]
-        return node
-
-    def _reach(self, node: int, symbol: int) -> int:
-        while (at := self.step.get((node, symbol))) is None:
-            if not node:
-                return 0
-            node = self.back[node]
-        return at
+                for s in spelled[t]:
+                    if self.token[node] != NONE:
+                        self.shorter[t] = self.token[node]
+                    symbol = a.labels[s]
+                    if symbol not in self.next[node]:
+                        self.next[node][symbol] = len(self.next)
+                        self.next.append({})
+                        self.token.append(NONE)
+                    node = self.next[node][symbol]
+                self.token[node] = t
 
     def _arc(self, state: int, token: int) -> bool:
-        key = state << 32 | token
-        if (known := self._arcs.get(key)) is None:
-            if len(self._arcs) >= ARCS:
-                self._arcs.clear()
-            known = self._arcs[key] = self.automaton.arc(state, token)
+        if len(self._arcs) >= ARCS:
+            self._arcs.clear()
+        known = self._arcs[state << 32 | token] = self.automaton.arc(state, token)
         return known
 
     def _walk(self, word: str) -> bytes:
         """The ids of one pre-split word in byte letters."""
-        number = self.automaton.number
-        symbols = [number[c] for c in word[:-1]] + [number[word[-1] + self.suffix]]
-        last, node = [], 0
-        for end, s in enumerate(symbols, 1):
-            node = self._reach(node, s)
-            for token in self.ending[node]:
-                begin = end - self.lengths[token]
-                if not begin or ((before := last[begin - 1]) != NONE and self._arc(before, token)):
-                    last.append(token)
-                    break
+        symbols = [*word[:-1], word[-1] + self.suffix]
+        n, path, ends, nowhere, arcs = len(symbols), [], [0], set(), self._arcs
+        lengths, shorter, nexts, tokens = self.lengths, self.shorter, self.next, self.token
+        token = None  # the next one to try at the place reached; None: the longest
+        while ends[-1] < n:
+            at = ends[-1]
+            if token is None:
+                node, token = 0, NONE
+                for k in range(at, n):
+                    if (node := nexts[node].get(symbols[k], NONE)) == NONE:
+                        break
+                    if tokens[node] != NONE:
+                        token = tokens[node]
+            while token != NONE:
+                if at + lengths[token] not in nowhere:
+                    if not path:
+                        break
+                    if (there := arcs.get(path[-1] << 32 | token)) is None:
+                        there = self._arc(path[-1], token)
+                    if there:
+                        break
+                token = shorter[token]
+            if token != NONE:
+                path.append(token)
+                ends.append(at + lengths[token])
+                token = None
             else:
-                last.append(NONE)
-        out, end = [], len(symbols)
-        while end:
-            out.append(self.ids[last[end - 1]])
-            end -= self.lengths[last[end - 1]]
-        return np.array(out[::-1], dtype="<u4").tobytes()
+                nowhere.add(at)
+                ends.pop()
+                token = shorter[path.pop()]
+        return array("I", [self.ids[t] for t in path]).tobytes()
 
     def _cut(self, cut: str) -> bytes:
         """The ids of a cut between spaces: no rule of the tokenizer looks across a space, and none keeps one."""
-        words = self._words
-        if len(words) >= WORDS:
-            words.clear()
-        found = words[cut] = b"".join(self._walk(word) for word, _ in self._split(self._normalize(cut)))
+        words, out = self._words, []
+        if self._plain and _PLAIN.fullmatch(cut):
+            own = [w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS) for w in _WORD.findall(cut.lower())]
+        else:
+            own = [word for word, _ in self._split(self._normalize(cut))]
+        for word in own:
+            if (found := words.get(word)) is None:
+                if len(words) >= WORDS:
+                    words.clear()
+                found = words[word] = self._walk(word)
+            out.append(found)
+        if len(self._cuts) >= WORDS:
+            self._cuts.clear()
+        found = self._cuts[cut] = b"".join(out)
         return found
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as unsigned little-endian 32-bit integers."""
-        known, out = self._words, []
+        known, out = self._cuts, []
         for k, part in enumerate(self._special.split(text) if self._special else [text]):
             if k % 2:
                 out.append(np.array([self.special[part]], dtype="<u4").tobytes())
