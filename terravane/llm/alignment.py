@@ -25,6 +25,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,11 @@ from terravane.llm.shared import batches, drop, stored
 from terravane.llm.tokens import _byte_letters, default_tokenizer
 
 #: Bytes of texts of a slice; a longer text is a slice of its own.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Distinct cuts of texts whose tokens a worker remembers: bounds its memory.
 CUTS = 300_000
+#: Cuts that are encoded in one call.
+LEARNT = 5_000
 #: A cut ends before a space behind another character: pieces of both vocabularies begin with spaces or have none (checked).
 _CUT = re.compile(r"(?<=\S) ")
 _CODEC = "zstd"
@@ -84,28 +87,37 @@ class Pair:
         self._ids, self._ends = (array("I"), array("I")), (array("q", [0]), array("q", [0]))
         self._same = array("b")
 
-    def _learn(self, cut: str) -> int:
-        a = self._a.encode(cut, add_special_tokens=False).ids
-        b = self._b.encode(cut[1:], num_threads=1) if len(cut) > 1 else [self._b.piece_to_id("▁")]
-        raw = cut.encode()
-        self._same.append(b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw)
-        for side, ids in enumerate((a, b)):
-            self._ids[side].extend(ids)
-            self._ends[side].append(len(self._ids[side]))
-        number = self._number[cut] = len(self._number)
-        return number
+    def _learn(self, cuts: list[str]) -> None:
+        for at in range(0, len(cuts), LEARNT):
+            some = cuts[at : at + LEARNT]
+            of_a = [e.ids for e in self._a.encode_batch_fast(some, add_special_tokens=False)]
+            of_b = self._b.encode([c[1:] for c in some], num_threads=1)
+            for k in [k for k, c in enumerate(some) if len(c) == 1]:
+                of_b[k] = [self._b.piece_to_id("▁")]  # a last space
+            raw, a_bytes, b_bytes = list(map(str.encode, some)), self.a_bytes.__getitem__, self.b_bytes.__getitem__
+            self._same.extend([b"".join(map(b_bytes, b)) == r and b"".join(map(a_bytes, a)) == r for a, b, r in zip(of_a, of_b, raw, strict=True)])
+            for side, lists in enumerate((of_a, of_b)):
+                first = len(self._ids[side])
+                self._ids[side].extend(chain.from_iterable(lists))
+                self._ends[side].extend(islice(accumulate(map(len, lists), initial=first), 1, None))
+            self._number.update(zip(some, range(len(self._number), len(self._number) + len(some))))
+
+    @staticmethod
+    def _cuts(text: str | None) -> list[str]:
+        first, *rest = _CUT.split(f" {text}") if text else [None]
+        return [first, *(" " + c for c in rest)] if text else []
 
     def lists(self, column: pa.Array) -> tuple[pa.LargeListArray, pa.LargeListArray]:
         """The ids of A and of B of each text, none where its bytes don't come back."""
         if len(self._number) > CUTS:
             self._forget()
-        known, where, counts = self._number, array("q"), []
+        known, where, counts, of_texts = self._number, array("q"), [], []
         for text in column:
             text = text.as_py()
-            cuts = _CUT.split(f" {text}") if text else []
-            if cuts:
-                cuts[1:] = [" " + c for c in cuts[1:]]
-            own = [known[c] if c in known else self._learn(c) for c in cuts]
+            of_texts.append([" " + c for c in _CUT.split(text)] if text and not text.startswith(" ") else self._cuts(text))
+        self._learn(list({c: None for cuts in of_texts for c in cuts if c not in known}))
+        for cuts in of_texts:
+            own = [known[c] for c in cuts]
             if all(map(self._same.__getitem__, own)):
                 where.extend(own)
                 counts.append(len(own))
