@@ -26,9 +26,9 @@ def _(t):
 )
 def _(t):
     finds = t("finds")
-    inside = spatial.property_of_polygon(_points(finds), polygons(t("areas")), "uan")
-    joined = inside.hint("merge").join(finds.hint("merge"), F.col("point_id") == F.col("id"))
-    return joined.groupBy(F.col("value").alias("uan"), classify.decode(F.col("category"), classify.FIND_CATEGORIES, "OSTATNI").alias("category")).agg(F.count("*").alias("n"), F.max("depth_cm").alias("deepest_cm"))
+    points = finds.select(F.col("id").alias("point_id"), "lat", "lon", "category", "depth_cm")
+    inside = spatial.property_of_polygon(points, polygons(t("areas")), "uan", ["category", "depth_cm"])
+    return inside.groupBy(F.col("value").alias("uan"), classify.decode(F.col("category"), classify.FIND_CATEGORIES, "OSTATNI").alias("category")).agg(F.count("*").alias("n"), F.max("depth_cm").alias("deepest_cm"))
 
 
 _SEGMENT = "greatest(0.0e0, least(1.0e0, ((f.lon*k - e.alon*k)*((e.blon-e.alon)*k) + (f.lat*111132.0e0 - e.alat*111132.0e0)*((e.blat-e.alat)*111132.0e0)) / (((e.blon-e.alon)*k)*((e.blon-e.alon)*k) + ((e.blat-e.alat)*111132.0e0)*((e.blat-e.alat)*111132.0e0))))"
@@ -110,10 +110,7 @@ def _(t):
     "places", "calibrations",
 )
 def _(t):
-    c = t("calibrations").where("active").select("layer_id", F.col("id").alias("calibration_id"), "west", "south", "east", "north", "updated_at")
-    inside = spatial.boxes_at(t("places").select(F.col("id").alias("place_id"), "lat", "lon"), c)
-    order = F.struct((F.col("east") - F.col("west")) * (F.col("north") - F.col("south")), -F.col("updated_at"), "calibration_id")
-    return inside.groupBy("layer_id", "place_id").agg(F.min_by("calibration_id", order).alias("calibration_id"))
+    return spatial.preflight(t("places").select(F.col("id").alias("place_id"), "lat", "lon"), t("calibrations"))
 
 
 _PRAGUE = ("50.0755e0", "14.4378e0")
