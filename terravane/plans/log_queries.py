@@ -664,6 +664,34 @@ def _(t):
     )
 
 
+@query(
+    "t5_silent_tracks",
+    "WITH m AS (SELECT *, max(ts) OVER (PARTITION BY track_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up_to FROM fixes), i AS (SELECT *, sum(CASE WHEN ts - up_to > 7200001 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY arrival) AS island FROM m), g AS (SELECT track_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS fixes, island = max(island) OVER (PARTITION BY track_id) AS is_last FROM i GROUP BY track_id, island) SELECT track_id, started_at, ended_at, fixes FROM g WHERE NOT is_last OR ended_at + 7200001 < (SELECT max(ts) - 43200000 FROM fixes)",
+    "fixes",
+)
+def _(t):
+    stream = recorder.close_silent(recorder.replay(t("fixes").select("track_id", "arrival", "ts"), "arrival"), 7_200_001, "12 hours")
+    return recorder.drain(stream, "silent_tracks")
+
+
+@query(
+    "t12_mark_stream",
+    "SELECT m.track_id, m.mark_id, f.ts AS fix_ts, f.lat FROM (SELECT user_id AS track_id, event_id AS mark_id, 1600000000000 + event_id * 14000 AS ts FROM events) m ASOF LEFT JOIN (SELECT track_id, ts, max_by(lat, arrival) AS lat FROM fixes GROUP BY 1, 2) f ON f.track_id = m.track_id AND f.ts <= m.ts",
+    "fixes",
+)
+def _(t):
+    # one source of both kinds in order of time, some marks before and some behind their fixes; a stop row ends each track
+    null = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    fixes = t("fixes").select("track_id", "arrival", null("long", "mark_id"), "ts", "lat", "lon", F.lit(False).alias("stop"), (F.lit(1600000000000) + F.col("arrival") * 15000).alias("at"))
+    marked = F.lit(1600000000000) + F.col("event_id") * 14000
+    marks = t("events").select(F.col("user_id").alias("track_id"), null("long", "arrival"), F.col("event_id").alias("mark_id"), marked.alias("ts"), null("double", "lat"), null("double", "lon"), null("boolean", "stop"), (marked + (F.col("event_id") % 7 - 3) * 600_000).alias("at"))
+    end = fixes.agg(F.max("at")).first()[0] or 0
+    stops = fixes.select("track_id").distinct().select("track_id", null("long", "arrival"), null("long", "mark_id"), F.lit(end).alias("ts"), null("double", "lat"), null("double", "lon"), F.lit(True).alias("stop"), F.lit(end + 10**10).alias("at"))
+    both = recorder.replay(fixes.unionByName(marks).unionByName(stops), "at", "track_id")
+    out = recorder.marks_stream(both.where("mark_id IS NOT NULL"), both.where("mark_id IS NULL"))
+    return recorder.drain(out, "marks").select("track_id", "mark_id", "fix_ts", "lat")
+
+
 @query("t11_blocked_stream", "WITH i AS (SELECT *, sum(CASE WHEN status IN (429, 503) THEN 0 ELSE 1 END) OVER (PARTITION BY host ORDER BY at_ms, id) AS island FROM responses), s AS (SELECT *, sum(CASE WHEN status IN (429, 503) THEN 1 ELSE 0 END) OVER (PARTITION BY host, island ORDER BY at_ms, id) AS streak FROM i) SELECT id, CAST(streak AS BIGINT) AS streak, CASE WHEN status IN (429, 503) THEN CAST(at_ms + greatest(least(300000, 2000 * pow(2, least(streak - 1, 20))), least(300000, coalesce(retry_after_s, 0) * 1000)) AS BIGINT) END AS blocked_until FROM s", "responses")
 def _(t):
     stream = recorder.blocked_stream(recorder.replay(t("responses").select("host", "id", "at_ms", "status", "retry_after_s"), "at_ms", "id"))

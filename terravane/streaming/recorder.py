@@ -1,68 +1,32 @@
-"""Streams: the track recorder and other operators that remember, on keyed state; windows for the rest."""
+"""Streams: the track recorder and other operators that remember, by stateful processors; windows and keyed tables for the rest.
+
+Keyed state lives in the RocksDB store, in the query's checkpoint: a query that starts again goes on in the middle of a track.
+"""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
-from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from terravane.operators import tracks
-from terravane.operators.store import kept, shared_path
+from terravane.operators.store import at_exit, shared_path
+from terravane.streaming import processors as P
 
 FIXES = "track_id long, arrival long, ts long, lat double, lon double, accuracy_m double, stop boolean"
-_FIX = ", ".join(f"{n}_ts long, {n}_lat double, {n}_lon double, {n}_accuracy double" for n in ("last", "stored", "candidate", "anchor"))
-STATE = f"{_FIX}, distance_m double, vertices long, idle boolean, started long"
 #: A track that hears nothing for this long is closed.
 SILENT_MS = 12 * 3600 * 1000
-# Fixed values of the filters.
-JITTER_DEG = 1.5
-RECOUNT_M = 30.0
-#: Rows of a micro-batch of a table that is replayed, about, and of a frame that an operator hands on.
-BATCH_ROWS, FRAME_ROWS = 200_000, 10_000
-
-
-def _rows(pdfs: Iterator[pd.DataFrame], order: str | list[str]) -> Iterator:
-    """A micro-batch's rows of one key, in order of arrival."""
-    frames = [p for p in pdfs if len(p)]
-    if frames:
-        yield from pd.concat(frames).sort_values(order, kind="stable").itertuples(index=False)
-
-
-def _frames(rows: Iterator[tuple], columns: Sequence[str], types: dict[str, str] | None = None) -> Iterator[pd.DataFrame]:
-    """``rows`` in frames of FRAME_ROWS; one empty frame if there are none."""
-    frame = list(islice(rows, FRAME_ROWS))
-    while True:
-        yield pd.DataFrame(frame, columns=columns).astype(types or {})
-        if not (frame := list(islice(rows, FRAME_ROWS))):
-            return
-
-
-def _record(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, silent_ms: int | None) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in tracks.DECISIONS.split(", ")]
-
-    def decisions() -> Iterator[tuple]:
-        s = tracks.State.of(tuple(state.get)) if state.exists else tracks.State()
-        ended = state.hasTimedOut
-        for row in _rows(pdfs, "arrival"):
-            if row.stop is True or row.stop == 1:
-                ended = True
-            else:
-                yield from tracks.decide(key[0], s, iter([row]), finish=False)
-        if ended:
-            if vertex := tracks.tail(s):
-                yield (key[0], None, "TAIL", s.idle, s.distance_m, s.vertices, *vertex[:3])
-            state.remove()
-        else:
-            state.update(s.flat())
-            if silent_ms:
-                state.setTimeoutDuration(silent_ms)
-
-    yield from _frames(decisions(), columns, {"arrival": "Int64", "v_ts": "Int64"})
+#: How late a fix may be behind the latest one, and how long fixes are held for late marks.
+LATE_MS, HOLD_MS = 4 * 3600 * 1000, 24 * 3600 * 1000
+#: Rows of a micro-batch of a table that is replayed, about.
+BATCH_ROWS = 200_000
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _keyed(rows: DataFrame, key: str, processor, schema: str, time: str = "None", event_time: str = "") -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", time, eventTimeColumnName=event_time)
 
 
 def record_stream(fixes: DataFrame, close_silent: bool = True, silent_ms: int = SILENT_MS) -> DataFrame:
@@ -71,68 +35,49 @@ def record_stream(fixes: DataFrame, close_silent: bool = True, silent_ms: int =
     A late fix is judged by the operator (OUT_OF_ORDER), not by a watermark; inside a micro-batch rows go by arrival. Without
     ``close_silent`` no timer runs, so that a run over what is there now comes to an end.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if close_silent else GroupStateTimeout.NoTimeout
-    return fixes.groupBy("track_id").applyInPandasWithState(lambda k, p, s: _record(k, p, s, silent_ms if close_silent else None), tracks.DECISIONS, STATE, "append", timeout)
-
-
-def _jitter(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    def steady() -> Iterator[tuple]:
-        last = state.get[0] if state.exists else None
-        for row in _rows(pdfs, "arrival"):
-            d = None if last is None else abs(row.heading - last) % 360.0
-            if d is None or min(d, 360.0 - d) > JITTER_DEG:
-                last = float(row.heading)
-                yield key[0], int(row.arrival), last
-        if last is not None:
-            state.update((last,))
+    return _keyed(fixes, "track_id", P.Recorder(silent_ms if close_silent else None), tracks.DECISIONS, "ProcessingTime" if close_silent else "None")
 
-    yield from _frames(steady(), ["device", "arrival", "heading"])
 
+def close_silent(fixes: DataFrame, silent_ms: int = SILENT_MS, late: str = "12 hours") -> DataFrame:
+    """(track_id, started_at, ended_at, fixes) of each track of a stream of fixes (track_id, arrival, ts), once it was silent for ``silent_ms`` of event time.
 
-def steady_headings(headings: DataFrame) -> DataFrame:
-    """Headings (device, arrival, heading) that differ from the last one passed on by more than JITTER_DEG."""
-    return headings.groupBy("device").applyInPandasWithState(_jitter, "device long, arrival long, heading double", "last double", "append", GroupStateTimeout.NoTimeout)
-
+    A later fix of the same id begins a new track. ``late`` is the watermark: fixes beyond it are dropped, and nothing waits longer for them.
+    """
+    timed = fixes.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", late)
+    return _keyed(timed, "track_id", P.Closer(silent_ms), "track_id long, started_at long, ended_at long, fixes long", "EventTime")
 
-def _recount(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    def due() -> Iterator[tuple]:
-        last = tuple(state.get) if state.exists else None
-        for row in _rows(pdfs, "arrival"):
-            here = (0, float(row.lat), float(row.lon), None)
-            if last is None or tracks.metres((0, *last, None), here) >= RECOUNT_M:
-                last = (float(row.lat), float(row.lon))
-                yield key[0], int(row.arrival), *last
-        if last is not None:
-            state.update(last)
 
-    yield from _frames(due(), ["track_id", "arrival", "lat", "lon"])
+def steady_headings(headings: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """Headings (device, arrival, heading) that differ from the last one passed on by more than JITTER_DEG; a device that is silent for ``forget_ms`` is forgotten."""
+    return _keyed(headings, "device", P.Steady(forget_ms), "device long, arrival long, heading double", "ProcessingTime" if forget_ms else "None")
 
 
 def recount_points(fixes: DataFrame) -> DataFrame:
     """Fixes at which a nearby count is due: the first, and each that is RECOUNT_M from the last one passed on."""
-    return fixes.groupBy("track_id").applyInPandasWithState(_recount, "track_id long, arrival long, lat double, lon double", "lat double, lon double", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(fixes, "track_id", P.Recount(), "track_id long, arrival long, lat double, lon double")
+
+
+def blocked_stream(responses: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """(host, id, streak, blocked_until) of a stream of responses (host, id, at_ms, status, retry_after_s); a host that is silent for ``forget_ms`` is forgotten."""
+    return _keyed(responses, "host", P.Streaks(forget_ms), "host string, id long, streak long, blocked_until long", "ProcessingTime" if forget_ms else "None")
 
 
-def _streaks(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    def answers() -> Iterator[tuple]:
-        streak = int(state.get[0]) if state.exists else 0
-        for row in _rows(pdfs, ["at_ms", "id"]):
-            until = None
-            if int(row.status) in (429, 503):
-                streak += 1
-                asked = 0 if row.retry_after_s != row.retry_after_s or row.retry_after_s is None else int(row.retry_after_s) * 1000
-                until = int(row.at_ms) + max(min(300_000, 2_000 * 2 ** min(streak - 1, 20)), min(300_000, asked))
-            else:
-                streak = 0
-            yield key[0], int(row.id), streak, until
-        state.update((streak,))
+def marks_stream(marks: DataFrame, fixes: DataFrame, late_ms: int = LATE_MS, hold_ms: int = HOLD_MS) -> DataFrame:
+    """Marks (track_id, mark_id, ts, at) of one stream with the last fix (track_id, arrival, ts, lat, lon, stop, at) of the other at or before each.
 
-    yield from _frames(answers(), ["host", "id", "streak", "blocked_until"], {"blocked_until": "Int64"})
+    ``at`` orders the rows of a micro-batch; a fix with ``stop`` ends its track. A mark is answered when the track's fixes are ``late_ms`` past it,
+    at once if they are already, or by the stop.
+    """
+    nothing = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    kind = F.when(F.coalesce("stop", F.lit(False)), 2).otherwise(0).alias("kind")
+    a = marks.select("track_id", "ts", "at", F.lit(1).alias("kind"), "mark_id", *nothing("long", "arrival"), *nothing("double", "lat", "lon"))
+    b = fixes.select("track_id", "ts", "at", kind, *nothing("long", "mark_id"), "arrival", "lat", "lon")
+    return _keyed(a.unionByName(b), "track_id", P.MarksAtFixes(late_ms, hold_ms), "track_id long, mark_id long, ts long, lat double, lon double, fix_ts long")
 
 
-def blocked_stream(responses: DataFrame) -> DataFrame:
-    """(host, id, streak, blocked_until) of a stream of responses (host, id, at_ms, status, retry_after_s)."""
-    return responses.groupBy("host").applyInPandasWithState(_streaks, "host string, id long, streak long, blocked_until long", "streak long", "append", GroupStateTimeout.NoTimeout)
+def daily_counter(log: DataFrame, late: str = "1 day") -> DataFrame:
+    """(day, tiles, bytes) of a stream (ts timestamp, bytes) in tumbling windows of a day."""
+    return log.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("tiles"), F.sum("bytes").alias("bytes")).select(F.col("w.start").alias("day"), "tiles", "bytes")
 
 
 def live_histogram(finds: DataFrame) -> DataFrame:
@@ -140,32 +85,42 @@ def live_histogram(finds: DataFrame) -> DataFrame:
     return finds.groupBy("category").agg(F.count("*").alias("n"))
 
 
-def daily_counter(log: DataFrame, late: str = "1 day") -> DataFrame:
-    """(day, tiles, bytes) of a stream (ts timestamp, bytes) in tumbling windows of a day."""
-    return log.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("tiles"), F.sum("bytes").alias("bytes")).select(F.col("w.start").alias("day"), "tiles", "bytes")
+def _files(spark: SparkSession, path: str):
+    """(file system, the data files under ``path`` by name)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, sorted((f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
 
 
-def replay(table: DataFrame, *order: str) -> DataFrame:
+def replay(table: DataFrame, *order: str, since: str | None = None) -> DataFrame:
     """A stream of ``table`` in the order of the columns ``order``, in micro-batches of about BATCH_ROWS rows.
 
-    The source takes files by their time of writing, one a micro-batch: ranges of the order are stored first, then written one after the other.
+    One job writes a file for each range of the order; the source takes one a micro-batch, by their times, which are set in that order. ``since``: a folder to write to.
     """
     spark = table.sparkSession
     n = max(-(-table.count() // BATCH_ROWS), 1)
-    ranged = kept(table.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges", "__range")
-    path = shared_path(spark, f"replay-{uuid.uuid4().hex}")
-    for k in range(n):
-        ranged.where(F.col("__range") == k).drop("__range").coalesce(1).write.mode("append").parquet(path)
+    path = since or shared_path(spark, f"replay-{uuid.uuid4().hex}")
+    table.repartitionByRange(n, *order).write.mode("append").parquet(path)
+    at_exit(spark, path)
+    fs, files = _files(spark, path)
+    first = spark._jvm.java.lang.System.currentTimeMillis() - 1000 * len(files)
+    for k, f in enumerate(files):
+        fs.setTimes(f, first + 1000 * k, -1)
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that its source has now: appended rows go to files in the shared folder, a complete result (a few counters) is kept in memory."""
+def drain(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Runs a stream over all that its source has now: appended rows go to files in the shared folder, a complete result (a few counters) is kept in memory.
+
+    With a ``path`` of an earlier run the stream goes on from that run's checkpoint.
+    """
     spark = stream.sparkSession
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
     if mode != "append":
         writer.format("memory").queryName(name).start().awaitTermination()
         return spark.table(name)
-    path = shared_path(spark, f"{name}-{uuid.uuid4().hex}")
+    path = path or shared_path(spark, f"{name}-{uuid.uuid4().hex}")
     writer.format("parquet").option("checkpointLocation", f"{path}-log").start(path).awaitTermination()
+    for p in (path, f"{path}-log"):
+        at_exit(spark, p)
     return spark.read.schema(stream.schema).parquet(path)

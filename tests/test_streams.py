@@ -5,13 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from terravane.streaming import recorder
+from terravane.operators import tracks
+from terravane.streaming import processors, recorder
 
 
 @pytest.fixture
 def small(monkeypatch):
     monkeypatch.setattr(recorder, "BATCH_ROWS", 120)
-    monkeypatch.setattr(recorder, "FRAME_ROWS", 7)
+    monkeypatch.setattr(processors, "FRAME_ROWS", 7)
 
 
 def test_a_stream_goes_through_files(spark, small):
@@ -50,7 +51,7 @@ def test_headings_in_batches(spark, small):
     table = spark.createDataFrame(rows, "device long, arrival long, heading double").repartition(4)
     last, wanted = {}, set()
     for d, k, h in rows:
-        if d not in last or min(abs(h - last[d]), 360 - abs(h - last[d])) > recorder.JITTER_DEG:
+        if d not in last or min(abs(h - last[d]), 360 - abs(h - last[d])) > processors.JITTER_DEG:
             last[d] = h
             wanted.add(k)
     found = [r["arrival"] for r in recorder.drain(recorder.steady_headings(recorder.replay(table, "arrival")), "steady").collect()]
@@ -58,5 +59,118 @@ def test_headings_in_batches(spark, small):
 
 
 def test_frames_are_small(small):
-    assert [len(f) for f in recorder._frames(iter([(k,) for k in range(20)]), ["x"])] == [7, 7, 6]
-    assert [len(f) for f in recorder._frames(iter([]), ["x"])] == [0]
+    assert [len(f) for f in processors.in_frames(iter([(k,) for k in range(20)]), ["x"])] == [7, 7, 6]
+    assert [len(f) for f in processors.in_frames(iter([]), ["x"])] == [0]
+
+
+def _walks(rng, n=700):
+    """Fixes (FIXES) of a hot track and others, with late, bad and repeated ones, and stop rows in the middle of tracks."""
+    rows, at = [], {}
+    for k in range(n):
+        track = 1 if k % 3 else 2 + k % 4
+        t = at[track] = at.get(track, 0) + rng.choice([0, 5_000, 5_000, 30_000])
+        late = 60_000 if k % 29 == 0 else 0
+        rows.append((track, k, t - late, 50 + k * 0.0001 + rng.choice([0, 0, 0.05]), 15.0, rng.choice([None, 4.0, 12.0, 80.0]), k % 97 == 96))
+    return rows
+
+
+def test_a_restart_goes_on_in_the_middle_of_tracks(spark, small, tmp_path):
+    rows = _walks(random.Random(7))
+    whole = spark.createDataFrame(rows, recorder.FIXES)
+    once = recorder.drain(recorder.record_stream(recorder.replay(whole.repartition(3), "arrival"), close_silent=False), "once")
+    source, sink = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    for part in (whole.where("arrival < 333"), whole.where("arrival >= 333")):  # two runs of one checkpoint
+        stream = recorder.record_stream(recorder.replay(part, "arrival", since=source), close_silent=False)
+        twice = recorder.drain(stream, "twice", path=sink)
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(once) == key(twice)
+    open_ = whole.where("track_id = 3 AND NOT stop")
+    own = [r for r in key(once) if r[0] == 3 and r[2] != "TAIL"]
+    assert len(own) == open_.count()
+
+
+def test_the_stream_decides_like_the_batch(spark, small):
+    rows = [r[:6] + (False,) for r in _walks(random.Random(8))]
+    table = spark.createDataFrame(rows, recorder.FIXES)
+    live = recorder.drain(recorder.record_stream(recorder.replay(table, "arrival"), close_silent=False), "live").where("decision <> 'TAIL'")
+    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, tracks.record(table).where("decision <> 'TAIL'").collect()))
+
+
+def test_silence_closes_tracks(spark, small):
+    rng = random.Random(9)
+    rows, clock = [], 0
+    for k in range(600):
+        clock += rng.choice([1_000, 2_000, 40_000])
+        rows.append((1 if k % 3 else 2 + k % 5, k, clock))
+    gap, late = 90_001, 200_000
+    wanted, now = [], {}
+    for track, _, ts in rows:
+        if track in now and ts - now[track][1] > gap:
+            wanted.append((track, *now.pop(track)))
+        a, _, n = now.get(track, (ts, ts, 0))
+        now[track] = (a, ts, n + 1)
+    wanted += [(track, *v) for track, v in now.items() if v[1] + gap < clock - late]
+    table = spark.createDataFrame(rows, "track_id long, arrival long, ts long").repartition(3)
+    found = recorder.drain(recorder.close_silent(recorder.replay(table, "arrival"), gap, f"{late} milliseconds"), "silent")
+    assert sorted(map(tuple, found.collect())) == sorted(wanted) and len(wanted) > 5
+
+
+def test_marks_before_and_behind_their_fixes(spark, small):
+    rng = random.Random(10)
+    late, rows = 30_000, []
+    for k in range(700):
+        track, ts = (1 if k % 3 else 2 + k % 3), 1_000 * k
+        rows.append((track, k, None, ts - rng.choice([0, 0, late - 1]), float(k), 15.0, False, ts))
+        if k % 4 == 0:
+            rows.append((track, None, k, ts + rng.randint(-60_000, 20_000), None, None, None, ts + rng.randint(-5_000, 5_000)))
+    rows += [(track, None, None, 0, None, None, True, 10**9) for track in (1, 2, 3, 4)]
+    schema = "track_id long, arrival long, mark_id long, ts long, lat double, lon double, stop boolean, at long"
+    both = recorder.replay(spark.createDataFrame(rows, schema).repartition(4), "at", "track_id")
+    stream = recorder.marks_stream(both.where("mark_id IS NOT NULL"), both.where("mark_id IS NULL"), late)
+    found = {r["mark_id"]: (r["fix_ts"], r["lat"]) for r in recorder.drain(stream, "marks").collect()}
+    fixes = [(r[0], r[3], r[1], r[4]) for r in rows if r[1] is not None]
+    for r in rows:
+        if r[2] is not None:
+            own = max(((ts, k, lat) for track, ts, k, lat in fixes if track == r[0] and ts <= r[3]), default=(None, None, None))
+            assert found[r[2]] == (own[0], own[2])
+    assert len(found) == sum(r[2] is not None for r in rows)
+
+
+class _Handle:
+    def __init__(self):
+        self.lists = {}
+
+    def getListState(self, name, schema):
+        out = self.lists[name] = _List()
+        return out
+
+
+class _List:
+    rows: list = []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = rows
+
+    def clear(self):
+        self.rows = []
+
+
+def test_the_state_of_marks_is_bounded_and_dropped():
+    import pandas as pd
+
+    own, handle = processors.MarksAtFixes(10, 50), _Handle()
+    own.init(handle)
+    columns = ["kind", "ts", "arrival", "mark_id", "lat", "lon", "at"]
+    for k in range(0, 1000, 10):
+        list(own.handleInputRows((1,), iter([pd.DataFrame([(0, k, k, None, 1.0, 2.0, k), (1, k + 500, None, k, None, None, k)], columns=columns)]), None))
+        assert len(handle.lists["fixes"].rows) <= 9 and len(handle.lists["marks"].rows) <= 52
+    late = pd.concat(list(own.handleInputRows((1,), iter([pd.DataFrame([(1, 960, None, 7, None, None, 2000), (1, 3, None, 8, None, None, 2001)], columns=columns)]), None)))
+    assert late[["mark_id", "fix_ts"]].values.tolist()[0] == [7, 960] and late["fix_ts"].isna().tolist() == [False, True]  # at once; too old
+    rest = pd.concat(list(own.handleInputRows((1,), iter([pd.DataFrame([(2, 0, None, None, None, None, 3000)], columns=columns)]), None)))
+    assert len(rest) and not handle.lists["fixes"].rows and not handle.lists["marks"].rows
