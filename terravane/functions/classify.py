@@ -110,22 +110,44 @@ def image_type(data: Column) -> Column:
     return F.when(head.startswith("FFD8FF"), "jpg").when(head == "89504E47", "png").when(head == "47494638", "gif").when(head == "52494646", "webp").otherwise("none")
 
 
+def body_findings(kind: Column, body: Column) -> Column:
+    """struct(class, detail) of a response's text by the type of its source: class OK or BAD_BODY, and why, as a code with what the body says.
+
+    As it is specified, only the first 4,096 characters are searched for marks of services; JSON is read whole. Details: NOT_JSON,
+    SERVICE_ERROR: message, LAYER: name, METADATA, EXCEPTION: text, CAPABILITIES, NO_CAPABILITIES, FEED, NO_FEED, NO_IMAGE,
+    EMPTY_TILE: bytes, TILE: bytes, RECEIVED.
+    """
+    head = F.substring(body, 1, 4096)
+    low = F.lower(head)
+    bytes_ = F.octet_length(body).cast("string")
+    said = lambda code, text: F.concat(F.lit(f"{code}: "), text)
+    answer = lambda ok, detail: F.struct(F.lit("OK" if ok else "BAD_BODY").alias("class"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail"))
+    field = lambda path: F.nullif(F.get_json_object(body, path), F.lit(""))
+    error, name = F.get_json_object(body, "$.error"), F.coalesce(field("$.name"), field("$.mapName"), field("$.serviceDescription"))
+    service = (
+        F.when(F.try_parse_json(body).isNull(), answer(False, "NOT_JSON"))
+        .when(error.isNotNull(), answer(False, said("SERVICE_ERROR", F.coalesce(F.get_json_object(body, "$.error.message"), error))))
+        .when(name.isNotNull(), answer(True, said("LAYER", F.substring(name, 1, 60))))
+        .otherwise(answer(True, "METADATA"))
+    )
+    image = F.hex(F.substring(body.cast("binary"), 1, 4)).rlike("^(FFD8|89504E47)")
+    tile = F.when(~image, answer(False, "NO_IMAGE")).when(F.octet_length(body) <= LEAST_TILE_BYTES, answer(False, said("EMPTY_TILE", bytes_))).otherwise(answer(True, said("TILE", bytes_)))
+    either = lambda test, yes, no: F.when(test, answer(True, yes)).otherwise(answer(False, no))
+    text = F.trim(F.regexp_extract(head, ">([^<>]{5,120})<", 1))
+    return (
+        F.when(kind == "arcgis-rest", service)
+        .when(low.contains("serviceexception") | low.contains("exceptionreport"), answer(False, said("EXCEPTION", F.when(text == "", "?").otherwise(text))))
+        .when(kind.isin("wmts", "arcgis-wmts"), either(low.contains("capabilities"), "CAPABILITIES", "NO_CAPABILITIES"))
+        .when(kind == "wms", either(low.contains("wms_capabilities") | low.contains("wmt_ms_capabilities"), "CAPABILITIES", "NO_CAPABILITIES"))
+        .when(kind == "atom", either(low.contains("<feed") | low.contains("atom"), "FEED", "NO_FEED"))
+        .when(kind == "xyz", tile)
+        .otherwise(answer(True, "RECEIVED"))
+    )
+
+
 def body_class(kind: Column, body: Column) -> Column:
     """OK or BAD_BODY for a response's text by the type of its source."""
-    low = F.lower(F.substring(body, 1, 4096))
-    service_error = low.contains("serviceexception") | low.contains("exceptionreport")
-    parsed = F.try_parse_json(body)
-    json_ok = parsed.isNotNull() & F.get_json_object(body, "$.error").isNull()
-    ok = (
-        F.when(kind == "arcgis-rest", json_ok)
-        .when(service_error, F.lit(False))
-        .when(kind.isin("wmts", "arcgis-wmts"), low.contains("capabilities"))
-        .when(kind == "wms", low.contains("wms_capabilities") | low.contains("wmt_ms_capabilities"))
-        .when(kind == "atom", low.contains("<feed") | low.contains("atom"))
-        .when(kind == "xyz", (F.octet_length(body) > LEAST_TILE_BYTES) & F.hex(F.substring(body.cast("binary"), 1, 4)).rlike("^(FFD8|89504E47)"))
-        .otherwise(F.lit(True))
-    )
-    return F.when(ok, "OK").otherwise("BAD_BODY")
+    return body_findings(kind, body)["class"]
 
 
 def _query(pairs: list[tuple[str, Column | str]], encode: bool = False) -> Column:

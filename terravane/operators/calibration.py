@@ -94,4 +94,4 @@ def extent(points: DataFrame, sets: DataFrame, factor: float = 1.2, least_deg: f
     bounds = points.select("set_id", where["lat"].alias("lat"), where["lon"].alias("lon")).groupBy("set_id").agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"))
     box = geo.box_at_least(geo.box_expand(geo.box_struct(F.col("w"), F.col("s"), F.col("e"), F.col("n")), factor), least_deg)
     country = geo.box_struct(*map(float, COUNTRY))
-    return sets.select("set_id").join(bounds.select("set_id", box.alias("box")), "set_id", "left").select("set_id", F.coalesce("box", country).alias("box"))
+    return sets.select("set_id").hint("merge").join(bounds.select("set_id", box.alias("box")).hint("merge"), "set_id", "left").select("set_id", F.coalesce("box", country).alias("box"))

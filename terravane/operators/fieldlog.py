@@ -197,7 +197,7 @@ def seed_presets(library: DataFrame, names: Sequence[str], detector: str, existi
     """Presets to add for a detector, at distinct times now + position; none if a detector of that name is there."""
     spark = existing.sparkSession
     wanted = spark.createDataFrame([(detector, list(names))], "detector string, names array<string>")
-    fresh = wanted.join(existing.select(F.col("name").alias("detector")).distinct(), "detector", "left_anti")
+    fresh = wanted.hint("merge").join(existing.select(F.col("name").alias("detector")).distinct().hint("merge"), "detector", "left_anti")
     rows = fresh.select("detector", F.posexplode("names").alias("pos", "name")).select("detector", "name", (F.lit(now_ms) + F.col("pos")).alias("created_at"))
     return library.unionByName(rows, allowMissingColumns=True)
 

@@ -136,6 +136,20 @@ def upsert(tiles: DataFrame, changes: DataFrame) -> DataFrame:
     return tiles.unionByName(valid).groupBy("z", "x", "y").agg(newest).select("z", "x", "y", "m.*").select(*tiles.columns)
 
 
+def upsert_zooms(path: str, changes: DataFrame) -> list[int]:
+    """Merges ``changes`` into the tiles at ``path``, a table in folders by ``z``: only the folders of the zooms that they touch are written again. Returns these zooms."""
+    spark = changes.sparkSession
+    stored = kept(changes, "changes")
+    touched = sorted(r["z"] for r in stored.select("z").where("z IS NOT NULL").distinct().collect())  # at most 25 zooms
+    if not touched:
+        return []
+    tiles = spark.read.parquet(path)
+    merged = kept(upsert(tiles.where(F.col("z").isin(touched)), stored.select(*tiles.columns)), "merged")
+    merged.repartition("z", F.pmod(F.hash("x", "y"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("z").parquet(path)
+    dropped(stored, merged)
+    return touched
+
+
 def scan_directory(spark: SparkSession, root: str, extension: str = "png") -> DataFrame:
     """Tiles (z, x, y, data, tile_id) of files {z}/{x}/{y}.{extension}: numeric names only, no hidden, partial or empty ones; ``sidecar`` has what is said about all of them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{extension}").load(root)

@@ -8,13 +8,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terravane.functions import affine, classify, geo
-from terravane.operators import calibration, fieldlog, layers, raster, tiles, tracks
-from terravane.operators.blocks import in_blocks
-from terravane.operators.store import shared_path
+from terravane.operators import archive, calibration, fieldlog, layers, raster, tiles, tracks
+from terravane.operators.blocks import BLOCK, in_blocks
+from terravane.operators.store import at_exit, kept, shared_path
 from terravane.plans.fieldlog_queries import _TRACKS, tracks_of
 from terravane.plans.helpers import milli, polygons, query, sql_distance, sql_milli
 from terravane.sources import exchange
-from terravane.streaming import recorder
+from terravane.streaming import recorder, views
 
 _STEPS = f"steps AS (SELECT track_id, arrival, ts, {sql_distance('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS d, lat, lon FROM fixes WINDOW w AS (PARTITION BY track_id ORDER BY ts, arrival))"
 
@@ -131,10 +131,10 @@ def _(t):
     return tiles.coverage_cost(_boxes(t), [8, 10, 12])
 
 
-@query("g2_missing_tiles", f"WITH {_RANGE}, want AS (SELECT DISTINCT z, x, y FROM (SELECT z, unnest(range(x0, x1 + 1)) AS x, y0, y1 FROM r WHERE z = 8) JOIN LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y) ON true) SELECT z, x, y FROM want WHERE (z, x, y) NOT IN (SELECT (z, x + 100, y + 70) FROM tiles WHERE z = 8)", "areas", "tiles")
+@query("g2_missing_tiles", f"WITH {_RANGE.replace('[8, 10, 12]', '[8, 9]')}, want AS (SELECT DISTINCT z, x, y FROM (SELECT z, unnest(range(x0, x1 + 1)) AS x, y0, y1 FROM r) JOIN LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y) ON true) SELECT z, x, y FROM want WHERE (z, x, y) NOT IN (SELECT (z, x + 100 * (z - 7), y + 70 * (z - 7)) FROM tiles)", "areas", "tiles")
 def _(t):
-    present = t("tiles").where("z = 8").withColumns({"x": F.col("x") + 100, "y": F.col("y") + 70})
-    return tiles.missing(tiles.coverage(_boxes(t), [8]).select("z", "x", "y").distinct(), present)
+    present = t("tiles").withColumns({"x": F.col("x") + (F.col("z") - 7) * 100, "y": F.col("y") + (F.col("z") - 7) * 70})
+    return tiles.missing(tiles.coverage(_boxes(t), [8, 9]).select("z", "x", "y").distinct(), present)
 
 
 _RUN_IDS = "SELECT tile_id, (tile_id // 40) % 50 AS content, (tile_id // 40) % 50 + 400 AS bytes FROM (SELECT DISTINCT x AS tile_id FROM (SELECT unnest([o_orderkey * 9 + (o_orderkey // 10) % 3, o_orderkey * 9 + (o_orderkey // 10) % 3 + 1, o_orderkey * 9 + (o_orderkey // 10) % 3 + 2]) AS x FROM orders))"
@@ -194,6 +194,55 @@ def _(t):
     return tiles.upsert(base, changes.unionByName(outside)).drop("seq")
 
 
+@query("d3_touched_zooms", "SELECT z, x, y, content, bytes FROM (SELECT *, row_number() OVER (PARTITION BY z, x, y ORDER BY seq DESC) AS rn FROM (SELECT z, x, y, content, bytes, 1 AS seq FROM tiles UNION ALL SELECT z, x, y, content + 1, bytes, 2 FROM tiles WHERE x % 2 = 0 AND z = 9)) WHERE rn = 1", "tiles")
+def _(t):
+    base = t("tiles").withColumn("seq", F.lit(1))
+    path = shared_path(base.sparkSession, f"zooms-{uuid.uuid4().hex}")
+    base.write.partitionBy("z").parquet(path)
+    at_exit(base.sparkSession, path)
+    tiles.upsert_zooms(path, base.where("x % 2 = 0 AND z = 9").withColumns({"content": F.col("content") + 1, "seq": F.lit(2)}))
+    return base.sparkSession.read.parquet(path).select("z", "x", "y", "content", "bytes")
+
+
+_FILED = """filed AS (SELECT DISTINCT 12 AS z, CAST(floor((lon+180.0e0)/360.0e0*4096) AS INT) AS x, CAST(floor((1.0e0-ln(tan(radians(lat))+1.0e0/cos(radians(lat)))/3.141592653589793e0)/2.0e0*4096) AS INT) AS y FROM places),
+data AS (SELECT z, x, y, 'tile ' || (x // 4) || ' ' || (y // 4) || repeat('#', 100 + x % 4 * 0 + (x // 4) % 50) AS data FROM filed)"""
+
+
+def _filed(t):
+    """A tile file for each tile of zoom 12 with a place; blocks of four by four have equal bytes. Beside some are files that are none."""
+    at = t("places").select(F.lit(12).alias("z"), geo.tile_x(F.col("lon"), 12).cast("int").alias("x"), geo.tile_y(F.col("lat"), 12).cast("int").alias("y")).distinct()
+    four = lambda c: F.floor(F.col(c) / 4).cast("string")
+    data = F.concat(F.lit("tile "), four("x"), F.lit(" "), four("y"), F.expr("repeat('#', CAST(100 + floor(x / 4) % 50 AS INT))"))
+    name = F.concat_ws("/", *[F.col(c).cast("string") for c in ("z", "x", "y")])
+    good = at.select(F.concat(name, F.lit(".png")).alias("name"), data.cast("binary").alias("data"))
+    odd = [at.where("(x + y) % 9 = 0").select(F.concat(F.col("z").cast("string"), F.lit("/"), F.col("x").cast("string"), F.lit(kind)).alias("name"), F.lit(body).cast("binary").alias("data")) for kind, body in (("/.hidden.png", "x"), ("/7.png.part", "x"), ("/name.png", "x"), ("/7.txt", "x"), ("/99999.png", ""))]
+    root = shared_path(at.sparkSession, f"tile-files-{uuid.uuid4().hex}")
+    for files in (good, *[f.distinct() for f in odd]):
+        archive.write_files(files, root)
+    at_exit(at.sparkSession, root)
+    return root
+
+
+@query("s13_tile_scan", f"WITH {_FILED} SELECT z, x, y, length(data) AS bytes, sha256(data) AS hash FROM data", "places")
+def _(t):
+    root = _filed(t)
+    return tiles.scan_directory(t("places").sparkSession, root).select("z", "x", "y", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("hash"))
+
+
+@query("a26_tile_archive", f"WITH {_FILED} SELECT z, x, y, sha256(data) AS hash, (SELECT count(DISTINCT data) FROM data) AS unique_contents, (SELECT CAST(sum(length(d)) AS BIGINT) FROM (SELECT DISTINCT data AS d FROM data)) AS stored_bytes FROM data", "places")
+def _(t):
+    # files to an archive in small segments, and back by (segment, offset, length)
+    spark = t("places").sparkSession
+    path = shared_path(spark, f"archive-{uuid.uuid4().hex}")
+    found = tiles.scan_directory(spark, _filed(t))
+    archive.build(found.select("tile_id", "data"), path, segment_bytes=20_000)
+    at_exit(spark, path)
+    back = archive.read(spark, path, found.select("tile_id"))
+    both = found.select("tile_id", "z", "x", "y").hint("merge").join(back.hint("merge"), "tile_id")
+    totals = archive.summary(spark, path).select("unique_contents", F.col("stored_bytes").cast("long").alias("stored_bytes"))
+    return both.select("z", "x", "y", F.sha2("data", 256).alias("hash")).join(F.broadcast(totals))  # one row
+
+
 @query("f17_cacheable_tiles", "SELECT count(*) AS n FROM tiles WHERE bytes BETWEEN 400 AND 8388608 AND concat('layer', CAST(x % 40 AS VARCHAR)) NOT IN (SELECT layer_id FROM calibrations WHERE NOT active)", "tiles", "calibrations")
 def _(t):
     own = t("tiles").withColumn("layer_id", F.concat(F.lit("layer"), (F.col("x") % 40).cast("string"))).where(classify.tile_cacheable(F.col("bytes")))
@@ -220,6 +269,20 @@ def _(t):
     return t("pages").select(kind.alias("kind"), "html").groupBy("kind", classify.body_class(F.col("kind"), F.col("html")).alias("class")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "e34_body_details",
+    """WITH b AS (SELECT page_id, page_id % 12 AS k, html, CASE page_id % 12 WHEN 0 THEN '{"error":{"message":"no ' || page_id || '"}}' WHEN 1 THEN '{"mapName":"Map ' || page_id || '"}' WHEN 2 THEN '{"layers":[]}' WHEN 3 THEN html WHEN 4 THEN '<ServiceExceptionReport><ServiceException>Layer ' || page_id || ' not there</ServiceException></ServiceExceptionReport>' WHEN 5 THEN '<WMS_Capabilities>' || html WHEN 6 THEN '<Capabilities/>' WHEN 7 THEN '<feed/>' WHEN 8 THEN 'plain text' WHEN 9 THEN 'none' WHEN 10 THEN html ELSE '{}' END AS body FROM pages)
+SELECT page_id, CASE WHEN k IN (1, 2, 5, 6, 7, 10, 11) THEN 'OK' ELSE 'BAD_BODY' END AS class, CASE k WHEN 0 THEN 'SERVICE_ERROR: no ' || page_id WHEN 1 THEN 'LAYER: Map ' || page_id WHEN 2 THEN 'METADATA' WHEN 3 THEN 'NOT_JSON' WHEN 4 THEN 'EXCEPTION: Layer ' || page_id || ' not there' WHEN 5 THEN 'CAPABILITIES' WHEN 6 THEN 'CAPABILITIES' WHEN 7 THEN 'FEED' WHEN 8 THEN 'NO_FEED' WHEN 9 THEN 'NO_IMAGE' WHEN 10 THEN 'RECEIVED' ELSE 'METADATA' END AS detail FROM b""",
+)
+def _(t):
+    k, page = F.col("page_id") % 12, F.col("page_id").cast("string")
+    kinds = F.element_at(F.array(*map(F.lit, ["arcgis-rest"] * 4 + ["wms", "wms", "wmts", "atom", "atom", "xyz", "other", "arcgis-rest"])), (k + 1).cast("int"))
+    said = lambda a, b: F.concat(F.lit(a), page, F.lit(b))
+    bodies = [said('{"error":{"message":"no ', '"}}'), said('{"mapName":"Map ', '"}'), F.lit('{"layers":[]}'), F.col("html"), said("<ServiceExceptionReport><ServiceException>Layer ", " not there</ServiceException></ServiceExceptionReport>"), F.concat(F.lit("<WMS_Capabilities>"), F.col("html"))]
+    bodies += [F.lit("<Capabilities/>"), F.lit("<feed/>"), F.lit("plain text"), F.lit("none"), F.col("html"), F.lit("{}")]
+    return t("pages").select("page_id", classify.body_findings(kinds, F.element_at(F.array(*bodies), (k + 1).cast("int"))).alias("f")).select("page_id", "f.class", "f.detail")
+
+
 @query(
     "e35_request_urls",
     "SELECT z, x, y, 'https://' || ['a','b','c'][(x + y) % 3 + 1] || '.example.org/' || z || '/' || x || '/' || (CAST(pow(2, z) AS INT) - 1 - y) || '.png' AS xyz, 'https://example.org/wmts?SERVICE=WMTS&REQUEST=GetTile&VERSION=1.0.0&LAYER=ii&STYLE=default&TILEMATRIXSET=GoogleMapsCompatible&TILEMATRIX=' || z || '&TILEROW=' || y || '&TILECOL=' || x || '&FORMAT=image/jpeg' AS wmts FROM tiles",
@@ -444,14 +507,12 @@ def _(t):
 
 @query(
     "r4_relief",
-    f"WITH {_SLOPE}, o(k, dy, dx) AS (VALUES {_OFFSETS}), h AS (SELECT a.row, a.col, o.k, greatest(0.0e0, max((b.z - a.z)/sqrt(o.dy*o.dy+o.dx*o.dx))) AS t FROM dem a JOIN o ON true LEFT JOIN dem b ON b.row = a.row+o.dy AND b.col = a.col+o.dx GROUP BY 1, 2, 3), v AS (SELECT row, col, avg(1.0e0 - sin(atan(coalesce(t, 0.0e0)))) AS svf FROM h GROUP BY 1, 2) SELECT row, col, {sql_milli('svf')} AS svf, {sql_milli(_SHADE)} AS shade, CAST(floor(greatest(0.0e0, least(1.0e0, {_SHADE} * 0.6e0 + svf * 0.4e0)) * 255.0e0 + 1e-6) AS INT) AS value FROM sa JOIN v USING (row, col)",
+    f"WITH {_SLOPE}, o(k, dy, dx) AS (VALUES {_OFFSETS}), h AS (SELECT a.row, a.col, o.k, greatest(0.0e0, max((b.z - a.z)/sqrt(o.dy*o.dy+o.dx*o.dx))) AS t FROM dem a JOIN o ON true LEFT JOIN dem b ON b.row = a.row+o.dy AND b.col = a.col+o.dx GROUP BY 1, 2, 3), v AS (SELECT row, col, avg(1.0e0 - sin(atan(coalesce(t, 0.0e0)))) AS svf FROM h GROUP BY 1, 2) SELECT row, col, {sql_milli('svf')} AS svf, {sql_milli(_SHADE)} AS shade, CAST(floor(round(greatest(0.0e0, least(1.0e0, {_SHADE} * 0.6e0 + svf * 0.4e0)) * 255.0e0, 9)) AS INT) AS value FROM sa JOIN v USING (row, col)",
     "dem",
 )
 def _(t):
     r = raster.relief(t("dem"), block=64)
-    value = F.floor((F.col("shade") * 0.6 + F.col("svf") * 0.4) * 255.0 + 1e-6).cast("int")
-    near = F.when(F.abs(F.col("value") - value) <= 1, value).otherwise(F.col("value"))  # a last bit may lie on either side of a whole number
-    return r.select("row", "col", milli("svf").alias("svf"), milli("shade").alias("shade"), near.alias("value"))
+    return r.select("row", "col", milli("svf").alias("svf"), milli("shade").alias("shade"), "value")
 
 
 @query("r5_idw_grid", f"WITH p AS (SELECT x, y, z FROM points_cloud), c AS (SELECT DISTINCT CAST(floor(x) AS INT) + dx AS col, CAST(floor(y) AS INT) + dy AS row FROM p, (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy)), j AS (SELECT row, col, z, pow(x - (col + 0.5e0), 2) + pow(y - (row + 0.5e0), 2) AS d2 FROM c JOIN p ON x BETWEEN col - 2.5e0 AND col + 3.5e0 AND y BETWEEN row - 2.5e0 AND row + 3.5e0) SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, {sql_milli('coalesce(avg(z) FILTER (WHERE d2 < 1e-18), sum(z/greatest(d2,1e-18))/sum(1/greatest(d2,1e-18)))')} AS z FROM j WHERE d2 <= 4 GROUP BY 1, 2", "points_cloud")
@@ -480,6 +541,35 @@ def _(t):
     return back.select(p["id"].alias("id"), milli(F.col("f.geometry.coordinates")[1] * 1000).alias("lat"), p["type"].alias("type"), p["title"].alias("title"), p["createdAt"].alias("created_at"), p["visited"].alias("visited"))
 
 
+def _collection(features, *order):
+    """Features written as one document of several files, and read back."""
+    spark = features.sparkSession
+    path = shared_path(spark, f"collection-{uuid.uuid4().hex}")
+    exchange.write_collection(features, path, *order)
+    at_exit(spark, path)
+    return exchange.read_collection(spark, path)
+
+
+@query("s4_framed_points", f"SELECT id, {sql_milli('lat*1000')} AS lat, {sql_milli('lon*1000')} AS lon, CASE WHEN id % 5 <> 0 THEN CAST(id % 900 AS DOUBLE) END AS altitude FROM finds", "finds")
+def _(t):
+    height = F.when(F.col("id") % 5 != 0, (F.col("id") % 900).cast("double"))
+    features = t("finds").select("id", exchange.point_feature(F.col("lat"), F.col("lon"), height, F.struct("id")).alias("feature"))
+    found = exchange.points(_collection(features, "id"))[0]
+    return found.select(F.element_at("properties", "id").cast("long").alias("id"), milli(F.col("lat") * 1000).alias("lat"), milli(F.col("lon") * 1000).alias("lon"), "altitude")
+
+
+@query("s5_areas_features", f"SELECT id, name, status, {sql_milli('area_ha')} AS milli_ha, CASE WHEN id % 7 = 0 THEN 'broken {{ ' || id END AS raw, CASE WHEN id % 7 <> 0 THEN {sql_milli('lat*1000')} END AS south, CASE WHEN id % 7 <> 0 THEN {sql_milli('(lon+side)*1000')} END AS east FROM areas", "areas")
+def _(t):
+    ring = polygons(t("areas")).select("poly_id", exchange.ring_to_geojson(F.element_at("rings", 1)).alias("geo"))
+    areas = t("areas").hint("merge").join(ring.hint("merge"), F.col("id") == F.col("poly_id"))
+    text = F.when(F.col("id") % 7 == 0, F.concat(F.lit("broken { "), F.col("id").cast("string"))).otherwise(F.col("geo"))
+    docs = _collection(exchange.areas_features(areas.select("id", "name", "status", "area_ha", text.alias("polygon_geojson"))), "id")
+    p = lambda c: F.element_at("properties", c)
+    rows = exchange.features(docs).select(p("id").cast("long").alias("id"), p("name").alias("name"), p("status").alias("status"), milli(p("areaHa").cast("double")).alias("milli_ha"), p("polygonRaw").alias("raw"))
+    boxes = exchange.polygons(docs).select(p("id").cast("long").alias("id"), milli(F.col("south") * 1000).alias("south"), milli(F.col("east") * 1000).alias("east"))
+    return rows.hint("merge").join(boxes.hint("merge"), "id", "left")
+
+
 @query("s10_calibration_round_trip", f"SELECT id, layer_id, {sql_milli('west*1000')} AS west, {sql_milli('b*1000')} AS b, {sql_milli('ty*1000')} AS ty, active FROM calibrations", "calibrations")
 def _(t):
     back = exchange.read_calibrations(exchange.calibration_rows(t("calibrations")))
@@ -527,16 +617,18 @@ _ISO = "strftime(make_timestamp({0} * 1000), '%Y-%m-%dT%H:%M:%SZ')"
 @query(
     "s8_plain_gpx",
     f"""WITH p AS (SELECT *, (row_number() OVER (PARTITION BY track_id ORDER BY ts, arrival) - 1) AS k, CASE WHEN arrival % 4 <> 0 THEN 200.0e0 + arrival % 900 / 10.0e0 END AS h FROM fixes)
-SELECT track_id, count(*) AS points, md5(string_agg('<trkpt lat="' || printf('%.7f', lat) || '" lon="' || printf('%.7f', lon) || '">' || coalesce('<ele>' || printf('%.2f', h) || '</ele>', '') || '<time>' || {_ISO.format('ts')} || '</time></trkpt>', '' ORDER BY k)) AS body, '<name>Track ' || track_id || '</name><time>' || {_ISO.format('min(ts)')} || '</time>' AS metadata FROM p GROUP BY 1""",
+SELECT track_id, count(*) AS points, CAST(sum(CAST('0x' || substr(md5(k || '<trkpt lat="' || printf('%.7f', lat) || '" lon="' || printf('%.7f', lon) || '">' || coalesce('<ele>' || printf('%.2f', h) || '</ele>', '') || '<time>' || {_ISO.format('ts')} || '</time></trkpt>'), 1, 8) AS BIGINT)) AS BIGINT) AS vertices, '<name>Track ' || track_id || '</name><time>' || {_ISO.format('min(ts)')} || '</time>' AS metadata FROM p GROUP BY 1""",
     "fixes",
 )
 def _(t):
     text = exchange.gpx(tracks_of(t), _measured_points(t))
     between = lambda a, b: F.substring_index(F.substring_index("gpx", a, -1), b, 1)
     parts = text.select("track_id", "block", between("<trkseg>", "</trkseg>").alias("body"), between("<metadata>", "</metadata>").alias("metadata"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "body"))), lambda b: b["body"]), "")  # a track has a few documents here
     counted = F.sum((F.length("body") - F.length(F.replace("body", F.lit("<trkpt "), F.lit("")))) / 7).cast("long")
-    return parts.groupBy("track_id").agg(counted.alias("points"), F.md5(whole).alias("body"), F.min_by("metadata", "block").alias("metadata"))
+    # each vertex is hashed with its place in the track, and the hashes are added up: no row holds a track
+    hashed = F.transform(F.filter(F.split("body", "(?<=</trkpt>)"), lambda v: v != ""), lambda v, i: F.conv(F.substring(F.md5(F.concat((F.col("block").cast("long") * BLOCK + i).cast("string"), v).cast("binary")), 1, 8), 16, 10).cast("long"))
+    vertices = parts.select("track_id", "block", "body", "metadata", F.aggregate(hashed, F.lit(0).cast("long"), lambda s, v: s + v).alias("hashes"))
+    return vertices.groupBy("track_id").agg(counted.alias("points"), F.sum("hashes").alias("vertices"), F.min_by("metadata", "block").alias("metadata"))
 
 
 @query(
@@ -636,12 +728,14 @@ def _(t):
     return rings.select("id", F.size("r").alias("corners"), milli(F.element_at("r", 1)["lon"] * 1000).alias("west"))
 
 
-@query("o9_clustered_tiles", "SELECT count(*) AS n, true AS in_order FROM tiles", "tiles")
+@query("o9_clustered_tiles", f"WITH RECURSIVE {_TILE_IDS} SELECT d AS tile_id, row_number() OVER (ORDER BY d) AS place FROM h WHERE k = 0", "tiles")
 def _(t):
-    laid = tiles.clustered(tiles.with_ids(t("tiles")), 4).withColumn("part", F.spark_partition_id())
-    ends = laid.groupBy("part").agg(F.min("tile_id").alias("lo"), F.max("tile_id").alias("hi"), F.count("*").alias("n"))
-    w = Window.orderBy("part")
-    return ends.withColumn("ok", F.coalesce(F.lag("hi").over(w) < F.col("lo"), F.lit(True))).agg(F.sum("n").alias("n"), F.bool_and("ok").alias("in_order"))
+    # the places are those of the files that were written: file by file, row by row
+    laid = kept(tiles.clustered(tiles.with_ids(t("tiles")), 4), "clustered")
+    rows = laid.select("tile_id", F.col("_metadata.file_name").alias("file"), (F.col("_metadata.row_index") + 1).alias("row"))
+    counts = rows.groupBy("file").agg(F.count("*").alias("n"))  # four files
+    before = counts.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), "file").select("tile_id", (F.col("before") + F.col("row")).alias("place"))
 
 
 def _stream(t, name: str, table: str, columns):
@@ -710,6 +804,47 @@ def _(t):
     return recorder.drain(recorder.live_histogram(_stream(t, "finds", "finds", ["category"])), "live_histogram", "complete")
 
 
+_FIND_CHANGES = """changes AS (SELECT id, 1 AS version, category, favorite, false AS deleted FROM finds UNION ALL SELECT id, 2, CASE WHEN id % 2 = 0 THEN 'MINCE' ELSE category END, NOT favorite, false FROM finds WHERE id % 3 = 0 UNION ALL SELECT id, 3, category, favorite, true FROM finds WHERE id % 10 = 0),
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rn FROM changes) WHERE rn = 1 AND NOT deleted)"""
+
+
+def _live_finds(t):
+    """Finds that are added, changed and deleted, as a stream in order of the changes."""
+    finds = t("finds").select("id", "category", "favorite")
+    row = lambda df, version, category, favorite, deleted: df.select("id", F.lit(version).alias("version"), category.alias("category"), favorite.alias("favorite"), F.lit(deleted).alias("deleted"))
+    first = row(finds, 1, F.col("category"), F.col("favorite"), False)
+    second = row(finds.where("id % 3 = 0"), 2, F.when(F.col("id") % 2 == 0, "MINCE").otherwise(F.col("category")), ~F.col("favorite"), False)
+    third = row(finds.where("id % 10 = 0"), 3, F.col("category"), F.col("favorite"), True)
+    spark = finds.sparkSession
+    path = shared_path(spark, f"live-{uuid.uuid4().hex}")
+    live = views.LiveList(spark, path, "id long, version int, category string, favorite boolean, deleted boolean", ["id"], "version", ["category"])
+    live.follow(recorder.replay(first.unionByName(second).unionByName(third), "version", "id"), f"{path}/log")
+    at_exit(spark, path)
+    return live
+
+
+@query("t7_live_finds", f"WITH {_FIND_CHANGES} SELECT id, category, favorite FROM newest", "finds")
+def _(t):
+    return _live_finds(t).current().select("id", "category", "favorite")
+
+
+@query("t7_live_totals", f"WITH {_FIND_CHANGES} SELECT category, count(*) AS n FROM newest GROUP BY 1", "finds")
+def _(t):
+    return _live_finds(t).totals()
+
+
+@query("t7_live_places", "SELECT id, type, CASE WHEN id % 2 = 0 THEN NOT visited ELSE visited END AS visited FROM places", "places")
+def _(t):
+    places = t("places").select("id", F.lit(1).alias("version"), "type", "visited", F.lit(False).alias("deleted"))
+    changed = places.where("id % 2 = 0").withColumns({"version": F.lit(2), "visited": ~F.col("visited")})
+    spark = places.sparkSession
+    path = shared_path(spark, f"live-{uuid.uuid4().hex}")
+    live = views.LiveList(spark, path, "id long, version int, type string, visited boolean, deleted boolean", ["id"], "version", ["type", "visited"])
+    live.follow(recorder.replay(places.unionByName(changed), "version", "id"), f"{path}/log")
+    at_exit(spark, path)
+    return live.current().select("id", "type", "visited")
+
+
 _RECOUNTS = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY arrival) AS k FROM fixes),
 rec AS (SELECT track_id, k, arrival, lat AS plat, lon AS plon, true AS due FROM numbered WHERE k = 1
 UNION ALL SELECT track_id, k, arrival, CASE WHEN due THEN lat ELSE plat END, CASE WHEN due THEN lon ELSE plon END, due FROM (SELECT o.*, r.plat, r.plon, {sql_distance('r.plat', 'r.plon', 'o.lat', 'o.lon')} >= 30 AS due FROM rec r JOIN numbered o ON o.track_id = r.track_id AND o.k = r.k + 1) q)"""

@@ -110,6 +110,30 @@ def areas_features(areas: DataFrame) -> DataFrame:
     return areas.select("id", F.concat(F.lit('{"type":"Feature","geometry":'), F.when(parsed.isNull(), "null").otherwise(F.col("polygon_geojson")), F.lit(',"properties":'), F.to_json(properties), F.lit("}")).alias("feature"))
 
 
+_HEAD, _TAIL = '{"type":"FeatureCollection","features":[', "]}"
+
+
+def write_collection(features_: DataFrame, path: str, *order: str, feature: str = "feature") -> None:
+    """Writes features (text) as one collection: its files, one behind the other by name, are one valid document, with a feature on each line.
+
+    Files are ranges of ``order``, which has to be one without ties. The first one begins with the head, the last one ends with the tail, and
+    all features but the first have a comma before them; nothing is collected. Without features it is an empty collection.
+    """
+    n = int(features_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = features_.where(F.col(feature).isNotNull()).select(F.lit(1).alias("__part"), *order, F.col(feature).alias("value"))
+    first = rows.agg(F.min(F.struct(*order)).alias("__first"))
+    lines = rows.join(F.broadcast(first)).withColumn("value", F.concat(F.when(F.struct(*order) == F.col("__first"), "").otherwise(","), F.col("value"))).drop("__first")  # one row
+    frame = features_.sparkSession.createDataFrame([(0, _HEAD), (2, _TAIL)], "__part int, value string")
+    framed = lines.unionByName(frame, allowMissingColumns=True)
+    framed.repartitionByRange(n, "__part", *order).sortWithinPartitions("__part", *order).select("value").write.text(path)
+
+
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """(doc): each feature of a collection of ``write_collection`` as a collection of its own, for ``polygons``, ``points`` and ``features``."""
+    lines = spark.read.text(path).where(~F.col("value").isin(_HEAD, _TAIL))
+    return lines.select(F.concat(F.lit(_HEAD), F.regexp_replace("value", "^,", ""), F.lit(_TAIL)).alias("doc"))
+
+
 #: Tables that a manifest counts.
 COUNTED = ["finds", "photos", "places", "areas", "tracks", "track_points", "calibrations", "gcp_sets", "gcp_points"]
 
