@@ -127,7 +127,8 @@ def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]))
 
     for batch in it:
-        for conv, formatted, mask in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+        for k in range(batch.num_rows):
+            conv, formatted, mask = (batch.column(c)[k].as_py() for c in (0, 2, 3))
             if now is None or now[0] != conv:
                 if now is not None:
                     close()

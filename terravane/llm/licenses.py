@@ -1,12 +1,12 @@
 """Licence statements in whole texts, by a positional index of the templates' rare words.
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters, with A-Z in lower case. Base phrases are
-found wherever their words stand one after the other. Beyond them the method finds templates: each template is looked up by
-the words of its own mandatory key phrases, of each phrase by the word of the highest IDF (a word's IDF comes from its document
-frequency in the whole corpus, one aggregation over all texts), so what else a file has changes nothing. The places of the
-phrases are intersected by relative position: a template begins where all its key phrases stand within ``SLACK`` words of their
-places, and at least two of its words (or all that it has) stand at theirs. The share of the template's words found at their
-places is the score.
+found wherever their words stand one after the other. Beyond them the method finds templates by an index of postings: each word
+leads to the templates that have it, and to its places there. A text's licence words are looked up in descending IDF (from their document
+frequency in the whole corpus, one aggregation over all texts); each template that they lead to is ruled out or verified once. It is ruled out
+if fewer than two of its words, or not all words of its mandatory key phrases, are in the text. Else its postings are intersected by
+relative position: it begins where at least two of its words (or all that it has) stand at their places, and where all its key phrases stand
+within ``SLACK`` words of theirs. The share of the template's words found at their places is the score.
 
 Null or empty texts have no words and no labels. Repeated rows are each answered. Extra columns are ignored; an empty table
 gives no rows.
@@ -76,6 +76,7 @@ class Index:
         numbers = lambda text: np.array([number[x] for x in text.split()])
         self.base = [(numbers(p), label) for p, label in BASE]
         self.templates = []
+        self.postings: dict[int, list[int]] = {}  # of each word: the templates that have it
         for label, text, keys in TEMPLATES:
             own = numbers(text)
             words = text.split()
@@ -84,6 +85,14 @@ class Index:
                 k = key.split()
                 placed.append((next(i for i in range(len(words)) if words[i : i + len(k)] == k), numbers(key)))
             self.templates.append((label, own, placed))
+            for word in np.unique(own).tolist():
+                self.postings.setdefault(word, []).append(len(self.templates) - 1)
+        shape = len(self.templates), len(self.words)
+        self.members, self.needed = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
+        for t, (_, own, placed) in enumerate(self.templates):
+            self.members[t, own] = 1
+            for _, key in placed:
+                self.needed[t, key] = 1
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word in the index, or -1."""
@@ -123,44 +132,68 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.array([np.log((n + 1) / (counts.get(k, 0) + 0.5)) for k in range(len(index().words))])
 
 
-def _runs(number: np.ndarray, row: np.ndarray, phrase: np.ndarray, by: int = 0) -> np.ndarray:
-    """Positions among all words where ``phrase`` stands, in one row; looked up by its word ``by``."""
-    start = np.flatnonzero(number == phrase[by]) - by
-    start = start[(start >= 0) & (start + len(phrase) <= len(number))]
-    for k in range(len(phrase)):
+def _runs(number: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """Positions among all words where ``phrase`` stands, in one row."""
+    start = np.flatnonzero(number == phrase[0])
+    start = start[start + len(phrase) <= len(number)]
+    for k in range(1, len(phrase)):
         start = start[(number[start + k] == phrase[k])]
     return start[row[start] == row[start + len(phrase) - 1]]
 
 
-def _templates(number: np.ndarray, row: np.ndarray, first: np.ndarray, idf: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Label, rows and scores of the places where each template begins, in all texts of a slice (numbers of its words, -1 for others)."""
-    for label, template, keys in index().templates:
-        stand = []
-        for q, key in keys:
-            stand.append((q, _runs(number, row, key, int(np.argmax(idf[key])))))
-            if not len(stand[-1][1]):
-                break
-        else:
-            q, places = min(stand, key=lambda s: len(s[1]))
-            start = (places[:, None] - q + np.arange(-SLACK, SLACK + 1)).ravel()
-            own = np.repeat(row[places], 2 * SLACK + 1)
-            for q, places in stand:
-                lo, hi = np.maximum(start + q - SLACK, first[own]), np.minimum(start + q + SLACK, first[own + 1] - 1)
-                there = np.searchsorted(places, hi, side="right") > np.searchsorted(places, lo)
-                start, own = start[there], own[there]
-            words = np.unique(template)
-            hits, agreeing = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-            for word in words:
-                found = np.zeros(len(start), dtype=bool)
-                for k in np.flatnonzero(template == word):
-                    at = start + k
-                    same = (at >= first[own]) & (at < first[own + 1])
-                    same[same] = number[at[same]] == word
-                    hits += same
-                    found |= same
-                agreeing += found
-            ok = agreeing >= min(2, len(words))
-            yield label, own[ok], hits[ok] / len(template)
+def candidates(number: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(row, its licence words by descending IDF, the templates that their postings lead to, in that order) of the texts of a slice.
+
+    Templates that are ruled out by words alone are left out: those of which fewer than two words are there, or of whose key phrases one is missing.
+    """
+    own = index()
+    there = number >= 0
+    present = np.zeros((n, len(own.words)), np.float32)
+    present[row[there], number[there]] = 1
+    enough = present @ own.members.T >= np.minimum(2, own.members.sum(1))
+    open_ = enough & (present @ own.needed.T == own.needed.sum(1))
+    for r in np.flatnonzero(open_.any(axis=1)).tolist():
+        words = np.flatnonzero(present[r])
+        words = words[np.argsort(-idf[words], kind="stable")].tolist()
+        found = dict.fromkeys(t for word in words for t in own.postings.get(word, ()) if open_[r, t])
+        yield r, words, list(found)
+
+
+def match(number: np.ndarray, words: list[int], t: int) -> float:
+    """The best share of template ``t`` that agrees with a text (numbers of its words), or -1 without a place for it.
+
+    Postings of the rarest words are intersected by relative position: each gives the places where the template would begin, and a
+    place needs two of its words. So the most common one of the text's need not be looked up: another one leads to each such place. Then every key
+    phrase has to stand within SLACK words of its own place.
+    """
+    _, template, keys = index().templates[t]
+    zeros = np.zeros(len(number), np.int64)
+    stand = []
+    for q, key in keys:
+        stand.append((q, _runs(number, zeros, key)))
+        if not len(stand[-1][1]):
+            return -1.0
+    distinct = np.unique(template)
+    least = min(2, len(distinct))
+    ours = set(distinct.tolist())
+    rare = [w for w in words if w in ours]
+    start = np.unique(np.concatenate([(np.flatnonzero(number == w)[:, None] - np.flatnonzero(template == w)).ravel() for w in (rare[:-1] if least == 2 else rare)]))
+    for q, places in stand:
+        start = start[np.searchsorted(places, start + q + SLACK, side="right") > np.searchsorted(places, start + q - SLACK)]
+    at = start[:, None] + np.arange(len(template))
+    same = (at >= 0) & (at < len(number))
+    same[same] = number[at[same]] == np.broadcast_to(template, at.shape)[same]
+    agreeing = sum((same[:, template == w].any(axis=1).astype(int) for w in distinct), np.zeros(len(start), int))
+    hits = same.sum(axis=1)[agreeing >= least]
+    return float(hits.max()) / len(template) if len(hits) else -1.0
+
+
+def _templates(number: np.ndarray, row: np.ndarray, first: np.ndarray, idf: np.ndarray) -> Iterator[tuple[str, int, float]]:
+    """Label, row and score of each template that each text of a slice holds (numbers of its words, -1 for others)."""
+    for r, words, found in candidates(number, row, len(first) - 1, idf):
+        for t in found:
+            if (share := match(number[first[r] : first[r + 1]], words, t)) >= 0:
+                yield index().templates[t][0], r, share
 
 
 def _scan(it: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -186,10 +219,9 @@ def _scan(it: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBa
                     labels.setdefault(r, set()).add(label)
             base_labels = [",".join(sorted(labels.get(r, ()))) for r in range(n)]
             scores = np.where(n_base > 0, 1.0, 0.0)
-            for label, of, share in _templates(number, w.row, w.first, idf):
-                np.maximum.at(scores, of, share)
-                for r in np.unique(of).tolist():
-                    labels.setdefault(r, set()).add(label)
+            for label, r, share in _templates(number, w.row, w.first, idf):
+                scores[r] = max(scores[r], share)
+                labels.setdefault(r, set()).add(label)
             none = n_base == 0
             yield pa.RecordBatch.from_arrays(
                 [

@@ -1,7 +1,7 @@
 """Token-id files: every document's ids compressed on its own with one shared zstandard dictionary, and an offset index.
 
-The dictionary is trained on the serialised ids of at most ``SAMPLE_DOCS`` documents (the smallest hashes of their ids, at
-most ``SAMPLE_IDS`` ids of each; a model, so its sample is bounded), and is stored beside the data. A data file is a Parquet
+The dictionary is trained on the serialised ids of at most ``SAMPLE_DOCS`` documents (the smallest hashes of their ids; of one with more
+than ``SAMPLE_IDS`` ids, ``SPANS`` spans spread evenly over it; a model, so its sample is bounded), and is stored beside the data. A data file is a Parquet
 table that Spark writes, so that it works in any store and survives lost tasks. Its rows are blocks of up to ``BLOCK_DOCS``
 neighbouring documents in ascending order of doc_id:
 
@@ -17,7 +17,7 @@ A reader takes one document's frame by its two ends, without touching its neighb
 tokenizer's file fit, else 32-bit, little-endian, with the first byte of each id before the second ones.
 
 Null or empty texts are the end id alone. Rows with a null doc_id come first. Repeated doc_ids are kept, in order of their
-frames. An empty table gives no rows. Extra columns are ignored.
+frames' hashes. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from terravane.llm import textkernel as K
 from terravane.llm import tokens as T
 from terravane.llm.shared import batches, drop, stored
 
-SAMPLE_DOCS, SAMPLE_IDS = 1000, 2000
+SAMPLE_DOCS, SAMPLE_IDS, SPANS = 1000, 2000, 4
 DICT_BYTES = 64_000
 LEVEL = 3
 BLOCK_DOCS, BLOCK_BYTES = 256, 4_000_000
@@ -52,13 +52,21 @@ def deserialise(data: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype("<u4")
 
 
-def _encoded(it: Iterator[pa.RecordBatch], tokenizer: str, most: int | None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def spread(ids: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` of the ids: all, or SPANS spans evenly spread, the first and the last ones among them."""
+    if len(ids) <= most:
+        return ids
+    size = most // SPANS
+    return np.concatenate([ids[at : at + size] for at in np.linspace(0, len(ids) - size, SPANS).astype(int)])
+
+
+def _encoded(it: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     encoder = T.encoder(tokenizer)
     for batch in it:
         for i, j in K.slices(batch.column(1), T.SLICE_BYTES):
             part = batch.slice(i, j - i)
             ids, offsets = encoder.encode(part.column(1))
-            yield part, [ids[a : b if most is None else min(b, a + most)] for a, b in zip(offsets, offsets[1:])]
+            yield part, [ids[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, width: int) -> bytes:
@@ -67,8 +75,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int) -> bytes:
     sample = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")  # at most SAMPLE_DOCS ids
 
     def ids_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, lists in _encoded(it, tokenizer, SAMPLE_IDS):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([serialise(x, width) for x in lists], pa.binary())], names=["doc_id", "ids"])
+        for part, lists in _encoded(it, tokenizer):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([serialise(spread(x, SAMPLE_IDS), width) for x in lists], pa.binary())], names=["doc_id", "ids"])
 
     rows = sample.mapInArrow(ids_of, "doc_id long, ids binary").orderBy("doc_id", "ids").limit(2 * SAMPLE_DOCS).collect()
     samples = [bytes(r["ids"]) for r in rows]
@@ -96,14 +104,16 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, width: int |
 
     def frames(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value))
-        for part, lists in _encoded(it, tokenizer, None):
+        for part, lists in _encoded(it, tokenizer):
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array([squeeze.compress(serialise(x, width)) for x in lists], pa.binary())], names=["doc_id", "n_tokens", "frame"]
             )
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     encoded = stored(docs.mapInArrow(frames, "doc_id long, n_tokens long, frame binary"), "frames", "none")
-    ordered = encoded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "frame")
+    # rows of one id, or of none, go to many ranges too: by their frames, equal ones by their places in the stored table
+    order = ["doc_id", F.xxhash64("frame"), F.monotonically_increasing_id()]
+    ordered = encoded.select("*", *[c.alias(f"__{k}") for k, c in enumerate(order[1:])]).repartitionByRange(n, "doc_id", "__0", "__1").sortWithinPartitions("doc_id", "__0", "__1").drop("__0", "__1")
 
     def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = number = 0

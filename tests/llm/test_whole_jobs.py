@@ -7,7 +7,9 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from terravane.llm import decontamination, licenses, textkernel
+from tokenizers import Tokenizer
+
+from terravane.llm import decontamination, licenses, textkernel, token_files, tokens
 
 
 def _licences(text):
@@ -51,6 +53,52 @@ def test_licences_of_several_statements(spark):
     assert set(_licences(both)[0].split(",")) == {"gpl-3", "mpl-2"}
 
 
+def test_each_text_visits_the_templates_of_its_words():
+    index = licenses.index()
+    texts = ["no word of any licence but the one of", "released under the mit license", "the license of the software is granted free", "gnu general public license version 3 and mozilla public license", ""]
+    w = textkernel.words_of(pa.array(texts), textkernel.ALNUM)
+    number = index.find(textkernel.word_hashes(w))
+    idf = np.linspace(1, 5, len(index.words))
+    visited = {r: (words, found) for r, words, found in licenses.candidates(number, w.row, len(texts), idf)}
+    assert 0 not in visited and 2 not in visited and 4 not in visited  # ruled out by their words alone
+    for r, (words, found) in visited.items():
+        assert [idf[x] for x in words] == sorted((idf[x] for x in words), reverse=True)
+        own = set(texts[r].split())
+        for t, (_, template, keys) in enumerate(licenses.TEMPLATES):
+            assert (t in found) == (len(own & set(template.split())) >= 2 and set(" ".join(keys).split()) <= own)
+        assert 1 <= len(found) <= 8 < len(licenses.TEMPLATES)
+    assert sum(index.members.sum(axis=1) >= 1) == len(licenses.TEMPLATES) == 31
+
+
+def test_token_files_of_one_hot_id(spark, tmp_path):
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join(rng.choices(words, k=30)) if k % 2 else "the same text again") for k in range(1200)]
+    rows.append((5, " ".join(rng.choices(words, k=40_000))))  # very long
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, frame string, part int").repartition(5)
+    path = f"file://{tmp_path}/files"
+    token_files.write(docs, path)
+    found = token_files.read(spark, path).collect()
+    library = Tokenizer.from_file(tokens.default_tokenizer())
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    wanted = sorted(((i, np.array([*library.encode(t, add_special_tokens=False).ids, tokens.END_ID], "<u4").tobytes()) for i, t in rows), key=key)
+    assert sorted(((r["doc_id"], bytes(r["ids"])) for r in found), key=key) == wanted
+    ordered = sorted(found, key=lambda r: r["start"])
+    assert [r["start"] for r in ordered] == np.cumsum([0, *(r["n_tokens"] for r in ordered[:-1])]).tolist()
+    ids = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in ordered]
+    assert ids == sorted(ids)
+    blocks = spark.read.parquet(f"{path}/blocks").selectExpr("part", "explode(doc_ids) AS doc_id").groupBy("part", "doc_id").count().collect()
+    for hot in (None, 7):  # neither all null ids nor all rows of one id are one task's
+        own = [r["count"] for r in blocks if r["doc_id"] == hot]
+        assert len(own) >= 2 and max(own) < 400
+
+
+def test_samples_are_spread():
+    ids = np.arange(10_000, dtype=np.uint32)
+    some = token_files.spread(ids, 2000)
+    assert len(some) == 2000 and some[0] == 0 and some[-1] == 9999 and len(token_files.spread(ids[:2000], 2000)) == 2000
+
+
 def test_short_items_are_found(spark):
     items = [(1, "alpha"), (2, "Beta gamma"), (3, "one two three four"), (4, "never there"), (5, "..."), (6, "a b c d e f"), (6, "alpha")]
     texts = ["x Alpha, y", "beta\ngamma beta gamma", "gamma beta", "zero one two three four five", "one two three", "a b c d e f alpha", "", None, "alpha " * 500]
