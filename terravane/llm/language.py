@@ -2,13 +2,14 @@
 
 Each language has a probability for every piece. A word's probability is the sum over all ways to cut it into pieces, which
 the forward algorithm adds up, in logarithms; a text's is the product over its words. The pieces' probabilities are fitted by
-expectation maximisation: words are counted by language on at most about ``FIT_DOCS`` documents a language (a classifier, so its
-sample is bounded), tasks run forward and backward over the distinct words, and expected piece counts are summed by Spark. What
-reaches the driver is a table of the vocabulary's pieces times the languages, which does not grow with the documents.
+expectation maximisation: words are counted by language on about ``FIT_DOCS`` distinct documents a language, one at least (a classifier, so
+its sample is bounded; it goes by id and text, and a repeated row counts once), tasks run forward and backward over the distinct words, and
+expected piece counts are summed by Spark. What reaches the driver are the counts of the pieces that each language was seen with in
+its sample. Languages are fitted and scored in blocks of ``BLOCK``, so that no table is the vocabulary times all languages.
 
 The vocabulary is a SentencePiece model's; a word begins with its mark of a word's start. Words are runs of non-space bytes
 with A-Z in lower case; any byte may also stand alone at the small cost ``BYTE``, so that every word has a segmentation. Words
-are scored whole, whatever their length; the fit leaves out words of more than ``FIT_WORD_BYTES`` bytes.
+are learned and scored whole, whatever their length.
 
 ``und`` stands for null texts and texts without a letter, with score 0. Rows with a null doc_id are answered, held_out is null
 there. Ties go to the language that sorts first. Documents without a language are not learned from. Extra columns are
@@ -35,7 +36,8 @@ HELD_OUT_MOD, HELD_OUT_REST = 4, 2
 ROUNDS = 3
 #: Pseudo-count of each piece, and the probability of a byte by itself.
 SMOOTH, BYTE = 0.05, 1e-7
-FIT_WORD_BYTES = 2048
+#: Languages whose tables are held at a time.
+BLOCK = 64
 MARK = "▁"
 #: Words that are scored together: so many, or fewer where words times places times languages would exceed CELLS.
 GROUP, CELLS = 20_000, 8_000_000
@@ -175,8 +177,8 @@ def word_scores(v: Vocabulary, log_p: np.ndarray, data: np.ndarray, start: np.nd
     return out
 
 
-def _long_word_score(v: Vocabulary, log_p: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log P of one word by language: the pieces at all places are looked up at once, then the places are walked."""
+def _long_edges(v: Vocabulary, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(end, begin, piece, from the mark) of all pieces in one word, in order of their ends."""
     n = len(word)
     ends, sizes, pieces, from_mark = [np.arange(1, n + 1)], [np.ones(n, np.int64)], [np.full(n, v.lone)], [np.zeros(n, bool)]
     h = np.zeros(n, dtype=np.uint64)
@@ -193,7 +195,12 @@ def _long_word_score(v: Vocabulary, log_p: np.ndarray, word: np.ndarray) -> np.n
             from_mark.append(np.full(len(where), mark))
     end, size, piece, mark = map(np.concatenate, (ends, sizes, pieces, from_mark))
     order = np.argsort(end, kind="stable")
-    end, source, piece, mark = end[order], (end - size)[order], piece[order], mark[order]
+    return end[order], (end - size)[order], piece[order], mark[order]
+
+
+def _forward(v: Vocabulary, log_p: np.ndarray, n: int, edges: tuple) -> np.ndarray:
+    """log of the ways to each place of one word, by language: the places are walked."""
+    end, source, piece, mark = edges
     first = np.searchsorted(end, np.arange(1, n + 2))
     alpha = np.full((n + 1, log_p.shape[1]), -np.inf)
     alpha[0] = log_p[v.bare]
@@ -203,21 +210,60 @@ def _long_word_score(v: Vocabulary, log_p: np.ndarray, word: np.ndarray) -> np.n
         if mark[own].any():
             before[mark[own]] = 0.0
         alpha[j] = np.logaddexp.reduce(before + log_p[piece[own]], axis=0)
-    return alpha[n]
+    return alpha
 
 
-def _expected(it: Iterator[pa.RecordBatch], path: str, p: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (word, language number, count): expected counts of pieces by language."""
-    v = vocabulary(path)
-    totals = np.zeros_like(p)
-    log_p = np.log(p)
+def _long_word_score(v: Vocabulary, log_p: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """log P of one word by language: the pieces at all places are looked up at once."""
+    return _forward(v, log_p, len(word), _long_edges(v, word))[-1]
+
+
+def _long_word_counts(v: Vocabulary, log_p: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Expected counts of all pieces in one word of one language (``log_p``: a column), by the same walk forward and one back."""
+    n, edges = len(word), _long_edges(v, word)
+    end, source, piece, mark = edges
+    alpha = _forward(v, log_p[:, None], n, edges)[:, 0]
+    inner = np.flatnonzero(~mark)
+    inner = inner[np.argsort(source[inner], kind="stable")]
+    first = np.searchsorted(source[inner], np.arange(n + 1))
+    beta = np.full(n + 1, -np.inf)
+    beta[n] = 0.0
+    for i in range(n - 1, -1, -1):
+        own = inner[first[i] : first[i + 1]]
+        beta[i] = np.logaddexp.reduce(log_p[piece[own]] + beta[end[own]])
+    counts = np.zeros(len(log_p))
+    np.add.at(counts, piece, np.exp(np.where(mark, 0.0, alpha[source]) + log_p[piece] + beta[end] - alpha[n]))
+    counts[v.bare] += np.exp(log_p[v.bare] + beta[0] - alpha[n])
+    return counts
+
+
+def _expected(it: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Rows (word, language number, count), sorted by the languages' blocks: expected counts of pieces by language."""
+    v = vocabulary(model.vocabulary)
+    block, log_p, totals = None, None, None
+
+    def counted() -> pa.RecordBatch:
+        piece, lang = np.nonzero(totals)
+        return pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array((lang + block * BLOCK).astype(np.int32)), pa.array(totals[piece, lang])], names=["piece", "language", "n"])
+
     for batch in it:
         data, offsets = K.text_bytes(batch.column(0))
-        language, count = np.asarray(batch.column(1)), np.asarray(batch.column(2), dtype=float)
-        for at in _groups(np.diff(offsets), 1):
-            _accumulate(v, data, offsets[:-1][at], np.diff(offsets)[at], log_p, language[at], count[at], totals)
-    piece, lang = np.nonzero(totals)
-    yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(totals[piece, lang])], names=["piece", "language", "n"])
+        language, count, length = np.asarray(batch.column(1)), np.asarray(batch.column(2), dtype=float), np.diff(offsets)
+        for b in np.unique(language // BLOCK).tolist():
+            if b != block:
+                if totals is not None:
+                    yield counted()
+                block, log_p = b, model.block(b)
+                totals = np.zeros_like(log_p)
+            own = np.flatnonzero(language // BLOCK == b)
+            short = own[length[own] <= LONG_WORD]
+            for group in _groups(length[short], 1):
+                at = short[group]
+                _accumulate(v, data, offsets[:-1][at], length[at], log_p, language[at] - b * BLOCK, count[at], totals)
+            for w in own[length[own] > LONG_WORD].tolist():
+                totals[:, language[w] - b * BLOCK] += count[w] * _long_word_counts(v, log_p[:, language[w] - b * BLOCK], data[offsets[w] : offsets[w + 1]])
+    if totals is not None:
+        yield counted()
 
 
 def _accumulate(v: Vocabulary, data: np.ndarray, start: np.ndarray, length: np.ndarray, log_p: np.ndarray, language: np.ndarray, count: np.ndarray, totals: np.ndarray) -> None:
@@ -243,10 +289,50 @@ def _accumulate(v: Vocabulary, data: np.ndarray, start: np.ndarray, length: np.n
 
 @dataclass
 class Model:
+    """log P of pieces by language: ``base`` of those that a language was not seen with, and the others one language after the other."""
+
     languages: list[str]
-    log_p: np.ndarray  # pieces x languages
+    base: np.ndarray
+    first: np.ndarray  # languages + 1, into the next two
+    piece: np.ndarray
+    log: np.ndarray
     vocabulary: str
 
+    def block(self, b: int) -> np.ndarray:
+        """The pieces times the languages of one block."""
+        v = vocabulary(self.vocabulary)
+        lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.languages))
+        out = np.tile(self.base[lo:hi], (v.size, 1))
+        own = slice(self.first[lo], self.first[hi])
+        out[self.piece[own], np.repeat(np.arange(hi - lo), np.diff(self.first[lo : hi + 1]))] = self.log[own]
+        out[v.lone] = np.log(BYTE)
+        return out
+
+    def blocks(self) -> range:
+        return range(-(-len(self.languages) // BLOCK))
+
+    @property
+    def log_p(self) -> np.ndarray:
+        """All of it, for a few languages."""
+        return np.concatenate([self.block(b) for b in self.blocks()], axis=1)
+
+
+def _uniform(languages: list[str], path: str) -> Model:
+    return Model(languages, np.full(len(languages), -np.log(vocabulary(path).size)), np.zeros(len(languages) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0), path)
+
+
+def _maximised(model: Model, counted: pa.Table) -> Model:
+    """The model of expected counts (piece, language, n)."""
+    v = vocabulary(model.vocabulary)
+    piece, language, n = (np.asarray(counted[c].combine_chunks()) for c in ("piece", "language", "n"))
+    own = piece != v.lone
+    piece, language, n = piece[own], language[own], n[own]
+    order = np.lexsort((piece, language))
+    piece, language, n = piece[order], language[order], n[order]
+    totals = SMOOTH * (v.size - 1) + np.bincount(language, n, minlength=len(model.languages))
+    first = np.searchsorted(language, np.arange(len(model.languages) + 1))
+    return Model(model.languages, np.log(SMOOTH / totals), first, piece, np.log((n + SMOOTH) / totals[language]), model.vocabulary)
+
 
 def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, language) to counted words of each slice."""
@@ -267,31 +353,27 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, most: int = FIT_DOC
     path = vocabulary_path or default_vocabulary()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     train = rows.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id"), HELD_OUT_MOD, HELD_OUT_REST))
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row for each language
-    if not sizes:
-        return Model([], np.zeros((0, 0)), path)
+    train = train.withColumn("h", F.xxhash64("doc_id", "text"))
+    sizes = {r["lang"]: r for r in train.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()}  # a row for each language
     languages = sorted(sizes)
-    # the smallest hashes of each language, about ``most``
-    tops = [(name, k, int(-(2**63) + 2**64 * min(1.0, most / sizes[name])) - 1) for k, name in enumerate(languages)]
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(tops, "lang string, language int, top long"))
-    words = train.join(chosen, "lang").where(F.xxhash64("doc_id") <= F.col("top")).select("text", "language").mapInArrow(_words, "word string, language int, n long")
-    words = words.where(F.octet_length("word") <= FIT_WORD_BYTES).groupBy("word", "language").agg(F.sum("n").alias("n"))
+    if not languages:
+        return Model([], np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), path)
+    # the smallest hashes of each language, about ``most``, and the smallest one at least
+    tops = [(name, k, max(sizes[name]["least"], int(-(2**63) + 2**64 * min(1.0, most / sizes[name]["n"])) - 1)) for k, name in enumerate(languages)]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(tops, "lang string, language int, top long"))  # a row for each language
+    sample = train.join(chosen, "lang").where(F.col("h") <= F.col("top")).dropDuplicates(["language", "h"])
+    words = sample.select("text", "language").mapInArrow(_words, "word string, language int, n long").groupBy("word", "language").agg(F.sum("n").alias("n"))
+    # the table is small but each of its rows is work: blocks of languages are spread over the tasks
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = stored(words.repartition(n), "words")  # the table is small but each of its rows is work
-    v = vocabulary(path)
-    p = np.full((v.size, len(languages)), 1.0 / v.size)
-    p[v.lone] = BYTE
+    block, part = F.floor(F.col("language") / BLOCK), F.pmod(F.xxhash64("word", "language"), F.lit(max(1, 4 * n // -(-len(languages) // BLOCK))))
+    words = stored(words.repartition(n, block, part).sortWithinPartitions("language"), "words")
+    model = _uniform(languages, path)
     for _ in range(ROUNDS):
-        shared = words.sparkSession.sparkContext.broadcast(p)  # the vocabulary times the languages
-        counted = words.mapInArrow(lambda it, s=shared: _expected(it, path, s.value), "piece int, language int, n double")
-        totals = np.full_like(p, SMOOTH)
-        for r in counted.groupBy("piece", "language").agg(F.sum("n").alias("n")).collect():
-            totals[r["piece"], r["language"]] += r["n"]
-        totals[v.lone] = 0
-        p = totals / totals.sum(axis=0)
-        p[v.lone] = BYTE
+        shared = words.sparkSession.sparkContext.broadcast(model)  # the pieces that each language was seen with
+        counted = words.sortWithinPartitions("language").mapInArrow(lambda it, s=shared: _expected(it, s.value), "piece int, language int, n double")
+        model = _maximised(model, counted.groupBy("piece", "language").agg(F.sum("n").alias("n")).toArrow())
     drop(words)
-    return Model(languages, np.log(p), path)
+    return model
 
 
 _ASCII_LETTER = np.zeros(256, dtype=bool)
@@ -306,9 +388,19 @@ def _has_letter(column: pa.Array, w: K.Words) -> np.ndarray:
     return out
 
 
+_LAST: list = [None, None, None]
+
+
+def _dense(m: Model, b: int) -> np.ndarray:
+    """A block of the model; a worker keeps the last one."""
+    if _LAST[0] is not m or _LAST[1] != b:
+        _LAST[:] = [m, b, m.block(b)]
+    return _LAST[2]
+
+
 def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text: str = "text", prefix: str = "") -> DataFrame:
     """The columns ``keep`` of every row of ``docs`` with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary times the languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the pieces that each language was seen with
 
     def predicted(column: pa.Array) -> list[pa.Array]:
         m = shared.value
@@ -317,8 +409,12 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), te
         names = np.array(m.languages, dtype=object)
         w = K.words_of(column)
         _, first, inverse = np.unique(K.word_hashes(w), return_index=True, return_inverse=True)
-        each = word_scores(vocabulary(m.vocabulary), m.log_p, w.data, w.start[first], w.end[first])
-        sums = np.stack([K.segment_reduce(np.add, each[inverse, k], w.first, 0.0) for k in range(len(names))], axis=1)
+        sums = np.empty((len(column), len(names)))
+        for b in m.blocks():
+            log_p = _dense(m, b)
+            each = word_scores(vocabulary(m.vocabulary), log_p, w.data, w.start[first], w.end[first])
+            for k in range(log_p.shape[1]):
+                sums[:, b * BLOCK + k] = K.segment_reduce(np.add, each[inverse, k], w.first, 0.0)
         # the posterior, with words counted as if a text had the square root of their number
         scaled = (sums - sums.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(np.diff(w.first), 1))[:, None]
         posterior = 1 / np.exp(scaled).sum(axis=1)

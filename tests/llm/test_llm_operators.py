@@ -419,6 +419,49 @@ def test_many_languages(spark):
     assert len(model.languages) == 60
 
 
+def test_blocks_of_languages_change_nothing(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(k * 40 + j, " ".join(f"w{k % 9}{rng.choice('abcdef')}o{rng.choice('xyz')}" for _ in range(30)), f"l{k:03d}") for k in range(30) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    whole = language.fit(docs)
+    key = lambda m: sorted(map(tuple, language.predict(docs, m).collect()))
+    wanted = key(whole)
+    monkeypatch.setattr(language, "BLOCK", 7)
+    few = language.fit(docs)
+    assert few.languages == whole.languages and np.allclose(few.log_p, whole.log_p, atol=1e-9)
+    assert [r[:2] for r in key(few)] == [r[:2] for r in wanted] and np.allclose([r[2] for r in key(few)], [r[2] for r in wanted])
+
+
+def test_very_many_languages_fit_in_little_memory(spark):
+    rows = [(k, f"some text of number {k}", f"dirty {k}") for k in range(5000)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    kept = [k for k in range(5000) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert model.languages == sorted(f"dirty {k}" for k in kept)  # not one is left out
+    assert model.log.nbytes + model.piece.nbytes + model.base.nbytes < 20_000_000  # dense they would be 1.3 GB
+
+
+def test_a_repeated_id_is_one_document(spark):
+    rows = [(101, f"english words that repeat {k % 3}", "en") for k in range(5000)] + [(200 + k, f"deutsche wörter die es gibt {k}", "de") for k in range(40)]
+    for doc_id in (101, 103, 106):
+        df = spark.createDataFrame([(doc_id if lang == "en" else i, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string").repartition(3)
+        model = language.fit(df, most=600)
+        if zlib.crc32(str(doc_id).encode()) % 4 == 2:
+            assert model.languages == ["de"]
+            continue
+        assert model.languages == ["de", "en"] and np.diff(model.first).min() > 10  # both were seen
+        few = language.fit(df, most=1)
+        assert np.diff(few.first).min() > 3
+
+
+def test_long_words_are_learned():
+    v = language.vocabulary(language.default_vocabulary())
+    p = np.random.default_rng(7).random((v.size, 1)) / 100
+    for word in (b"there", b"information", "grüße".encode() * 4):
+        totals = np.zeros_like(p)
+        language._accumulate(v, np.frombuffer(word, dtype=np.uint8), np.array([0]), np.array([len(word)]), np.log(p), np.array([0]), np.array([1.0]), totals)
+        assert np.allclose(language._long_word_counts(v, np.log(p[:, 0]), np.frombuffer(word, dtype=np.uint8)), totals[:, 0], atol=1e-9)
+
+
 def test_nothing_to_learn_from(docs, nothing):
     model = language.fit(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {(r["lang_pred"], r["score"]) for r in language.predict(docs, model).collect()} == {("und", 0.0)}
