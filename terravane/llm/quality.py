@@ -33,7 +33,7 @@ MOST_SYMBOLS, MOST_LINES = 10, 30
 #: A host above this shrunken failure rate is rejected.
 HOST_RATE = 0.5
 #: Rejected hosts whose table may be broadcast; more are joined by a shuffle, with each host's documents spread over SALTS places.
-BROADCAST_HOSTS, SALTS = 100_000, 16
+BROADCAST_HOSTS, BROADCAST_BYTES, SALTS = 100_000, 16_000_000, 16
 RULES = ["short", "repetitive", "symbols", "lines"]
 
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -149,7 +149,8 @@ def quality(docs: DataFrame, host: str = "source") -> DataFrame:
     rows = stored(measured(docs, host), "measures")
     hosts = stored(host_rates(rows).select("host", (F.greatest(*[F.col(f"{r}_rate") for r in RULES]) > HOST_RATE).alias("host_rejected")), "hosts")
     rejected = hosts.where("host_rejected")
-    if rejected.count() <= BROADCAST_HOSTS:
+    n, size = rejected.agg(F.count("*"), F.sum(F.octet_length("host").cast("long"))).first()
+    if n <= BROADCAST_HOSTS and (size or 0) <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(rejected), "host", "left")
     else:
         salted = rejected.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")

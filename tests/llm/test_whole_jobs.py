@@ -9,7 +9,8 @@ import pyarrow as pa
 
 from tokenizers import Tokenizer
 
-from terravane.llm import decontamination, licenses, textkernel, token_files, tokens
+import corpus_pipeline
+from terravane.llm import decontamination, licenses, packing, textkernel, token_files, tokens
 
 
 def _licences(text):
@@ -195,3 +196,99 @@ def test_repeated_windows_are_walked(monkeypatch):
     whole = decontamination._shares(row, key, at, items)
     monkeypatch.setattr(decontamination, "MOST_MATCHES", 1000)
     assert decontamination._shares(row, key, at, items) == whole == {(0, 0): 1.0, (1, 1): 1.0}
+
+
+def _fewest(sizes, capacity):
+    """The fewest bins, by trying all ways to pack."""
+    best = [len(sizes)]
+    sizes = sorted(sizes, reverse=True)
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= sizes[k]:
+                at = rooms.index(room)
+                place(k + 1, [*rooms[:at], room - sizes[k], *rooms[at + 1 :]])
+        place(k + 1, [*rooms, capacity - sizes[k]])
+
+    place(0, [])
+    return best[0] if sizes else 0
+
+
+def test_packing_against_all_ways_to_pack(spark):
+    rng = random.Random(17)
+    tables = [[rng.randint(60, 900) for _ in range(rng.randint(1, 9))] for _ in range(10)]
+    tables += [[512, 512, 341, 341, 341, 1024], [600, 500, 424, 524], [1] * 9]
+    equal = 0
+    for sizes in tables:
+        out = packing.place(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long").repartition(3)).collect()
+        used = {}
+        for r in out:
+            used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for pieces in used.values():
+            at = 0
+            for offset, length in sorted(pieces):  # gapless
+                assert offset == at
+                at += length
+            assert at <= 1024
+        fewest = _fewest(sizes, 1024)
+        one = len(packing.best_fit(np.array([s for s in sizes if s < 1024], dtype=np.int64), 1024)) + sizes.count(1024)  # as one task would
+        assert fewest <= one <= fewest * 11 / 9 + 6 / 9 and fewest <= len(used) <= one + 1
+        equal += len(used) == fewest
+    assert equal >= len(tables) - 2
+
+
+def _shingle_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    rng = random.Random(23)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(150)]
+    texts = []
+    for k in range(90):
+        base = rng.choices(words, k=rng.randint(8, 70))
+        texts.append(" ".join(base))
+        if k % 3 == 0:
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts += [None, "", "one", texts[0], texts[0].upper(), texts[5]]
+    items = [(k, " ".join(texts[k * 7].split()[:25])) for k in range(5)] + [(9, " ".join(rng.choices(words, k=30)))]
+    docs = spark.createDataFrame([(100 + k * 3, t, "en", "s", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    text_of = {100 + k * 3: t for k, t in enumerate(texts)}
+    # near duplicates: the smallest id of each component of links at 0.75 of the full sets
+    sets = {d: _shingle_set(t) for d, t in text_of.items()}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            lo, hi = sorted((root(a), root(b)))
+            parent[hi] = lo
+    deduped = stages["near_dedup"](spark, docs, str(tmp_path))
+    kept = sorted(r["doc_id"] for r in deduped.collect())
+    assert kept == sorted({root(d) for d in sets}) and len(kept) < len(texts)
+    # benchmark passages: documents in which greedy tiles cover half of an item
+    clean = stages["decontamination"](spark, deduped, str(tmp_path))
+    left = sorted(r["doc_id"] for r in clean.collect())
+    assert left == [d for d in kept if not any(_shares_of(text_of[d], x) >= 0.5 for _, x in items)] and len(left) < len(kept)
+    # packing: all pieces of what is left, as few sequences as one task's best fit would take
+    packed = stages["packing"](spark, clean, str(tmp_path)).collect()
+    library = Tokenizer.from_file(tokens.default_tokenizer())
+    sizes = {d: len(library.encode(text_of[d] or "", add_special_tokens=False).ids) + 1 for d in left}
+    assert sorted((r["doc_id"], r["length"]) for r in packed) == sorted(sizes.items())
+    best = packing.best_fit(np.array(list(sizes.values()), dtype=np.int64), 1024)
+    assert len({r["sequence_id"] for r in packed}) == len(best)
