@@ -28,14 +28,18 @@ def in_order(pdfs: Iterator[pd.DataFrame], order: str | list[str]) -> Iterator:
     """A micro-batch's rows of one key, in order of arrival."""
     frames = [p for p in pdfs if len(p)]
     if frames:
-        yield from pd.concat(frames).sort_values(order, kind="stable").itertuples(index=False)
+        frame = frames[0] if len(frames) == 1 else pd.concat(frames)
+        if isinstance(order, list) or not frame[order].is_monotonic_increasing:  # most keys have a few rows, for which a sort is dear
+            frame = frame.sort_values(order, kind="stable")
+        yield from frame.itertuples(index=False)
 
 
 def in_frames(rows: Iterator[tuple], columns: Sequence[str], types: dict[str, str] | None = None) -> Iterator[pd.DataFrame]:
     """``rows`` in frames of FRAME_ROWS; one empty frame if there are none."""
     frame = list(islice(rows, FRAME_ROWS))
     while True:
-        yield pd.DataFrame(frame, columns=columns).astype(types or {})
+        out = pd.DataFrame(frame, columns=columns)
+        yield out.astype(types) if types else out
         if not (frame := list(islice(rows, FRAME_ROWS))):
             return
 
@@ -72,7 +76,8 @@ class Recorder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         def decisions() -> Iterator[tuple]:
-            s = tracks.State.of(tuple(self.track.get())) if self.track.exists() else tracks.State()
+            known = self.track.get()
+            s = tracks.State.of(tuple(known)) if known else tracks.State()
             open_ = True
             for row in in_order(rows, "arrival"):
                 if row.stop is True or row.stop == 1:
@@ -83,7 +88,7 @@ class Recorder(StatefulProcessor):
                     yield from tracks.decide(key[0], s, iter([row]), finish=False)
             if open_:
                 self.track.update(s.flat())
-            elif self.track.exists():
+            elif known:
                 self.track.clear()
             if self.silent_ms:
                 self._set_timer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms if open_ else None)
@@ -110,15 +115,16 @@ class Closer(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         closed = []
-        started, ended, n = self.open.get() if self.open.exists() else (None, None, 0)
+        known = self.open.get()
+        started, ended, n = known or (None, None, 0)
         for row in in_order(rows, "arrival"):
             ts = int(row.ts)
             if n and ts - ended > self.silent_ms:
                 closed.append((key[0], started, ended, n))
                 n = 0
             started, ended, n = (min(started, ts), max(ended, ts), n + 1) if n else (ts, ts, 1)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if known and n:  # an open track has one timer, at the end that it had
+            self.handle.deleteTimer(known[1] + self.silent_ms)
         if n:
             self.open.update((started, ended, n))
             self.handle.registerTimer(ended + self.silent_ms)
@@ -141,7 +147,8 @@ class Steady(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         def steady() -> Iterator[tuple]:
-            last = self.last.get()[0] if self.last.exists() else None
+            known = self.last.get()
+            last = known[0] if known else None
             for row in in_order(rows, "arrival"):
                 d = None if last is None else abs(row.heading - last) % 360.0
                 if d is None or min(d, 360.0 - d) > JITTER_DEG:
@@ -161,7 +168,8 @@ class Recount(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         def due() -> Iterator[tuple]:
-            last = tuple(self.last.get()) if self.last.exists() else None
+            known = self.last.get()
+            last = tuple(known) if known else None
             for row in in_order(rows, "arrival"):
                 here = (0, float(row.lat), float(row.lon), None)
                 if last is None or tracks.metres((0, *last, None), here) >= RECOUNT_M:
@@ -184,7 +192,8 @@ class Streaks(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         def answers() -> Iterator[tuple]:
-            streak = int(self.streak.get()[0]) if self.streak.exists() else 0
+            known = self.streak.get()
+            streak = int(known[0]) if known else 0
             for row in in_order(rows, ["at_ms", "id"]):
                 until = None
                 if not _missing(row.status) and int(row.status) in (429, 503):

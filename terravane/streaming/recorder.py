@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from terravane.operators import tracks
 from terravane.operators.store import at_exit, shared_path
@@ -19,8 +20,9 @@ FIXES = "track_id long, arrival long, ts long, lat double, lon double, accuracy_
 SILENT_MS = 12 * 3600 * 1000
 #: How late a fix may be behind the latest one, and how long fixes are held for late marks.
 LATE_MS, HOLD_MS = 4 * 3600 * 1000, 24 * 3600 * 1000
-#: Rows of a micro-batch of a table that is replayed, about.
-BATCH_ROWS = 200_000
+#: Rows of a micro-batch of a table that is replayed, about. Each micro-batch opens and commits every partition of the state, so small ones
+#: cost more than their rows; what is held at once is a key's part of one.
+BATCH_ROWS = 1_000_000
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -109,6 +111,20 @@ def replay(table: DataFrame, *order: str, since: str | None = None) -> DataFrame
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def started(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Starts a stream whose keyed state has no more partitions than tasks run at once: each is opened and committed in every micro-batch.
+
+    A stream keeps the number that its checkpoint began with.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
     """Runs a stream over all that its source has now: appended rows go to files in the shared folder, a complete result (a few counters) is kept in memory.
 
@@ -120,7 +136,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append", path: str | None =
         writer.format("memory").queryName(name).start().awaitTermination()
         return spark.table(name)
     path = path or shared_path(spark, f"{name}-{uuid.uuid4().hex}")
-    writer.format("parquet").option("checkpointLocation", f"{path}-log").start(path).awaitTermination()
+    started(writer.format("parquet").option("checkpointLocation", f"{path}-log").option("path", path), spark).awaitTermination()
     for p in (path, f"{path}-log"):
         at_exit(spark, p)
     return spark.read.schema(stream.schema).parquet(path)

@@ -174,3 +174,15 @@ def test_the_state_of_marks_is_bounded_and_dropped():
     assert late[["mark_id", "fix_ts"]].values.tolist()[0] == [7, 960] and late["fix_ts"].isna().tolist() == [False, True]  # at once; too old
     rest = pd.concat(list(own.handleInputRows((1,), iter([pd.DataFrame([(2, 0, None, None, None, None, 3000)], columns=columns)]), None)))
     assert len(rest) and not handle.lists["fixes"].rows and not handle.lists["marks"].rows
+
+
+def test_state_has_no_more_partitions_than_tasks_at_once(spark, small, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        table = spark.range(300).select((F.col("id") % 40).alias("device"), F.col("id").alias("arrival"), (F.col("id") % 300).cast("double").alias("heading"))
+        out = recorder.drain(recorder.steady_headings(recorder.replay(table, "arrival")), "steady", path=f"file://{tmp_path}/out")
+        assert out.count() == 300 and spark.conf.get("spark.sql.shuffle.partitions") == "32"
+        assert 1 <= sum(p.name.isdigit() for p in (tmp_path / "out-log" / "state" / "0").iterdir()) <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
