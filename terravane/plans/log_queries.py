@@ -818,7 +818,7 @@ def _live_finds(t):
     spark = finds.sparkSession
     path = shared_path(spark, f"live-{uuid.uuid4().hex}")
     live = views.LiveList(spark, path, "id long, version int, category string, favorite boolean, deleted boolean", ["id"], "version", ["category"])
-    live.follow(recorder.replay(first.unionByName(second).unionByName(third), "version", "id"), f"{path}/log")
+    live.follow(recorder.replay(first.unionByName(second).unionByName(third), "version", "id", most=views.BATCHES), f"{path}/log")
     at_exit(spark, path)
     return live
 
@@ -840,7 +840,7 @@ def _(t):
     spark = places.sparkSession
     path = shared_path(spark, f"live-{uuid.uuid4().hex}")
     live = views.LiveList(spark, path, "id long, version int, type string, visited boolean, deleted boolean", ["id"], "version", ["type", "visited"])
-    live.follow(recorder.replay(places.unionByName(changed), "version", "id"), f"{path}/log")
+    live.follow(recorder.replay(places.unionByName(changed), "version", "id", most=views.BATCHES), f"{path}/log")
     at_exit(spark, path)
     return live.current().select("id", "type", "visited")
 

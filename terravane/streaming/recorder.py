@@ -5,6 +5,7 @@ Keyed state lives in the RocksDB store, in the query's checkpoint: a query that
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,13 +95,13 @@ def _files(spark: SparkSession, path: str):
     return fs, sorted((f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
 
 
-def replay(table: DataFrame, *order: str, since: str | None = None) -> DataFrame:
-    """A stream of ``table`` in the order of the columns ``order``, in micro-batches of about BATCH_ROWS rows.
+def replay(table: DataFrame, *order: str, since: str | None = None, most: int | None = None) -> DataFrame:
+    """A stream of ``table`` in the order of the columns ``order``, in micro-batches of about BATCH_ROWS rows, or in ``most`` larger ones.
 
     One job writes a file for each range of the order; the source takes one a micro-batch, by their times, which are set in that order. ``since``: a folder to write to.
     """
     spark = table.sparkSession
-    n = max(-(-table.count() // BATCH_ROWS), 1)
+    n = max(min(-(-table.count() // BATCH_ROWS), most or sys.maxsize), 1)
     path = since or shared_path(spark, f"replay-{uuid.uuid4().hex}")
     table.repartitionByRange(n, *order).write.mode("append").parquet(path)
     at_exit(spark, path)

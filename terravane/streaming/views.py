@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from terravane.operators.store import kept
 
 PARTS = 16
+#: Micro-batches in which a table is replayed into a view, at most. A batch whose keys are spread rewrites the whole view, so the work of a replay
+#: grows with the table only while the number of batches doesn't; rows of a batch are spread over tasks, however many there are.
+BATCHES = 8
 
 
 class View:

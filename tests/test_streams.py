@@ -186,3 +186,10 @@ def test_state_has_no_more_partitions_than_tasks_at_once(spark, small, tmp_path)
         assert 1 <= sum(p.name.isdigit() for p in (tmp_path / "out-log" / "state" / "0").iterdir()) <= spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_replay_in_a_bounded_number_of_batches(spark, small):
+    table = spark.range(3000).select(F.col("id").alias("arrival")).repartition(6)
+    seen = []
+    recorder.replay(table, "arrival", most=4).writeStream.trigger(availableNow=True).foreachBatch(lambda df, _: seen.append(df.count())).start().awaitTermination()
+    assert sum(seen) == 3000 and 1 < len([n for n in seen if n]) <= 4  # not the 25 of its BATCH_ROWS
