@@ -196,13 +196,16 @@ def box_at_least(box: Column, degrees) -> Column:
 
 
 def ring_area_ha(ring: Column) -> Column:
-    """Shoelace area of an array of struct(lat, lon) in a local frame at the mean latitude; under three points: 0."""
+    """Shoelace area of an array of struct(lat, lon) in a local frame at the mean latitude and the first point; under three points: 0."""
     n = F.size(ring)
     mean = F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lat"]) / n
     by_lat = F.lit(111_132.92) - F.cos(F.radians(mean) * 2) * 559.82
     by_lon = F.cos(F.radians(mean)) * 111_412.84
     following = F.concat(F.slice(ring, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1)))
-    doubled = F.aggregate(F.zip_with(ring, following, lambda p, q: p["lon"] * q["lat"] - q["lon"] * p["lat"]), F.lit(0.0), lambda s, x: s + x)
+    # products of whole coordinates are large and nearly cancel out
+    origin = F.get(ring, F.lit(0))
+    east, north = lambda p: p["lon"] - origin["lon"], lambda p: p["lat"] - origin["lat"]
+    doubled = F.aggregate(F.zip_with(ring, following, lambda p, q: east(p) * north(q) - east(q) * north(p)), F.lit(0.0), lambda s, x: s + x)
     return F.when(n >= 3, F.abs(doubled * by_lat * by_lon) / 2.0 / 10_000.0).otherwise(F.lit(0.0))
 
 

@@ -132,3 +132,13 @@ def test_lights_and_greys(spark):
         raster.lights({90.0: 0.0})
     greys = [value(spark, raster.grey(F.lit(s), F.lit(v) if v is not None else None, w, g)) for s, v, w, g in ((0.5, None, 0.4, 1.0), (0.5, 1.0, 0.5, 1.0), (0.5, 1.0, 7.0, 1.0), (0.5, 1.0, -1.0, 1.0), (0.25, None, 0.4, 2.0), (2.0, None, 0.4, 1.0), (-1.0, None, 0.4, 1.0))]
     assert greys == [127, 191, 255, 127, 127, 255, 0]
+
+
+def test_the_area_of_a_small_ring_is_exact(spark):
+    # a side of 2^-10 degrees: differences of coordinates are exact, products of whole coordinates are not
+    side, lat, lon = 2.0**-10, 51.1234, 18.4321
+    corners = [(lat, lon), (lat, lon + side), (lat + side, lon + side), (lat + side, lon)]
+    ring = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in corners])
+    m = math.radians(sum(a for a, _ in corners) / 4)
+    wanted = ((lon + side) - lon) * ((lat + side) - lat) * (111_132.92 - 559.82 * math.cos(2 * m)) * (111_412.84 * math.cos(m)) / 10_000
+    assert value(spark, geo.ring_area_ha(ring)) == pytest.approx(wanted, rel=1e-13)
