@@ -82,9 +82,9 @@ def of_photos() -> list[Column]:
 
 
 def of_places(how: str = "newest", lat: float | None = None, lon: float | None = None) -> list[Column]:
-    """``nearest`` (without a position: newest), ``newest`` or ``type``."""
+    """``nearest`` by whole millimetres, then id (without a position: newest), ``newest`` or ``type``."""
     if how == "nearest" and lat is not None and lon is not None:
-        return [geo.distance_m(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon")), F.col("id")]
+        return [F.floor(geo.distance_m(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon")) * 1000.0 + 0.5), F.col("id")]
     by_type = F.array_position(F.array(*map(F.lit, PLACE_TYPES)), decode(F.col("type"), PLACE_TYPES, "ZAJIMAVOST"))
     return [by_type, *newest_first()] if how == "type" else newest_first()
 
@@ -243,6 +243,7 @@ def merge_import(existing: DataFrame, incoming: DataFrame, key: str = "external_
 
 
 def reparent(children: DataFrame, parents: DataFrame, resolved: DataFrame, parent_key: str) -> DataFrame:
-    """Children with ``parent_key`` set to the id that their parent's external id has in ``resolved``; children of unknown parents go."""
+    """Children with ``parent_key`` set to the id that their parent's external id has in ``resolved``, the lowest of several; children of unknown parents go."""
+    resolved = resolved.groupBy("external_id").agg(F.min("id").alias("id"))
     links = parents.select(F.col("id").alias(parent_key), "external_id").join(resolved.select("external_id", F.col("id").alias("__to")), "external_id").select(parent_key, "__to")
     return children.join(links, parent_key).withColumn(parent_key, F.col("__to")).drop("__to")

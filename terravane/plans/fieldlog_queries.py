@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import classify, geo
 from terravane.operators import fieldlog, layers, order, spatial
-from terravane.plans.helpers import query, sql_distance
+from terravane.plans.helpers import query, sql_distance, sql_milli
 
 T0 = 1600000000000
 NOW = T0 + 1900 * 43_200_000
@@ -229,7 +229,7 @@ def _(t):
     return fieldlog.merge_import(existing, incoming)[1]
 
 
-@query("o6_places_nearest", f"SELECT id, row_number() OVER (ORDER BY {sql_distance('50.0e0', '15.0e0', 'lat', 'lon')}, id) AS place FROM places", "places")
+@query("o6_places_nearest", f"SELECT id, row_number() OVER (ORDER BY {sql_milli(sql_distance('50.0e0', '15.0e0', 'lat', 'lon'))}, id) AS place FROM places", "places")
 def _(t):
     return order.numbered(t("places"), fieldlog.of_places("nearest", 50.0, 15.0), "place").select("id", "place")
 
@@ -332,7 +332,7 @@ def _(t):
     return fieldlog.merge_import(existing, incoming)[0].select("external_id", "id")
 
 
-@query("j17_reparented_photos", "SELECT count(*) AS photos, CAST(sum(find_id) AS BIGINT) AS parents FROM (SELECT p.find_id + 100 AS find_id FROM find_photos p JOIN finds f ON f.id = p.find_id WHERE f.id % 2 = 0)", "finds", "find_photos")
+@query("j17_reparented_photos", "SELECT count(*) AS photos, CAST(sum(find_id) AS BIGINT) AS parents FROM (SELECT f.lowest + 100 AS find_id FROM find_photos p JOIN (SELECT id, min(id) OVER (PARTITION BY created_at, lat, lon) AS lowest FROM finds WHERE id % 2 = 0) f ON f.id = p.find_id)", "finds", "find_photos")
 def _(t):
     finds = t("finds").select("id", classify.external_id("find", F.col("created_at"), F.col("lat"), F.col("lon")).alias("external_id"))
     resolved = finds.where("id % 2 = 0").select((F.col("id") + 100).alias("id"), "external_id")

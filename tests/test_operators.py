@@ -186,3 +186,21 @@ def test_runs_merge_in_levels(spark, monkeypatch):
             wanted.append([k, content[k], 1])
     found = tiles.runs(spark.createDataFrame([(k, content[k]) for k in ids], "tile_id long, content int")).collect()
     assert sorted(map(list, found)) == wanted
+
+
+def test_an_external_id_of_several_parents_moves_a_child_once(spark):
+    from terravane.operators import fieldlog
+
+    parents = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id long, external_id string")
+    resolved = spark.createDataFrame([(102, "a"), (101, "a"), (103, "b")], "id long, external_id string")
+    children = spark.createDataFrame([(10, 1), (20, 2), (30, 3)], "photo long, find_id long")
+    assert sorted(map(tuple, fieldlog.reparent(children, parents, resolved, "find_id").select("photo", "find_id").collect())) == [(10, 101), (20, 101), (30, 103)]
+
+
+def test_places_equally_far_go_by_id(spark):
+    from terravane.operators import fieldlog
+
+    # the same way to the west and to the east: distances that differ in their last bits only
+    pairs = [(2 * k + side, 50.0 + k * 0.0137, 15.0 + (-1 if (side + k) % 2 else 1) * (0.1 + k * 0.0317)) for k in range(40) for side in (0, 1)]
+    found = spark.createDataFrame(pairs, "id long, lat double, lon double").orderBy(*fieldlog.of_places("nearest", 50.0, 15.0))
+    assert [r["id"] for r in found.collect()] == sorted(p[0] for p in pairs)
