@@ -204,3 +204,27 @@ def test_places_equally_far_go_by_id(spark):
     pairs = [(2 * k + side, 50.0 + k * 0.0137, 15.0 + (-1 if (side + k) % 2 else 1) * (0.1 + k * 0.0317)) for k in range(40) for side in (0, 1)]
     found = spark.createDataFrame(pairs, "id long, lat double, lon double").orderBy(*fieldlog.of_places("nearest", 50.0, 15.0))
     assert [r["id"] for r in found.collect()] == sorted(p[0] for p in pairs)
+
+
+def test_ranked_calibrations_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PAIRS", 50)
+    rng = random.Random(11)
+    points = [(k, f"l{k % 3}", round(50 + rng.random(), 2), round(14 + rng.random() * 2, 2)) for k in range(200)]
+    boxes = []
+    for k in range(120):
+        south, west = round(50 + rng.random(), 2), round(14 + rng.random() * 2, 2)
+        boxes.append((k, f"l{k % 2}", west, south, west + rng.choice([-0.1, 0.0, 0.01, 0.3, 2.0]), south + rng.choice([0.0, 0.02, 0.4, 3.0]), k % 7 != 0))
+    df = spark.createDataFrame(boxes, "id long, layer_id string, west double, south double, east double, north double, active boolean")
+    rows = spark.createDataFrame(points, "point_id long, layer_id string, lat double, lon double")
+    wanted = set()
+    for p in points:
+        held = sorted(((b[4] - b[2]) * (b[5] - b[3]), b[0]) for b in boxes if b[6] and b[1] == p[1] and b[3] <= p[2] <= b[5] and b[2] <= p[3] <= b[4])
+        wanted |= {(p[0], k, n + 1) for n, (_, k) in enumerate(held)}
+    whole = spatial.ranked_calibrations(rows, df)
+    assert set(map(tuple, whole.collect())) == wanted and whole.count() == len(wanted)
+    # no sort of pairs
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "row_number" not in plan
+    # cells of several blocks
+    monkeypatch.setattr(spatial, "BLOCK", 3)
+    assert sorted(map(tuple, spatial.ranked_calibrations(rows, df).collect())) == sorted(wanted)
