@@ -228,3 +228,19 @@ def test_ranked_calibrations_are_brute_force(spark, monkeypatch):
     # cells of several blocks
     monkeypatch.setattr(spatial, "BLOCK", 3)
     assert sorted(map(tuple, spatial.ranked_calibrations(rows, df).collect())) == sorted(wanted)
+
+
+def test_overlapping_calibrations_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PAIRS", 50)
+    monkeypatch.setattr(spatial, "BLOCK", 7)
+    rng = random.Random(12)
+    corner = lambda: (round(14 + rng.random() * 2, 2), round(50 + rng.random(), 2))
+    box = lambda: (lambda w, s: (w, s, w + rng.choice([-0.02, 0.0, 0.01, 0.3, 5.0]), s + rng.choice([0.0, 0.02, 0.4, 3.0])))(*corner())
+    views, boxes = [(k, f"l{k % 3}", *box()) for k in range(150)], [(k, f"l{k % 2}", *box(), k % 7 != 0) for k in range(120)]
+    v = spark.createDataFrame(views, "view_id long, layer_id string, v_west double, v_south double, v_east double, v_north double")
+    c = spark.createDataFrame(boxes, "id long, layer_id string, west double, south double, east double, north double, active boolean")
+    wanted = [(a[0], b[0]) for a in views for b in boxes if b[6] and a[1] == b[1] and b[2] <= a[4] and a[2] <= b[4] and b[3] <= a[5] and a[3] <= b[5]]
+    found = spatial.overlapping_calibrations(v, c)
+    assert sorted((r["view_id"], r["id"]) for r in found.collect()) == sorted(wanted)
+    # a viewport is one row of a level, not one for each cell that it touches
+    assert "sequence(FLOOR((v_west" not in found._jdf.queryExecution().optimizedPlan().toString()
