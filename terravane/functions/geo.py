@@ -209,15 +209,28 @@ def ring_area_ha(ring: Column) -> Column:
     return F.when(n >= 3, F.abs(doubled * by_lat * by_lon) / 2.0 / 10_000.0).otherwise(F.lit(0.0))
 
 
+def _directions(corners: int) -> Column:
+    """An array of (cos, sin) of a circle's corners + 1 directions: constants, worked out once for a plan."""
+    step = 2 * 3.141592653589793 / corners
+    return F.array(*[F.struct(F.cos(F.lit(k) * step).alias("cos"), F.sin(F.lit(k) * step).alias("sin")) for k in range(corners + 1)])
+
+
 def accuracy_circle(lat, lon, accuracy_m, corners: int = 48) -> Column:
     """Closed ring of corners + 1 points at the accuracy's distance; null at a metre or less."""
     lat, lon, r = _c(lat), _c(lon), _c(accuracy_m).cast("double")
-    step = 2 * 3.141592653589793 / corners
 
-    def point(k: Column) -> Column:
-        return F.struct((lat + r * F.cos(k * step) / 111_132.0).alias("lat"), (lon + r * F.sin(k * step) / (F.cos(F.radians(lat)) * 111_320.0)).alias("lon"))
+    def point(d: Column) -> Column:
+        return F.struct((lat + r * d["cos"] / 111_132.0).alias("lat"), (lon + r * d["sin"] / (F.cos(F.radians(lat)) * 111_320.0)).alias("lon"))
+
+    return F.when(r > 1.0, F.transform(_directions(corners), point))
+
 
-    return F.when(r > 1.0, F.transform(F.sequence(F.lit(0), F.lit(corners)), point))
+def ring_distances_m(ring, lat, lon, cos_lat) -> Column:
+    """Sum of ``distance_m`` from a point to those of a ring, each step worked out once; ``cos_lat`` is the cosine of ``lat``, best a column of its own."""
+    lat, lon, cos_lat = _c(lat), _c(lon), _c(cos_lat)
+    halves = F.transform(_c(ring), lambda p: F.struct(F.sin(F.radians(p["lat"] - lat) / 2).alias("y"), F.sin(F.radians(p["lon"] - lon) / 2).alias("x"), F.cos(F.radians(p["lat"])).alias("c")))
+    squares = F.transform(halves, lambda h: h["y"] * h["y"] + cos_lat * h["c"] * h["x"] * h["x"])
+    return F.aggregate(squares, F.lit(0.0), lambda s, a: s + F.atan2(F.sqrt(a), F.sqrt(1 - a)) * (2 * EARTH_RADIUS_M))
 
 
 def ring_bounds(rings: Column) -> Column:

@@ -201,10 +201,12 @@ def _(t):
     "fixes",
 )
 def _(t):
-    ring = geo.accuracy_circle(F.col("lat"), F.col("lon"), F.col("accuracy_m"))
-    distances = F.aggregate("ring", F.lit(0.0), lambda s, p: s + geo.distance_m(F.col("lat"), F.col("lon"), p["lat"], p["lon"]))
-    rings = t("fixes").withColumn("ring", ring)
+    # a few large files make few tasks, and a row is 49 distances: rows are spread first
+    fixes = t("fixes").select("track_id", "arrival", "lat", "lon", "accuracy_m")
+    fixes = fixes.repartition(int(fixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rings = fixes.withColumn("ring", geo.accuracy_circle(F.col("lat"), F.col("lon"), F.col("accuracy_m"))).withColumn("cos_lat", F.cos(F.radians("lat")))
     there = F.col("ring").isNotNull()
+    distances = geo.ring_distances_m(F.col("ring"), F.col("lat"), F.col("lon"), F.col("cos_lat"))
     return rings.select("track_id", "arrival", F.when(there, F.size("ring")).alias("corners"), F.when(there, milli(distances)).alias("distances_mm"))
 
 

@@ -142,3 +142,17 @@ def test_the_area_of_a_small_ring_is_exact(spark):
     m = math.radians(sum(a for a, _ in corners) / 4)
     wanted = ((lon + side) - lon) * ((lat + side) - lat) * (111_132.92 - 559.82 * math.cos(2 * m)) * (111_412.84 * math.cos(m)) / 10_000
     assert value(spark, geo.ring_area_ha(ring)) == pytest.approx(wanted, rel=1e-13)
+
+
+def test_accuracy_circles_are_spread_and_summed_once(spark):
+    from terravane.plans import registry
+
+    rows = spark.createDataFrame([(50.0 + k * 0.37, 14.0 + k, None if k == 3 else 0.5 + 7.3 * k) for k in range(12)], "lat double, lon double, r double")
+    lat, lon = F.col("lat"), F.col("lon")
+    ring = geo.accuracy_circle(lat, lon, F.col("r"))
+    plain = F.aggregate(ring, F.lit(0.0), lambda s, p: s + geo.distance_m(lat, lon, p["lat"], p["lon"]))
+    found = rows.select(plain.alias("a"), geo.ring_distances_m(ring, lat, lon, F.cos(F.radians(lat))).alias("b"), F.size(ring).alias("n")).collect()
+    assert [r["a"] for r in found] == [r["b"] for r in found] and {r["n"] for r in found if r["a"] is not None} == {49}
+    # one small file is one task; the circles go to all
+    query = registry.QUERIES["e31_accuracy_circles"](spark, "/root/testdata/sf0.001")
+    assert query.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
