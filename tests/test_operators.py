@@ -244,3 +244,19 @@ def test_overlapping_calibrations_are_brute_force(spark, monkeypatch):
     assert sorted((r["view_id"], r["id"]) for r in found.collect()) == sorted(wanted)
     # a viewport is one row of a level, not one for each cell that it touches
     assert "sequence(FLOOR((v_west" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_in_boxes_meet_no_pairs(spark):
+    rng = random.Random(13)
+    zero = [(0.0, -0.0), (-0.0, 0.0), (None, 1.0), (1.0, None)]
+    points = zero + [(round(rng.random(), 1), round(rng.random(), 1)) for _ in range(70)] + [(rng.random(), rng.random()) for _ in range(70)]
+    boxes = [(0, 0.0, 0.0, 0.0, 0.0), (1, -0.0, -0.0, 9.0, 9.0), (2, None, 0.0, 1.0, 1.0), (3, 0.5, 0.5, 0.4, 0.9)]
+    boxes += [(k, *sorted((round(rng.random(), 1), rng.random()))[:1], round(rng.random(), 1), round(1 + rng.random(), 1), round(rng.random() * 1.2, 1)) for k in range(4, 60)]
+    rows, df = spark.createDataFrame(points, "lat double, lon double"), spark.createDataFrame(boxes, "box_id long, west double, south double, east double, north double")
+    holds = lambda b, p: None not in (*b, *p) and b[2] <= p[0] <= b[4] and b[1] <= p[1] <= b[3]
+    for few in (points, points[:1], points[2:3], points[: len(zero) + 4]):
+        found = spatial.count_in_boxes(spark.createDataFrame(few, "lat double, lon double"), df)
+        assert {r["box_id"]: r["holds"] for r in found.collect()} == {b[0]: sum(holds(b, p) for p in few) for b in boxes}
+    # the only join is that of the counts with the boxes
+    plan = spatial.count_in_boxes(rows, df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
