@@ -5,7 +5,6 @@ Keyed state lives in the RocksDB store, in the query's checkpoint: a query that
 
 from __future__ import annotations
 
-import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +23,26 @@ LATE_MS, HOLD_MS = 4 * 3600 * 1000, 24 * 3600 * 1000
 #: Rows of a micro-batch of a table that is replayed, about. Each micro-batch opens and commits every partition of the state, so small ones
 #: cost more than their rows; what is held at once is a key's part of one.
 BATCH_ROWS = 1_000_000
+#: Micro-batches of a replay, at most. A key's state is read and written once in each that has rows of it, so this work grows with the table only while
+#: the number of batches doesn't.
+BATCHES = 6
+#: A micro-batch of so many rows has FILES files, which as many tasks read.
+LARGE_ROWS, FILES = 500_000, 8
+#: Groups of keys of a stream with state. A checkpoint belongs to this number.
+BUCKETS = 1024
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _keyed(rows: DataFrame, key: str, processor, schema: str, time: str = "None", event_time: str = "") -> DataFrame:
+def _keyed(rows: DataFrame, key: str, processor: P.OfKey, schema: str, time: str = "None", event_time: str = "") -> DataFrame:
+    """Rows by the ``key``, BUCKETS groups of keys in all; rows without a key are one of their own. They go there packed, but where each has to be held against a watermark."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", time, eventTimeColumnName=event_time)
+    kind = rows.schema[key].dataType.simpleString()
+    bucket = F.when(F.col(key).isNull(), F.lit(P.InBuckets.NO_KEY)).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    dealt = rows.withColumn("bucket", bucket).withColumn(key, F.coalesce(key, F.lit("0").cast(kind)))
+    pack = time != "EventTime"
+    if pack:
+        dealt = dealt.mapInArrow(P.packed, ", ".join(["bucket int", *[f"`{f.name}` array<{f.dataType.simpleString()}>" for f in dealt.schema if f.name != "bucket"]]))
+    return dealt.groupBy("bucket").transformWithStateInPandas(P.InBuckets(processor, key, kind, time, pack), schema, "Append", time, eventTimeColumnName=event_time)
 
 
 def record_stream(fixes: DataFrame, close_silent: bool = True, silent_ms: int = SILENT_MS) -> DataFrame:
@@ -96,20 +109,23 @@ def _files(spark: SparkSession, path: str):
 
 
 def replay(table: DataFrame, *order: str, since: str | None = None, most: int | None = None) -> DataFrame:
-    """A stream of ``table`` in the order of the columns ``order``, in micro-batches of about BATCH_ROWS rows, or in ``most`` larger ones.
+    """A stream of ``table`` in the order of the columns ``order``, in micro-batches of about BATCH_ROWS rows, or in ``most`` (BATCHES) larger ones.
 
-    One job writes a file for each range of the order; the source takes one a micro-batch, by their times, which are set in that order. ``since``: a folder to write to.
+    One job writes a file for each range of the order; the source takes one a micro-batch, of large ones FILES, by their times, which are set in that order.
+    ``since``: a folder to write to.
     """
     spark = table.sparkSession
-    n = max(min(-(-table.count() // BATCH_ROWS), most or sys.maxsize), 1)
+    rows = table.count()
+    n = max(min(-(-rows // BATCH_ROWS), most or BATCHES), 1)
+    each = FILES if rows >= n * LARGE_ROWS else 1
     path = since or shared_path(spark, f"replay-{uuid.uuid4().hex}")
-    table.repartitionByRange(n, *order).write.mode("append").parquet(path)
+    table.repartitionByRange(n * each, *order).write.mode("append").parquet(path)
     at_exit(spark, path)
     fs, files = _files(spark, path)
     first = spark._jvm.java.lang.System.currentTimeMillis() - 1000 * len(files)
     for k, f in enumerate(files):
         fs.setTimes(f, first + 1000 * k, -1)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def started(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:

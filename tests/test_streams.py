@@ -193,3 +193,90 @@ def test_a_replay_in_a_bounded_number_of_batches(spark, small):
     seen = []
     recorder.replay(table, "arrival", most=4).writeStream.trigger(availableNow=True).foreachBatch(lambda df, _: seen.append(df.count())).start().awaitTermination()
     assert sum(seen) == 3000 and 1 < len([n for n in seen if n]) <= 4  # not the 25 of its BATCH_ROWS
+
+
+class _Map:
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.rows[key]
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+
+class _GroupHandle:
+    """The handle of one group, with its map and its timers."""
+
+    def __init__(self):
+        self.timers = set()
+
+    def getMapState(self, name, key, value, ttl_ms=None):
+        self.entries = _Map()
+        return self.entries
+
+    def listTimers(self):
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class _Now:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_t1_a_group_of_keys_reads_and_writes_each_once(spark):
+    import pandas as pd
+
+    own, handle = processors.InBuckets(processors.Recorder(), "track_id", "bigint", "None"), _GroupHandle()
+    own.init(handle)
+    rows = [(7, track, k, 1000 * k, 50.0 + k * 0.0001, 15.0, None, False) for k in range(6) for track in range(40)]
+    frame = pd.DataFrame(rows, columns=["bucket", "track_id", "arrival", "ts", "lat", "lon", "accuracy_m", "stop"])
+    out = pd.concat(list(own.handleInputRows((7,), iter([frame[:120], frame[120:]]), None)))
+    assert len(out) == 240 and out.groupby("track_id").size().tolist() == [6] * 40
+    assert handle.entries.calls == 80 and len(handle.entries.rows) == 40  # not a group for each of 40 tracks
+    stop = pd.DataFrame([(7, 3, 6, 0, 0.0, 0.0, None, True)], columns=frame.columns)
+    tail = pd.concat(list(own.handleInputRows((7,), iter([stop]), None)))
+    assert tail["decision"].tolist() == ["TAIL"] and len(handle.entries.rows) == 39
+
+
+def test_t1_batches_do_not_grow_with_the_table(spark, small):
+    table = spark.range(3000).select(F.col("id").alias("arrival")).repartition(6)
+    seen = []
+    recorder.replay(table, "arrival").writeStream.trigger(availableNow=True).foreachBatch(lambda df, _: seen.append(df.count())).start().awaitTermination()
+    assert sum(seen) == 3000 and 1 < len([n for n in seen if n]) <= recorder.BATCHES  # not the 25 of its BATCH_ROWS
+
+
+def test_t1_a_large_batch_has_several_files(spark, small, monkeypatch):
+    monkeypatch.setattr(recorder, "LARGE_ROWS", 100)
+    monkeypatch.setattr(recorder, "FILES", 3)
+    table = spark.range(600).select((599 - F.col("id")).alias("arrival")).repartition(6)
+    seen = []
+
+    def batch(df, _):
+        got = df.withColumn("file", F.input_file_name()).collect()
+        seen.append((min(r["arrival"] for r in got), max(r["arrival"] for r in got), len({r["file"] for r in got})))
+
+    recorder.replay(table, "arrival").writeStream.trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    assert len(seen) > 3 and max(n for _, _, n in seen) == 3
+    assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
