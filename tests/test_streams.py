@@ -280,3 +280,41 @@ def test_t1_a_large_batch_has_several_files(spark, small, monkeypatch):
     recorder.replay(table, "arrival").writeStream.trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
     assert len(seen) > 3 and max(n for _, _, n in seen) == 3
     assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
+
+
+def test_t5_tracks_of_one_group_share_a_timer(spark, small, monkeypatch):
+    monkeypatch.setattr(recorder, "BUCKETS", 1)
+    rng = random.Random(12)
+    rows, clock = [], 0
+    for k in range(600):
+        clock += rng.choice([1_000, 2_000, 40_000])
+        rows.append((rng.randrange(k // 20, k // 20 + 8), k, clock))  # tracks that end all along
+    gap, late = 90_001, 200_000
+    wanted, now = [], {}
+    for track, _, ts in rows:
+        if track in now and ts - now[track][1] > gap:
+            wanted.append((track, *now.pop(track)))
+        a, _, n = now.get(track, (ts, ts, 0))
+        now[track] = (a, ts, n + 1)
+    wanted += [(track, *v) for track, v in now.items() if v[1] + gap < clock - late]
+    table = spark.createDataFrame(rows, "track_id long, arrival long, ts long").repartition(3)
+    found = recorder.drain(recorder.close_silent(recorder.replay(table, "arrival"), gap, f"{late} milliseconds"), "silent")
+    assert sorted(map(tuple, found.collect())) == sorted(wanted) and len(now) > 5
+
+
+def test_t5_a_timer_that_runs_out_leaves_one_for_the_rest():
+    import pandas as pd
+
+    own, handle = processors.InBuckets(processors.Closer(10), "track_id", "bigint", "EventTime"), _GroupHandle()
+    own.init(handle)
+    columns = ["bucket", "track_id", "arrival", "ts"]
+    give = lambda rows: list(own.handleInputRows((0,), iter([pd.DataFrame(rows, columns=columns)]), _Now(0)))
+    give([(0, 1, 0, 100), (0, 2, 1, 130), (0, 3, 2, 150)])
+    assert handle.timers == {110}
+    give([(0, 1, 3, 105)])  # the timer stays, too early now
+    closed = pd.concat(list(own.handleExpiredTimer((0,), _Now(112), _Now(110))))
+    handle.deleteTimer(110)  # as Spark does afterwards
+    assert closed.empty and handle.timers == {115}
+    closed = pd.concat(list(own.handleExpiredTimer((0,), _Now(141), _Now(115))))
+    handle.deleteTimer(115)
+    assert closed["track_id"].tolist() == [1, 2] and handle.timers == {160} and list(handle.entries.rows) == [(3,)]
