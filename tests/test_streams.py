@@ -318,3 +318,28 @@ def test_t5_a_timer_that_runs_out_leaves_one_for_the_rest():
     closed = pd.concat(list(own.handleExpiredTimer((0,), _Now(141), _Now(115))))
     handle.deleteTimer(115)
     assert closed["track_id"].tolist() == [1, 2] and handle.timers == {160} and list(handle.entries.rows) == [(3,)]
+
+
+def test_t10_many_devices_in_few_groups(spark, small, monkeypatch):
+    monkeypatch.setattr(recorder, "BUCKETS", 3)
+    monkeypatch.setattr(processors, "PACK_ROWS", 10)
+    rng = random.Random(11)
+    rows = [(k % 40 if k % 41 else None, k, rng.uniform(0, 8)) for k in range(600)]  # some without a device
+    table = spark.createDataFrame(rows, "device long, arrival long, heading double").repartition(4)
+    last, wanted = {}, set()
+    for d, k, h in rows:
+        if d not in last or min(abs(h - last[d]), 360 - abs(h - last[d])) > processors.JITTER_DEG:
+            last[d] = h
+            wanted.add((d, k))
+    found = recorder.drain(recorder.steady_headings(recorder.replay(table, "arrival")), "steady").collect()
+    assert len(found) == len(wanted) and {(r["device"], r["arrival"]) for r in found} == wanted
+
+
+def test_t10_rows_are_packed_by_group():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"bucket": pa.array([2, 1, 2], pa.int32()), "arrival": [1, 2, 3], "host": ["a", "b", "c"]}), pa.RecordBatch.from_pydict({"bucket": pa.array([1], pa.int32()), "arrival": [4], "host": ["d"]})]
+    (out,) = processors.packed(iter(batches))
+    assert out.to_pydict() == {"bucket": [1, 2], "arrival": [[2, 4], [1, 3]], "host": [["b", "d"], ["a", "c"]]}
+    (back,) = processors.unpacked(iter([out.to_pandas()]))
+    assert back.values.tolist() == [[2, "b"], [4, "d"], [1, "a"], [3, "c"]]
