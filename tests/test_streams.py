@@ -343,3 +343,22 @@ def test_t10_rows_are_packed_by_group():
     assert out.to_pydict() == {"bucket": [1, 2], "arrival": [[2, 4], [1, 3]], "host": [["b", "d"], ["a", "c"]]}
     (back,) = processors.unpacked(iter([out.to_pandas()]))
     assert back.values.tolist() == [[2, "b"], [4, "d"], [1, "a"], [3, "c"]]
+
+
+def test_t12_marks_of_one_group_keep_to_their_tracks(spark, small, monkeypatch):
+    monkeypatch.setattr(recorder, "BUCKETS", 1)
+    rng = random.Random(13)
+    rows = []
+    for k in range(500):
+        track, ts = k % 25, 1_000 * k
+        rows.append((track, k, None, ts, float(k), 15.0, False, ts))
+        if k % 3 == 0:
+            rows.append((track, None, k, ts + rng.randint(-60_000, 20_000), None, None, None, ts + rng.randint(-5_000, 5_000)))
+    rows += [(track, None, None, 0, None, None, True, 10**9) for track in range(25)]
+    schema = "track_id long, arrival long, mark_id long, ts long, lat double, lon double, stop boolean, at long"
+    both = recorder.replay(spark.createDataFrame(rows, schema).repartition(4), "at", "track_id")
+    out = recorder.drain(recorder.marks_stream(both.where("mark_id IS NOT NULL"), both.where("mark_id IS NULL"), 30_000), "marks").collect()
+    found = {r["mark_id"]: (r["track_id"], r["fix_ts"], r["lat"]) for r in out}
+    fixes = [(r[0], r[3], r[4]) for r in rows if r[1] is not None]
+    wanted = {r[2]: (r[0], *max(((ts, lat) for track, ts, lat in fixes if track == r[0] and ts <= r[3]), default=(None, None))) for r in rows if r[2] is not None}
+    assert found == wanted and len(out) == len(wanted)
